@@ -1,6 +1,12 @@
 """Registered queries and the SQL each one is checked against."""
 
-from tillspark.plans import catalog, orders  # noqa: F401  (registers)
+from tillspark.plans import (  # noqa: F401  (each module registers its queries)
+    carts,
+    catalog,
+    orders,
+    payments,
+    validation,
+)
 from tillspark.plans.registry import CHECKS, PLANS, runner
 
 __all__ = ["CHECKS", "PLANS", "runner"]
