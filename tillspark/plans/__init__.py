@@ -3,8 +3,10 @@
 from tillspark.plans import (  # noqa: F401  (each module registers its queries)
     carts,
     catalog,
+    feeds,
     orders,
     payments,
+    stock,
     validation,
 )
 from tillspark.plans.registry import CHECKS, PLANS, runner

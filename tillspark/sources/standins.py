@@ -65,7 +65,7 @@ VIEWS = {
             WHEN event_type IN ('view', 'purchase') THEN 'set'
             WHEN event_type = 'error' THEN 'remove' ELSE 'add' END AS action,
           CAST(floor(value) AS BIGINT) % 20 AS product_id, CAST(event_id % 6 AS INT) AS quantity,
-          CAST(event_id % 8 AS INT) AS available_stock
+          CAST(event_id % 40 AS INT) AS available_stock
         FROM {events}""",
     "status_changes": """
         SELECT event_id AS seq, event_id >> 2 AS order_id,
@@ -178,10 +178,11 @@ class Tables:
 
     @cached_property
     def payment_topic(self) -> DataFrame:
-        """Payment events as topic rows, statuses by order status."""
+        """Payment events as topic rows, one per order, statuses by amount."""
+        amount = F.col("total_amount")
         status = (
-            F.when(F.col("status") == "PAID", F.lit("COMPLETED"))
-            .when(F.col("status") == "CANCELLED", F.lit("FAILED"))
+            F.when(amount > 300_000, F.lit("COMPLETED"))
+            .when(amount < 100_000, F.lit("FAILED"))
             .otherwise(F.lit("UNKNOWN"))
         )
         nested = order_ops.orders_with_items(self.orders_t, self.order_items)
