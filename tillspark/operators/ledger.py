@@ -25,12 +25,12 @@ the next round; it ends only when the assumed starts were the true ones.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillspark.functions.positions import HOT_ROWS
 from tillspark.session import materialize, shuffle_width
@@ -40,7 +40,7 @@ REFILL = 10  # fixed value: quantity after stock runs out
 MAP_STATES = 4096
 
 _LINE = ["event_seq", "item_pos"]
-_ROUND_SCHEMA = "event_seq long, item_pos long, report string"
+_ROUND_SCHEMA = "event_seq long, item_pos long, product_id long, report string"
 _FINAL_SCHEMA = (
     "event_seq long, item_pos long, product_id long, quantity int, outcome string, "
     "stock_after long"
@@ -89,6 +89,7 @@ class _Link(NamedTuple):
     stock: int
     low: int
     high: int
+    risky: bool
 
 
 class _Replay(NamedTuple):
@@ -128,7 +129,7 @@ class _Replay(NamedTuple):
                 if self.final:
                     out.append((event, item, wanted, demand, outcome, quantity))
                 elif outcome == "INSUFFICIENT":
-                    out.append((event, item, None))
+                    out.append((event, item, wanted, None))
             if out:
                 yield _batch(out, self.final)
         if not self.final and tracked is not None:
@@ -137,7 +138,7 @@ class _Replay(NamedTuple):
         elif not self.final and block in before_link:
             # This run began here, and the next block may go on from its end.
             tail = {"block": block, "product": product, "tail": quantity}
-            yield _batch([(None, None, json.dumps(tail))], False)
+            yield _batch([(None, None, None, json.dumps(tail))], False)
 
 
 def _head_report(
@@ -147,7 +148,7 @@ def _head_report(
         "block": block, "product": product, "low": link.low, "ends": tracked.ends(),
         "needed": tracked.needed, "taken": tracked.taken, "assumed": starts[block], "end": end,
     }
-    return (None, None, json.dumps(head))
+    return (None, None, None, json.dumps(head))
 
 
 def _batch(rows: list[tuple], final: bool) -> pa.RecordBatch:
@@ -157,7 +158,10 @@ def _batch(rows: list[tuple], final: bool) -> pa.RecordBatch:
             "quantity": pa.int32(), "outcome": pa.string(), "stock_after": pa.int64(),
         }
     else:
-        kinds = {"event_seq": pa.int64(), "item_pos": pa.int64(), "report": pa.string()}
+        kinds = {
+            "event_seq": pa.int64(), "item_pos": pa.int64(), "product_id": pa.int64(),
+            "report": pa.string(),
+        }
     arrays = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds.values())]
     return pa.RecordBatch.from_arrays(arrays, list(kinds))
 
@@ -172,13 +176,14 @@ def _end_of(head: dict, start: int) -> int | None:
 
 
 def _true_starts(
-    links: dict[int, _Link], assumed: dict[int, int], reports: list[dict]
+    links: dict[int, _Link], assumed: dict[int, int], reports: list[dict], replayed: set[int]
 ) -> dict[int, int]:
     """Chain the reports of one round into the start quantities they imply.
 
-    Where a chain breaks (a start that a block has not mapped), the blocks
-    after it keep what they assumed; the broken block's own start differs
-    from its assumption, so a further round follows.
+    Blocks whose product was not replayed keep their start. Where a chain
+    breaks (a start that a block has not mapped), the blocks after it keep
+    what they assumed; the broken block's own start differs from its
+    assumption, so a further round follows.
     """
     tails = {(r["block"], r["product"]): r["tail"] for r in reports if "tail" in r}
     heads = {r["block"]: r for r in reports if "ends" in r}
@@ -186,7 +191,9 @@ def _true_starts(
     for block in sorted(links):
         link = links[block]
         before = links.get(link.previous)
-        if before is not None and before.product == link.product:
+        if link.product not in replayed:
+            start = assumed[block]
+        elif before is not None and before.product == link.product:
             start = starts[link.previous]
             if link.previous in heads:  # otherwise all its lines are skipped
                 start = _end_of(heads[link.previous], start)
@@ -231,7 +238,7 @@ def _links(lines: DataFrame) -> dict[int, _Link]:
         .agg(
             F.min("product_id").alias("first"),
             F.max("product_id").alias("last"),
-            F.min_by(F.struct("stock", "reserved"), F.col("product_id")).alias("head"),
+            F.min_by(F.struct("stock", "reserved", "risky"), F.col("product_id")).alias("head"),
             F.max("quantity").alias("largest"),
         )
         .orderBy("block")
@@ -244,7 +251,8 @@ def _links(lines: DataFrame) -> dict[int, _Link]:
             low = min(stock, reserved, 1)
             high = max(REFILL, edge["largest"] + reserved)
             links[edge["block"]] = _Link(
-                before["block"], edge["first"], stock, low, min(high, low + MAP_STATES - 1)
+                before["block"], edge["first"], stock, low, min(high, low + MAP_STATES - 1),
+                edge["head"]["risky"],
             )
     return links
 
@@ -266,57 +274,99 @@ def _replayed(lines: DataFrame, blocks: int, replay: _Replay) -> DataFrame:
     )
 
 
-class _Settled(NamedTuple):
-    stops: DataFrame
-    links: dict[int, _Link]
-    starts: dict[int, int]
-    rounds: int
-
-
-def _settle(
-    lines: DataFrame,
-    known_failures: DataFrame,
-    stops: DataFrame,
-    blocks: int,
-    coupled: bool,
-    max_rounds: int | None,
-) -> _Settled:
-    """Rounds until neither the skipped lines nor the block starts change."""
-    links = _links(lines)
-    starts = {block: link.stock for block, link in links.items()}
-    rounds = 0
-    while True:
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError(f"stock ledger not settled after {max_rounds} rounds")
-        active = _not_skipped(lines, stops) if coupled else lines
-        out = materialize(
-            _replayed(active, blocks, _Replay(links, starts, False)), "ledger-round"
-        )
+class _Rounds:
+    """The state of the repeated rounds."""
+
+    def __init__(
+        self, lines: DataFrame, known_failures: DataFrame, blocks: int, max_rounds: int | None
+    ) -> None:
+        self.lines = lines
+        self.known_failures = known_failures
+        self.blocks = blocks
+        self.max_rounds = max_rounds
+        self.links = _links(lines)
+        self.starts = {block: link.stock for block, link in self.links.items()}
+        self.stops = materialize(_first_failures(known_failures), "ledger-stops")
+        self.count = 0
+
+    def _replay(self, lines: DataFrame, replayed: set[int]) -> tuple[DataFrame, set[int]]:
+        """Replay lines once; failures, and products whose block starts moved."""
+        self.count += 1
+        if self.max_rounds is not None and self.count > self.max_rounds:
+            raise RuntimeError(f"stock ledger not settled after {self.max_rounds} rounds")
+        replay = _Replay(self.links, self.starts, False)
+        out = materialize(_replayed(lines, self.blocks, replay), "ledger-round")
         reports = []
-        if links:
-            # At most one row per continued block, of at most MAP_STATES numbers.
+        if replayed:
+            # At most two rows per block, each of at most MAP_STATES numbers.
             rows = out.filter(F.col("report").isNotNull()).select("report").collect()
             reports = [json.loads(row["report"]) for row in rows]
-        implied = _true_starts(links, starts, reports)
-        same_starts = implied == starts
-        starts = implied
-        if not coupled:
-            if same_starts:
-                return _Settled(stops, links, starts, rounds)
-            continue
-        failures = out.filter(F.col("report").isNull()).select(*_LINE).unionByName(known_failures)
-        fresh = failures.groupBy("event_seq").agg(F.min("item_pos").alias("stop"))
-        old = stops.withColumnRenamed("stop", "old_stop")
-        compared = materialize(
-            fresh.join(old, "event_seq", "full").withColumn(
-                "changed", ~F.col("stop").eqNullSafe(F.col("old_stop"))
-            ),
-            "ledger-stops",
-        )
-        stops = compared.filter(F.col("stop").isNotNull()).select("event_seq", "stop")
-        if same_starts and compared.filter("changed").isEmpty():
-            return _Settled(stops, links, starts, rounds)
+        implied = _true_starts(self.links, self.starts, reports, replayed)
+        moved = {
+            link.product for block, link in self.links.items() if implied[block] != self.starts[block]
+        }
+        self.starts = implied
+        return out.filter(F.col("report").isNull()).drop("report"), moved
+
+    def _products(self, products: set[int]) -> DataFrame:
+        """A few split products (at most one per block) as a table."""
+        rows = [(product,) for product in sorted(products)]
+        return self.lines.sparkSession.createDataFrame(rows, "product_id long")
+
+    def settle_starts(self, products: set[int], coupled: bool) -> None:
+        """Chain the blocks of split products whose skipped lines are settled."""
+        while products:
+            lines = self.lines.join(F.broadcast(self._products(products)), "product_id", "left_semi")
+            active = _not_skipped(lines, self.stops) if coupled else lines
+            products = self._replay(active, products)[1]
+
+    def settle(self) -> None:
+        """Replay risky products until neither skipped lines nor starts change.
+
+        After the first round only products are replayed that have a line
+        whose skip has changed, or whose block starts moved.
+        """
+        risky = self.lines.filter("risky")
+        split = {link.product for link in self.links.values() if link.risky}
+        replayed, affected, failures = split, None, None
+        while True:
+            lines = risky
+            if affected is not None:
+                lines = risky.join(affected, "product_id", "left_semi")
+                if split:
+                    hit = affected.join(F.broadcast(self._products(split)), "product_id").collect()
+                    replayed = {row["product_id"] for row in hit}
+            failed, moved = self._replay(_not_skipped(lines, self.stops), replayed)
+            if failures is None:
+                failures = failed
+            else:
+                kept = failures.join(affected, "product_id", "left_anti")
+                failures = materialize(kept.unionByName(failed), "ledger-failures")
+            fresh = _first_failures(failures.select(*_LINE).unionByName(self.known_failures))
+            old = self.stops.withColumnRenamed("stop", "old_stop")
+            compared = materialize(fresh.join(old, "event_seq", "full"), "ledger-stops")
+            self.stops = compared.filter(F.col("stop").isNotNull()).select("event_seq", "stop")
+            changed = compared.filter(~F.col("stop").eqNullSafe(F.col("old_stop")))
+
+            def skipped(stop: str) -> Column:
+                return F.coalesce(F.col("item_pos") > F.col(stop), F.lit(False))
+
+            flipped = (
+                risky.select(*_LINE, "product_id")
+                .join(changed, "event_seq")
+                .filter(skipped("stop") != skipped("old_stop"))
+                .select("product_id")
+            )
+            if moved:
+                flipped = flipped.unionByName(self._products(moved))
+            affected = materialize(flipped.distinct(), "ledger-affected")
+            if affected.isEmpty():
+                return
+
+
+def _first_failures(failures: DataFrame) -> DataFrame:
+    """Where each event stops."""
+    return failures.groupBy("event_seq").agg(F.min("item_pos").alias("stop"))
 
 
 def stock_ledger(
@@ -341,20 +391,16 @@ def stock_ledger(
         blocks = max(shuffle_width(spark), -(-lines.count() // HOT_ROWS))
     laid = _lay_out(inventory, lines, blocks)
     usable, unusable = laid.filter("usable"), laid.filter(~F.col("usable"))
-    known_failures = unusable.select(*_LINE)
-    stops = known_failures.groupBy("event_seq").agg(F.min("item_pos").alias("stop"))
-    rounds = 0
+    rounds = _Rounds(usable, unusable.select(*_LINE), blocks, max_rounds)
     if coupled:
-        risky = _settle(
-            usable.filter("risky"), known_failures, stops, blocks, coupled, max_rounds
-        )
-        stops, rounds = risky.stops, risky.rounds
-    settled = _settle(usable, known_failures, stops, blocks, coupled, max_rounds)
-    stops, rounds = settled.stops, rounds + settled.rounds
+        rounds.settle()
+    unsettled = {link.product for link in rounds.links.values() if not (coupled and link.risky)}
+    rounds.settle_starts(unsettled, coupled)
+    stops = rounds.stops
 
     active = _not_skipped(usable, stops) if coupled else usable
     taken = materialize(
-        _replayed(active, blocks, _Replay(settled.links, settled.starts, True)), "ledger-taken"
+        _replayed(active, blocks, _Replay(rounds.links, rounds.starts, True)), "ledger-taken"
     )
     no_stock = F.lit(None).cast("long").alias("stock_after")
     columns = [*_LINE, "product_id", "quantity"]
@@ -377,4 +423,4 @@ def stock_ledger(
             for c in inventory.columns
         ]
     )
-    return Ledger(outcomes, after, rounds)
+    return Ledger(outcomes, after, rounds.count)
