@@ -57,15 +57,16 @@ def row_positions(
     key: str,
     order_by: Sequence[Column | str],
     out: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Position 1, 2, ... of each row within its key.
 
-    Keys of up to `hot_rows` rows use a window. Larger keys are numbered
+    Keys of up to `hot_rows` rows (HOT_ROWS unless given) use a window. Larger keys are numbered
     by `assign_ids` over (key, order), then shifted by the key's first
     number, so that no task holds such a key. There are at most
     rows / hot_rows large keys, which bounds the broadcast.
     """
+    hot_rows = hot_rows or HOT_ROWS
     plain = Window.partitionBy(key).orderBy(*order_by)
     position = F.row_number().over(plain).cast("long")
     if df.count() <= hot_rows:

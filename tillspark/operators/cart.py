@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillspark import schemas
-from tillspark.functions.positions import HOT_ROWS, page_of, row_positions
+from tillspark.functions.positions import page_of, row_positions
 from tillspark.operators.orders import PAGE_ROWS
 
 # An add without quantity or known stock.
@@ -186,7 +186,7 @@ def stock_gate(priced: DataFrame) -> DataFrame:
 
 
 def order_request_items(
-    priced: DataFrame, page_rows: int = PAGE_ROWS, hot_rows: int = HOT_ROWS
+    priced: DataFrame, page_rows: int = PAGE_ROWS, hot_rows: int | None = None
 ) -> DataFrame:
     """Carts to order requests, lines in cart order at the current price.
 
@@ -207,13 +207,14 @@ def order_request_items(
     )
 
 
-def payment_request(orders: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
+def payment_request(orders: DataFrame, requests: DataFrame, key: Sequence[str] = ("request_id",)) -> DataFrame:
     """Created orders to payment requests: the order's total and its items."""
+    key = list(key)
     items = F.transform(
         "items",
         lambda i: F.struct(i["product_id"].alias("product_id"), i["quantity"].alias("quantity")),
     )
-    return orders.join(requests.select(key, items.alias("items")), key).select(
+    return orders.join(requests.select(*key, items.alias("items")), key).select(
         F.col("id").alias("order_id"),
         "customer_id",
         F.col("total_amount").alias("amount"),

@@ -25,26 +25,22 @@ the next round; it ends only when the assumed starts were the true ones.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillspark.functions.positions import HOT_ROWS
+from tillspark.functions import positions, replay
+from tillspark.functions.replay import FINAL_SCHEMA, REFILL, ROUND_SCHEMA, Link, Replay
 from tillspark.session import materialize, shuffle_width
 
-REFILL = 10  # fixed value: quantity after stock runs out
+# Executors need no copy of this package: the replay travels with its job.
+cloudpickle.register_pickle_by_value(replay)
+
 # Start quantities mapped per block. Others are settled by further rounds.
 MAP_STATES = 4096
 
 _LINE = ["event_seq", "item_pos"]
-_ROUND_SCHEMA = "event_seq long, item_pos long, product_id long, report string"
-_FINAL_SCHEMA = (
-    "event_seq long, item_pos long, product_id long, quantity int, outcome string, "
-    "stock_after long"
-)
 
 
 class Ledger(NamedTuple):
@@ -53,119 +49,6 @@ class Ledger(NamedTuple):
     rounds: int
 
 
-class _StartMap:
-    """How one run of lines maps start quantities to end quantities."""
-
-    def __init__(self, low: int, high: int) -> None:
-        self.low = low
-        self.values = np.arange(low, high + 1, dtype=np.int64)
-        self.index = np.arange(high - low + 1)
-        self.taken = 0  # demand so far
-        self.needed = -(1 << 62)  # a start this high never fails nor refills
-        self.steps = 0
-
-    def take(self, demand: int, reserved: int) -> None:
-        left = self.values - demand
-        self.values = np.where(
-            left < reserved, self.values, np.where(left <= 0, REFILL, left)
-        )
-        self.taken += demand
-        self.needed = max(self.needed, self.taken + max(reserved, 1))
-        self.steps += 1
-        if self.steps % 32 == 0 and len(self.values) > 1:
-            self.values, back = np.unique(self.values, return_inverse=True)
-            self.index = back[self.index]
-
-    def ends(self) -> list[int]:
-        """End quantity for each start from `low` on."""
-        return self.values[self.index].tolist()
-
-
-class _Link(NamedTuple):
-    """A block whose first product began in the block before, or earlier."""
-
-    previous: int
-    product: int
-    stock: int
-    low: int
-    high: int
-    risky: bool
-
-
-class _Replay(NamedTuple):
-    """What a replay task must know about continued blocks (a row per block)."""
-
-    links: dict[int, _Link]
-    starts: dict[int, int]
-    final: bool
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Replay one sorted block; give failures and reports, or every outcome."""
-        before_link = {link.previous for link in self.links.values()}
-        product = block = tracked = link = None
-        quantity = 0
-        for batch in batches:
-            out = []
-            columns = [c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns]
-            for event, item, wanted, demand, stock, reserved, here in zip(*columns):
-                if wanted != product:
-                    if tracked is not None:
-                        out.append(_head_report(block, product, link, tracked, quantity, self.starts))
-                    link = self.links.get(here) if product is None else None
-                    if link is not None and link.product == wanted:
-                        quantity = self.starts[here]
-                        tracked = None if self.final else _StartMap(link.low, link.high)
-                    else:
-                        quantity, tracked = stock, None
-                    product, block = wanted, here
-                if tracked is not None:
-                    tracked.take(demand, reserved)
-                if quantity - reserved < demand:
-                    outcome = "INSUFFICIENT"
-                elif quantity - demand <= 0:
-                    quantity, outcome = REFILL, "REFILLED"
-                else:
-                    quantity, outcome = quantity - demand, "APPLIED"
-                if self.final:
-                    out.append((event, item, wanted, demand, outcome, quantity))
-                elif outcome == "INSUFFICIENT":
-                    out.append((event, item, wanted, None))
-            if out:
-                yield _batch(out, self.final)
-        if not self.final and tracked is not None:
-            report = _head_report(block, product, link, tracked, quantity, self.starts)
-            yield _batch([report], False)
-        elif not self.final and block in before_link:
-            # This run began here, and the next block may go on from its end.
-            tail = {"block": block, "product": product, "tail": quantity}
-            yield _batch([(None, None, None, json.dumps(tail))], False)
-
-
-def _head_report(
-    block: int, product: int, link: _Link, tracked: _StartMap, end: int, starts: dict[int, int]
-) -> tuple:
-    head = {
-        "block": block, "product": product, "low": link.low, "ends": tracked.ends(),
-        "needed": tracked.needed, "taken": tracked.taken, "assumed": starts[block], "end": end,
-    }
-    return (None, None, None, json.dumps(head))
-
-
-def _batch(rows: list[tuple], final: bool) -> pa.RecordBatch:
-    if final:
-        kinds = {
-            "event_seq": pa.int64(), "item_pos": pa.int64(), "product_id": pa.int64(),
-            "quantity": pa.int32(), "outcome": pa.string(), "stock_after": pa.int64(),
-        }
-    else:
-        kinds = {
-            "event_seq": pa.int64(), "item_pos": pa.int64(), "product_id": pa.int64(),
-            "report": pa.string(),
-        }
-    arrays = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds.values())]
-    return pa.RecordBatch.from_arrays(arrays, list(kinds))
-
-
 def _end_of(head: dict, start: int) -> int | None:
     """End quantity for a start, or None where the block must be replayed from it."""
     if start == head["assumed"]:
@@ -176,7 +59,7 @@ def _end_of(head: dict, start: int) -> int | None:
 
 
 def _true_starts(
-    links: dict[int, _Link], assumed: dict[int, int], reports: list[dict], replayed: set[int]
+    links: dict[int, Link], assumed: dict[int, int], reports: list[dict], replayed: set[int]
 ) -> dict[int, int]:
     """Chain the reports of one round into the start quantities they imply.
 
@@ -231,7 +114,7 @@ def _lay_out(inventory: DataFrame, lines: DataFrame, blocks: int) -> DataFrame:
     )
 
 
-def _links(lines: DataFrame) -> dict[int, _Link]:
+def _links(lines: DataFrame) -> dict[int, Link]:
     """The continued blocks. One row per block reaches the driver."""
     edges = (
         lines.groupBy("block")
@@ -250,7 +133,7 @@ def _links(lines: DataFrame) -> dict[int, _Link]:
             stock, reserved = edge["head"]["stock"], edge["head"]["reserved"]
             low = min(stock, reserved, 1)
             high = max(REFILL, edge["largest"] + reserved)
-            links[edge["block"]] = _Link(
+            links[edge["block"]] = Link(
                 before["block"], edge["first"], stock, low, min(high, low + MAP_STATES - 1),
                 edge["head"]["risky"],
             )
@@ -264,13 +147,13 @@ def _not_skipped(lines: DataFrame, stops: DataFrame) -> DataFrame:
     )
 
 
-def _replayed(lines: DataFrame, blocks: int, replay: _Replay) -> DataFrame:
+def _replayed(lines: DataFrame, blocks: int, replayer: Replay) -> DataFrame:
     columns = [*_LINE, "product_id", "quantity", "stock", "reserved", "block"]
     return (
         lines.select(*columns)
         .repartitionById(blocks, F.col("block"))
         .sortWithinPartitions("product_id", *_LINE)
-        .mapInArrow(replay, _FINAL_SCHEMA if replay.final else _ROUND_SCHEMA)
+        .mapInArrow(replayer, FINAL_SCHEMA if replayer.final else ROUND_SCHEMA)
     )
 
 
@@ -294,8 +177,8 @@ class _Rounds:
         self.count += 1
         if self.max_rounds is not None and self.count > self.max_rounds:
             raise RuntimeError(f"stock ledger not settled after {self.max_rounds} rounds")
-        replay = _Replay(self.links, self.starts, False)
-        out = materialize(_replayed(lines, self.blocks, replay), "ledger-round")
+        replayer = Replay(self.links, self.starts, False)
+        out = materialize(_replayed(lines, self.blocks, replayer), "ledger-round")
         reports = []
         if replayed:
             # At most two rows per block, each of at most MAP_STATES numbers.
@@ -333,9 +216,6 @@ class _Rounds:
             lines = risky
             if affected is not None:
                 lines = risky.join(affected, "product_id", "left_semi")
-                if split:
-                    hit = affected.join(F.broadcast(self._products(split)), "product_id").collect()
-                    replayed = {row["product_id"] for row in hit}
             failed, moved = self._replay(_not_skipped(lines, self.stops), replayed)
             if failures is None:
                 failures = failed
@@ -360,8 +240,15 @@ class _Rounds:
             if moved:
                 flipped = flipped.unionByName(self._products(moved))
             affected = materialize(flipped.distinct(), "ledger-affected")
-            if affected.isEmpty():
+            found = affected.join(
+                F.broadcast(self._products(split).withColumn("split", F.col("product_id"))),
+                "product_id",
+                "left",
+            ).agg(F.count("*").alias("products"), F.collect_set("split").alias("split"))
+            summary = found.first()  # of split products, at most one per block
+            if not summary["products"]:
                 return
+            replayed = set(summary["split"])
 
 
 def _first_failures(failures: DataFrame) -> DataFrame:
@@ -388,7 +275,7 @@ def stock_ledger(
     coupled = mode == "exact"
     spark = lines.sparkSession
     if blocks is None:
-        blocks = max(shuffle_width(spark), -(-lines.count() // HOT_ROWS))
+        blocks = max(shuffle_width(spark), -(-lines.count() // positions.HOT_ROWS))
     laid = _lay_out(inventory, lines, blocks)
     usable, unusable = laid.filter("usable"), laid.filter(~F.col("usable"))
     rounds = _Rounds(usable, unusable.select(*_LINE), blocks, max_rounds)
@@ -400,7 +287,7 @@ def stock_ledger(
 
     active = _not_skipped(usable, stops) if coupled else usable
     taken = materialize(
-        _replayed(active, blocks, _Replay(rounds.links, rounds.starts, True)), "ledger-taken"
+        _replayed(active, blocks, Replay(rounds.links, rounds.starts, True)), "ledger-taken"
     )
     no_stock = F.lit(None).cast("long").alias("stock_after")
     columns = [*_LINE, "product_id", "quantity"]

@@ -30,9 +30,13 @@ def _notices(events: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def _first_pages(events: DataFrame) -> DataFrame:
+    return events.filter(F.coalesce("event.itemOffset", F.lit(0)) == 0)
+
+
 def order_confirmations(placed: DataFrame) -> DataFrame:
-    """One notice per order-placed event, however many items."""
-    return _notices(placed, "ORDER_CONFIRMATION")
+    """One notice per order placed, however many items."""
+    return _notices(_first_pages(placed), "ORDER_CONFIRMATION")
 
 
 def order_cancellations(cancelled: DataFrame) -> DataFrame:
@@ -41,8 +45,9 @@ def order_cancellations(cancelled: DataFrame) -> DataFrame:
 
 def payment_notices(events: DataFrame) -> DataFrame:
     """Notices for completed and failed payments; other statuses give none."""
-    done = events.filter(F.col("event.status") == "COMPLETED")
-    failed = events.filter(F.col("event.status") == "FAILED")
+    first = _first_pages(events)
+    done = first.filter(F.col("event.status") == "COMPLETED")
+    failed = first.filter(F.col("event.status") == "FAILED")
     return _notices(done, "PAYMENT_CONFIRMATION").unionByName(_notices(failed, "PAYMENT_FAILED"))
 
 

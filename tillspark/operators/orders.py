@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillspark import schemas
-from tillspark.functions.codec import encode
+from tillspark.functions.codec import encode, encode_page
 from tillspark.functions.positions import assign_ids, page_of
 from tillspark.operators import lookups, updates
 
@@ -25,9 +26,16 @@ def line_amount() -> Column:
     return F.col("unit_price") * F.col("quantity")
 
 
-def new_order_rows(requests: DataFrame, created_at: Column, start: int = 0) -> NewOrders:
+def new_order_rows(
+    requests: DataFrame,
+    created_at: Column,
+    start: int = 0,
+    key: Sequence[str] = ("request_id",),
+) -> NewOrders:
     """Valid requests (request_id, customer_id, items) to pending orders and lines.
 
+    `key` identifies a request; ids follow its order.
+
     Totals fold each request's own array, so nothing is exploded to be
     summed again. `created_at` is given, so a re-run gives the same rows.
     """
@@ -37,10 +45,10 @@ def new_order_rows(requests: DataFrame, created_at: Column, start: int = 0) -> N
         zero,
         lambda acc, item: (acc + item["unit_price"] * item["quantity"]).cast("decimal(38,2)"),
     )
-    numbered = assign_ids(requests, ["request_id"], "id", start)
+    numbered = assign_ids(requests, list(key), "id", start)
     orders = numbered.select(
         "id",
-        "request_id",
+        *key,
         "customer_id",
         F.lit("PENDING").alias("status"),
         total.cast(schemas.MONEY).alias("total_amount"),
@@ -113,7 +121,7 @@ def orders_by_status(orders: DataFrame, status: str) -> DataFrame:
 
 
 def order_placed_events(orders: DataFrame, items: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """Topic rows keyed by order id; long orders give one event per page."""
+    """Topic rows keyed by order id; an order of several pages gives an event per page."""
     nested = orders_with_items(orders, items, page_rows)
     entries = F.transform(
         "items",
@@ -125,7 +133,8 @@ def order_placed_events(orders: DataFrame, items: DataFrame, page_rows: int = PA
     )
     return nested.select(
         F.col("id").cast("string").alias("key"),
-        encode(
+        encode_page(
+            F.col("page") * page_rows,
             F.col("id").alias("orderId"),
             F.col("customer_id").alias("customerId"),
             F.col("total_amount").alias("totalAmount"),

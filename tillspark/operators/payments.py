@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -44,7 +45,12 @@ def payments_by_status(payments: DataFrame, status: str) -> DataFrame:
     return lookups.rows_with_value(payments, "status", status)
 
 
-def new_payment_rows(requests: DataFrame, created_at: Column, start: int = 0) -> DataFrame:
+def new_payment_rows(
+    requests: DataFrame,
+    created_at: Column,
+    start: int = 0,
+    key: Sequence[str] = ("order_id",),
+) -> DataFrame:
     """Valid requests (order_id, customer_id, amount, items) to pending payments."""
     nothing = F.lit(None).cast("string")
     items = F.transform(
@@ -52,7 +58,7 @@ def new_payment_rows(requests: DataFrame, created_at: Column, start: int = 0) ->
         lambda i: F.struct(i["product_id"].alias("productId"), i["quantity"].alias("quantity")),
     )
     encoded = F.to_json(items, {"ignoreNullFields": "false"})
-    return assign_ids(requests, ["order_id"], "id", start).select(
+    return assign_ids(requests, list(key), "id", start).select(
         "id",
         "order_id",
         "customer_id",

@@ -131,13 +131,15 @@ def checkout_requests(t: Tables) -> DataFrame:
 
 @query(
     "payment_request",
-    f"""WITH {_ADDED}, {_PLACED} SELECT (SELECT max(id) FROM orders_t) + row_number() OVER (ORDER BY cart_id) AS order_id,
+    f"""WITH {_ADDED}, {_PLACED} SELECT (SELECT max(id) FROM orders_t) + row_number() OVER (ORDER BY cart_id, page) AS order_id,
       cart_id AS customer_id, amount, bare AS items FROM requests""",
 )
 def payment_request(t: Tables) -> DataFrame:
     """Carts to orders to payment requests."""
     requests = cart.order_request_items(_priced(t)).select(
-        F.col("cart_id").alias("request_id"), F.col("cart_id").alias("customer_id"), "items"
+        F.col("cart_id").alias("request_id"), "page", F.col("cart_id").alias("customer_id"), "items"
     )
-    created = orders.new_order_rows(requests, F.lit(AS_OF), largest(t.orders_t, "id"))
-    return cart.payment_request(created.orders, requests).withColumn("items", F.to_json("items"))
+    key = ["request_id", "page"]
+    created = orders.new_order_rows(requests, F.lit(AS_OF), largest(t.orders_t, "id"), key)
+    paid = cart.payment_request(created.orders, requests, key)
+    return paid.withColumn("items", F.to_json("items"))

@@ -26,12 +26,13 @@ _NESTED = f"""WITH lists AS ({_LISTS})
   FROM orders_t o LEFT JOIN lists l ON l.order_id = o.id"""
 _EVENT_ITEM = """concat('{"productId":', CAST(product_id AS VARCHAR), ',"quantity":', CAST(quantity AS VARCHAR),
   ',"unitPrice":', CAST(unit_price AS VARCHAR), '}')"""
-PLACED_SQL = f"""WITH lists AS (SELECT order_id,
+PLACED_SQL = f"""WITH lists AS (SELECT order_id, {_PAGE} AS page,
     concat('[', string_agg({_EVENT_ITEM}, ',' ORDER BY item_pos), ']') AS items
     FROM order_items GROUP BY order_id, {_PAGE})
   SELECT o.id, CAST(o.id AS VARCHAR) AS key, concat('{{"orderId":', CAST(o.id AS VARCHAR),
     ',"customerId":', CAST(o.customer_id AS VARCHAR), ',"totalAmount":', CAST(o.total_amount AS VARCHAR),
-    ',"items":', coalesce(l.items, '[]'), '}}') AS value
+    ',"items":', coalesce(l.items, '[]'),
+    CASE WHEN l.page > 0 THEN concat(',"itemOffset":', CAST(l.page * {PAGE_ROWS} AS VARCHAR)) END, '}}') AS value
   FROM orders_t o LEFT JOIN lists l ON l.order_id = o.id"""
 
 
@@ -110,7 +111,9 @@ def _placeable(t: Tables) -> DataFrame:
 
 
 def created_orders(t: Tables) -> orders.NewOrders:
-    return orders.new_order_rows(_placeable(t), F.lit(AS_OF), largest(t.orders_t, "id"))
+    return orders.new_order_rows(
+        _placeable(t), F.lit(AS_OF), largest(t.orders_t, "id"), ["request_id", "page"]
+    )
 
 
 CREATED = f"""placeable AS (SELECT o.id AS request_id, o.customer_id, {_PAGE} AS page, i.*
@@ -123,7 +126,7 @@ CREATED = f"""placeable AS (SELECT o.id AS request_id, o.customer_id, {_PAGE} AS
 
 @query(
     "new_order_rows",
-    f"""WITH {CREATED} SELECT id, request_id, customer_id, 'PENDING' AS status, total_amount,
+    f"""WITH {CREATED} SELECT id, request_id, page, customer_id, 'PENDING' AS status, total_amount,
       TIMESTAMP '{AS_OF}' AS created_at FROM created""",
 )
 def new_order_rows(t: Tables) -> DataFrame:
@@ -132,7 +135,7 @@ def new_order_rows(t: Tables) -> DataFrame:
 
 @query(
     "new_order_items",
-    f"""WITH {CREATED} SELECT c.id AS order_id, p.item_pos, p.product_id, p.quantity, p.unit_price
+    f"""WITH {CREATED} SELECT c.id AS order_id, (p.item_pos - 1) % {PAGE_ROWS} + 1 AS item_pos, p.product_id, p.quantity, p.unit_price
     FROM created c JOIN placeable p USING (request_id, page)""",
 )
 def new_order_items(t: Tables) -> DataFrame:

@@ -88,16 +88,18 @@ def payable(t: Tables) -> DataFrame:
 
 @query(
     "new_payment_rows",
-    f"""WITH payable AS (SELECT r.order_id, r.customer_id, r.amount, i.items_json FROM payment_requests r
+    f"""WITH payable AS (SELECT r.order_id, r.customer_id, r.amount, i.page, i.items_json FROM payment_requests r
       LEFT JOIN payment_items i ON i.order_id = r.order_id
       WHERE r.order_id IS NOT NULL AND r.customer_id IS NOT NULL AND r.amount > 0)
-    SELECT (SELECT max(id) FROM payments) + row_number() OVER (ORDER BY order_id) AS id,
+    SELECT (SELECT max(id) FROM payments) + row_number() OVER (ORDER BY order_id, page) AS id,
       order_id, customer_id, amount, 'PENDING' AS status, CAST(NULL AS VARCHAR) AS stripe_session_id,
       CAST(NULL AS VARCHAR) AS stripe_payment_intent_id, items_json,
       TIMESTAMP '{AS_OF}' AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at FROM payable""",
 )
 def new_payment_rows(t: Tables) -> DataFrame:
-    return payments.new_payment_rows(payable(t), F.lit(AS_OF), largest(t.payments, "id"))
+    return payments.new_payment_rows(
+        payable(t), F.lit(AS_OF), largest(t.payments, "id"), ["order_id", "page"]
+    )
 
 
 @query(
@@ -165,15 +167,17 @@ def session_id_from_event(t: Tables) -> DataFrame:
 
 @query(
     "parse_items_json",
-    f"""SELECT p.id, i.item_pos - 1 AS pos, i.product_id, i.quantity
-    FROM payments p JOIN order_items i ON i.order_id = p.order_id
-    WHERE p.id NOT IN (SELECT order_id FROM order_items WHERE item_pos > {PAGE_ROWS})""",
+    """SELECT p.id, i.item_pos, i.product_id, i.quantity
+    FROM payments p JOIN order_items i ON i.order_id = p.order_id""",
 )
 def parse_items_json(t: Tables) -> DataFrame:
-    """Items text back to lines; texts of one page, so position is the array's."""
-    whole = t.paid_items.withColumn("items", codec.parse_items("items_json"))
-    return whole.select("id", F.posexplode("items").alias("pos", "item")).select(
-        "id", F.col("pos").cast("long").alias("pos"), F.col("item.productId").alias("product_id"),
+    """Items text back to lines."""
+    parsed = t.paid_items.withColumn("items", codec.parse_items("items_json"))
+    lines = parsed.select("id", "page", F.posexplode("items").alias("pos", "item"))
+    return lines.select(
+        "id",
+        (F.col("page") * PAGE_ROWS + F.col("pos") + 1).alias("item_pos"),
+        F.col("item.productId").alias("product_id"),
         "item.quantity",
     )
 
@@ -204,14 +208,14 @@ def webhook_payments_rejects(t: Tables) -> DataFrame:
     return payments.webhook_payments(t.webhook_events, t.paid_items).rejects
 
 
-SETTLED_SQL = f"""WITH {_HANDLED},
+_SETTLED = f"""WITH {_HANDLED},
   last AS (SELECT session_id, max_by(status, event_seq) AS status, max_by(ts, event_seq) AS ts
     FROM handled WHERE session_id IS NOT NULL GROUP BY session_id)
   SELECT p.* REPLACE (coalesce(l.status, p.status) AS status, coalesce(l.ts, p.updated_at) AS updated_at)
-  FROM payments p LEFT JOIN last l ON l.session_id = p.stripe_session_id"""
+  FROM {{table}} p LEFT JOIN last l ON l.session_id = p.stripe_session_id"""
 
 
-@query("settle_payments", SETTLED_SQL)
+@query("settle_payments", _SETTLED.format(table="payments"))
 def settle_payments(t: Tables) -> DataFrame:
     return payments.settle_payments(t.payments, t.webhook_events)
 
@@ -239,6 +243,9 @@ def settle_webhooks_failed(t: Tables) -> DataFrame:
     return payments.settle_webhooks(t.paid_items, t.webhook_events).failed
 
 
+SETTLED_SQL = _SETTLED.format(table="(SELECT * EXCLUDE (items_json) FROM paid_items)")
+
+
 @query("settle_webhooks", SETTLED_SQL)
 def settle_webhooks(t: Tables) -> DataFrame:
     return payments.settle_webhooks(t.paid_items, t.webhook_events).payments.drop("items_json")

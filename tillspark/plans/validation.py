@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillspark.operators import rejects, validate
 from tillspark.plans.registry import query
-from tillspark.sources.standins import Tables
+from tillspark.sources.standins import PAGE_ROWS, Tables
 
 
 def _error_text(checked: validate.Checked) -> DataFrame:
@@ -59,31 +59,32 @@ def _priced_requests(t: Tables) -> DataFrame:
     )
 
 
-_ORDER_REQUESTS = """requests AS (SELECT id AS request_id,
+_ORDER_REQUESTS = f"""requests AS (SELECT id AS request_id,
     CASE WHEN id % 11 <> 0 THEN customer_id END AS customer_id FROM orders_t),
-  entries AS (SELECT order_id AS request_id, item_pos - 1 AS pos,
+  entries AS (SELECT order_id AS request_id, (item_pos - 1) // {PAGE_ROWS} AS page,
+    (item_pos - 1) % {PAGE_ROWS} AS pos,
     CASE WHEN product_id % 29 <> 0 THEN product_id END AS product_id,
     CASE WHEN quantity = 49 THEN 0 WHEN quantity <> 48 THEN quantity END AS quantity,
     CASE WHEN quantity <> 50 THEN unit_price END AS unit_price FROM order_items),
-  per_request AS (SELECT request_id, count(*) AS n,
-    bool_or(unit_price IS NULL OR quantity IS NULL) AS broken FROM entries GROUP BY request_id),
-  marked AS (SELECT r.*, coalesce(e.n, 0) AS n, coalesce(e.broken, false) AS broken
+  per_request AS (SELECT request_id, page, count(*) AS n,
+    bool_or(unit_price IS NULL OR quantity IS NULL) AS broken FROM entries GROUP BY request_id, page),
+  marked AS (SELECT r.*, coalesce(e.page, 0) AS page, coalesce(e.n, 0) AS n, coalesce(e.broken, false) AS broken
     FROM requests r LEFT JOIN per_request e USING (request_id))"""
 
 
 @query(
     "validate_orders",
-    f"""WITH {_ORDER_REQUESTS} SELECT request_id, customer_id, CAST(n AS INT) AS items
+    f"""WITH {_ORDER_REQUESTS} SELECT request_id, page, customer_id, CAST(n AS INT) AS items
     FROM marked WHERE customer_id IS NOT NULL AND n > 0 AND NOT broken""",
 )
 def validate_orders(t: Tables) -> DataFrame:
     checked = validate.validate_orders(_priced_requests(t))
-    return checked.valid.select("request_id", "customer_id", F.size("items").alias("items"))
+    return checked.valid.select("request_id", "page", "customer_id", F.size("items").alias("items"))
 
 
 @query(
     "validate_orders_rejects",
-    f"""WITH {_ORDER_REQUESTS} SELECT request_id,
+    f"""WITH {_ORDER_REQUESTS} SELECT request_id, page,
       CASE WHEN customer_id IS NULL OR n = 0 THEN concat_ws('; ',
         CASE WHEN customer_id IS NULL THEN 'customerId: Customer ID is required' END,
         CASE WHEN n = 0 THEN 'items: Order must have at least one item' END) END AS errors,
@@ -92,27 +93,27 @@ def validate_orders(t: Tables) -> DataFrame:
 )
 def validate_orders_rejects(t: Tables) -> DataFrame:
     checked = validate.validate_orders(_priced_requests(t))
-    return _error_text(checked).select("request_id", "errors", "error_code")
+    return _error_text(checked).select("request_id", "page", "errors", "error_code")
 
 
 @query(
     "validate_order_items",
     f"""WITH {_ORDER_REQUESTS}, found AS (
-      SELECT request_id, concat('items[', CAST(pos AS VARCHAR), '].') AS line, product_id, quantity, unit_price
+      SELECT request_id, page, concat('items[', CAST(pos AS VARCHAR), '].') AS line, product_id, quantity, unit_price
       FROM entries),
     messages AS (
-      SELECT request_id, concat(line, 'productId: Product ID is required') AS error FROM found WHERE product_id IS NULL
-      UNION ALL SELECT request_id, concat(line, 'quantity: Quantity is required') FROM found WHERE quantity IS NULL
-      UNION ALL SELECT request_id, concat(line, 'quantity: Quantity must be at least 1') FROM found WHERE quantity < 1
-      UNION ALL SELECT request_id, concat(line, 'unitPrice: Unit price is required') FROM found WHERE unit_price IS NULL
-      UNION ALL SELECT request_id, 'customerId: Customer ID is required' FROM marked WHERE customer_id IS NULL
-      UNION ALL SELECT request_id, 'items: Order must have at least one item' FROM marked WHERE n = 0)
-    SELECT request_id, string_agg(error, '; ' ORDER BY error) AS errors, 400 AS error_code
-    FROM messages GROUP BY request_id""",
+      SELECT request_id, page, concat(line, 'productId: Product ID is required') AS error FROM found WHERE product_id IS NULL
+      UNION ALL SELECT request_id, page, concat(line, 'quantity: Quantity is required') FROM found WHERE quantity IS NULL
+      UNION ALL SELECT request_id, page, concat(line, 'quantity: Quantity must be at least 1') FROM found WHERE quantity < 1
+      UNION ALL SELECT request_id, page, concat(line, 'unitPrice: Unit price is required') FROM found WHERE unit_price IS NULL
+      UNION ALL SELECT request_id, page, 'customerId: Customer ID is required' FROM marked WHERE customer_id IS NULL
+      UNION ALL SELECT request_id, page, 'items: Order must have at least one item' FROM marked WHERE n = 0)
+    SELECT request_id, page, string_agg(error, '; ' ORDER BY error) AS errors, 400 AS error_code
+    FROM messages GROUP BY request_id, page""",
 )
 def validate_order_items(t: Tables) -> DataFrame:
     checked = validate.validate_orders(_priced_requests(t), strict_items=True)
-    return _error_text(checked).select("request_id", "errors", "error_code")
+    return _error_text(checked).select("request_id", "page", "errors", "error_code")
 
 
 _PAYMENT_ERRORS = """concat_ws('; ',

@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillspark.functions.codec import encode
+from tillspark.functions.codec import encode_page
 from tillspark.functions.positions import page_of, row_positions
 from tillspark.operators import orders as order_ops
 
@@ -103,11 +103,11 @@ DERIVED_SQL = {
           product_id, quantity, unit_price
         FROM lines_t""",
     "payment_items": f"""
-        SELECT order_id, concat('[', string_agg(concat('{{"productId":', CAST(product_id AS VARCHAR),
+        SELECT order_id, (item_pos - 1) // {PAGE_ROWS} AS page, concat('[', string_agg(concat('{{"productId":', CAST(product_id AS VARCHAR),
             ',"quantity":', CAST(quantity AS VARCHAR), '}}'), ',' ORDER BY item_pos), ']') AS items_json
         FROM order_items GROUP BY order_id, (item_pos - 1) // {PAGE_ROWS}""",
     "paid_items": """
-        SELECT p.*, i.items_json FROM payments p LEFT JOIN payment_items i ON i.order_id = p.order_id""",
+        SELECT p.*, i.page, i.items_json FROM payments p LEFT JOIN payment_items i ON i.order_id = p.order_id""",
 }
 
 
@@ -154,7 +154,7 @@ class Tables:
 
     @cached_property
     def paid_items(self) -> DataFrame:
-        """Payments with their items as JSON text."""
+        """Payments with their items as JSON text, a row per page of items."""
         entry = F.struct(
             "item_pos", F.struct(F.col("product_id").alias("productId"), "quantity").alias("line")
         )
@@ -164,6 +164,7 @@ class Tables:
             .agg(F.array_sort(F.collect_list(entry)).alias("_lines"))
             .select(
                 "order_id",
+                "page",
                 F.to_json(F.transform("_lines", lambda e: e["line"])).alias("items_json"),
             )
         )
@@ -178,7 +179,7 @@ class Tables:
 
     @cached_property
     def payment_topic(self) -> DataFrame:
-        """Payment events as topic rows, one per order, statuses by amount."""
+        """Payment events as topic rows, one per page of an order, statuses by amount."""
         amount = F.col("total_amount")
         status = (
             F.when(amount > 300_000, F.lit("COMPLETED"))
@@ -195,7 +196,8 @@ class Tables:
         return nested.select(
             F.col("id").alias("seq"),
             F.col("id").cast("string").alias("key"),
-            encode(
+            encode_page(
+                F.col("page") * PAGE_ROWS,
                 F.col("id").alias("orderId"),
                 F.col("customer_id").alias("customerId"),
                 F.concat(F.lit("sess_"), F.col("id").cast("string")).alias("sessionId"),

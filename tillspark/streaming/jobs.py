@@ -69,10 +69,12 @@ def payment_lines(topic: DataFrame) -> DataFrame:
     """Payment topic rows to stock event lines; any status counts."""
     events = decode_events(topic, schemas.PAYMENT_EVENT).valid
     return events.select(
-        F.col("seq").alias("event_seq"), F.posexplode("event.items").alias("_pos", "_item")
+        F.col("seq").alias("event_seq"),
+        F.coalesce("event.itemOffset", F.lit(0)).alias("_before"),
+        F.posexplode("event.items").alias("_pos", "_item"),
     ).select(
         "event_seq",
-        (F.col("_pos") + 1).cast("long").alias("item_pos"),
+        (F.col("_before") + F.col("_pos") + 1).alias("item_pos"),
         F.col("_item.productId").alias("product_id"),
         "_item.quantity",
     )
