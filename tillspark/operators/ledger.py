@@ -86,26 +86,36 @@ def _true_starts(
     return starts
 
 
-def _lay_out(inventory: DataFrame, lines: DataFrame, blocks: int) -> DataFrame:
-    """Lines with their stock row, in even blocks over (product, event, item).
+def _demand(inventory: DataFrame, lines: DataFrame) -> DataFrame:
+    """Per requested product: its lines, its stock row, and whether it may fail.
 
     `risky` marks products whose whole demand may exceed their stock; the
     others can never fail, so the rounds leave them out.
     """
-    demand = lines.groupBy("product_id").agg(
-        F.sum(F.greatest(F.col("quantity"), F.lit(0))).alias("_demand")
+    wanted = lines.groupBy("product_id").agg(
+        F.count("*").alias("lines"),
+        F.sum(F.greatest(F.col("quantity"), F.lit(0))).alias("wanted"),
     )
     stock = inventory.select(
         "product_id",
         F.col("quantity").cast("long").alias("stock"),
         F.col("reserved").cast("long").alias("reserved"),
     )
-    free = F.col("stock") - F.col("reserved")
-    known = stock.join(demand, "product_id").select(
-        "product_id", "stock", "reserved", (F.col("_demand") > free).alias("risky")
+    risky = F.col("wanted") > F.col("stock") - F.col("reserved")
+    return materialize(
+        wanted.join(stock, "product_id", "left").select(
+            "product_id", "lines", "stock", "reserved", risky.alias("risky")
+        ),
+        "ledger-demand",
+    )
+
+
+def _lay_out(demand: DataFrame, lines: DataFrame, blocks: int) -> DataFrame:
+    """Lines with their stock row, in even blocks over (product, event, item)."""
+    joined = lines.select(*_LINE, "product_id", "quantity").join(
+        demand.drop("lines"), "product_id", "left"
     )
     usable = F.col("stock").isNotNull() & F.col("quantity").isNotNull()
-    joined = lines.select(*_LINE, "product_id", "quantity").join(known, "product_id", "left")
     return materialize(
         joined.withColumn("usable", usable)
         .repartitionByRange(blocks, "product_id", *_LINE)
@@ -274,9 +284,11 @@ def stock_ledger(
         raise ValueError(f"unknown mode: {mode}")
     coupled = mode == "exact"
     spark = lines.sparkSession
+    demand = _demand(inventory, lines)
     if blocks is None:
-        blocks = max(shuffle_width(spark), -(-lines.count() // positions.HOT_ROWS))
-    laid = _lay_out(inventory, lines, blocks)
+        total = demand.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("n")).first()["n"]
+        blocks = max(shuffle_width(spark), -(-total // positions.HOT_ROWS))
+    laid = _lay_out(demand, lines, blocks)
     usable, unusable = laid.filter("usable"), laid.filter(~F.col("usable"))
     rounds = _Rounds(usable, unusable.select(*_LINE), blocks, max_rounds)
     if coupled:
