@@ -89,4 +89,4 @@ def row_positions(
 def page_of(position: Column | str, page_rows: int) -> Column:
     """Page number of a position, so that nested lists stay bounded."""
     position = F.col(position) if isinstance(position, str) else position
-    return F.floor((position - 1) / F.lit(page_rows)).cast("long")
+    return F.call_function("div", position - 1, F.lit(page_rows))

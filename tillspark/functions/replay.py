@@ -19,7 +19,13 @@ FINAL_SCHEMA = (
 
 
 class StartMap:
-    """How one run of lines maps start quantities to end quantities."""
+    """How one run of lines maps start quantities to end quantities.
+
+    Starts that meet in one quantity stay together from there on, so the
+    distinct quantities soon are few: ten at most for stock that refills.
+    """
+
+    _FEW = 24  # from here on a list beats an array
 
     def __init__(self, low: int, high: int) -> None:
         self.low = low
@@ -30,20 +36,30 @@ class StartMap:
         self.steps = 0
 
     def take(self, demand: int, reserved: int) -> None:
-        left = self.values - demand
-        self.values = np.where(
-            left < reserved, self.values, np.where(left <= 0, REFILL, left)
-        )
+        values = self.values
+        if len(values) > self._FEW:
+            left = values - demand
+            values = np.where(left < reserved, values, np.where(left <= 0, REFILL, left))
+        else:
+            values = [
+                v if v - demand < reserved else v - demand if v > demand else REFILL
+                for v in values
+            ]
+        self.values = values
         self.taken += demand
         self.needed = max(self.needed, self.taken + max(reserved, 1))
         self.steps += 1
-        if self.steps % 32 == 0 and len(self.values) > 1:
-            self.values, back = np.unique(self.values, return_inverse=True)
-            self.index = back[self.index]
+        if self.steps % 64 == 0 and len(values) > 1:
+            self._merge()
+
+    def _merge(self) -> None:
+        distinct, back = np.unique(np.asarray(self.values), return_inverse=True)
+        self.index = back[self.index]
+        self.values = distinct if len(distinct) > self._FEW else distinct.tolist()
 
     def ends(self) -> list[int]:
         """End quantity for each start from `low` on."""
-        return self.values[self.index].tolist()
+        return np.asarray(self.values)[self.index].tolist()
 
 
 class Link(NamedTuple):

@@ -33,6 +33,8 @@ def _after_last_clear(events: DataFrame) -> DataFrame:
 def _chained(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Apply quantity steps in order; one step per key comes out.
 
+    The line's stock and beginning are the same on all its rows.
+
     A step either sets the quantity (`fixed`) or adds `plus` and then caps
     at `cap`. Chaining steps gives a step again, so the rows of a line can
     be chained in chunks first and the chunks afterwards.
@@ -51,6 +53,8 @@ def _chained(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         F.when(start.isNotNull(), F.least(start, room) + total).alias("fixed"),
         total.alias("plus"),
         (room + total).alias("cap"),
+        F.min("available_stock").alias("available_stock"),
+        F.min("added_seq").alias("added_seq"),
     )
 
 
@@ -116,15 +120,13 @@ def cart_fold(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
             F.when(is_begin | (sets & ~raises), F.col("quantity")).alias("fixed"),
             F.when(adds & ~is_begin, F.col("quantity")).otherwise(0).alias("plus"),
             F.when(raises, F.col("quantity")).alias("cap"),
+            stock.alias("available_stock"),
+            F.col("begin.seq").alias("added_seq"),
         )
     )
-    quantities = _chained(_chained(steps, part, "seq"), line, "chunk")
-    heads = origins.groupBy(*line).agg(F.min("begin").alias("begin"))
-    return quantities.join(heads, line).select(
-        *line,
-        F.col("fixed").alias("quantity"),
-        F.col("begin.available_stock").alias("available_stock"),
-        F.col("begin.seq").alias("added_seq"),
+    lines = _chained(_chained(steps, part, "seq"), line, "chunk")
+    return lines.select(
+        *line, F.col("fixed").alias("quantity"), "available_stock", "added_seq"
     )
 
 

@@ -152,8 +152,13 @@ def order_cancelled_events(orders: DataFrame) -> DataFrame:
 
 def set_order_status(orders: DataFrame, changes: DataFrame, seq: str = "seq") -> updates.Update:
     """Any status to any allowed status; the last change per order wins."""
-    known = changes.filter(F.col("status").isin(*schemas.ORDER_STATUSES))
-    last = updates.pick_by_seq(known, "order_id", seq).withColumnRenamed("order_id", "id")
+    statuses = F.array(*[F.lit(s) for s in schemas.ORDER_STATUSES])
+    coded = changes.select(
+        seq, "order_id", F.array_position(statuses, F.col("status")).cast("int").alias("code")
+    )
+    last = updates.pick_by_seq(coded.filter("code > 0"), "order_id", seq).select(
+        F.col("order_id").alias("id"), F.element_at(statuses, F.col("code")).alias("status")
+    )
     ids = orders.select(F.col("id").alias("order_id"))
     return updates.Update(
         updates.overwrite_fields(orders, last, "id", ["status"]),

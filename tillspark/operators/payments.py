@@ -157,11 +157,15 @@ def settle_payments(payments: DataFrame, events: DataFrame) -> DataFrame:
     so a session with very many events costs no skewed join.
     """
     named = _targeted(events).filter(F.col("session_id").isNotNull())
-    last = updates.pick_by_seq(
-        named.select("event_seq", "session_id", "status", F.col("ts").alias("updated_at")),
-        "session_id",
-        "event_seq",
-    ).withColumnRenamed("session_id", "stripe_session_id")
+    paid = (F.col("status") == "COMPLETED").alias("paid")
+    picked = updates.pick_by_seq(
+        named.select("event_seq", "session_id", paid, "ts"), "session_id", "event_seq"
+    )
+    last = picked.select(
+        F.col("session_id").alias("stripe_session_id"),
+        F.when(F.col("paid"), F.lit("COMPLETED")).otherwise(F.lit("FAILED")).alias("status"),
+        F.col("ts").alias("updated_at"),
+    )
     return updates.overwrite_fields(payments, last, "stripe_session_id", ["status", "updated_at"])
 
 

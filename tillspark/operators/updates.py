@@ -19,13 +19,14 @@ def pick_by_seq(df: DataFrame, key: str | Sequence[str], seq: str, first: bool =
     """One row per key: the last by sequence, or the first.
 
     An aggregate and not a window: partial results combine before the
-    shuffle, so a hot key costs one row per map task.
+    shuffle, so a hot key costs one row per map task. `seq` must be unique
+    within a key. With numeric columns only, the aggregate hashes; text
+    makes it sort, so callers code text of few values as numbers.
     """
     key = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in key]
     pick = F.min_by if first else F.max_by
-    picked = df.groupBy(*key).agg(pick(F.struct(*rest), F.col(seq)).alias("_row"))
-    return picked.select(*key, "_row.*")
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(*[pick(c, seq).alias(c) for c in rest])
 
 
 def upsert_by_key(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -239,7 +239,7 @@ def seed_products(t: Tables) -> DataFrame:
     WHERE product_id NOT IN (SELECT product_id FROM inventory)""",
 )
 def seed_inventory(t: Tables) -> DataFrame:
-    rows = t.order_items.select(
+    rows = t.lines_t.select(
         "product_id",
         F.col("order_id").alias("seq"),
         F.lit(10).alias("quantity"),
@@ -298,7 +298,7 @@ def update_products_rejects(t: Tables) -> DataFrame:
       AS active FROM products""",
 )
 def deactivate_products(t: Tables) -> DataFrame:
-    ids = t.order_items.filter("quantity = 50").select(F.col("product_id").alias("id"))
+    ids = t.lines_t.filter("quantity = 50").select(F.col("product_id").alias("id"))
     return catalog.deactivate_products(t.products, ids).table
 
 
@@ -357,7 +357,7 @@ def set_stock(t: Tables) -> DataFrame:
 )
 def increase_stock(t: Tables) -> DataFrame:
     return inventory.increase_stock(
-        t.inventory, t.order_items.select("product_id", "quantity")
+        t.inventory, t.lines_t.select("product_id", "quantity")
     ).table
 
 
@@ -368,7 +368,7 @@ def increase_stock(t: Tables) -> DataFrame:
     FROM order_items o WHERE product_id NOT IN (SELECT product_id FROM inventory)""",
 )
 def increase_stock_rejects(t: Tables) -> DataFrame:
-    changes = t.order_items.select("order_id", "product_id", "quantity")
+    changes = t.lines_t.select("order_id", "product_id", "quantity")
     return inventory.increase_stock(t.inventory, changes).rejects.drop("quantity")
 
 

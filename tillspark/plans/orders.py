@@ -64,7 +64,7 @@ def order_item_view(t: Tables) -> DataFrame:
     FROM orders_t o LEFT JOIN order_items i ON i.order_id = o.id GROUP BY o.id""",
 )
 def order_totals(t: Tables) -> DataFrame:
-    return orders.order_totals(t.orders_t, t.order_items)
+    return orders.order_totals(t.orders_t, t.lines_t)
 
 
 @query("order_item_lists", _LISTS)
