@@ -13,7 +13,7 @@ from tillspark.functions.codec import decode_events
 from tillspark.operators import orders, payments
 from tillspark.sources.topics import read_topic, write_topic
 from tillspark.streaming import jobs
-from tillspark.streaming.snapshots import Snapshots
+from tillspark.streaming.state import KeyedState
 
 PLACED = '{"orderId":2,"customerId":200,"totalAmount":159.98,"items":[{"productId":1,"quantity":1,"unitPrice":79.99},{"productId":2,"quantity":1,"unitPrice":79.99}]}'
 
@@ -47,7 +47,7 @@ def test_order_status_job(spark, table, folders, files):
     ]
     events[7] = (7, "x", "not-valid-json")
     in_files(table, folders("topic"), events, files)
-    state = Snapshots(spark, folders("orders")).start(stored)
+    state = KeyedState(spark, folders("orders"), "id", full_every=3).start(stored)
     jobs.order_status_job(
         read_topic(spark, folders("topic"), max_files=1), state, folders("offsets")
     )
@@ -64,7 +64,7 @@ def test_stock_job_equals_strict_processing(spark, table, folders, files):
     orders_ = [[(rnd.randint(0, 5), rnd.randint(1, 9)) for _ in range(rnd.randint(0, 4))] for _ in range(40)]
     events = [paid(s, s, "ANY", items) for s, items in enumerate(orders_)]
     in_files(table, folders("topic"), events, files)
-    state = Snapshots(spark, folders("stock")).start(table(STOCK, *stock))
+    state = KeyedState(spark, folders("stock"), "product_id", full_every=2).start(table(STOCK, *stock))
     jobs.stock_job(
         read_topic(spark, folders("topic"), max_files=1), state, folders("offsets"), blocks=3
     )
@@ -74,7 +74,7 @@ def test_stock_job_equals_strict_processing(spark, table, folders, files):
 
 def test_restart_continues_and_a_retried_batch_applies_once(spark, table, folders):
     stock = table(STOCK, (1, 1, 20, 0))
-    state = Snapshots(spark, folders("stock")).start(stock)
+    state = KeyedState(spark, folders("stock"), "product_id", full_every=2).start(stock)
 
     def run():
         jobs.stock_job(read_topic(spark, folders("topic")), state, folders("offsets"), blocks=2)
@@ -92,7 +92,7 @@ def test_restart_continues_and_a_retried_batch_applies_once(spark, table, folder
     retried = table("seq long, key string, value string", paid(3, 2, items=[(1, 4)]))
     from tillspark.operators.ledger import stock_ledger
 
-    state.write(stock_ledger(state.before(2), jobs.payment_lines(retried), blocks=2).inventory, 2)
+    state.write(2, stock_ledger(state.before(2), jobs.payment_lines(retried), blocks=2).inventory)
     assert rows(state.current(), "quantity") == [(9,)]
 
 
@@ -103,7 +103,7 @@ def test_cart_job_equals_replay(spark, table, folders, files):
     for i in range(0, len(events), size):
         table(EVENT, *events[i:i + size]).coalesce(1).write.mode("append").parquet(folders("events"))
     empty = table("cart_id long, product_id long, quantity long, available_stock int, added_seq long")
-    state = Snapshots(spark, folders("carts")).start(empty)
+    state = KeyedState(spark, folders("carts"), "cart_id", full_every=4).start(empty)
     stream = (
         spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(folders("events"))
     )
@@ -124,7 +124,7 @@ def test_settle_job(spark, table, folders):
         schema, (1, at, "checkout.session.completed", None, '{"id":"sess_1"}'),
         (2, at, "checkout.session.expired", "sess_1", ""), (3, at, "checkout.session.completed", "sess_9", ""),
     ).coalesce(1).write.parquet(folders("webhooks"))
-    state = Snapshots(spark, folders("payments")).start(stored)
+    state = KeyedState(spark, folders("payments"), "stripe_session_id").start(stored)
     jobs.settle_job(
         spark.readStream.schema(schema).parquet(folders("webhooks")), state, folders("topics"), folders("offsets")
     )
@@ -187,3 +187,32 @@ def test_start_position(spark, table, folders):
     assert read_topic(spark, folders("topic"), streaming=False).count() == 1
     with pytest.raises(ValueError):
         read_topic(spark, folders("topic"), start="latest")
+
+
+def test_state_keeps_untouched_keys_and_forgets_emptied_ones(spark, table, folders):
+    state = KeyedState(spark, folders("state"), "k", full_every=3)
+    state.start(table("k long, v long", (1, 1), (1, 2), (2, 3), (3, 4)))
+    expected = {1: [1, 2], 2: [3], 3: [4]}
+    for batch in range(7):
+        key = batch % 3 + 1
+        if batch % 2:
+            expected[key] = [batch, batch + 10]
+            state.write(batch, table("k long, v long", (key, batch), (key, batch + 10)))
+        else:
+            expected.pop(key, None)
+            state.write(batch, table("k long, v long"), table("k long", (key,)))
+        assert rows(state.current()) == sorted((k, v) for k, vs in expected.items() for v in vs)
+        only = state.before(batch + 1, table("k long", (1,)))
+        assert rows(only) == [(1, v) for v in expected.get(1, [])]
+
+
+def test_failed_topic_cancels_orders_when_fed_in(spark, table, folders):
+    stored = spark.sql("SELECT id, 1L customer_id, 'PENDING' status FROM range(3)")
+    in_files(table, folders("completed"), [paid(1, 1)], 1)
+    in_files(table, folders("failed"), [paid(2, 2, "FAILED")], 1)
+    state = KeyedState(spark, folders("orders"), "id").start(stored)
+    jobs.order_status_job(
+        read_topic(spark, folders("completed")), state, folders("offsets"),
+        read_topic(spark, folders("failed")),
+    )
+    assert rows(state.current(), "id", "status") == [(0, "PENDING"), (1, "PAID"), (2, "CANCELLED")]

@@ -122,6 +122,12 @@ def _targeted(events: DataFrame) -> DataFrame:
     )
 
 
+def webhook_sessions(events: DataFrame) -> DataFrame:
+    """The sessions that handled webhook events name."""
+    named = _targeted(events).filter(F.col("session_id").isNotNull())
+    return named.select(F.col("session_id").alias("stripe_session_id")).distinct()
+
+
 class Matched(NamedTuple):
     events: DataFrame
     rejects: DataFrame

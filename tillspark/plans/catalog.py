@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillspark.functions.positions import assign_ids, largest
 from tillspark.functions.text import price_label
-from tillspark.operators import catalog, inventory, lookups, updates
+from tillspark.operators import catalog, inventory, lookups, updates, validate
 from tillspark.plans.registry import query
 from tillspark.sources.standins import Tables
 
@@ -159,7 +159,7 @@ def product_exists(t: Tables) -> DataFrame:
 
 
 @query(
-    "lookup_products",
+    "lookup_keys_products",
     """SELECT e.event_id AS id, p.name, p.active, p.id IS NOT NULL AS found,
       CASE WHEN p.id IS NULL THEN 404 END AS error_code,
       CASE WHEN p.id IS NULL THEN concat('Product not found with id: ', CAST(e.event_id AS VARCHAR)) END AS message
@@ -173,7 +173,7 @@ def lookup_products(t: Tables) -> DataFrame:
 
 
 @query(
-    "lookup_inventory",
+    "lookup_keys_inventory",
     """SELECT p.id AS product_id, i.quantity, i.reserved, i.id IS NOT NULL AS found,
       CASE WHEN i.id IS NULL THEN 404 END AS error_code,
       CASE WHEN i.id IS NULL THEN concat('Inventory not found for product: ', CAST(p.id AS VARCHAR)) END AS message
@@ -302,6 +302,15 @@ def deactivate_products(t: Tables) -> DataFrame:
     return catalog.deactivate_products(t.products, ids).table
 
 
+@query(
+    "new_inventory_rows",
+    """SELECT product_id, quantity, 0 AS reserved FROM stock_requests
+    WHERE product_id IS NOT NULL AND quantity >= 0""",
+)
+def new_inventory_rows(t: Tables) -> DataFrame:
+    return inventory.new_inventory_rows(validate.validate_inventory(t.stock_requests).valid)
+
+
 # Two creation requests per product number, in event order.
 _CREATIONS = "SELECT seq, seq >> 1 AS product_id, quantity FROM cart_events"
 

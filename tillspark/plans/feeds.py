@@ -16,7 +16,7 @@ from tillspark.session import scratch_path
 from tillspark.sources.standins import Tables
 from tillspark.sources.topics import read_topic, topic_rows, write_topic
 from tillspark.streaming import jobs
-from tillspark.streaming.snapshots import Snapshots
+from tillspark.streaming.state import KeyedState
 
 
 def _notice(kind: str, text: str, rows: str) -> str:
@@ -113,7 +113,7 @@ def cancel_audit(t: Tables) -> DataFrame:
 )
 def apply_payment_status_stream(t: Tables) -> DataFrame:
     out, checkpoint = _paths(t)
-    table = Snapshots(t.spark, out).start(t.orders_t)
+    table = KeyedState(t.spark, out, "id").start(t.orders_t)
     jobs.order_status_job(_stream(t, t.payment_topic), table, checkpoint)
     return table.current()
 
@@ -122,17 +122,17 @@ def apply_payment_status_stream(t: Tables) -> DataFrame:
 def apply_stock_events(t: Tables) -> DataFrame:
     """The stock job over the payment topic; any payment status takes stock."""
     out, checkpoint = _paths(t)
-    table = Snapshots(t.spark, out).start(t.inventory)
+    table = KeyedState(t.spark, out, "product_id").start(t.inventory)
     jobs.stock_job(_stream(t, t.payment_topic), table, checkpoint)
     return table.current()
 
 
-def _settled(t: Tables) -> tuple[Snapshots, str]:
+def _settled(t: Tables) -> tuple[KeyedState, str]:
     folder, topics = scratch_path(t.spark, "webhooks"), scratch_path(t.spark, "topics")
     events = t.webhook_events
     events.write.parquet(folder)
     out, checkpoint = _paths(t)
-    table = Snapshots(t.spark, out).start(t.paid_items)
+    table = KeyedState(t.spark, out, "stripe_session_id").start(t.paid_items)
     webhooks = t.spark.readStream.schema(events.schema).parquet(folder)
     jobs.settle_job(webhooks, table, topics, checkpoint)
     return table, topics
@@ -163,6 +163,6 @@ def cart_fold_stream(t: Tables) -> DataFrame:
     empty = t.spark.createDataFrame(
         [], "cart_id long, product_id long, quantity long, available_stock int, added_seq long"
     )
-    table = Snapshots(t.spark, out).start(empty)
+    table = KeyedState(t.spark, out, "cart_id").start(empty)
     jobs.cart_job(t.spark.readStream.schema(events.schema).parquet(folder), table, checkpoint)
     return table.current()

@@ -92,7 +92,7 @@ def orders_by_status(t: Tables) -> DataFrame:
 
 
 @query(
-    "lookup_orders",
+    "lookup_keys_orders",
     """SELECT e.event_id * 2 AS id, o.customer_id, o.status, o.id IS NOT NULL AS found,
       CASE WHEN o.id IS NULL THEN 404 END AS error_code,
       CASE WHEN o.id IS NULL THEN concat('Order not found with id: ', CAST(e.event_id * 2 AS VARCHAR)) END AS message

@@ -41,7 +41,7 @@ def payments_by_status(t: Tables) -> DataFrame:
 
 
 @query(
-    "lookup_payment_by_order",
+    "lookup_keys_payment_by_order",
     """SELECT o.id AS order_id, p.amount, p.status, p.id IS NOT NULL AS found,
       CASE WHEN p.id IS NULL THEN 404 END AS error_code,
       CASE WHEN p.id IS NULL THEN concat('Payment not found for order: ', CAST(o.id AS VARCHAR)) END AS message
@@ -57,7 +57,7 @@ def lookup_payment_by_order(t: Tables) -> DataFrame:
 
 
 @query(
-    "lookup_payment_by_session",
+    "lookup_keys_payment_by_session",
     """SELECT w.session_id AS stripe_session_id, p.order_id, p.id IS NOT NULL AS found,
       CASE WHEN p.id IS NULL THEN 404 END AS error_code,
       CASE WHEN p.id IS NULL THEN concat('Payment not found for session: ', w.session_id) END AS message

@@ -1,7 +1,7 @@
 """Streaming jobs: each consumer group is one query with its own checkpoint.
 
 Stateless jobs append. Jobs that change a table run the batch operator on
-each micro-batch against the table's snapshot of the batch before.
+each micro-batch and the rows of the table that it touches.
 """
 
 from __future__ import annotations
@@ -14,15 +14,26 @@ from pyspark.sql.streaming import StreamingQuery
 from tillspark import schemas
 from tillspark.functions.codec import decode_events
 from tillspark.operators import cart, ledger, notifications, orders, payments
-from tillspark.streaming.snapshots import Snapshots
+from tillspark.streaming.state import KeyedState
 
 Handler = Callable[[DataFrame, int], None]
 
 
 def run_available(stream: DataFrame, handle: Handler, checkpoint: str) -> None:
-    """Process what is there, batch by batch, and stop."""
+    """Process what is there, batch by batch, and stop.
+
+    A batch is used several times, so it is kept while it is handled.
+    """
+
+    def once(rows: DataFrame, batch: int) -> None:
+        rows.persist()
+        try:
+            handle(rows, batch)
+        finally:
+            rows.unpersist()
+
     query = (
-        stream.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(once)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -86,43 +97,51 @@ def payment_statuses(topic: DataFrame) -> DataFrame:
     return events.select("seq", F.col("event.orderId").alias("order_id"), "event.status")
 
 
-def order_status_job(topic: DataFrame, table: Snapshots, checkpoint: str) -> None:
-    """Payment events set order status.
+def order_status_job(
+    topic: DataFrame, table: KeyedState, checkpoint: str, failed_topic: DataFrame | None = None
+) -> None:
+    """Payment events set order status; `table` is keyed by order id.
 
-    `topic` is payment-completed alone, as the shop wires it; union the
-    payment-failed topic in to have failed payments cancel orders.
+    The shop listens to payment-completed alone. `failed_topic` adds the
+    payment-failed topic, whose events cancel orders.
     """
+    if failed_topic is not None:
+        topic = topic.unionByName(failed_topic)
 
     def handle(rows: DataFrame, batch: int) -> None:
-        update = orders.apply_payment_status(table.before(batch), payment_statuses(rows))
-        table.write(update.table, batch)
+        events = payment_statuses(rows)
+        ids = events.select(F.col("order_id").alias("id")).distinct()
+        touched = table.before(batch, ids)
+        table.write(batch, orders.apply_payment_status(touched, events).table)
 
     run_available(topic, handle, checkpoint)
 
 
 def stock_job(
-    topic: DataFrame, table: Snapshots, checkpoint: str, mode: str = "exact",
+    topic: DataFrame, table: KeyedState, checkpoint: str, mode: str = "exact",
     blocks: int | None = None,
 ) -> None:
-    """Payment events drive the stock ledger, batch after batch."""
+    """Payment events drive the stock ledger; `table` is keyed by product."""
 
     def handle(rows: DataFrame, batch: int) -> None:
-        result = ledger.stock_ledger(
-            table.before(batch), payment_lines(rows), mode=mode, blocks=blocks
-        )
-        table.write(result.inventory, batch)
+        lines = payment_lines(rows)
+        touched = table.before(batch, lines.select("product_id").distinct())
+        table.write(batch, ledger.stock_ledger(touched, lines, mode, blocks).inventory)
 
     run_available(topic, handle, checkpoint)
 
 
-def settle_job(webhooks: DataFrame, table: Snapshots, topics: str, checkpoint: str) -> None:
+def settle_job(webhooks: DataFrame, table: KeyedState, topics: str, checkpoint: str) -> None:
     """Webhook events settle payments and publish to two topic folders.
 
-    Each batch overwrites its own folder, so a retry publishes once.
+    `table` is keyed by session id. Each batch overwrites its own folder,
+    so a batch that is run again publishes once.
     """
 
     def handle(rows: DataFrame, batch: int) -> None:
-        settled = payments.settle_webhooks(table.before(batch), rows)
+        settled = payments.settle_webhooks(
+            table.before(batch, payments.webhook_sessions(rows)), rows
+        )
         for topic, events in (
             (schemas.PAYMENT_COMPLETED_TOPIC, settled.completed),
             (schemas.PAYMENT_FAILED_TOPIC, settled.failed),
@@ -130,20 +149,21 @@ def settle_job(webhooks: DataFrame, table: Snapshots, topics: str, checkpoint: s
             published = events.select(F.col("event_seq").alias("seq"), "key", "value")
             published.write.mode("overwrite").parquet(f"{topics}/{topic}/batch={batch}")
         settled.rejects.write.mode("overwrite").parquet(f"{topics}/rejects/batch={batch}")
-        table.write(settled.payments, batch)
+        table.write(batch, settled.payments)
 
     run_available(webhooks, handle, checkpoint)
 
 
-def cart_job(events: DataFrame, table: Snapshots, checkpoint: str) -> None:
-    """Cart events replayed on the cart lines of the batch before.
+def cart_job(events: DataFrame, table: KeyedState, checkpoint: str) -> None:
+    """Cart events replayed on the stored lines of their carts, keyed by cart.
 
     A stored line re-enters as the add that would create it, at the
     sequence where it was added, so one replay serves both.
     """
 
     def handle(rows: DataFrame, batch: int) -> None:
-        stored = table.before(batch).select(
+        carts = rows.select("cart_id").distinct()
+        stored = table.before(batch, carts).select(
             F.col("added_seq").alias("seq"),
             "cart_id",
             F.lit("add").alias("action"),
@@ -151,6 +171,8 @@ def cart_job(events: DataFrame, table: Snapshots, checkpoint: str) -> None:
             "quantity",
             "available_stock",
         )
-        table.write(cart.cart_fold(stored.unionByName(rows.select(stored.columns))), batch)
+        lines = cart.cart_fold(stored.unionByName(rows.select(stored.columns)))
+        emptied = carts.join(lines.select("cart_id").distinct(), "cart_id", "left_anti")
+        table.write(batch, lines, emptied)
 
     run_available(events, handle, checkpoint)
