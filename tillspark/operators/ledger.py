@@ -30,7 +30,7 @@ from typing import NamedTuple
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillspark.functions import positions, replay
+from tillspark.functions import replay
 from tillspark.functions.replay import FINAL_SCHEMA, REFILL, ROUND_SCHEMA, Link, Replay
 from tillspark.session import materialize, shuffle_width
 
@@ -38,7 +38,11 @@ from tillspark.session import materialize, shuffle_width
 cloudpickle.register_pickle_by_value(replay)
 
 # Start quantities mapped per block. Others are settled by further rounds.
-MAP_STATES = 4096
+MAP_STATES = 512
+# Lines per block, as long as that makes no more than MOST_BLOCKS blocks. The
+# driver sees two short reports per block and no lines.
+BLOCK_ROWS = 1_000_000
+MOST_BLOCKS = 50_000
 
 _LINE = ["event_seq", "item_pos"]
 
@@ -287,7 +291,7 @@ def stock_ledger(
     demand = _demand(inventory, lines)
     if blocks is None:
         total = demand.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("n")).first()["n"]
-        blocks = max(shuffle_width(spark), -(-total // positions.HOT_ROWS))
+        blocks = max(shuffle_width(spark), min(-(-total // BLOCK_ROWS), MOST_BLOCKS))
     laid = _lay_out(demand, lines, blocks)
     usable, unusable = laid.filter("usable"), laid.filter(~F.col("usable"))
     rounds = _Rounds(usable, unusable.select(*_LINE), blocks, max_rounds)
