@@ -4,6 +4,7 @@ from decimal import Decimal
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tillspark import schemas
 from tillspark.functions.text import enum_or_null, is_blank, price_label
@@ -107,13 +108,23 @@ def test_update_overwrites_with_nulls_and_rejects_unknown(products, table):
         (99, "x", "y", "DECK", Decimal("1.00"), None, None, None),
     )
     with_text = products.replace({"Old Deck 100%": "Old"}).na.fill({"description": "text"})
-    update = catalog.update_products(with_text, changes)
+    update = catalog.update_products(with_text, changes.withColumn("seq", F.col("id")), "seq")
     assert rows(update.table.filter("id = 1"), "name", "brand", "price", "description", "active") == [
         ("New Deck", "Dune", Decimal("89.99"), None, True)
     ]
     assert rows(update.rejects, "id", "error_code") == [(99, 404)]
 
 
+def test_last_update_of_a_product_wins(products, table):
+    changes = table(
+        REQUEST + ", seq int",
+        *[(1, f"Deck {n}", "Dune", "DECK", Decimal(n), None, None, None, n) for n in (2, 3, 1)],
+    )
+    update = catalog.update_products(products, changes, "seq")
+    assert update.table.count() == 4
+    assert rows(update.table.filter("id = 1"), "name") == [("Deck 3",)]
+
+
 def test_soft_delete_is_idempotent(products, table):
     ids_ = table("id long", (1,), (1,), (4,), (99,))
     once = catalog.deactivate_products(products, ids_)

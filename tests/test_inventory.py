@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from conftest import rows
 
-from tillspark.operators import inventory, validate
+from tillspark.operators import inventory, updates, validate
 
 STOCK = "id long, product_id long, quantity int, reserved int"
 
@@ -62,6 +62,12 @@ def test_seed_is_a_no_op_the_second_time(stock, table):
     assert inventory.seed_inventory(once, seeds).count() == 5
 
 
+def test_upsert_replaces_and_inserts(stock, table):
+    changed = table(STOCK + ", seq int", (1, 10, 1, 0, 1), (1, 10, 2, 0, 2), (9, 12, 3, 0, 1))
+    after = updates.upsert_by_key(stock, changed, "product_id", "seq")
+    assert rows(after, "product_id", "quantity") == [(10, 2), (11, 5), (12, 3)]
+
+
 def test_validation(table):
     requests = table("product_id long, quantity int", (1, 0), (None, 3), (2, -1), (3, None))
     checked = validate.validate_inventory(requests)

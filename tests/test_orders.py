@@ -96,7 +96,7 @@ def test_last_status_wins_and_unknown_orders_are_rejected(stored, table):
     )
     update = orders.set_order_status(stored, changes)
     assert rows(update.table, "id", "status") == [(1, "SHIPPED"), (2, "PAID"), (3, "PENDING")]
-    assert rows(update.rejects, "order_id", "error_code") == [(9, 404)]
+    assert rows(update.rejects, "order_id", "error_code") == [(2, 400), (9, 404)]
 
 
 def test_cancel_emits_one_event_per_request(stored, table):

@@ -105,10 +105,14 @@ def seed_products(products: DataFrame, rows: DataFrame, seq: str = "seq") -> Dat
     return updates.insert_absent(products, rows, "name", seq)
 
 
-def update_products(products: DataFrame, requests: DataFrame) -> updates.Update:
-    """Replace the editable fields by id; unknown ids are rejected."""
+def update_products(products: DataFrame, requests: DataFrame, seq: str) -> updates.Update:
+    """Replace the editable fields by id, the last request of a product winning.
+
+    Unknown ids are rejected.
+    """
+    last = updates.pick_by_seq(requests.select("id", *EDITABLE, F.col(seq).alias("_seq")), "id", "_seq")
     return updates.Update(
-        updates.overwrite_fields(products, requests, "id", EDITABLE),
+        updates.overwrite_fields(products, last, "id", EDITABLE),
         lookups.reject_unknown(requests, products, "id", lookups.NOT_FOUND_TEXT["product"]),
     )
 

@@ -11,6 +11,7 @@ from tillspark import schemas
 from tillspark.functions.codec import encode, encode_page
 from tillspark.functions.positions import assign_ids, page_of
 from tillspark.operators import lookups, updates
+from tillspark.operators.rejects import with_error
 
 # Lines per nested list. A longer order gives several lists, one per page,
 # so no task ever holds an order of any length as one value.
@@ -151,7 +152,10 @@ def order_cancelled_events(orders: DataFrame) -> DataFrame:
 
 
 def set_order_status(orders: DataFrame, changes: DataFrame, seq: str = "seq") -> updates.Update:
-    """Any status to any allowed status; the last change per order wins."""
+    """Any status to any allowed status; the last change per order wins.
+
+    Unknown statuses and unknown orders are rejected.
+    """
     statuses = F.array(*[F.lit(s) for s in schemas.ORDER_STATUSES])
     coded = changes.select(
         seq, "order_id", F.array_position(statuses, F.col("status")).cast("int").alias("code")
@@ -160,9 +164,17 @@ def set_order_status(orders: DataFrame, changes: DataFrame, seq: str = "seq") ->
         F.col("order_id").alias("id"), F.element_at(statuses, F.col("code")).alias("status")
     )
     ids = orders.select(F.col("id").alias("order_id"))
+    allowed = F.coalesce(F.col("status").isin(*schemas.ORDER_STATUSES), F.lit(False))
+    unbound = with_error(
+        changes.filter(~allowed),
+        "INVALID",
+        F.concat(F.lit("Unknown order status: "), F.coalesce("status", F.lit("null"))),
+    )
+    unknown = lookups.reject_unknown(
+        changes.filter(allowed), ids, "order_id", lookups.NOT_FOUND_TEXT["order"]
+    )
     return updates.Update(
-        updates.overwrite_fields(orders, last, "id", ["status"]),
-        lookups.reject_unknown(changes, ids, "order_id", lookups.NOT_FOUND_TEXT["order"]),
+        updates.overwrite_fields(orders, last, "id", ["status"]), unbound.unionByName(unknown)
     )
 
 

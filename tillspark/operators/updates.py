@@ -29,8 +29,14 @@ def pick_by_seq(df: DataFrame, key: str | Sequence[str], seq: str, first: bool =
     return df.groupBy(*key).agg(*[pick(c, seq).alias(c) for c in rest])
 
 
-def upsert_by_key(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Insert or replace whole rows by key."""
+def upsert_by_key(table: DataFrame, rows: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+    """Insert or replace whole rows by key.
+
+    Without `seq` the new rows must have one row per key; with it the last
+    row per key counts, and the sequence itself is not stored.
+    """
+    if seq is not None:
+        rows = pick_by_seq(rows, key, seq).drop(seq)
     return table.join(rows.select(key), key, "left_anti").unionByName(rows)
 
 

@@ -268,7 +268,7 @@ _CHANGED = "SELECT request_id + 500 AS id, * EXCLUDE (request_id) FROM product_r
 
 
 def _product_changes(t: Tables) -> DataFrame:
-    return t.product_requests.withColumn("id", F.col("request_id") + 500).drop("request_id")
+    return t.product_requests.withColumn("id", F.col("request_id") + 500)
 
 
 @query(
@@ -278,7 +278,7 @@ def _product_changes(t: Tables) -> DataFrame:
     FROM products p LEFT JOIN changed c ON c.id = p.id""",
 )
 def update_products(t: Tables) -> DataFrame:
-    return catalog.update_products(t.products, _product_changes(t)).table
+    return catalog.update_products(t.products, _product_changes(t), "request_id").table
 
 
 @query(
@@ -288,7 +288,7 @@ def update_products(t: Tables) -> DataFrame:
     FROM changed WHERE id NOT IN (SELECT id FROM products)""",
 )
 def update_products_rejects(t: Tables) -> DataFrame:
-    rejects = catalog.update_products(t.products, _product_changes(t)).rejects
+    rejects = catalog.update_products(t.products, _product_changes(t), "request_id").rejects
     return rejects.select("id", "error_code", "message")
 
 

@@ -7,6 +7,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillspark import schemas
 
+# Where each consumer group starts without a checkpoint. The
+# order group declares nothing and so has the consumer's own default.
+GROUP_START = {
+    "inventory-service": "earliest",
+    "notification-service": "earliest",
+    "payment-service": "earliest",
+    "order-service": "latest",
+}
+
 
 def read_topic(
     spark: SparkSession,
@@ -20,8 +29,8 @@ def read_topic(
     """Subscribe to a topic.
 
     `fmt="kafka"` takes `location` as the topic name and needs the
-    connector; `start` counts only until the job has a checkpoint. Other
-    formats take a folder, always read from its beginning.
+    connector; `start` (see GROUP_START) counts only until the job has a
+    checkpoint. Other formats take a folder, always read from its beginning.
     """
     reader = spark.readStream if streaming else spark.read
     if fmt == "kafka":
