@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillspark.session import materialize, shuffle_width
+from tillspark.session import materialize
 
 HOT_ROWS = 1_000_000
 _ROW = "_row"
@@ -27,20 +27,20 @@ def assign_ids(
     """Number rows start+1, start+2, ... along a unique sort key.
 
     The sort is a range shuffle over the whole key, so partitions stay
-    even. Only one row per partition goes into the offset sum. The sorted
+    even; without `parts`, adaptive execution joins small ones. Only one row per partition goes into the offset sum. The sorted
     rows are written out once: the range bounds come from a sample, and
     counting and numbering must see the same bounds.
     """
-    parts = parts or shuffle_width(df.sparkSession)
+    width = () if parts is None else (parts,)
     sorted_rows = materialize(
-        df.repartitionByRange(parts, *order_by)
+        df.repartitionByRange(*width, *order_by)
         .sortWithinPartitions(*order_by)
         .withColumn(_ROW, F.monotonically_increasing_id()),
         "ids",
     )
     block = F.shiftright(_ROW, 33)
     within = F.col(_ROW).bitwiseAND(F.lit((1 << 33) - 1))
-    # At most `parts` rows from here on, so the one-task window is bounded.
+    # One row per partition from here on, so the one-task window is bounded.
     sizes = sorted_rows.groupBy(block.alias("_block")).agg(F.count("*").alias("_size"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

@@ -39,8 +39,10 @@ cloudpickle.register_pickle_by_value(replay)
 
 # Start quantities mapped per block. Others are settled by further rounds.
 MAP_STATES = 512
-# Lines per block, as long as that makes no more than MOST_BLOCKS blocks. The
-# driver sees two short reports per block and no lines.
+# A block has at least LEAST_ROWS lines and about BLOCK_ROWS at most, as long as
+# that makes no more than MOST_BLOCKS blocks. The driver sees two short reports
+# per block and no lines.
+LEAST_ROWS = 10_000
 BLOCK_ROWS = 1_000_000
 MOST_BLOCKS = 50_000
 
@@ -270,6 +272,11 @@ def _first_failures(failures: DataFrame) -> DataFrame:
     return failures.groupBy("event_seq").agg(F.min("item_pos").alias("stop"))
 
 
+def _block_count(lines: int, width: int) -> int:
+    wide = max(width, min(-(-lines // BLOCK_ROWS), MOST_BLOCKS))
+    return max(1, min(wide, lines // LEAST_ROWS))
+
+
 def stock_ledger(
     inventory: DataFrame,
     lines: DataFrame,
@@ -291,7 +298,7 @@ def stock_ledger(
     demand = _demand(inventory, lines)
     if blocks is None:
         total = demand.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("n")).first()["n"]
-        blocks = max(shuffle_width(spark), min(-(-total // BLOCK_ROWS), MOST_BLOCKS))
+        blocks = _block_count(total, shuffle_width(spark))
     laid = _lay_out(demand, lines, blocks)
     usable, unusable = laid.filter("usable"), laid.filter(~F.col("usable"))
     rounds = _Rounds(usable, unusable.select(*_LINE), blocks, max_rounds)
