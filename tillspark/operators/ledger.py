@@ -188,13 +188,22 @@ class _Rounds:
         self.stops = materialize(_first_failures(known_failures), "ledger-stops")
         self.count = 0
 
-    def _replay(self, lines: DataFrame, replayed: set[int]) -> tuple[DataFrame, set[int]]:
-        """Replay lines once; failures, and products whose block starts moved."""
+    def _replay(
+        self, lines: DataFrame, replayed: set[int], kept: DataFrame | None = None
+    ) -> tuple[DataFrame, set[int]]:
+        """Replay lines once.
+
+        Gives the failures, with the kept ones of other products, and the
+        products whose block starts moved.
+        """
         self.count += 1
         if self.max_rounds is not None and self.count > self.max_rounds:
             raise RuntimeError(f"stock ledger not settled after {self.max_rounds} rounds")
         replayer = Replay(self.links, self.starts, False)
-        out = materialize(_replayed(lines, self.blocks, replayer), "ledger-round")
+        out = _replayed(lines, self.blocks, replayer)
+        if kept is not None:
+            out = out.unionByName(kept, allowMissingColumns=True)
+        out = materialize(out, "ledger-round")
         reports = []
         if replayed:
             # At most two rows per block, each of at most MAP_STATES numbers.
@@ -232,12 +241,10 @@ class _Rounds:
             lines = risky
             if affected is not None:
                 lines = risky.join(affected, "product_id", "left_semi")
-            failed, moved = self._replay(_not_skipped(lines, self.stops), replayed)
-            if failures is None:
-                failures = failed
-            else:
+            kept = None
+            if failures is not None:
                 kept = failures.join(affected, "product_id", "left_anti")
-                failures = materialize(kept.unionByName(failed), "ledger-failures")
+            failures, moved = self._replay(_not_skipped(lines, self.stops), replayed, kept)
             fresh = _first_failures(failures.select(*_LINE).unionByName(self.known_failures))
             old = self.stops.withColumnRenamed("stop", "old_stop")
             compared = materialize(fresh.join(old, "event_seq", "full"), "ledger-stops")
