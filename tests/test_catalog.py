@@ -82,6 +82,14 @@ def test_search_is_pushed_to_the_scan(spark, products, tmp_path):
     assert ids(found) == [1]
 
 
+@pytest.mark.parametrize("name", ["products", "inventory", "orders", "order_items", "payments"])
+def test_scans_read_declared_schemas(spark, tmp_path, name):
+    schema = getattr(schemas, name.upper())
+    path = str(tmp_path / name)
+    spark.createDataFrame([tuple(None for _ in schema)], schema).write.parquet(path)
+    assert getattr(tables, f"scan_{name}")(spark, path).schema == schema
+
+
 def test_stock_defaults_to_zero(products, table):
     stock = table("id long, product_id long, quantity int, reserved int", (1, 1, 5, 2), (2, 3, 2, 3))
     page = catalog.catalog_with_stock(products, stock)

@@ -72,6 +72,21 @@ def test_stock_job_equals_strict_processing(spark, table, folders, files):
     assert rows(state.current(), "product_id", "quantity") == strict(stock, lines)[1]
 
 
+def test_stock_job_reports_failed_lines(spark, table, folders):
+    events = [paid(1, 1, items=[(1, 30), (2, 1)]), paid(2, 2, items=[(9, 1)]), paid(3, 3, items=[(1, None)])]
+    in_files(table, folders("topic"), events, 1)
+    state = KeyedState(spark, folders("stock"), "product_id").start(table(STOCK, (1, 1, 20, 0), (2, 2, 5, 0)))
+    jobs.stock_job(
+        read_topic(spark, folders("topic")), state, folders("offsets"), blocks=2, rejects=folders("rejects")
+    )
+    assert rows(spark.read.parquet(folders("rejects")), "event_seq", "error_code", "message") == [
+        (1, 409, "Insufficient stock for product: 1"),
+        (2, 404, "Inventory not found for product: 9"),
+        (3, 500, "An unexpected error occurred"),
+    ]
+    assert rows(state.current(), "product_id", "quantity") == [(1, 20), (2, 5)]
+
+
 def test_restart_continues_and_a_retried_batch_applies_once(spark, table, folders):
     stock = table(STOCK, (1, 1, 20, 0))
     state = KeyedState(spark, folders("stock"), "product_id", full_every=2).start(stock)

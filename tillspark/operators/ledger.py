@@ -32,11 +32,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillspark.functions import replay
 from tillspark.functions.replay import FINAL_SCHEMA, REFILL, ROUND_SCHEMA, Link, Replay
+from tillspark.operators.lookups import NOT_FOUND_TEXT
+from tillspark.operators.rejects import error_code, error_message
 from tillspark.session import materialize, shuffle_width
 
 # Executors need no copy of this package: the replay travels with its job.
 cloudpickle.register_pickle_by_value(replay)
 
+INSUFFICIENT_TEXT = "Insufficient stock for product: "  # fixed value
 # Start quantities mapped per block. Others are settled by further rounds.
 MAP_STATES = 512
 # A block has at least LEAST_ROWS lines and about BLOCK_ROWS at most, as long as
@@ -279,6 +282,27 @@ def _first_failures(failures: DataFrame) -> DataFrame:
     return failures.groupBy("event_seq").agg(F.min("item_pos").alias("stop"))
 
 
+def ledger_rejects(lines: DataFrame) -> DataFrame:
+    """The failed lines of a ledger with error code and message."""
+    product = F.col("product_id").cast("string")
+    short = F.concat(F.lit(INSUFFICIENT_TEXT), product)
+    missing = F.concat(F.lit(NOT_FOUND_TEXT["inventory"]), product)
+    reason = (
+        F.when(F.col("outcome") == "INSUFFICIENT", F.lit("CONFLICT"))
+        .when(F.col("outcome") == "NOT_FOUND", F.lit("NOT_FOUND"))
+        .when(F.col("outcome") == "NO_QUANTITY", F.lit("INTERNAL"))
+    )
+    failed = lines.withColumn("_reason", reason).filter(F.col("_reason").isNotNull())
+    detail = F.when(F.col("_reason") == "CONFLICT", short).otherwise(missing)
+    return failed.select(
+        *_LINE,
+        "product_id",
+        "quantity",
+        error_code("_reason").alias("error_code"),
+        error_message(F.col("_reason"), detail).alias("message"),
+    )
+
+
 def _block_count(lines: int, width: int) -> int:
     wide = max(width, min(-(-lines // BLOCK_ROWS), MOST_BLOCKS))
     return max(1, min(wide, lines // LEAST_ROWS))

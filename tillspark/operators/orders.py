@@ -12,6 +12,7 @@ from tillspark.functions.codec import encode, encode_page
 from tillspark.functions.positions import assign_ids, page_of
 from tillspark.operators import lookups, updates
 from tillspark.operators.rejects import with_error
+from tillspark.operators.validate import validate_orders
 
 # Lines per nested list. A longer order gives several lists, one per page,
 # so no task ever holds an order of any length as one value.
@@ -144,6 +145,27 @@ def order_placed_events(orders: DataFrame, items: DataFrame, page_rows: int = PA
     )
 
 
+class Placed(NamedTuple):
+    orders: DataFrame
+    items: DataFrame
+    events: DataFrame
+    rejects: DataFrame
+
+
+def place_orders(
+    requests: DataFrame,
+    created_at: Column,
+    start: int = 0,
+    key: Sequence[str] = ("request_id",),
+    strict_items: bool = False,
+) -> Placed:
+    """Requests to stored rows, published events and rejects."""
+    checked = validate_orders(requests, strict_items)
+    made = new_order_rows(checked.valid, created_at, start, key)
+    events = order_placed_events(made.orders.drop(*key), made.items)
+    return Placed(made.orders, made.items, events, checked.rejects)
+
+
 def order_cancelled_events(orders: DataFrame) -> DataFrame:
     return orders.select(
         F.col("id").cast("string").alias("key"),

@@ -142,6 +142,23 @@ def new_order_items(t: Tables) -> DataFrame:
     return created_orders(t).items
 
 
+@query(
+    "place_orders",
+    f"""WITH {CREATED}, lists AS (SELECT c.id, c.customer_id, c.total_amount,
+        concat('[', string_agg({_EVENT_ITEM}, ',' ORDER BY item_pos), ']') AS items
+      FROM created c JOIN placeable p USING (request_id, page) GROUP BY c.id, c.customer_id, c.total_amount)
+    SELECT CAST(id AS VARCHAR) AS key, concat('{{"orderId":', CAST(id AS VARCHAR), ',"customerId":',
+      CAST(customer_id AS VARCHAR), ',"totalAmount":', CAST(total_amount AS VARCHAR), ',"items":', items, '}}') AS value
+    FROM lists""",
+)
+def place_orders(t: Tables) -> DataFrame:
+    """The events published for every valid request."""
+    placed = orders.place_orders(
+        t.order_requests, F.lit(AS_OF), largest(t.orders_t, "id"), ["request_id", "page"]
+    )
+    return placed.events
+
+
 @query("order_placed_events", f"SELECT key, value FROM ({PLACED_SQL})")
 def order_placed_events(t: Tables) -> DataFrame:
     return orders.order_placed_events(t.orders_t, t.order_items)

@@ -119,14 +119,21 @@ def order_status_job(
 
 def stock_job(
     topic: DataFrame, table: KeyedState, checkpoint: str, mode: str = "exact",
-    blocks: int | None = None,
+    blocks: int | None = None, rejects: str | None = None,
 ) -> None:
-    """Payment events drive the stock ledger; `table` is keyed by product."""
+    """Payment events drive the stock ledger; `table` is keyed by product.
+
+    `rejects` names a folder for the failed lines, one folder per batch.
+    """
 
     def handle(rows: DataFrame, batch: int) -> None:
         lines = payment_lines(rows)
         touched = table.before(batch, lines.select("product_id").distinct())
-        table.write(batch, ledger.stock_ledger(touched, lines, mode, blocks).inventory)
+        result = ledger.stock_ledger(touched, lines, mode, blocks)
+        if rejects is not None:
+            failed = ledger.ledger_rejects(result.lines)
+            failed.write.mode("overwrite").parquet(f"{rejects}/batch={batch}")
+        table.write(batch, result.inventory)
 
     run_available(topic, handle, checkpoint)
 
