@@ -99,3 +99,28 @@ def test_round_limit_fails_loudly(table):
 def test_no_lines(table):
     got = replayed(table, [(1, 10, 5, 0)], [], blocks=2)
     assert got == ([], [(10, 5)])
+
+
+def test_blocks_may_share_a_task():
+    """One task that gets two blocks reports both, as two tasks would."""
+    import json
+
+    import pyarrow as pa
+
+    from tillspark.functions.replay import Link, Replay
+
+    lines = [(e, 1, 1, 2, 9, 0, e // 3) for e in range(6)]
+    names = ["event_seq", "item_pos", "product_id", "quantity", "stock", "reserved", "block"]
+    links = {1: Link(0, 1, 9, 0, 12, True)}
+
+    def reports(*parts):
+        found = []
+        for part in parts:
+            batch = pa.RecordBatch.from_pylist([dict(zip(names, line)) for line in part])
+            for out in Replay(links, {1: 3}, False)(iter([batch])):
+                found += [json.loads(r) for r in out.column("report").to_pylist() if r]
+        return found
+
+    together, apart = reports(lines), reports(lines[:3], lines[3:])
+    assert together == apart and len(together) == 2
+    assert together[0]["tail"] == 3

@@ -81,18 +81,29 @@ class Replay(NamedTuple):
     final: bool
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Replay one sorted block; give failures and reports, or every outcome."""
+        """Replay sorted blocks; give failures and reports, or every outcome."""
         before_link = {link.previous for link in self.links.values()}
         product = block = tracked = link = None
         quantity = 0
+
+        def run_ended(block_ended: bool) -> list[tuple]:
+            if self.final or product is None:
+                return []
+            if tracked is not None:
+                return [_head_report(block, product, link, tracked, quantity, self.starts)]
+            if block_ended and block in before_link:
+                # The run began here, and the next block may go on from its end.
+                tail = {"block": block, "product": product, "tail": quantity}
+                return [(None, None, None, json.dumps(tail))]
+            return []
+
         for batch in batches:
             out = []
             columns = [c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns]
             for event, item, wanted, demand, stock, reserved, here in zip(*columns):
-                if wanted != product:
-                    if tracked is not None:
-                        out.append(_head_report(block, product, link, tracked, quantity, self.starts))
-                    link = self.links.get(here) if product is None else None
+                if wanted != product or here != block:
+                    out += run_ended(here != block)
+                    link = self.links.get(here) if here != block else None
                     if link is not None and link.product == wanted:
                         quantity = self.starts[here]
                         tracked = None if self.final else StartMap(link.low, link.high)
@@ -113,13 +124,9 @@ class Replay(NamedTuple):
                     out.append((event, item, wanted, None))
             if out:
                 yield _batch(out, self.final)
-        if not self.final and tracked is not None:
-            report = _head_report(block, product, link, tracked, quantity, self.starts)
-            yield _batch([report], False)
-        elif not self.final and block in before_link:
-            # This run began here, and the next block may go on from its end.
-            tail = {"block": block, "product": product, "tail": quantity}
-            yield _batch([(None, None, None, json.dumps(tail))], False)
+        out = run_ended(True)
+        if out:
+            yield _batch(out, self.final)
 
 
 def _head_report(

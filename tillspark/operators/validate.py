@@ -90,7 +90,9 @@ def item_errors(items: Column) -> Column:
         ]
         return F.filter(F.array(*entries), lambda e: e.isNotNull())
 
-    return F.flatten(F.transform(F.coalesce(items, F.array().cast("array<struct<product_id:bigint,quantity:int,unit_price:decimal(18,2)>>")), line))
+    return F.coalesce(
+        F.flatten(F.transform(items, line)), F.array().cast("array<struct<key:string,value:string>>")
+    )
 
 
 def validate_orders(requests: DataFrame, strict_items: bool = False) -> Checked:
