@@ -120,16 +120,26 @@ def _demand(inventory: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _lay_out(demand: DataFrame, lines: DataFrame, blocks: int) -> DataFrame:
-    """Lines with their stock row, in even blocks over (product, event, item)."""
+    """Lines with their stock row, in even blocks over (product, event, item).
+
+    Lines that can fail, that cannot, and that have no stock row or quantity
+    lie in folders of their own, so that the rounds read the first alone.
+    """
     joined = lines.select(*_LINE, "product_id", "quantity").join(
         demand.drop("lines"), "product_id", "left"
     )
     usable = F.col("stock").isNotNull() & F.col("quantity").isNotNull()
+    kind = (
+        F.when(~usable, F.lit("unusable"))
+        .when(F.col("risky"), F.lit("risky"))
+        .otherwise(F.lit("safe"))
+    )
     return materialize(
-        joined.withColumn("usable", usable)
+        joined.withColumn("kind", kind)
         .repartitionByRange(blocks, "product_id", *_LINE)
         .withColumn("block", F.spark_partition_id()),
         "ledger-lines",
+        ["kind"],
     )
 
 
@@ -237,7 +247,7 @@ class _Rounds:
         After the first round only products are replayed that have a line
         whose skip has changed, or whose block starts moved.
         """
-        risky = self.lines.filter("risky")
+        risky = self.lines.filter("kind = 'risky'")
         split = {link.product for link in self.links.values() if link.risky}
         replayed, affected, failures = split, None, None
         while True:
@@ -331,7 +341,7 @@ def stock_ledger(
         total = demand.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("n")).first()["n"]
         blocks = _block_count(total, shuffle_width(spark))
     laid = _lay_out(demand, lines, blocks)
-    usable, unusable = laid.filter("usable"), laid.filter(~F.col("usable"))
+    usable, unusable = laid.filter("kind <> 'unusable'"), laid.filter("kind = 'unusable'")
     rounds = _Rounds(usable, unusable.select(*_LINE), blocks, max_rounds)
     if coupled:
         rounds.settle()
