@@ -20,7 +20,7 @@ SETTINGS = {
 
 
 def build_session(app: str = "tillspark", master: str | None = None, **extra: str) -> SparkSession:
-    """A session with this package's settings; `extra` keys use _ for dots' place."""
+    """A session with this package's settings and any further ones."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

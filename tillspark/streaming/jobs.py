@@ -22,7 +22,8 @@ Handler = Callable[[DataFrame, int], None]
 def run_available(stream: DataFrame, handle: Handler, checkpoint: str) -> None:
     """Process what is there, batch by batch, and stop.
 
-    A batch is used several times, so it is kept while it is handled.
+    A batch is used several times, so it is kept while it is handled. Callers
+    decode the stream first, which keeps the rows narrow.
     """
 
     def once(rows: DataFrame, batch: int) -> None:
@@ -108,13 +109,12 @@ def order_status_job(
     if failed_topic is not None:
         topic = topic.unionByName(failed_topic)
 
-    def handle(rows: DataFrame, batch: int) -> None:
-        events = payment_statuses(rows)
+    def handle(events: DataFrame, batch: int) -> None:
         ids = events.select(F.col("order_id").alias("id")).distinct()
         touched = table.before(batch, ids)
         table.write(batch, orders.apply_payment_status(touched, events).table)
 
-    run_available(topic, handle, checkpoint)
+    run_available(payment_statuses(topic), handle, checkpoint)
 
 
 def stock_job(
@@ -126,8 +126,7 @@ def stock_job(
     `rejects` names a folder for the failed lines, one folder per batch.
     """
 
-    def handle(rows: DataFrame, batch: int) -> None:
-        lines = payment_lines(rows)
+    def handle(lines: DataFrame, batch: int) -> None:
         touched = table.before(batch, lines.select("product_id").distinct())
         result = ledger.stock_ledger(touched, lines, mode, blocks)
         if rejects is not None:
@@ -135,7 +134,7 @@ def stock_job(
             failed.write.mode("overwrite").parquet(f"{rejects}/batch={batch}")
         table.write(batch, result.inventory)
 
-    run_available(topic, handle, checkpoint)
+    run_available(payment_lines(topic), handle, checkpoint)
 
 
 def settle_job(webhooks: DataFrame, table: KeyedState, topics: str, checkpoint: str) -> None:
