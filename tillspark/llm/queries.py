@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import exact_dedup, language, packing, quality, severity
+from tillspark.llm import disclosure, exact_dedup, language, packing, quality, severity, weighted_minhash
 from tillspark.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    return disclosure.digest_columns(disclosure.find(table(spark, folder, "documents")))
+
+
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return weighted_minhash.near_groups(table(spark, folder, "documents"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -30,6 +38,6 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES = {
     f.__name__: f
-    for f in (op2_exact_dedup, op3_quality, op7_packing, op9_toxicity, op10_language)
+    for f in (op2_exact_dedup, op3_quality, op4_disclosure, op6_near_dedup, op7_packing, op9_toxicity, op10_language)
 }
 LLM_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL}
