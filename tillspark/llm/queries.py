@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import disclosure, exact_dedup, language, packing, quality, severity, weighted_minhash
+from tillspark.llm import disclosure, domain_mix, exact_dedup, language, lm_mixing, packing, pivots, quality, severity, weighted_minhash
 from tillspark.llm.common import table
 
 
+def op1_lm_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_mixing.score_texts(table(spark, folder, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
@@ -20,6 +24,10 @@ def op4_disclosure(spark: SparkSession, folder: str) -> DataFrame:
     return disclosure.digest_columns(disclosure.find(table(spark, folder, "documents")))
 
 
+def op5_similar_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.similar_vectors(table(spark, folder, "embeddings"))
+
+
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return weighted_minhash.near_groups(table(spark, folder, "documents"))
 
@@ -28,6 +36,11 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    marks = domain_mix.default_domains(table(spark, folder, "labels"))
+    return domain_mix.mix(table(spark, folder, "documents"), marks)
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return severity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -38,6 +51,6 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES = {
     f.__name__: f
-    for f in (op2_exact_dedup, op3_quality, op4_disclosure, op6_near_dedup, op7_packing, op9_toxicity, op10_language)
+    for f in (op1_lm_mixing, op2_exact_dedup, op3_quality, op4_disclosure, op5_similar_vectors, op6_near_dedup, op7_packing, op8_mixing, op9_toxicity, op10_language)
 }
 LLM_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL}
