@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillspark.llm.common import BLANKS, Shipped, components, mix64
@@ -14,22 +13,56 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 12, 4
 RARE = 1e-3
-SLICE_CHARS = 4_000_000
-FLUSH = 2_000_000
+SLICE_CHARS = 1_500_000
+FLUSH = 1_500_000
+PAIRS = 1_000
+FEW = 16
 STEP = 1 << 16
 SEED = 0x5EED
 
 
+def _hash_tables() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    letters = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+    turns = np.full(1 << 10, int(rng.integers(1, 1 << 62)) * 2 + 1, np.uint64)
+    turns[0] = 1
+    return letters, np.cumprod(turns)
+
+
+_LETTERS, _POWERS = _hash_tables()
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and the number of words of each text.
+
+    A word's hash sums its bytes, each times a power for its place; beyond
+    the table of powers the places start again under another mix.
+    """
+    flat = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    blank = flat == 32
+    begin = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+    end = np.flatnonzero(~blank & np.append(blank[1:], True)) + 1
+    edges = np.cumsum([len(t) + 1 for t in texts])
+    sizes = np.bincount(np.searchsorted(edges, begin, side="right"), minlength=len(texts))
+    if not len(begin):
+        return np.zeros(0, np.uint64), sizes
+    place = np.arange(len(flat), dtype=np.int32)
+    place -= np.repeat(np.append(0, begin).astype(np.int32), np.diff(np.concatenate([[0], begin, [len(flat)]])))
+    terms = _LETTERS[flat]
+    far = np.flatnonzero(place >= len(_POWERS))
+    terms[far] = mix64(terms[far] + (place[far] >> 10).astype(np.uint64))
+    place &= len(_POWERS) - 1
+    terms *= _POWERS[place]
+    sums = np.append(np.uint64(0), np.cumsum(terms))
+    return mix64(sums[end] - sums[begin] + (end - begin).astype(np.uint64)), sizes
+
+
 class Shingles:
     """Word shingles of several texts: hashes and counts, by text and then hash."""
 
     def __init__(self, texts: list[str], words: int = WORDS):
         """`texts` hold words parted by single spaces. Texts with fewer words are one shingle."""
-        split = [t.split(" ") if t else [] for t in texts]
-        sizes = np.array([len(s) for s in split], np.int64)
-        codes, names = pd.factorize(np.array([w for s in split for w in s], object))
-        values = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in names], np.uint64)
-        flat = values[codes] if len(codes) else np.zeros(0, np.uint64)
+        flat, sizes = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])
         grams = np.where(sizes >= words, sizes - words + 1, np.minimum(sizes, 1))
         owner = np.repeat(np.arange(len(texts)), grams)
         first = np.repeat(np.cumsum(sizes) - sizes, grams) + np.arange(len(owner)) - np.repeat(np.cumsum(grams) - grams, grams)
@@ -41,13 +74,11 @@ class Shingles:
             if short.any():
                 part = np.where(short & (k >= sizes[owner]), np.uint64(0), part)
             mixed = (mixed ^ part) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
-        mixed = mix64(mixed)
-        order = np.lexsort((mixed, owner))
-        mixed, owner = mixed[order], owner[order]
-        new = np.ones(len(mixed), bool)
-        new[1:] = (mixed[1:] != mixed[:-1]) | (owner[1:] != owner[:-1])
-        at = np.flatnonzero(new)
-        self.hashes, self.owner = mixed[at], owner[at]
+        # Text number and 44 bits of the hash in one number, so that one plain sort does.
+        mixed = np.sort(mix64(mixed) >> np.uint64(20) | owner.astype(np.uint64) << np.uint64(44))
+        at = np.flatnonzero(np.append(True, mixed[1:] != mixed[:-1])[: len(mixed)])
+        self.owner = (mixed[at] >> np.uint64(44)).astype(np.int64)
+        self.hashes = mix64((mixed[at] & np.uint64((1 << 44) - 1)) + np.uint64(1))
         self.counts = np.diff(np.append(at, len(mixed)))
         self.ends = np.searchsorted(self.owner, np.arange(len(texts) + 1))
 
@@ -237,8 +268,8 @@ def _verified(pairs: DataFrame, bodies: DataFrame, weights: Shipped, similar: fl
     """The pairs (a, b) whose texts are similar enough."""
 
     def check(frames):
-        for frame in frames:
-            names = pd.unique(pd.concat([frame["a"], frame["b"]]))
+        for frame in (f.iloc[low:low + PAIRS] for f in frames for low in range(0, len(f), PAIRS)):
+            names = np.unique(np.concatenate([frame["a"].to_numpy(str), frame["b"].to_numpy(str)]))
             texts = dict(zip(frame["a"], frame["body_a"])) | dict(zip(frame["b"], frame["body_b"]))
             known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
             for part in slices(pd.DataFrame({"node": names, "body": [texts[n] for n in names]}), "body"):
@@ -270,7 +301,7 @@ def near_groups(
     Equal texts form one node. Nodes that share a band meet in a bucket:
     first all are compared with the bucket's first node, then, round by
     round, with the next ones as long as the bucket holds more than one
-    class. So links are found without all pairs of a large group, and none
+    class (in one round where that is at most FEW pairs a row). So links are found without all pairs of a large group, and none
     within a bucket is left out.
 
     Null, empty and blank texts have no shingles and are classes of their
@@ -316,6 +347,12 @@ def near_groups(
         most = open_rows.agg(F.max("rank")).first()[0]
         if most is None or low >= most:
             break
+        groups = open_rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")
+        )
+        across, size = groups.agg(F.sum(F.col("n") * F.col("n") - F.col("same")) / 2, F.sum("n")).first()
+        if across <= FEW * size:
+            width = most  # all that is left at once
         heads = open_rows.filter((F.col("rank") >= low) & (F.col("rank") < low + width)).select(
             "bucket", F.col("node").alias("a"), F.col("rank").alias("head"), F.col("label").alias("other")
         )
