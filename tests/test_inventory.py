@@ -34,7 +34,10 @@ def test_create_rejects_duplicates_and_first_wins(stock, table):
         "seq long, product_id long, quantity int", (1, 10, 7), (2, 12, 8), (3, 12, 9)
     )
     made = inventory.create_inventory(stock, requests, "seq")
-    assert rows(made.table) == [(12, 8, 0)]
+    assert rows(made.table, "product_id", "quantity", "reserved")[-1] == (12, 8, 0)
+    assert made.table.count() == stock.count() + 1
+    assert made.table.filter("id is null").isEmpty()
+    assert made.table.select("id").distinct().count() == made.table.count()
     assert rows(made.rejects, "seq", "error_code", "message") == [
         (1, 409, "Inventory already exists for product: 10"),
         (3, 409, "Inventory already exists for product: 12"),

@@ -6,9 +6,9 @@ from pyspark.sql import Column, functions as F
 
 
 def is_blank(col: Column | str) -> Column:
-    """Null, empty or white space only (trim() would leave tabs in place)."""
+    """Null, empty, or nothing but characters up to the space (trim() would leave tabs in place)."""
     col = F.col(col) if isinstance(col, str) else col
-    return col.isNull() | col.rlike(r"^\s*$")
+    return col.isNull() | col.rlike(r"^[\x00-\x20]*$")
 
 
 def contains_ignoring_case(col: Column | str, needle: str, literal: bool = False) -> Column:

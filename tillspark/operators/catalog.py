@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillspark import schemas
 from tillspark.functions import text
+from tillspark.functions.positions import assign_ids
 from tillspark.operators import lookups, updates
 from tillspark.operators.inventory import inventory_view
 
@@ -95,9 +97,10 @@ def product_exists(keys: DataFrame, products: DataFrame) -> DataFrame:
     return lookups.key_exists(keys, products, ["name", "brand"])
 
 
-def new_product_rows(requests: DataFrame) -> DataFrame:
-    """Requests as product rows, active and still without id."""
-    return requests.select(*EDITABLE, F.lit(True).alias("active"))
+def new_product_rows(requests: DataFrame, start: int = 0, order_by: Sequence[str] = ("request_id",)) -> DataFrame:
+    """Requests as active product rows, numbered on from `start` along a unique key."""
+    made = assign_ids(requests.select(*dict.fromkeys([*order_by, *EDITABLE])), list(order_by), "id", start)
+    return made.select("id", *EDITABLE, F.lit(True).alias("active"))
 
 
 def seed_products(products: DataFrame, rows: DataFrame, seq: str = "seq") -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
+from tillspark.functions.positions import assign_ids, largest
+
 from tillspark.operators import lookups, updates
 from tillspark.operators.rejects import with_error
 
@@ -23,8 +27,11 @@ def inventory_exists(keys: DataFrame, inventory: DataFrame) -> DataFrame:
     return lookups.key_exists(keys, inventory, "product_id")
 
 
-def new_inventory_rows(requests: DataFrame) -> DataFrame:
-    return requests.select("product_id", "quantity", F.lit(0).alias("reserved"))
+def new_inventory_rows(requests: DataFrame, start: int = 0, order_by: Sequence[str] = ("product_id", "quantity")) -> DataFrame:
+    """Requests as stock rows, numbered on from `start`."""
+    rows = requests.select(*dict.fromkeys([*order_by, "product_id", "quantity"]))
+    made = assign_ids(rows, list(order_by), "id", start)
+    return made.select("id", "product_id", "quantity", F.lit(0).alias("reserved"))
 
 
 def seed_inventory(inventory: DataFrame, rows: DataFrame, seq: str = "seq") -> DataFrame:
@@ -33,7 +40,7 @@ def seed_inventory(inventory: DataFrame, rows: DataFrame, seq: str = "seq") -> D
 
 
 def create_inventory(inventory: DataFrame, requests: DataFrame, seq: str) -> updates.Update:
-    """Rows to insert, and requests rejected because the product has a row.
+    """The table with the new rows, and requests rejected because the product has a row.
 
     Within one batch the first request of a product wins; the others are
     rejected as if they had come after it.
@@ -48,7 +55,8 @@ def create_inventory(inventory: DataFrame, requests: DataFrame, seq: str) -> upd
         "CONFLICT",
         F.concat(F.lit(CONFLICT_TEXT), F.col("product_id").cast("string")),
     )
-    return updates.Update(new_inventory_rows(winners), rejects)
+    made = new_inventory_rows(winners, largest(inventory, "id"), [seq])
+    return updates.Update(inventory.unionByName(made), rejects)
 
 
 def set_stock(inventory: DataFrame, changes: DataFrame, seq: str) -> updates.Update:

@@ -85,9 +85,12 @@ def checkout_lines(payments: DataFrame, label: str = "Order #") -> DataFrame:
     )
 
 
-def attach_session(payments: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Write the provider's session id back on the payment of its order."""
-    ids = sessions.select("order_id", F.col("session_id").alias("stripe_session_id"))
+def attach_session(payments: DataFrame, sessions: DataFrame, seq: str = "session_id") -> DataFrame:
+    """Write the provider's session id back on the payment of its order.
+
+    Of several sessions of an order the last by `seq` counts.
+    """
+    ids = sessions.groupBy("order_id").agg(F.max_by("session_id", seq).alias("stripe_session_id"))
     return updates.overwrite_fields(payments, ids, "order_id", ["stripe_session_id"])
 
 

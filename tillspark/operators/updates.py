@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillspark.functions.positions import assign_ids, largest
+
 
 class Update(NamedTuple):
     """The new table and the requests that could not be applied."""
@@ -40,16 +42,17 @@ def upsert_by_key(table: DataFrame, rows: DataFrame, key: str, seq: str | None =
     return table.join(rows.select(key), key, "left_anti").unionByName(rows)
 
 
-def insert_absent(table: DataFrame, rows: DataFrame, key: str, seq: str) -> DataFrame:
+def insert_absent(table: DataFrame, rows: DataFrame, key: str, seq: str, id_col: str = "id") -> DataFrame:
     """Keep the table and add only rows whose key it lacks; re-running adds nothing.
 
     Of several new rows with one key the first by sequence is added, as
-    if they had been inserted one after the other.
+    if they had been inserted one after the other. Added rows are numbered
+    on from the table's largest id, by sequence and then key.
     """
-    first = pick_by_seq(rows, key, seq, first=True).drop(seq)
+    first = pick_by_seq(rows.drop(id_col), key, seq, first=True)
     present = table.select(key).distinct()
-    added = first.join(present, key, "left_anti")
-    return table.unionByName(added, allowMissingColumns=True)
+    added = assign_ids(first.join(present, key, "left_anti"), [seq, key], id_col, largest(table, id_col))
+    return table.unionByName(added.drop(seq), allowMissingColumns=True)
 
 
 def overwrite_fields(

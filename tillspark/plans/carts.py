@@ -10,11 +10,9 @@ from tillspark.plans.orders import AS_OF
 from tillspark.plans.registry import query
 from tillspark.sources.standins import PAGE_ROWS, Tables
 
-_ADDED = """lines AS (SELECT cart_id, product_id, sum(quantity) AS quantity,
+_MERGED = """lines AS (SELECT cart_id, product_id, sum(quantity) AS quantity,
     min_by(available_stock, seq) AS available_stock, min(seq) AS added_seq
-  FROM cart_events WHERE action = 'add' GROUP BY cart_id, product_id),
-  priced AS (SELECT l.product_id, l.cart_id, CAST(l.quantity AS BIGINT) AS quantity, l.available_stock,
-    l.added_seq, p.name, p.price FROM lines l JOIN products p ON p.id = l.product_id)"""
+  FROM cart_events WHERE action = 'add' GROUP BY cart_id, product_id)"""
 
 
 def _adds(t: Tables) -> DataFrame:
@@ -22,12 +20,13 @@ def _adds(t: Tables) -> DataFrame:
 
 
 def _priced(t: Tables) -> DataFrame:
-    return cart.priced_lines(cart.cart_line_merge(_adds(t)), t.products)
+    """Priced lines of the replayed carts."""
+    return cart.priced_lines(cart.cart_fold(t.cart_events), t.products)
 
 
 @query(
     "cart_line_merge",
-    f"WITH {_ADDED} SELECT cart_id, product_id, CAST(quantity AS BIGINT) AS quantity, available_stock, added_seq FROM lines",
+    f"WITH {_MERGED} SELECT cart_id, product_id, CAST(quantity AS BIGINT) AS quantity, available_stock, added_seq FROM lines",
 )
 def cart_line_merge(t: Tables) -> DataFrame:
     return cart.cart_line_merge(_adds(t))
@@ -59,6 +58,11 @@ FOLD_SQL = """WITH steps AS (
   FROM (SELECT cart_id, unnest(state.lines) AS l FROM folded)"""
 
 
+_FOLDED = f"""lines AS ({FOLD_SQL}),
+  priced AS (SELECT l.product_id, l.cart_id, l.quantity, l.available_stock, l.added_seq, p.name, p.price
+    FROM lines l JOIN products p ON p.id = l.product_id)"""
+
+
 @query("cart_fold", FOLD_SQL)
 def cart_fold(t: Tables) -> DataFrame:
     return cart.cart_fold(t.cart_events)
@@ -66,7 +70,7 @@ def cart_fold(t: Tables) -> DataFrame:
 
 @query(
     "cart_lines_view",
-    f"""WITH {_ADDED} SELECT *, CAST(price * quantity AS DECIMAL(18,2)) AS subtotal,
+    f"""WITH {_FOLDED} SELECT *, CAST(price * quantity AS DECIMAL(18,2)) AS subtotal,
       quantity > available_stock AS over_stock,
       CASE WHEN quantity > available_stock THEN concat('Only ', CAST(available_stock AS VARCHAR), ' available') END
         AS stock_warning FROM priced""",
@@ -77,7 +81,7 @@ def cart_lines_view(t: Tables) -> DataFrame:
 
 @query(
     "cart_totals",
-    f"""WITH {_ADDED} SELECT cart_id, CAST(sum(price * quantity) AS DECIMAL(18,2)) AS total
+    f"""WITH {_FOLDED} SELECT cart_id, CAST(sum(price * quantity) AS DECIMAL(18,2)) AS total
     FROM priced GROUP BY cart_id""",
 )
 def cart_totals(t: Tables) -> DataFrame:
@@ -86,10 +90,10 @@ def cart_totals(t: Tables) -> DataFrame:
 
 @query(
     "cart_item_counts",
-    f"WITH {_ADDED} SELECT cart_id, CAST(sum(quantity) AS BIGINT) AS item_count FROM lines GROUP BY cart_id",
+    f"WITH {_FOLDED} SELECT cart_id, CAST(sum(quantity) AS BIGINT) AS item_count FROM lines GROUP BY cart_id",
 )
 def cart_item_counts(t: Tables) -> DataFrame:
-    return cart.cart_item_counts(cart.cart_line_merge(_adds(t)))
+    return cart.cart_item_counts(cart.cart_fold(t.cart_events))
 
 
 _GATE = """gate AS (SELECT cart_id, NOT bool_or(quantity > available_stock) AS passes,
@@ -99,7 +103,7 @@ _GATE = """gate AS (SELECT cart_id, NOT bool_or(quantity > available_stock) AS p
   FROM priced GROUP BY cart_id)"""
 
 
-@query("stock_gate", f"WITH {_ADDED}, {_GATE} SELECT * FROM gate")
+@query("stock_gate", f"WITH {_FOLDED}, {_GATE} SELECT * FROM gate")
 def stock_gate(t: Tables) -> DataFrame:
     return cart.stock_gate(_priced(t))
 
@@ -114,24 +118,24 @@ _PLACED = f"""placed AS (SELECT *, row_number() OVER (PARTITION BY cart_id ORDER
     FROM placed GROUP BY cart_id, (pos - 1) // {PAGE_ROWS})"""
 
 
-@query("order_request_items", f"WITH {_ADDED}, {_PLACED} SELECT cart_id, page, items FROM requests")
+@query("order_request_items", f"WITH {_FOLDED}, {_PLACED} SELECT cart_id, page, items FROM requests")
 def order_request_items(t: Tables) -> DataFrame:
     return cart.order_request_items(_priced(t)).withColumn("items", F.to_json("items"))
 
 
 @query(
     "checkout_requests",
-    f"""WITH {_ADDED}, {_GATE}, {_PLACED} SELECT cart_id, page, items, cart_id AS customer_id
+    f"""WITH {_FOLDED}, {_GATE}, {_PLACED} SELECT cart_id, page, items, cart_id AS customer_id
     FROM requests WHERE cart_id IN (SELECT cart_id FROM gate WHERE passes)""",
 )
 def checkout_requests(t: Tables) -> DataFrame:
-    """Requests of the replayed adds whose lines are all in stock."""
+    """Requests of the replayed carts whose lines are all in stock."""
     return cart.checkout_requests(_priced(t)).withColumn("items", F.to_json("items"))
 
 
 @query(
     "payment_request",
-    f"""WITH {_ADDED}, {_PLACED} SELECT (SELECT max(id) FROM orders_t) + row_number() OVER (ORDER BY cart_id, page) AS order_id,
+    f"""WITH {_FOLDED}, {_PLACED} SELECT (SELECT max(id) FROM orders_t) + row_number() OVER (ORDER BY cart_id, page) AS order_id,
       cart_id AS customer_id, amount, bare AS items FROM requests""",
 )
 def payment_request(t: Tables) -> DataFrame:

@@ -200,11 +200,12 @@ def assigned_ids(t: Tables) -> DataFrame:
 
 @query(
     "new_product_rows",
-    """SELECT name, brand, category, price, description, image_url, width, true AS active
+    """SELECT (SELECT max(id) FROM products) + row_number() OVER (ORDER BY request_id) AS id,
+      name, brand, category, price, description, image_url, width, true AS active
     FROM product_requests""",
 )
 def new_product_rows(t: Tables) -> DataFrame:
-    return catalog.new_product_rows(t.product_requests)
+    return catalog.new_product_rows(t.product_requests, largest(t.products, "id"))
 
 
 _SEEDS = """SELECT p_partkey * 2 AS seq, p_name AS name FROM {part}
@@ -217,7 +218,7 @@ _SEEDS = """SELECT p_partkey * 2 AS seq, p_name AS name FROM {part}
     f"""WITH seeds AS ({_SEEDS.format(part="part", supplier="supplier")}),
     first AS (SELECT name, min(seq) AS seq FROM seeds GROUP BY name)
     SELECT * FROM products UNION ALL
-    SELECT NULL, name, 'House', 'DECK', CAST(seq AS DECIMAL(18,2)), NULL, NULL, NULL, true
+    SELECT (SELECT max(id) FROM products) + row_number() OVER (ORDER BY seq, name), name, 'House', 'DECK', CAST(seq AS DECIMAL(18,2)), NULL, NULL, NULL, true
     FROM first WHERE name NOT IN (SELECT name FROM products)""",
 )
 def seed_products(t: Tables) -> DataFrame:
@@ -235,8 +236,8 @@ def seed_products(t: Tables) -> DataFrame:
 @query(
     "seed_inventory",
     """SELECT * FROM inventory UNION ALL
-    SELECT DISTINCT CAST(NULL AS BIGINT), product_id, 10, 0 FROM order_items
-    WHERE product_id NOT IN (SELECT product_id FROM inventory)""",
+    SELECT (SELECT max(id) FROM inventory) + row_number() OVER (ORDER BY min(order_id), product_id), product_id, 10, 0
+    FROM order_items WHERE product_id NOT IN (SELECT product_id FROM inventory) GROUP BY product_id""",
 )
 def seed_inventory(t: Tables) -> DataFrame:
     rows = t.lines_t.select(
@@ -304,11 +305,13 @@ def deactivate_products(t: Tables) -> DataFrame:
 
 @query(
     "new_inventory_rows",
-    """SELECT product_id, quantity, 0 AS reserved FROM stock_requests
+    """SELECT (SELECT max(id) FROM inventory) + row_number() OVER (ORDER BY product_id, quantity) AS id,
+      product_id, quantity, 0 AS reserved FROM stock_requests
     WHERE product_id IS NOT NULL AND quantity >= 0""",
 )
 def new_inventory_rows(t: Tables) -> DataFrame:
-    return inventory.new_inventory_rows(validate.validate_inventory(t.stock_requests).valid)
+    valid = validate.validate_inventory(t.stock_requests).valid
+    return inventory.new_inventory_rows(valid, largest(t.inventory, "id"))
 
 
 # Two creation requests per product number, in event order.
@@ -324,7 +327,9 @@ def _creations(t: Tables) -> DataFrame:
     f"""WITH requests AS ({_CREATIONS}),
     first AS (SELECT product_id, min(seq) AS seq FROM requests
       WHERE product_id NOT IN (SELECT product_id FROM inventory) GROUP BY product_id)
-    SELECT r.product_id, r.quantity, 0 AS reserved FROM requests r JOIN first f USING (product_id, seq)""",
+    SELECT * FROM inventory UNION ALL
+    SELECT (SELECT max(id) FROM inventory) + row_number() OVER (ORDER BY r.seq), r.product_id, r.quantity, 0
+    FROM requests r JOIN first f USING (product_id, seq)""",
 )
 def create_inventory(t: Tables) -> DataFrame:
     return inventory.create_inventory(t.inventory, _creations(t), "seq").table
