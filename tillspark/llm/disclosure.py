@@ -156,21 +156,26 @@ def corpus_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing(near: DataFrame, counts: DataFrame, support: int, threshold: float) -> DataFrame:
+def occurring(near: DataFrame) -> DataFrame:
+    """In how many different contexts terms stand near entities: kind, value (null: any of the kind), term, both.
+
+    Contexts that repeat word for word count once.
+    """
+    one = near.groupBy("kind", "value", "context", "term").agg(F.lit(1).alias("once")).select("kind", "value", "term", "context")
+    any_value = one.groupBy("kind", "term", "context").agg(F.lit(None).cast("string").alias("value")).select(
+        "kind", "value", "term", "context"
+    )
+    return one.union(any_value).groupBy("kind", "value", "term").agg(F.count("*").alias("both"))
+
+
+def disclosing(pairs: DataFrame, counts: DataFrame, support: int, threshold: float) -> DataFrame:
     """Terms that give an entity away: kind, value (null: any of the kind), term, ratio.
 
     The pointwise mutual information of term and entity, as a share of the
     entity's information content, is 1 where the term occurs beside the
-    entity only and 0 where they are independent. Contexts that repeat word
-    for word count once.
+    entity only and 0 where they are independent.
     """
     words = counts.filter("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
-    contexts = near.groupBy("kind", "value", "context", "term").agg(F.count("*").alias("n"))
-    one = contexts.select("kind", "value", "term", "context")
-    any_value = contexts.groupBy("kind", "term", "context").agg(F.lit(None).cast("string").alias("value")).select(
-        "kind", "value", "term", "context"
-    )
-    pairs = one.union(any_value).groupBy("kind", "value", "term").agg(F.count("*").alias("both"))
     size = pairs.groupBy("kind", "value").agg(F.sum("both").alias("around"))
     total = F.greatest(F.col("words"), F.lit(2)).cast("double")
     information = F.log2(total / F.least(F.col("around").cast("double"), total / 2))
@@ -210,8 +215,11 @@ def find(
         rows = materialize(rows, "rows")
     examined = materialize(rows.mapInPandas(_examine, _EXAMINED), "examined")
     near = examined.select("row", F.explode("near").alias("w")).select("row", "w.*")
-    counts = materialize(corpus_counts(rows, near.select("term").distinct()), "counts")
-    given = disclosing(near, counts, support, threshold)
+    pairs = materialize(occurring(near), "occurring")
+    # Fewer occurrences than the support cannot disclose, however rare the term.
+    wanted = pairs.filter(F.col("both") >= support).select("term").distinct()
+    counts = materialize(corpus_counts(rows, wanted), "counts")
+    given = disclosing(pairs, counts, support, threshold)
     own = given.filter("value is not null")
     general = given.filter("value is null").drop("value")
     hits = near.join(own, ["kind", "value", "term"]).select("row", "start", "end", "ratio").union(
