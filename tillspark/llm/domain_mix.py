@@ -25,7 +25,7 @@ SNAP = 0.05
 def words_of(text: Column) -> Column:
     """Lower-case words parted by white space."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BLANKS, " "))
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
 def _share(text: Column, pattern: str, steps: int) -> Column:
@@ -44,7 +44,7 @@ def features_of(words: Column, text: Column) -> Column:
         F.concat(F.lit("symbol "), _share(text, r"[|!$%&*#<>{}=@~^+_\[\]\\/]", 20)),
         F.concat(F.lit("digit "), _share(text, "[0-9]", 20)),
         F.concat(F.lit("distinct "), F.floor(F.size(distinct) * 10 / F.greatest(size, F.lit(1)))),
-        F.concat(F.lit("blank "), _share(text, BLANKS, 20)),
+        F.concat(F.lit("blank "), F.floor(size * 40 / F.greatest(F.length(text), F.lit(1)))),
     )
     return F.transform(F.concat(distinct, marks), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
@@ -116,9 +116,14 @@ def _logistic(found: list[list[int]], labels: list[int], used: np.ndarray, domai
     return constant, weights
 
 
+def weighed(buckets: Column, ratios: list[list[float]]) -> Column:
+    """The buckets that weigh anything for some domain; most do not."""
+    used = numbers([float(any(line[k] for line in ratios)) for k in range(BUCKETS)])
+    return F.filter(buckets, lambda b: F.element_at(used, b + 1) > 0)
+
+
 def log_scores(buckets: Column, prior: list[float], ratios: list[list[float]]) -> Column:
     """Log score of each domain."""
-
     def score(start: float, line: list[float]) -> Column:
         weights = numbers(line)
         return F.aggregate(buckets, F.lit(start), lambda total, b: total + F.element_at(weights, b + 1))
@@ -223,7 +228,8 @@ def mix(
         "doc_id", F.size("words").cast("long").alias("n_tokens"), features_of(F.col("words"), F.col("text")).alias("buckets")
     )
     members = materialize(
-        read.select("doc_id", "n_tokens", log_scores(F.col("buckets"), prior, ratios).alias("scores"))
+        read.select("doc_id", "n_tokens", weighed(F.col("buckets"), ratios).alias("buckets"))
+        .select("doc_id", "n_tokens", log_scores(F.col("buckets"), prior, ratios).alias("scores"))
         .select("doc_id", "n_tokens", _soft(F.col("scores")).alias("posterior")),
         "members",
     )
