@@ -16,7 +16,7 @@ RARE = 1e-3
 SLICE_CHARS = 1_500_000
 FLUSH = 1_500_000
 PAIRS = 1_000
-FEW = 16
+FEW = 1
 STEP = 1 << 16
 SEED = 0x5EED
 
