@@ -34,10 +34,9 @@ def _share(text: Column, pattern: str, steps: int) -> Column:
     return F.floor(hits * steps / F.greatest(F.length(text), F.lit(1)))
 
 
-def features_of(words: Column, text: Column) -> Column:
+def features_of(words: Column, distinct: Column, text: Column) -> Column:
     """Hash buckets of a text's distinct words and of a few coarse statistics."""
     text = F.coalesce(text, F.lit(""))
-    distinct = F.array_distinct(words)
     size = F.size(words)
     marks = F.array(
         F.concat(F.lit("upper "), _share(text, "[A-Z]", 10)),
@@ -49,6 +48,14 @@ def features_of(words: Column, text: Column) -> Column:
     return F.transform(F.concat(distinct, marks), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
 
+def with_buckets(rows: DataFrame) -> DataFrame:
+    """The rows (with `text`) and their number of words and buckets; each step a column, so that none is worked out twice."""
+    found = rows.withColumn("words", words_of(F.col("text"))).withColumn("distinct", F.array_distinct("words"))
+    return found.withColumn("n_tokens", F.size("words").cast("long")).withColumn(
+        "buckets", features_of(F.col("words"), F.col("distinct"), F.col("text"))
+    ).drop("words", "distinct", "text")
+
+
 def numbers(values: list[float]) -> Column:
     """A constant array; one literal to the optimiser however long it is."""
     return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
@@ -66,8 +73,8 @@ def fit_posteriors(rows: DataFrame, marks: DataFrame, domains: list[str], sample
     picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # At most sample_rows rows: a bounded broadcast.
     sample = materialize(
-        rows.join(F.broadcast(picked), "doc_id").select(
-            "doc_id", "domain", F.array_distinct(features_of(words_of(F.col("text")), F.col("text"))).alias("buckets")
+        with_buckets(rows.join(F.broadcast(picked), "doc_id")).select(
+            "doc_id", "domain", F.array_distinct("buckets").alias("buckets")
         ),
         "sample",
     )
@@ -224,9 +231,7 @@ def mix(
     usable = marks.select(F.col("doc_id"), F.col("domain")).filter(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
     usable = usable.groupBy("doc_id").agg(F.min("domain").alias("domain"))
     prior, ratios = fit_posteriors(rows, usable, domains, sample_rows)
-    read = rows.withColumn("words", words_of(F.col("text"))).select(
-        "doc_id", F.size("words").cast("long").alias("n_tokens"), features_of(F.col("words"), F.col("text")).alias("buckets")
-    )
+    read = with_buckets(rows)
     members = materialize(
         read.select("doc_id", "n_tokens", weighed(F.col("buckets"), ratios).alias("buckets"))
         .select("doc_id", "n_tokens", log_scores(F.col("buckets"), prior, ratios).alias("scores"))
