@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillspark.llm.common import BLANKS, Shipped, components, mix64
 from tillspark.session import materialize, shuffle_width
@@ -16,9 +16,9 @@ RARE = 1e-3
 SLICE_CHARS = 1_500_000
 FLUSH = 1_500_000
 PAIRS = 1_000
-FEW = 1
 STEP = 1 << 16
 SEED = 0x5EED
+SLACK = 1e-9
 
 
 def _hash_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -254,14 +254,53 @@ def _sign(rows: DataFrame, weights: Shipped, bands: int, per_band: int) -> DataF
             for part in slices(frame, "body"):
                 found = Shingles(part["body"].tolist())
                 filled = np.flatnonzero(np.diff(found.ends))
-                hashes = np.empty((len(part), bands), np.int64)
+                hashes, total = np.empty((len(part), bands), np.int64), np.zeros(len(part))
                 if len(filled):
                     ends = np.append(found.ends[filled], found.ends[-1])
-                    hashes[filled] = band_hashes(sampler(found.hashes, weights.value(found), ends), bands, per_band)
+                    w = weights.value(found)
+                    hashes[filled] = band_hashes(sampler(found.hashes, w, ends), bands, per_band)
+                    total[filled] = np.add.reduceat(w, ends[:-1])
                 lists = [list(h) if e else [] for h, e in zip(hashes, np.diff(found.ends))]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "node": part["node"], "buckets": lists}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(
+                    {"doc_id": part["doc_id"], "node": part["node"], "total": total, "buckets": lists}
+                ).astype({"doc_id": "Int64"})
 
-    return rows.select("doc_id", "node", "body").mapInPandas(sign, "doc_id long, node string, buckets array<long>")
+    return rows.select("doc_id", "node", "body").mapInPandas(
+        sign, "doc_id long, node string, total double, buckets array<long>"
+    )
+
+
+def _private(bodies: DataFrame, weights: Shipped) -> DataFrame:
+    """Weight of the shingles that no other of these nodes holds: columns node, private."""
+
+    def spread(frames):
+        for frame in frames:
+            for part in slices(frame, "body"):
+                found = Shingles(part["body"].tolist())
+                names = np.frombuffer(bytes.fromhex("".join(part["node"])), ">i8").reshape(-1, 2).astype(np.int64)
+                yield pd.DataFrame({
+                    "shingle": found.hashes.view(np.int64), "weight": weights.value(found),
+                    "high": names[found.owner, 0], "low": names[found.owner, 1],
+                })
+
+    rows = bodies.select("node", "body").mapInPandas(spread, "shingle long, weight double, high long, low long")
+    name = F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("high", "low")]))
+    return (
+        rows.groupBy("shingle")
+        .agg(F.count("*").alias("n"), F.min("high").alias("high"), F.min("low").alias("low"), F.min("weight").alias("weight"))
+        .filter("n = 1").groupBy("high", "low").agg(F.sum("weight").alias("private"))
+        .select(name.alias("node"), "private")
+    )
+
+
+def _may_match(similar: float) -> Column:
+    """Whether two nodes can be similar, by their weights alone.
+
+    They share at most what neither holds alone, so their similarity is at
+    most that over the sum of both weights less it.
+    """
+    most = F.least(F.col("total_a") - F.col("private_a"), F.col("total_b") - F.col("private_b"))
+    return most >= (similar - SLACK) * (F.col("total_a") + F.col("total_b") - most)
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, weights: Shipped, similar: float) -> DataFrame:
@@ -298,11 +337,13 @@ def near_groups(
     of WORDS lower-case words (parted by white space) is at least `similar`.
     A class is what similar texts connect; class_id is its smallest doc_id.
 
-    Equal texts form one node. Nodes that share a band meet in a bucket:
-    first all are compared with the bucket's first node, then, round by
-    round, with the next ones as long as the bucket holds more than one
-    class (in one round where that is at most FEW pairs a row). So links are found without all pairs of a large group, and none
-    within a bucket is left out.
+    Equal texts form one node. Nodes that share a band meet in a bucket.
+    What a node holds alone bounds its similarity to all others, and pairs
+    that the bound rules out are never made. All nodes of a bucket are
+    compared with the one that holds least alone (in a group of copies, the
+    text they come from), then those that are still in different classes
+    with each other. So links are found without all pairs of a large group,
+    and none within a bucket is left out.
 
     Null, empty and blank texts have no shingles and are classes of their
     own; texts of fewer words than WORDS are one shingle. Rows without an id
@@ -319,54 +360,58 @@ def near_groups(
         nodes.select("node", F.explode("buckets").alias("bucket")).groupBy("bucket", "node").agg(F.lit(1).alias("one")).drop("one"),
         "members",
     )
-    firsts = members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = materialize(
-        members.join(firsts, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs"
-    )
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     # Buckets of several nodes hold all that is ever compared.
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    shared = materialize(members.join(crowded.select("bucket"), "bucket", "left_semi"), "shared")
+    involved = shared.select("node").distinct()
     bodies = materialize(
         rows.select("node", "body").join(involved, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")),
         "bodies",
     )
+    weighed = (
+        nodes.groupBy("node").agg(F.max("total").alias("total"))
+        .join(_private(bodies, weights), "node", "left").withColumn("private", F.coalesce("private", F.lit(0.0)))
+        .filter(F.col("total") - F.col("private") >= (similar - SLACK) * F.col("total"))
+    )
+    meeting = materialize(shared.join(weighed, "node"), "meeting")
+    heads = meeting.groupBy("bucket").agg(
+        F.min(F.struct((F.col("private") / F.col("total")).alias("share"), "node", "total", "private")).alias("head"),
+        F.count("*").alias("n"),
+    ).filter("n > 1").select(
+        "bucket", F.col("head.node").alias("x"), F.col("head.total").alias("total_a"), F.col("head.private").alias("private_a")
+    )
+    others = meeting.select(
+        "bucket", F.col("node").alias("y"), F.col("total").alias("total_b"), F.col("private").alias("private_b")
+    )
+    in_order = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    pairs = materialize(
+        others.join(heads, "bucket").filter((F.col("x") != F.col("y")) & _may_match(similar)).select(*in_order).distinct(), "pairs"
+    )
     links = materialize(_verified(pairs, bodies, weights, similar), "similar")
-    labels = components(links)
-    tried = pairs
-    shared = members.join(firsts.select("bucket"), "bucket", "left_semi")
-    by_rank = Window.partitionBy("bucket").orderBy("node")
-    open_rows, low, width = None, 2, 1
-    while True:
-        named = (shared if open_rows is None else open_rows.drop("label")).join(
-            labels.withColumnRenamed("component", "label"), "node", "left"
-        ).withColumn("label", F.coalesce("label", "node"))
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x <> y")
-        left = named.join(mixed.select("bucket"), "bucket", "left_semi")
-        if open_rows is None:
-            left = left.withColumn("rank", F.row_number().over(by_rank))
-        open_rows = materialize(left, "open")
-        most = open_rows.agg(F.max("rank")).first()[0]
-        if most is None or low >= most:
-            break
-        groups = open_rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")
-        )
-        across, size = groups.agg(F.sum(F.col("n") * F.col("n") - F.col("same")) / 2, F.sum("n")).first()
-        if across <= FEW * size:
-            width = most  # all that is left at once
-        heads = open_rows.filter((F.col("rank") >= low) & (F.col("rank") < low + width)).select(
-            "bucket", F.col("node").alias("a"), F.col("rank").alias("head"), F.col("label").alias("other")
-        )
-        more = (
-            open_rows.join(heads, "bucket").filter("rank > head and label <> other")
-            .select("a", F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    named = meeting.join(components(links).withColumnRenamed("component", "label"), "node", "left").withColumn(
+        "label", F.coalesce("label", "node")
+    )
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+    left = materialize(named.join(mixed.select("bucket"), "bucket", "left_semi"), "left")
+    # A pair is made in the smallest of its buckets only.
+    met = left.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("met"))
+    left = left.join(met, "node")
+    one, two = (
+        left.select(
+            "bucket", F.col("node").alias(name), F.col("label").alias(f"label_{side}"),
+            F.col("total").alias(f"total_{side}"), F.col("private").alias(f"private_{side}"),
+            F.col("met").alias(f"met_{side}"),
         )
-        more = materialize(more, "pairs")
-        tried = tried.union(more)
-        new = materialize(_verified(more, bodies, weights, similar), "similar")
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links)
-        low, width = low + width, 2 * width
+        for name, side in (("x", "a"), ("y", "b"))
+    )
+    more = materialize(
+        one.join(two, "bucket").filter(
+            (F.col("x") < F.col("y")) & (F.col("label_a") != F.col("label_b")) & _may_match(similar)
+            & (F.array_min(F.array_intersect("met_a", "met_b")) == F.col("bucket"))
+        ).select(*in_order).join(pairs, ["a", "b"], "left_anti"),
+        "pairs",
+    )
+    labels = components(links.union(materialize(_verified(more, bodies, weights, similar), "similar")))
     classes = signed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Texts without shingles share one node, but each is a class of its own.
     filled = classes.filter(F.size("buckets") > 0)
