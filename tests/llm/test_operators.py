@@ -191,6 +191,37 @@ def test_near_groups_hold_all_similar_pairs(spark, docs):
                 assert got[a] == got[b], (a, b)
 
 
+def test_weights_held_alone_bound_similarity(spark):
+    rng = np.random.default_rng(5)
+    texts = {}
+    for k in range(40):
+        words = [f"w{i}" for i in range(60)]
+        for i in rng.integers(0, 60, k % 7):
+            words[i] = f"new{rng.integers(0, 30)}"
+        texts[f"{k:032x}" if k % 2 else f"f{k:031x}"] = " ".join(words[: 60 - k % 3])
+    bodies = spark.createDataFrame(list(texts.items()), "node string, body string")
+    weights = weighted_minhash.Shipped(spark, weighted_minhash.Weights(10, 4, np.zeros(0, np.uint64), np.zeros(0)))
+    alone = {r["node"]: r["private"] for r in weighted_minhash._private(bodies, weights).collect()}
+    found = {n: weighted_minhash.Shingles([t]) for n, t in texts.items()}
+    holders = Counter(h for f in found.values() for h in f.hashes.tolist())
+    weighed = {}
+    for name, f in found.items():
+        w = weights.value(f)
+        assert alone.get(name, 0.0) == pytest.approx(sum(x for h, x in zip(f.hashes.tolist(), w) if holders[h] == 1))
+        weighed[name] = (name, float(w.sum()), float(alone.get(name, 0.0)))
+    one, two = (
+        spark.createDataFrame(list(weighed.values()), f"{n} string, total_{s} double, private_{s} double")
+        for n, s in (("x", "a"), ("y", "b"))
+    )
+    may = {(r["x"], r["y"]) for r in one.join(two, one["x"] < two["y"]).filter(weighted_minhash._may_match(0.8)).collect()}
+    similar = {
+        (a, b) for a in texts for b in texts if a < b and weighted_minhash.similarity(
+            (found[a].hashes, weights.value(found[a])), (found[b].hashes, weights.value(found[b]))
+        ) >= 0.8
+    }
+    assert similar and similar <= may and len(may) < len(texts) * (len(texts) - 1) // 2
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     one, two = (weighted_minhash.Shingles([t]) for t in ("a b c d e f g h i j k l m n", "a b c d e f g h i j k l m x"))
     sampler = weighted_minhash.Sampler(2000)
