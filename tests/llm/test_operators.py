@@ -118,6 +118,23 @@ def test_model_probabilities_of_words_do_not_exceed_one():
     assert learner.words == sum(len(t.split()) + 1 for t in sample)
 
 
+def test_contexts_of_different_words_never_share_counts():
+    rng = np.random.default_rng(5)
+    words = sorted({bytes(rng.integers(97, 123, rng.integers(4, 12)).astype(np.uint8)) for _ in range(20_000)})
+    coder = lm_mixing.Coder([b"the cat sat on the mat", b"the dog sat on the log"])
+    found = lm_mixing.Words([b" ".join(words)], coder)
+    which = np.arange(1, len(found.hashes))
+    _, keys, _ = lm_mixing.bit_rows(found, which, np.zeros(len(which), np.int64), coder)
+    code, contexts = coder.pair, set()
+    for word in words:
+        spelt = word + b" "
+        for i, byte in enumerate(spelt):
+            pair = (spelt[i - 1] if i else 0) + 256 * (spelt[i - 2] if i > 1 else 0)
+            first, size = coder.first[code[pair], byte], coder.size[code[pair], byte]
+            contexts |= {(spelt[:i], int(step) >> 1) for step in coder.steps[first:first + size]}
+    assert len(np.unique(keys[2])) == len(contexts)
+
+
 def test_statistics_and_isotonic_fit():
     knots, levels = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 2, 1, 3]), np.array([2.0, 2, 2, 3]))
     assert (np.diff(levels) >= 0).all() and (np.diff(knots) > 0).all()
