@@ -135,6 +135,23 @@ def test_contexts_of_different_words_never_share_counts():
     assert len(np.unique(keys[2])) == len(contexts)
 
 
+def test_every_word_teaches_whatever_the_partitions(docs, monkeypatch):
+    made, plain = [], lm_mixing.Model
+
+    class Seen(plain):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self.weights)
+
+    monkeypatch.setattr(lm_mixing, "Model", Seen)
+    scores = []
+    for parts in (1, 7):
+        rows = lm_mixing.score_texts(docs.repartition(parts, "doc_id")).select("doc_id", "score").collect()
+        scores.append([r["score"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["score"]))])
+    assert np.abs(made[0] - lm_mixing._first_weights()).max() > 0.01
+    assert made[0] == pytest.approx(made[1], abs=1e-9) and scores[0] == pytest.approx(scores[1], rel=1e-6)
+
+
 def test_statistics_and_isotonic_fit():
     knots, levels = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 2, 1, 3]), np.array([2.0, 2, 2, 3]))
     assert (np.diff(levels) >= 0).all() and (np.diff(knots) > 0).all()
