@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tillspark.llm import (
     disclosure, domain_mix, exact_dedup, language, lm_mixing, packing, pivots, quality, queries, severity, weighted_minhash,
@@ -325,6 +326,25 @@ def test_rates_meet_the_targets(spark):
     assert all(0 <= r["rate"] <= 1 and r["copies"] in (0, 1) for r in got)
 
 
+def test_documents_of_small_rates_are_drawn(spark):
+    kinds = {"clean": "sunny garden meadow river", "low": "buy cheap click offer", "toxic": "idiot moron hate stupid"}
+    rows = [(3 * i + k, f"{words} t{i % 9} and more common text", name) for i in range(2_000) for k, (name, words) in enumerate(kinds.items())]
+    table = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    got = domain_mix.mix(table.select("doc_id", "text"), table.select("doc_id", "domain")).collect()
+    tokens = dict.fromkeys(kinds, 0)
+    for r in got:
+        tokens[rows[r["doc_id"]][2]] += r["n_tokens"] * r["copies"]
+    share = np.array(list(tokens.values())) / sum(tokens.values())
+    assert share == pytest.approx([0.90, 0.07, 0.03], abs=0.01)
+
+
+def test_buckets_are_scored_once(spark):
+    ratios = [[0.0] * domain_mix.BUCKETS]
+    ratios[0][3] = ratios[0][5] = 1.0
+    row = spark.range(1).select(domain_mix.weighed(F.array(*map(F.lit, (3, 4, 3, 5, 3))), ratios).alias("b")).first()
+    assert row["b"] == [3, 5]
+
+
 def test_rates_follow_plain_projected_descent(spark):
     rng = np.random.default_rng(3)
     p = rng.dirichlet([0.5, 0.5, 0.5], 200)

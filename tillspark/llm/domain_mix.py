@@ -124,9 +124,9 @@ def _logistic(found: list[list[int]], labels: list[int], used: np.ndarray, domai
 
 
 def weighed(buckets: Column, ratios: list[list[float]]) -> Column:
-    """The buckets that weigh anything for some domain; most do not."""
+    """The distinct buckets that weigh anything for some domain; most do not."""
     used = numbers([float(any(line[k] for line in ratios)) for k in range(BUCKETS)])
-    return F.filter(buckets, lambda b: F.element_at(used, b + 1) > 0)
+    return F.array_distinct(F.filter(buckets, lambda b: F.element_at(used, b + 1) > 0))
 
 
 def log_scores(buckets: Column, prior: list[float], ratios: list[list[float]]) -> Column:
@@ -216,8 +216,9 @@ def mix(
     `targets`, which are shares of all tokens (normalised here). Columns:
     doc_id, n_tokens (words), posterior (in the order of the targets), rate,
     copies. Rates are scaled so that a document wholly in the domain most
-    wanted has rate 1; none is above. A rate within SNAP of a whole number
-    counts as that number; what is left is drawn by a hash of the id.
+    wanted has rate 1; none is above. Rates of 1 - SNAP
+    and more give one copy; all others, however small, are drawn by a hash
+    of the id.
 
     Null and empty texts have no words; their posterior comes from the
     statistics alone. Labels that are null or name no target are not used;
@@ -242,9 +243,8 @@ def mix(
     pure = [plain_rate([float(i == j) for j in range(len(domains))], steps) for i in range(len(domains))]
     top = max([*pure, 1e-12])
     rate = F.least(F.lit(1.0), rate_of(F.col("posterior"), steps) / F.lit(top))
-    whole = F.round("rate")
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.when(F.abs(F.col("rate") - whole) <= SNAP, whole).otherwise(F.floor(F.col("rate") + draw)).cast("int")
+    copies = F.when(F.col("rate") >= 1 - SNAP, 1).otherwise(F.floor(F.col("rate") + draw)).cast("int")
     return members.withColumn("rate", rate).withColumn("copies", copies)
 
 
