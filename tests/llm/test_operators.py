@@ -397,6 +397,28 @@ def test_phrases_match_greedy_parsing():
             assert count[0, k] == phrases
 
 
+def test_phrases_of_large_alphabets():
+    rng = np.random.default_rng(8)
+    letters = [chr(0x4E00 + i) for i in range(900)]
+    texts = {}
+    for name in ("b", "c"):  # the same characters in different words
+        words = ["".join(rng.choice(letters, 3)) for _ in range(400)]
+        texts[name] = ["".join(rng.choice(words, 4_000)) for _ in range(2)]
+    texts["a"] = ["a latin text with letters of its own and no others"]
+    parser = language.CrossParser({k: v[:1] for k, v in texts.items()}, 24_000)
+    parts = [texts["b"][1][:600], texts["c"][1][:600], texts["b"][0][300:340] + "\u9fa0" + texts["c"][0][5:50]]
+    count, _ = parser.phrases(parts)
+    for text, row in zip(parts, count):
+        for name, got in zip(parser.languages, row):
+            sample, n, phrase = parser._plain(texts[name][0])[:24_000], 1, ""
+            for c in parser._plain(text):
+                phrase += c
+                if phrase not in sample:
+                    n, phrase = n + 1, c if c in sample else ""
+            assert got == n
+    assert [parser.languages[i] for i in parser.predict(parts[:2])[0]] == ["b", "c"]
+
+
 def test_languages(docs):
     got = language.identify(docs).collect()
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}

@@ -51,12 +51,15 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Automata of all languages in one transition table.
+    """Automata of all languages in one transition table, for the SYMBOLS commonest characters.
+
+    Transitions by all other characters of the labelled texts are sparse:
+    sorted by (state, symbol), with the same entries as values.
 
     An entry holds twice the row offset of the next state, plus one where
     the current phrase ends because no labelled text continues it; the next
     phrase then starts with the symbol that did not fit. Symbol 0 stands for
-    every character outside the alphabet and occurs in no labelled text.
+    every character that occurs in no labelled text.
     """
 
     def __init__(self, texts: dict[str, list[str]], chars: int):
@@ -66,11 +69,15 @@ class CrossParser:
             np.concatenate([self._points("".join(v)) for v in plain.values()] or [np.zeros(0, np.uint32)]),
             return_counts=True,
         )
-        kept = points[np.lexsort((points, -counts))][:SYMBOLS]
-        self.codes = np.zeros(0x110000, np.uint8)
-        self.codes[kept] = np.arange(1, len(kept) + 1)
+        points = points[np.lexsort((points, -counts))]
+        kept, rare = points[:SYMBOLS], points[SYMBOLS:]
         width = self.width = len(kept) + 2  # one more symbol stands between sample texts
+        self.codes = np.zeros(0x110000, np.uint32)
+        self.codes[kept] = np.arange(1, len(kept) + 1)
+        self.codes[rare] = np.arange(width, width + len(rare))
+        self.symbols = width + len(rare)
         tables, roots, used, self.sizes = [], [], 0, []
+        sparse: dict[int, int] = {}
         for name in self.languages:
             symbols: list[int] = []
             for text in plain[name]:
@@ -83,17 +90,22 @@ class CrossParser:
             moves = suffix_automaton(symbols)
             root = np.full(width, used * width * 2 + 1, np.int32)
             for symbol, target in moves[0].items():
-                root[symbol] = (used + target) * width * 2 + 1
+                if symbol < width:
+                    root[symbol] = (used + target) * width * 2 + 1
             part = np.repeat(root[None, :], len(moves), axis=0)
             for state, out in enumerate(moves):
                 for symbol, target in out.items():
-                    if symbol not in (0, width - 1):
+                    if symbol >= width:
+                        sparse[(used + state) * width * self.symbols + symbol] = (used + target) * width * 2
+                    elif symbol not in (0, width - 1):
                         part[state, symbol] = (used + target) * width * 2
             tables.append(part)
             roots.append(used * width)
             used += len(moves)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.int32)
+        self.keys = np.array(sorted(sparse), np.int64)
+        self.entries = np.array([sparse[k] for k in self.keys.tolist()], np.int32)
 
     @staticmethod
     def _plain(text: str) -> str:
@@ -103,6 +115,22 @@ class CrossParser:
     def _points(text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
+    def _find(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Entries of sparse transitions; -1 where there is none."""
+        key = state.astype(np.int64) * self.symbols + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.entries[at], -1)
+
+    def _sparse(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Entries per lane and language; where the phrase ends, those of the root with the mark."""
+        entry = self._find(state, symbol[:, None])
+        ends = entry < 0
+        if ends.any():
+            roots = np.broadcast_to(self.roots, state.shape)[ends]
+            again = self._find(roots, np.broadcast_to(symbol[:, None], state.shape)[ends])
+            entry[ends] = np.where(again < 0, roots * 2, again) + 1
+        return entry
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases per text and language, and characters per text."""
         plain = [self._plain(t) for t in texts]
@@ -116,17 +144,23 @@ class CrossParser:
         size = np.minimum(BLOCK, starts[owner] + lengths[owner] - begin)
         order = np.argsort(-size, kind="stable")
         ends = np.zeros((len(owner), len(self.languages)), np.int32)
-        padded = np.concatenate([symbols, np.zeros(BLOCK, np.uint8)])
+        padded = np.concatenate([symbols, np.zeros(BLOCK, symbols.dtype)])
         for low in range(0, len(order), LANES):
             lanes = order[low:low + LANES]
             sizes = size[lanes]
             grid = np.ascontiguousarray(padded[begin[lanes][:, None] + np.arange(sizes[0])[None, :]].T)
+            rare = grid >= self.width
+            common = np.where(rare, 0, grid)
+            some = rare.any(1)
             active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
             state = np.repeat(self.roots[None, :], len(lanes), axis=0)
             count = np.ones_like(state)
             for at in range(sizes[0]):
                 live = active[at]
-                entry = self.table.take(state[:live] + grid[at, :live, None])
+                entry = self.table.take(state[:live] + common[at, :live, None].astype(np.int32))
+                if some[at]:
+                    who = np.flatnonzero(rare[at, :live])
+                    entry[who] = self._sparse(state[who], grid[at, who].astype(np.int64))
                 count[:live] += entry & 1
                 np.right_shift(entry, 1, out=state[:live])
             ends[lanes] = count
