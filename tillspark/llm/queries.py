@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import disclosure, domain_mix, exact_dedup, language, lm_mixing, packing, pivots, quality, severity, weighted_minhash
+from tillspark.llm import disclosure, domain_mix, exact_dedup, filter_audit, language, lm_mixing, packing, pivots, quality, severity, weighted_minhash
 from tillspark.llm.common import table
 
 
@@ -49,8 +49,12 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 LLM_QUERIES = {
     f.__name__: f
-    for f in (op1_lm_mixing, op2_exact_dedup, op3_quality, op4_disclosure, op5_similar_vectors, op6_near_dedup, op7_packing, op8_mixing, op9_toxicity, op10_language)
+    for f in (op1_lm_mixing, op2_exact_dedup, op3_quality, op4_disclosure, op5_similar_vectors, op6_near_dedup, op7_packing, op8_mixing, op9_toxicity, op10_language, op11_filter_audit)
 }
-LLM_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL}
+LLM_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op11_filter_audit": filter_audit.OP11_SQL}
