@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import disclosure, domain_mix, exact_dedup, filter_audit, language, lm_mixing, packing, pivots, quality, severity, weighted_minhash
+from tillspark.llm import conversation_trie, disclosure, domain_mix, exact_dedup, filter_audit, language, lm_mixing, packing, pivots, quality, severity, weighted_minhash
 from tillspark.llm.common import table
 
 
@@ -53,8 +53,16 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
 LLM_QUERIES = {
     f.__name__: f
-    for f in (op1_lm_mixing, op2_exact_dedup, op3_quality, op4_disclosure, op5_similar_vectors, op6_near_dedup, op7_packing, op8_mixing, op9_toxicity, op10_language, op11_filter_audit)
+    for f in (op1_lm_mixing, op2_exact_dedup, op3_quality, op4_disclosure, op5_similar_vectors, op6_near_dedup, op7_packing, op8_mixing, op9_toxicity, op10_language, op11_filter_audit, op12_conversation_trie)
+}
+LLM_SQL = {
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_conversation_trie": conversation_trie.OP12_SQL,
 }
-LLM_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op11_filter_audit": filter_audit.OP11_SQL}
