@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import conversation_trie, disclosure, domain_mix, exact_dedup, filter_audit, language, lm_mixing, packing, pivots, quality, severity, weighted_minhash
+from tillspark.llm import conversation_trie, disclosure, domain_mix, exact_dedup, filter_audit, language, lm_mixing, packing, page_text, pivots, quality, severity, weighted_minhash
 from tillspark.llm.common import table
 
 
@@ -57,9 +57,13 @@ def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, folder, "conversations"))
 
 
+def op13_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.extract(table(spark, folder, "pages"))
+
+
 LLM_QUERIES = {
     f.__name__: f
-    for f in (op1_lm_mixing, op2_exact_dedup, op3_quality, op4_disclosure, op5_similar_vectors, op6_near_dedup, op7_packing, op8_mixing, op9_toxicity, op10_language, op11_filter_audit, op12_conversation_trie)
+    for f in (op1_lm_mixing, op2_exact_dedup, op3_quality, op4_disclosure, op5_similar_vectors, op6_near_dedup, op7_packing, op8_mixing, op9_toxicity, op10_language, op11_filter_audit, op12_conversation_trie, op13_page_text)
 }
 LLM_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
