@@ -437,3 +437,28 @@ def test_registered_queries_match_their_sql(spark):
     con = oracle.connect(SMALL)
     for name, sql in queries.LLM_SQL.items():
         assert oracle.difference(queries.LLM_QUERIES[name](spark, SMALL), con, sql) is None
+
+
+def test_uninformative_table_keeps_most_of_its_documents(spark):
+    """Words say nothing of the domain: all rates are about equal, so nearly all documents are drawn."""
+    rows = [(i, f"w{i % 50} w{(i * 7) % 50} common words of any text", None, None, None, None, None, None) for i in range(1500)]
+    marks = spark.createDataFrame([(i, int(i * 2654435761 % 7 < 5), 0) for i in range(1500)], "doc_id long, quality int, toxic int")
+    got = domain_mix.mix(spark.createDataFrame(rows, SCHEMA), domain_mix.default_domains(marks)).collect()
+    assert sum(r["copies"] for r in got) > 750 and max(r["rate"] for r in got) == pytest.approx(1)
+
+
+def test_kept_rows_with_clashing_columns_and_repeated_ids(spark):
+    schema = "doc_id long, text string, _body string, body string, id long, row string"
+    rows = [(7, "one", "a", "b", 1, "c"), (7, "two", "d", None, 2, "e"), (7, "one ", "f", "g", 3, "h"), (8, "one", "i", "j", 4, "k")]
+    kept = exact_dedup.keep_first(spark.createDataFrame(rows, schema))
+    assert kept.columns == ["doc_id", "text", "_body", "body", "id", "row"]
+    assert sorted((r["doc_id"], r["text"].strip()) for r in kept.collect() if r["id"] != 3) == [(7, "one"), (7, "two")]
+
+
+def test_language_of_slices_equals_that_of_whole_batches(docs, monkeypatch):
+    parser = language.learn(docs)
+    texts = [r["text"] for r in docs.collect()] + [None, "", "1 2 3", "x" * 50_000]
+    best, score = parser.predict(texts)
+    monkeypatch.setattr(language, "SLICE_CHARS", 3_000)
+    sliced = parser.predict(texts)
+    assert (sliced[0] == best).all() and sliced[1] == pytest.approx(score)

@@ -19,7 +19,6 @@ PENALTY = 1e-5
 FIT_ROUNDS = 200
 ROUNDS = 40
 CLOSE = 1e-7
-SNAP = 0.05
 
 
 def words_of(text: Column) -> Column:
@@ -215,10 +214,9 @@ def mix(
     `marks` is a labelled table (doc_id, domain) with domains out of
     `targets`, which are shares of all tokens (normalised here). Columns:
     doc_id, n_tokens (words), posterior (in the order of the targets), rate,
-    copies. Rates are scaled so that a document wholly in the domain most
-    wanted has rate 1; none is above. Rates of 1 - SNAP
-    and more give one copy; all others, however small, are drawn by a hash
-    of the id.
+    copies. Rates are scaled so that the largest of the table is 1, whatever
+    the classifier can tell apart; each document is drawn at its rate by a
+    hash of its id, so expected totals are in the proportion of the targets.
 
     Null and empty texts have no words; their posterior comes from the
     statistics alone. Labels that are null or name no target are not used;
@@ -240,11 +238,11 @@ def mix(
         "members",
     )
     steps = solve_rates(members, share)
-    pure = [plain_rate([float(i == j) for j in range(len(domains))], steps) for i in range(len(domains))]
-    top = max([*pure, 1e-12])
-    rate = F.least(F.lit(1.0), rate_of(F.col("posterior"), steps) / F.lit(top))
+    plain = rate_of(F.col("posterior"), steps)
+    top = members.agg(F.max(plain)).first()[0] or 1.0
+    rate = plain / F.lit(top)
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.when(F.col("rate") >= 1 - SNAP, 1).otherwise(F.floor(F.col("rate") + draw)).cast("int")
+    copies = F.floor(F.col("rate") + draw).cast("int")
     return members.withColumn("rate", rate).withColumn("copies", copies)
 
 

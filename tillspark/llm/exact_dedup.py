@@ -68,9 +68,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if several.isEmpty():
         return once
     again = docs.join(several, docs[id_col].eqNullSafe(several["_kept_id"]), "left_semi")
-    body = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANKS, " ")
     # The same id may stand on different texts; each text keeps one row.
-    return once.unionByName(again.withColumn("_body", body).dropDuplicates([id_col, "_body"]).drop("_body"))
+    names = docs.columns
+    packed = again.select(F.struct(*(again[c] for c in names)).alias("row")).select(
+        "row", F.regexp_replace(F.coalesce(F.col(f"row.{text_col}"), F.lit("")), BLANKS, " ").alias("body"),
+        F.col(f"row.{id_col}").alias("id"),
+    )
+    return once.unionByName(packed.dropDuplicates(["id", "body"]).select("row.*"))
 
 
 OP2_SQL = r"""

@@ -15,7 +15,8 @@ CHARS_PER_LANGUAGE = 24_000
 SAMPLE_DOCS = 64
 SYMBOLS = 62
 BLOCK = 1024
-LANES = 8192
+LANES = 2048
+SLICE_CHARS = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHERS = re.compile(r"[\W\d_]+")
 
@@ -172,12 +173,16 @@ class CrossParser:
         """Language index (-1: none) and confidence of each text."""
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
         known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-        if known and self.languages:
-            count, length = self.phrases([texts[i] for i in known])
+        if not self.languages:
+            return best, score
+        # Few characters at a time: a batch of long texts must not be spelt out in codes at once.
+        ends = np.cumsum([len(texts[i]) for i in known]) // SLICE_CHARS
+        for part in np.split(np.array(known, int), np.flatnonzero(np.diff(ends)) + 1) if known else ():
+            count, length = self.phrases([texts[i] for i in part])
             entropy = count * np.log2(self.sizes)[None, :] / np.maximum(1, length)[:, None]
             weight = np.exp2(-(entropy - entropy.min(1, keepdims=True)) * np.minimum(100, length)[:, None])
-            best[known] = entropy.argmin(1)
-            score[known] = weight.max(1) / weight.sum(1)
+            best[part] = entropy.argmin(1)
+            score[part] = weight.max(1) / weight.sum(1)
         return best, score
 
 
