@@ -5,8 +5,9 @@ from decimal import Decimal
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from tillspark.operators import cart
+from tillspark.operators import cart, orders
 
 EVENT = "seq long, cart_id long, action string, product_id long, quantity int, available_stock int"
 
@@ -82,13 +83,13 @@ def priced(table):
     )
     products = table(
         "id long, name string, price decimal(18,2)",
-        (5, "Deck", Decimal("79.99")), (6, "Trucks", Decimal("0.10")), (7, "Wheels", Decimal("1.00")),
+        (5, "Deck", Decimal("85.00")), (6, "Trucks", Decimal("0.10")), (7, "Wheels", Decimal("1.00")),
     )
     return cart.priced_lines(lines, products)
 
 
 def test_totals_and_counts(priced):
-    assert rows(cart.cart_totals(priced)) == [(1, Decimal("169.88")), (2, Decimal("79.99"))]
+    assert rows(cart.cart_totals(priced)) == [(1, Decimal("179.90")), (2, Decimal("85.00"))]
     assert rows(cart.cart_item_counts(priced)) == [(1, 20), (2, 1)]
 
 
@@ -101,17 +102,26 @@ def test_gate_names_first_offending_line(priced):
 def test_lines_view(priced):
     view = cart.cart_lines_view(priced)
     assert rows(view, "cart_id", "product_id", "subtotal", "over_stock", "stock_warning") == [
-        (1, 5, Decimal("159.98"), False, None), (1, 6, Decimal("0.90"), True, "Only 4 available"),
-        (1, 7, Decimal("9.00"), True, "Only 1 available"), (2, 5, Decimal("79.99"), False, None),
+        (1, 5, Decimal("170.00"), False, None), (1, 6, Decimal("0.90"), True, "Only 4 available"),
+        (1, 7, Decimal("9.00"), True, "Only 1 available"), (2, 5, Decimal("85.00"), False, None),
     ]
 
 
 @pytest.mark.parametrize("hot_rows", [None, 2])
-def test_requests_keep_cart_order_and_page(priced, hot_rows):
-    requests = cart.order_request_items(priced, page_rows=2, hot_rows=hot_rows)
-    got = {(r["cart_id"], r["page"]): [i["product_id"] for i in r["items"]] for r in requests.collect()}
-    assert got == {(1, 0): [6, 7], (1, 1): [5], (2, 0): [5]}
+def test_requests_keep_cart_order(priced, hot_rows):
+    lines = cart.order_request_items(priced, hot_rows=hot_rows)
+    assert rows(lines, "cart_id", "item_pos", "product_id") == [(1, 1, 6), (1, 2, 7), (1, 3, 5), (2, 1, 5)]
 
 
 def test_only_passing_carts_check_out(priced):
-    assert rows(cart.checkout_requests(priced), "cart_id", "customer_id") == [(2, 2)]
+    made = cart.checkout_requests(priced)
+    assert rows(made.requests) == [(2, 2)]
+    assert rows(made.lines, "cart_id", "product_id") == [(2, 5)]
+
+
+def test_created_orders_ask_for_their_payment(priced):
+    made = cart.checkout_requests(priced)
+    placed = orders.new_order_rows(made.requests, made.lines, F.lit("2024-05-01 10:00:00"), 6, "cart_id")
+    asked = cart.payment_request(placed.orders, placed.items)
+    assert rows(asked.requests) == [(7, 2, Decimal("85.00"))]
+    assert rows(asked.items) == [(7, 1, 5, 1)]

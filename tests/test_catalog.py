@@ -17,7 +17,7 @@ REQUEST = "id long, name string, brand string, category string, price decimal(18
     "description string, image_url string, width double"
 
 
-def product(i, name, brand, category="DECK", price="79.99", active=True):
+def product(i, name, brand, category="DECK", price="85.00", active=True):
     return (i, name, brand, category, Decimal(price), None, None, None, active)
 
 

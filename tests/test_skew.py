@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tillspark.functions.pages import PAGE_ITEMS
 from tillspark.operators import cart, inventory, ledger, orders, updates
 
 
@@ -55,19 +56,21 @@ def test_hot_join_key_is_split(spark, small_limits):
     assert summed.filter("product_id = 7").first()["n"] > 100_000
 
 
-def test_hot_order_is_split_by_page(spark, small_limits):
-    lines = hot(spark, 60_000).select(
+def test_hot_order_is_split(spark, small_limits):
+    lines = hot(spark, 300_000).select(
         F.when(F.col("event_seq") % 3 == 0, 0).otherwise(F.col("event_seq")).alias("order_id"),
         (F.floor(F.col("event_seq") / 3) + 1).alias("item_pos"),
         "product_id",
         "quantity",
         F.lit("1.00").cast("decimal(18,2)").alias("unit_price"),
     )
-    stored = spark.range(60_000).select("id", F.col("id").alias("customer_id"))
-    nested = orders.orders_with_items(stored, lines)
-    sizes = nested.filter("id = 0").select(F.size("items").alias("n"))
-    assert max(r["n"] for r in sizes.collect()) <= orders.PAGE_ROWS
-    assert nested.select(F.sum(F.size("items"))).first()[0] == 60_000
+    stored = spark.range(300_000).select("id", F.col("id").alias("customer_id"))
+    lined = orders.orders_with_items(stored, lines)
+    summed = lined.groupBy("id").agg(F.count("item_pos").alias("n"), F.max(F.xxhash64("product_id", "item_pos")))
+    assert "skew=true" in final_plan(summed)
+    assert summed.filter("id = 0").first()["n"] == 100_000
+    events = orders.order_placed_events(stored.withColumn("total_amount", F.lit(0)), lines)
+    assert max(r["n"] for r in events.select(F.length("value").alias("n")).collect()) < 100 * PAGE_ITEMS
 
 
 def test_last_row_per_key_combines_before_the_shuffle(spark):

@@ -134,8 +134,9 @@ def test_settle_job(spark, table, folders):
 
     stored = spark.sql(
         """SELECT 1L id, 10L order_id, 100L customer_id, 'PENDING' status, 'sess_1' stripe_session_id,
-        '[]' items_json, CAST(NULL AS TIMESTAMP_NTZ) updated_at"""
+        CAST(NULL AS BIGINT) item_count, CAST(NULL AS TIMESTAMP_NTZ) updated_at"""
     )
+    texts = table("order_id long, page long, pages long, item_offset long, items_json string")
     schema = "event_seq long, ts timestamp_ntz, type string, session_id string, raw string"
     at = datetime.datetime(2024, 1, 1)
     table(
@@ -144,7 +145,7 @@ def test_settle_job(spark, table, folders):
     ).coalesce(1).write.parquet(folders("webhooks"))
     state = KeyedState(spark, folders("payments"), "stripe_session_id").start(stored)
     jobs.settle_job(
-        spark.readStream.schema(schema).parquet(folders("webhooks")), state, folders("topics"), folders("offsets")
+        spark.readStream.schema(schema).parquet(folders("webhooks")), state, texts, folders("topics"), folders("offsets")
     )
     assert rows(state.current(), "id", "status") == [(1, "FAILED")]
     for topic, seq in ((schemas.PAYMENT_COMPLETED_TOPIC, 1), (schemas.PAYMENT_FAILED_TOPIC, 2)):

@@ -16,12 +16,6 @@ def encode(*fields: Column) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def encode_page(offset: Column, *fields: Column) -> Column:
-    """One JSON object, with `itemOffset` only where items came before."""
-    more = encode(*fields, offset.cast("long").alias("itemOffset"))
-    return F.when(offset > 0, more).otherwise(encode(*fields))
-
-
 def parse_items(col: Column | str) -> Column:
     """Items text to an array; null, empty or bad text gives an empty array."""
     kind = T.ArrayType(schemas.ITEM_QUANTITY)

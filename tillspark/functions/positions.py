@@ -84,9 +84,3 @@ def row_positions(
         out, F.col("_index") - F.col("_first") + 1
     )
     return cold_rows.unionByName(hot_positions.select(cold_rows.columns))
-
-
-def page_of(position: Column | str, page_rows: int) -> Column:
-    """Page number of a position, so that nested lists stay bounded."""
-    position = F.col(position) if isinstance(position, str) else position
-    return F.call_function("div", position - 1, F.lit(page_rows))

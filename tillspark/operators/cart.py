@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillspark import schemas
-from tillspark.functions.positions import page_of, row_positions
-from tillspark.operators.orders import PAGE_ROWS
+from tillspark.functions.positions import row_positions
 
 # An add without quantity or known stock.
 DEFAULT_QUANTITY = 1
@@ -187,45 +187,42 @@ def stock_gate(priced: DataFrame) -> DataFrame:
     )
 
 
-def order_request_items(
-    priced: DataFrame, page_rows: int = PAGE_ROWS, hot_rows: int | None = None
-) -> DataFrame:
-    """Carts to order requests, lines in cart order at the current price.
-
-    A cart of more than `page_rows` lines gives several requests, by page.
-    """
-    placed = row_positions(priced, "cart_id", ["added_seq"], "pos", hot_rows)
-    entry = F.struct(
-        "pos", "product_id", F.col("quantity").cast("int").alias("quantity"),
+def order_request_items(priced: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Cart lines as lines of an order request, in cart order at the current price."""
+    placed = row_positions(priced, "cart_id", ["added_seq"], "item_pos", hot_rows)
+    return placed.select(
+        "cart_id",
+        "item_pos",
+        "product_id",
+        F.col("quantity").cast("int").alias("quantity"),
         F.col("price").alias("unit_price"),
     )
-    nested = (
-        placed.withColumn("page", page_of("pos", page_rows))
-        .groupBy("cart_id", "page")
-        .agg(F.array_sort(F.collect_list(entry)).alias("_items"))
-    )
-    return nested.select(
-        "cart_id", "page", F.transform("_items", lambda i: i.dropFields("pos")).alias("items")
-    )
 
 
-def payment_request(orders: DataFrame, requests: DataFrame, key: Sequence[str] = ("request_id",)) -> DataFrame:
-    """Created orders to payment requests: the order's total and its items."""
-    key = list(key)
-    items = F.transform(
-        "items",
-        lambda i: F.struct(i["product_id"].alias("product_id"), i["quantity"].alias("quantity")),
-    )
-    return orders.join(requests.select(*key, items.alias("items")), key).select(
-        F.col("id").alias("order_id"),
-        "customer_id",
-        F.col("total_amount").alias("amount"),
-        "items",
+class PaymentRequests(NamedTuple):
+    requests: DataFrame
+    items: DataFrame
+
+
+def payment_request(orders: DataFrame, items: DataFrame) -> PaymentRequests:
+    """Created orders to payment requests: the order's total, and its items."""
+    return PaymentRequests(
+        orders.select(F.col("id").alias("order_id"), "customer_id", F.col("total_amount").alias("amount")),
+        items.select("order_id", "item_pos", "product_id", "quantity"),
     )
 
 
-def checkout_requests(priced: DataFrame, customer: Column | None = None, **paging: int) -> DataFrame:
-    """Order requests of the carts that pass the stock gate."""
+class CheckoutRequests(NamedTuple):
+    requests: DataFrame
+    lines: DataFrame
+
+
+def checkout_requests(
+    priced: DataFrame, customer: Column | None = None, hot_rows: int | None = None
+) -> CheckoutRequests:
+    """Order requests of the carts that pass the stock gate, with their lines."""
     passing = stock_gate(priced).filter("passes").select("cart_id")
-    requests = order_request_items(priced.join(passing, "cart_id", "left_semi"), **paging)
-    return requests.withColumn("customer_id", F.col("cart_id") if customer is None else customer)
+    lines = order_request_items(priced.join(passing, "cart_id", "left_semi"), hot_rows)
+    return CheckoutRequests(
+        passing.withColumn("customer_id", F.col("cart_id") if customer is None else customer), lines
+    )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillspark.functions.pages import first_pages, with_places
+
 # Kind of notice to its text, before the ids.
 NOTICE_TEXT = {
     "ORDER_CONFIRMATION": "Sending order confirmation",
@@ -30,13 +32,9 @@ def _notices(events: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def _first_pages(events: DataFrame) -> DataFrame:
-    return events.filter(F.coalesce("event.itemOffset", F.lit(0)) == 0)
-
-
 def order_confirmations(placed: DataFrame) -> DataFrame:
     """One notice per order placed, however many items."""
-    return _notices(_first_pages(placed), "ORDER_CONFIRMATION")
+    return _notices(first_pages(with_places(placed)), "ORDER_CONFIRMATION")
 
 
 def order_cancellations(cancelled: DataFrame) -> DataFrame:
@@ -45,7 +43,7 @@ def order_cancellations(cancelled: DataFrame) -> DataFrame:
 
 def payment_notices(events: DataFrame) -> DataFrame:
     """Notices for completed and failed payments; other statuses give none."""
-    first = _first_pages(events)
+    first = first_pages(with_places(events))
     done = first.filter(F.col("event.status") == "COMPLETED")
     failed = first.filter(F.col("event.status") == "FAILED")
     return _notices(done, "PAYMENT_CONFIRMATION").unionByName(_notices(failed, "PAYMENT_FAILED"))

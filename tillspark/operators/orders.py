@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillspark import schemas
-from tillspark.functions.codec import encode, encode_page
-from tillspark.functions.positions import assign_ids, page_of
+from tillspark.functions.codec import encode
+from tillspark.functions.pages import PAGE_ITEMS, encode_page, item_pages, with_item_pages
+from tillspark.functions.positions import assign_ids
 from tillspark.operators import lookups, updates
 from tillspark.operators.rejects import with_error
 from tillspark.operators.validate import validate_orders
 
-# Lines per nested list. A longer order gives several lists, one per page,
-# so no task ever holds an order of any length as one value.
-PAGE_ROWS = 1_000
-
 
 class NewOrders(NamedTuple):
     orders: DataFrame
@@ -30,39 +26,29 @@ def line_amount() -> Column:
 
 def new_order_rows(
     requests: DataFrame,
+    lines: DataFrame,
     created_at: Column,
     start: int = 0,
-    key: Sequence[str] = ("request_id",),
+    key: str = "request_id",
 ) -> NewOrders:
-    """Valid requests (request_id, customer_id, items) to pending orders and lines.
-
-    `key` identifies a request; ids follow its order.
+    """Valid requests (key, customer_id) and their lines to pending orders and items.
 
-    Totals fold each request's own array, so nothing is exploded to be
-    summed again. `created_at` is given, so a re-run gives the same rows.
+    Lines (key, item_pos, product_id, quantity, unit_price) stay flat, so an
+    order has one id and one total whatever its length; ids follow `key`.
+    `created_at` is given, so a re-run gives the same rows.
     """
-    zero = F.lit(0).cast("decimal(38,2)")
-    total = F.aggregate(
-        "items",
-        zero,
-        lambda acc, item: (acc + item["unit_price"] * item["quantity"]).cast("decimal(38,2)"),
-    )
-    numbered = assign_ids(requests, list(key), "id", start)
+    sums = lines.groupBy(key).agg(F.sum(line_amount()).alias("_sum"))
+    numbered = assign_ids(requests.select(key, "customer_id").join(sums, key, "left"), [key], "id", start)
     orders = numbered.select(
         "id",
-        *key,
+        key,
         "customer_id",
         F.lit("PENDING").alias("status"),
-        total.cast(schemas.MONEY).alias("total_amount"),
+        F.coalesce("_sum", F.lit(0)).cast(schemas.MONEY).alias("total_amount"),
         created_at.cast("timestamp_ntz").alias("created_at"),
     )
-    lines = numbered.select(F.col("id").alias("order_id"), F.posexplode("items").alias("_pos", "_item"))
-    items = lines.select(
-        "order_id",
-        (F.col("_pos") + 1).cast("long").alias("item_pos"),
-        "_item.product_id",
-        "_item.quantity",
-        "_item.unit_price",
+    items = lines.join(numbered.select(key, F.col("id").alias("order_id")), key).select(
+        "order_id", "item_pos", "product_id", "quantity", "unit_price"
     )
     return NewOrders(orders, items)
 
@@ -80,40 +66,32 @@ def order_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def order_item_lists(items: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """Lines nested per order, in position order, `page_rows` at most per list."""
+def order_item_lists(items: DataFrame, page_rows: int = PAGE_ITEMS) -> DataFrame:
+    """Lines nested per order, in position order, as a reader pages through them."""
     entry = F.struct("item_pos", "product_id", "quantity", "unit_price", "subtotal")
-    return (
-        order_item_view(items)
-        .withColumn("page", page_of("item_pos", page_rows))
-        .groupBy("order_id", "page")
-        .agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    )
+    return item_pages(order_item_view(items), "order_id", entry, page_rows)
 
 
-def orders_with_items(orders: DataFrame, items: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """Orders with nested lines; an order without lines has an empty list.
+def _without_lines(orders: DataFrame, items: DataFrame) -> DataFrame:
+    having = items.select(F.col("order_id").alias("id")).distinct()
+    return orders.join(having, "id", "left_anti")
+
+
+def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per order and line; an order without lines has one row without item.
 
     An inner join plus the orders without lines, in place of an outer
-    join: adaptive execution can then split an order with very many pages.
+    join: adaptive execution can then split an order with very many lines.
     """
-    lists = order_item_lists(items, page_rows).withColumnRenamed("order_id", "id")
-    with_lines = orders.join(lists, "id")
-    having = items.select(F.col("order_id").alias("id")).distinct()
-    bare = (
-        orders.join(having, "id", "left_anti")
-        .withColumn("page", F.lit(0).cast("long"))
-        .withColumn("items", F.array().cast(lists.schema["items"].dataType))
-    )
-    return with_lines.unionByName(bare)
+    lines = order_item_view(items).withColumnRenamed("order_id", "id")
+    return orders.join(lines, "id").unionByName(_without_lines(orders, items), allowMissingColumns=True)
 
 
-def orders_by_customer(
-    orders: DataFrame, items: DataFrame, customers: DataFrame, page_rows: int = PAGE_ROWS
-) -> DataFrame:
-    """Nested orders of the wanted customers."""
+def orders_by_customer(orders: DataFrame, items: DataFrame, customers: DataFrame) -> DataFrame:
+    """Orders of the wanted customers with their lines."""
     wanted = lookups.rows_for_keys(orders, customers, "customer_id")
-    return orders_with_items(wanted, items, page_rows)
+    mine = items.join(wanted.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    return orders_with_items(wanted, mine)
 
 
 def orders_by_status(orders: DataFrame, status: str) -> DataFrame:
@@ -122,25 +100,22 @@ def orders_by_status(orders: DataFrame, status: str) -> DataFrame:
     return lookups.rows_with_value(orders, "status", status)
 
 
-def order_placed_events(orders: DataFrame, items: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """Topic rows keyed by order id; an order of several pages gives an event per page."""
-    nested = orders_with_items(orders, items, page_rows)
-    entries = F.transform(
-        "items",
-        lambda i: F.struct(
-            i["product_id"].alias("productId"),
-            i["quantity"].alias("quantity"),
-            i["unit_price"].alias("unitPrice"),
-        ),
+def order_placed_events(orders: DataFrame, items: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """One event per order, keyed by order id: event_seq, page, key, value."""
+    entry = F.struct(
+        F.col("product_id").alias("productId"), "quantity", F.col("unit_price").alias("unitPrice")
     )
-    return nested.select(
+    pages = item_pages(items, "order_id", entry, page_items).withColumnRenamed("order_id", "id")
+    return with_item_pages(orders, pages, "id", _without_lines(orders, items)).select(
+        F.col("id").alias("event_seq"),
+        "page",
         F.col("id").cast("string").alias("key"),
         encode_page(
-            F.col("page") * page_rows,
+            F.col("id"),
             F.col("id").alias("orderId"),
             F.col("customer_id").alias("customerId"),
             F.col("total_amount").alias("totalAmount"),
-            entries.alias("items"),
+            F.col("items"),
         ).alias("value"),
     )
 
@@ -154,15 +129,16 @@ class Placed(NamedTuple):
 
 def place_orders(
     requests: DataFrame,
+    lines: DataFrame,
     created_at: Column,
     start: int = 0,
-    key: Sequence[str] = ("request_id",),
+    key: str = "request_id",
     strict_items: bool = False,
 ) -> Placed:
-    """Requests to stored rows, published events and rejects."""
-    checked = validate_orders(requests, strict_items)
-    made = new_order_rows(checked.valid, created_at, start, key)
-    events = order_placed_events(made.orders.drop(*key), made.items)
+    """Requests and their lines to stored rows, published events and rejects."""
+    checked = validate_orders(requests, lines, strict_items, key)
+    made = new_order_rows(checked.valid, lines, created_at, start, key)
+    events = order_placed_events(made.orders.drop(key), made.items)
     return Placed(made.orders, made.items, events, checked.rejects)
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillspark import schemas
 from tillspark.functions import codec, text
+from tillspark.functions.pages import PAGE_ITEMS, encode_page, item_pages, with_item_pages
 from tillspark.functions.positions import assign_ids
 from tillspark.operators import lookups, updates
-from tillspark.operators.rejects import with_error
+from tillspark.operators.rejects import error_code, error_message
 
 # Webhook event types and the status each one sets.
 WEBHOOK_STATUS = {
@@ -51,13 +52,12 @@ def new_payment_rows(
     start: int = 0,
     key: Sequence[str] = ("order_id",),
 ) -> DataFrame:
-    """Valid requests (order_id, customer_id, amount, items) to pending payments."""
+    """Valid requests (order_id, customer_id, amount, item_count) to pending payments.
+
+    One payment per request. Its items are rows of `item_texts`; a request
+    that had no item list at all keeps a null count.
+    """
     nothing = F.lit(None).cast("string")
-    items = F.transform(
-        "items",
-        lambda i: F.struct(i["product_id"].alias("productId"), i["quantity"].alias("quantity")),
-    )
-    encoded = F.to_json(items, {"ignoreNullFields": "false"})
     return assign_ids(requests, list(key), "id", start).select(
         "id",
         "order_id",
@@ -66,12 +66,33 @@ def new_payment_rows(
         F.lit("PENDING").alias("status"),
         nothing.alias("stripe_session_id"),
         nothing.alias("stripe_payment_intent_id"),
-        F.when(F.col("items").isNotNull(), F.coalesce(encoded, F.lit("[]"))).alias("items_json"),
+        F.col("item_count").cast("long").alias("item_count"),
         created_at.cast("timestamp_ntz").alias("created_at"),
         F.lit(None).cast("timestamp_ntz").alias("updated_at"),
     )
 
 
+def item_texts(items: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """Lines (order_id, item_pos, product_id, quantity) as JSON text, in pages of the order."""
+    entry = F.struct(F.col("product_id").alias("productId"), "quantity")
+    text = F.to_json("items", {"ignoreNullFields": "false"})
+    return item_pages(items, "order_id", entry, page_items).select(
+        "order_id", "page", "pages", "item_offset", text.alias("items_json")
+    )
+
+
+def items_of_texts(texts: DataFrame) -> DataFrame:
+    """The lines back out of the texts; null, empty or bad text has none."""
+    return texts.select(
+        "order_id", "item_offset", F.posexplode(codec.parse_items("items_json")).alias("_pos", "_item")
+    ).select(
+        "order_id",
+        (F.col("item_offset") + F.col("_pos") + 1).alias("item_pos"),
+        F.col("_item.productId").alias("product_id"),
+        "_item.quantity",
+    )
+
+
 def checkout_lines(payments: DataFrame, label: str = "Order #") -> DataFrame:
     """What the payment provider is asked to charge, one line per payment."""
     order, payment = F.col("order_id").cast("string"), F.col("id").cast("string")
@@ -139,7 +160,8 @@ class Matched(NamedTuple):
 def webhook_payments(events: DataFrame, payments: DataFrame) -> Matched:
     """Handled events joined to their payment.
 
-    No session id is an internal error, an unknown session a 404.
+    No session id is an internal error, an unknown session a 404. Every
+    event meets the payments once; hits and misses are told by a flag.
     """
     targeted = _targeted(events)
     wanted = payments.select(
@@ -147,16 +169,17 @@ def webhook_payments(events: DataFrame, payments: DataFrame) -> Matched:
         F.col("id").alias("payment_id"),
         "order_id",
         "customer_id",
-        "items_json",
+        "item_count",
     )
-    named = targeted.filter(F.col("session_id").isNotNull())
-    unreadable = with_error(
-        targeted.filter(F.col("session_id").isNull()), "INTERNAL", F.lit("")
+    joined = targeted.join(wanted, "session_id", "left")
+    missed = joined.filter(F.col("payment_id").isNull()).select(*targeted.columns)
+    named = F.col("session_id").isNotNull()
+    reason = F.when(named, F.lit("NOT_FOUND")).otherwise(F.lit("INTERNAL"))
+    text = F.concat(F.lit(lookups.NOT_FOUND_TEXT["payment_by_session"]), "session_id")
+    return Matched(
+        joined.filter(F.col("payment_id").isNotNull()),
+        missed.select("*", error_code(reason).alias("error_code"), error_message(reason, text).alias("message")),
     )
-    unknown = lookups.reject_unknown(
-        named, wanted, "session_id", lookups.NOT_FOUND_TEXT["payment_by_session"]
-    )
-    return Matched(named.join(wanted, "session_id"), unreadable.unionByName(unknown))
 
 
 def settle_payments(payments: DataFrame, events: DataFrame) -> DataFrame:
@@ -178,37 +201,50 @@ def settle_payments(payments: DataFrame, events: DataFrame) -> DataFrame:
     return updates.overwrite_fields(payments, last, "stripe_session_id", ["status", "updated_at"])
 
 
-def payment_events(matched: DataFrame) -> DataFrame:
-    """One event per handled webhook event, items read from the payment."""
-    items = codec.parse_items("items_json")
-    return matched.select(
+def payment_events(matched: DataFrame, texts: DataFrame) -> DataFrame:
+    """One event per handled webhook event, items read from the payment's texts.
+
+    Columns event_seq, page, key, status, value. Events of a payment without
+    items need no texts, so the join is an inner one.
+    """
+    parsed = texts.select(
+        "order_id", "page", "pages", "item_offset", codec.parse_items("items_json").alias("items")
+    )
+    empty = matched.filter(F.coalesce("item_count", F.lit(0)) == 0)
+    listed = matched.filter("item_count > 0")
+    return with_item_pages(listed, parsed, "order_id", empty).select(
         "event_seq",
+        "page",
         F.col("order_id").cast("string").alias("key"),
         "status",
-        codec.encode(
+        encode_page(
+            F.col("event_seq"),
             F.col("order_id").alias("orderId"),
             F.col("customer_id").alias("customerId"),
             F.col("session_id").alias("sessionId"),
             F.col("status").alias("status"),
-            items.alias("items"),
+            F.col("items"),
         ).alias("value"),
     )
 
 
 class Settled(NamedTuple):
     payments: DataFrame
-    completed: DataFrame
-    failed: DataFrame
+    published: DataFrame
     rejects: DataFrame
 
+    @property
+    def completed(self) -> DataFrame:
+        return self.published.filter(F.col("status") == "COMPLETED")
+
+    @property
+    def failed(self) -> DataFrame:
+        return self.published.filter(F.col("status") == "FAILED")
+
 
-def settle_webhooks(payments: DataFrame, events: DataFrame) -> Settled:
-    """Webhook events settle payments and give events for two topics."""
+def settle_webhooks(payments: DataFrame, texts: DataFrame, events: DataFrame) -> Settled:
+    """Webhook events settle payments and give events for two topics, by status."""
     matched = webhook_payments(events, payments)
-    published = payment_events(matched.events)
     return Settled(
-        settle_payments(payments, events),
-        published.filter(F.col("status") == "COMPLETED"),
-        published.filter(F.col("status") == "FAILED"),
-        matched.rejects,
+        settle_payments(payments, events), payment_events(matched.events, texts), matched.rejects
     )

@@ -66,60 +66,70 @@ def validate_products(requests: DataFrame) -> Checked:
     )
 
 
-def item_errors(items: Column) -> Column:
-    """Errors of nested lines, keyed by the line's index."""
-    tests = [
-        ("productId", "Product ID is required", lambda i: i["product_id"].isNull()),
-        ("quantity", "Quantity is required", lambda i: i["quantity"].isNull()),
-        ("quantity", "Quantity must be at least 1", lambda i: i["quantity"] < 1),
-        ("unitPrice", "Unit price is required", lambda i: i["unit_price"].isNull()),
+def _line_rules() -> list[Rule]:
+    quantity = F.col("quantity")
+    return [
+        Rule("productId", "Product ID is required", F.col("product_id").isNull()),
+        Rule("quantity", "Quantity is required", quantity.isNull()),
+        Rule("quantity", "Quantity must be at least 1", quantity < 1),
+        Rule("unitPrice", "Unit price is required", F.col("unit_price").isNull()),
     ]
 
-    def line(item: Column, index: Column) -> Column:
-        entries = [
-            F.when(
-                F.coalesce(broken(item), F.lit(False)),
-                F.struct(
-                    F.concat(
-                        F.lit("items["), index.cast("string"), F.lit(f"].{field}")
-                    ).alias("key"),
-                    F.lit(message).alias("value"),
-                ),
-            )
-            for field, message, broken in tests
-        ]
-        return F.filter(F.array(*entries), lambda e: e.isNotNull())
 
-    return F.coalesce(
-        F.flatten(F.transform(items, line)), F.array().cast("array<struct<key:string,value:string>>")
+def validate_order_items(lines: DataFrame, key: str = "request_id") -> DataFrame:
+    """Errors of single lines, a row each: key, item_pos, field, message.
+
+    The field names the line by its index, as in `items[0].quantity`.
+    """
+    found = lines.select(key, "item_pos", F.explode(_errors(_line_rules())).alias("_error"))
+    index = (F.col("item_pos") - 1).cast("string")
+    return found.select(
+        key,
+        "item_pos",
+        F.concat(F.lit("items["), index, F.lit("]."), F.col("_error.key")).alias("field"),
+        F.col("_error.value").alias("message"),
     )
 
 
-def validate_orders(requests: DataFrame, strict_items: bool = False) -> Checked:
-    """Customer and item list; the rules of single lines only when strict.
+def validate_orders(
+    requests: DataFrame, lines: DataFrame, strict_items: bool = False, key: str = "request_id"
+) -> Checked:
+    """Customer and item list of whole requests, however many lines they have.
 
-    Without `strict_items` a line lacking price or quantity is not a
-    validation error, but its total cannot be computed, so the request
-    still goes to the rejects, with the code of an internal error.
+    With `strict_items` a request with a broken line is rejected; its error
+    says how many, `validate_order_items` says which. Otherwise a line
+    lacking price or quantity is not a validation error, but its total
+    cannot be computed, so the request still goes to the rejects, with the
+    code of an internal error. Lines are counted per request before they
+    meet the requests.
     """
+    broken = F.size(_errors(_line_rules())) > 0
+    unpriced = F.col("unit_price").isNull() | F.col("quantity").isNull()
+    counted = lines.groupBy(key).agg(
+        F.count("*").alias("_lines"),
+        F.count_if(broken).alias("_broken"),
+        F.count_if(unpriced).alias("_unpriced"),
+    )
+    marked = requests.join(counted, key, "left")
     rules = [
         Rule("customerId", "Customer ID is required", F.col("customer_id").isNull()),
-        Rule(
-            "items",
-            "Order must have at least one item",
-            F.col("items").isNull() | (F.size("items") == 0),
-        ),
+        Rule("items", "Order must have at least one item", F.col("_lines").isNull()),
     ]
     if strict_items:
-        return check(requests, rules, item_errors(F.col("items")))
-    checked = check(requests, rules)
-    unpriced = F.exists("items", lambda i: i["unit_price"].isNull() | i["quantity"].isNull())
+        many = F.when(
+            F.col("_broken") > 0,
+            F.struct(F.lit("items").alias("key"), F.concat(F.col("_broken").cast("string"), F.lit(" lines are not valid")).alias("value")),
+        )
+        checked = check(marked, rules, F.filter(F.array(many), lambda e: e.isNotNull()))
+        return Checked(*(df.drop("_lines", "_broken", "_unpriced") for df in checked))
+    checked = check(marked, rules)
     internal = (
-        checked.valid.filter(unpriced)
+        checked.valid.filter("_unpriced > 0")
         .withColumn("errors", F.lit(None).cast("map<string,string>"))
         .withColumn("error_code", error_code(F.lit("INTERNAL")))
     )
-    return Checked(checked.valid.filter(~unpriced), checked.rejects.unionByName(internal))
+    parts = checked.valid.filter("_unpriced = 0"), checked.rejects.unionByName(internal)
+    return Checked(*(df.drop("_lines", "_broken", "_unpriced") for df in parts))
 
 
 def validate_payments(requests: DataFrame) -> Checked:

@@ -4,6 +4,7 @@ from tillspark.plans import (  # noqa: F401  (each module registers its queries)
     carts,
     catalog,
     feeds,
+    long_orders,
     orders,
     payments,
     stock,

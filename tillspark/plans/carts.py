@@ -8,7 +8,7 @@ from tillspark.functions.positions import largest
 from tillspark.operators import cart, orders
 from tillspark.plans.orders import AS_OF
 from tillspark.plans.registry import query
-from tillspark.sources.standins import PAGE_ROWS, Tables
+from tillspark.sources.standins import Tables
 
 _MERGED = """lines AS (SELECT cart_id, product_id, sum(quantity) AS quantity,
     min_by(available_stock, seq) AS available_stock, min(seq) AS added_seq
@@ -108,42 +108,50 @@ def stock_gate(t: Tables) -> DataFrame:
     return cart.stock_gate(_priced(t))
 
 
-_PLACED = f"""placed AS (SELECT *, row_number() OVER (PARTITION BY cart_id ORDER BY added_seq) AS pos FROM priced),
-  requests AS (SELECT cart_id, (pos - 1) // {PAGE_ROWS} AS page, concat('[', string_agg(
-      concat('{{"product_id":', CAST(product_id AS VARCHAR), ',"quantity":', CAST(quantity AS VARCHAR),
-        ',"unit_price":', CAST(price AS VARCHAR), '}}'), ',' ORDER BY pos), ']') AS items,
-    concat('[', string_agg(concat('{{"product_id":', CAST(product_id AS VARCHAR), ',"quantity":',
-        CAST(quantity AS VARCHAR), '}}'), ',' ORDER BY pos), ']') AS bare,
-    CAST(sum(price * quantity) AS DECIMAL(18,2)) AS amount
-    FROM placed GROUP BY cart_id, (pos - 1) // {PAGE_ROWS})"""
+_PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY cart_id ORDER BY added_seq) AS item_pos FROM priced)"
+_LINES = "item_pos, product_id, CAST(quantity AS INT) AS quantity, price AS unit_price"
 
 
-@query("order_request_items", f"WITH {_FOLDED}, {_PLACED} SELECT cart_id, page, items FROM requests")
+@query("order_request_items", f"WITH {_FOLDED}, {_PLACED} SELECT cart_id, {_LINES} FROM placed")
 def order_request_items(t: Tables) -> DataFrame:
-    return cart.order_request_items(_priced(t)).withColumn("items", F.to_json("items"))
+    return cart.order_request_items(_priced(t))
 
 
 @query(
     "checkout_requests",
-    f"""WITH {_FOLDED}, {_GATE}, {_PLACED} SELECT cart_id, page, items, cart_id AS customer_id
-    FROM requests WHERE cart_id IN (SELECT cart_id FROM gate WHERE passes)""",
+    f"""WITH {_FOLDED}, {_GATE}, {_PLACED} SELECT cart_id, cart_id AS customer_id, {_LINES}
+    FROM placed WHERE cart_id IN (SELECT cart_id FROM gate WHERE passes)""",
 )
 def checkout_requests(t: Tables) -> DataFrame:
     """Requests of the replayed carts whose lines are all in stock."""
-    return cart.checkout_requests(_priced(t)).withColumn("items", F.to_json("items"))
+    made = cart.checkout_requests(_priced(t))
+    return made.requests.join(made.lines, "cart_id")
+
+
+def _payment_requests(t: Tables) -> cart.PaymentRequests:
+    """Carts to orders to payment requests."""
+    lines = cart.order_request_items(_priced(t))
+    heads = lines.select("cart_id", F.col("cart_id").alias("customer_id")).distinct()
+    made = orders.new_order_rows(heads, lines, F.lit(AS_OF), largest(t.orders_t, "id"), "cart_id")
+    return cart.payment_request(made.orders, made.items)
+
+
+_CART_ORDERS = """requests AS (SELECT cart_id, (SELECT max(id) FROM orders_t) + row_number() OVER (ORDER BY cart_id) AS order_id,
+    CAST(sum(price * quantity) AS DECIMAL(18,2)) AS amount FROM placed GROUP BY cart_id)"""
 
 
 @query(
     "payment_request",
-    f"""WITH {_FOLDED}, {_PLACED} SELECT (SELECT max(id) FROM orders_t) + row_number() OVER (ORDER BY cart_id, page) AS order_id,
-      cart_id AS customer_id, amount, bare AS items FROM requests""",
+    f"WITH {_FOLDED}, {_PLACED}, {_CART_ORDERS} SELECT order_id, cart_id AS customer_id, amount FROM requests",
 )
 def payment_request(t: Tables) -> DataFrame:
-    """Carts to orders to payment requests."""
-    requests = cart.order_request_items(_priced(t)).select(
-        F.col("cart_id").alias("request_id"), "page", F.col("cart_id").alias("customer_id"), "items"
-    )
-    key = ["request_id", "page"]
-    created = orders.new_order_rows(requests, F.lit(AS_OF), largest(t.orders_t, "id"), key)
-    paid = cart.payment_request(created.orders, requests, key)
-    return paid.withColumn("items", F.to_json("items"))
+    return _payment_requests(t).requests
+
+
+@query(
+    "payment_request_items",
+    f"""WITH {_FOLDED}, {_PLACED}, {_CART_ORDERS} SELECT order_id, item_pos, product_id, CAST(quantity AS INT) AS quantity
+    FROM requests JOIN placed USING (cart_id)""",
+)
+def payment_request_items(t: Tables) -> DataFrame:
+    return _payment_requests(t).items

@@ -132,15 +132,15 @@ def _settled(t: Tables) -> tuple[KeyedState, str]:
     events = t.webhook_events
     events.write.parquet(folder)
     out, checkpoint = _paths(t)
-    table = KeyedState(t.spark, out, "stripe_session_id").start(t.paid_items)
+    table = KeyedState(t.spark, out, "stripe_session_id").start(t.paid)
     webhooks = t.spark.readStream.schema(events.schema).parquet(folder)
-    jobs.settle_job(webhooks, table, topics, checkpoint)
+    jobs.settle_job(webhooks, table, t.payment_texts, topics, checkpoint)
     return table, topics
 
 
 @query("settle_webhooks_stream", SETTLED_SQL)
 def settle_webhooks_stream(t: Tables) -> DataFrame:
-    return _settled(t)[0].current().drop("items_json")
+    return _settled(t)[0].current()
 
 
 _COMPLETED_SQL = published_sql("h.status = 'COMPLETED'")

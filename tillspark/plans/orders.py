@@ -6,40 +6,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillspark.functions.positions import largest
 from tillspark.operators import lookups, orders
+from tillspark.operators.validate import validate_orders
 from tillspark.plans.registry import query
 from tillspark.session import scratch_path
-from tillspark.sources.standins import PAGE_ROWS, Tables
+from tillspark.sources.standins import Tables
 from tillspark.sources.topics import read_topic, topic_rows, write_topic
 
 AS_OF = "2024-06-01 00:00:00"
-_PAGE = f"(item_pos - 1) // {PAGE_ROWS}"
+_LINE = "item_pos, product_id, quantity, unit_price, CAST(unit_price * quantity AS DECIMAL(18,2)) AS subtotal"
+_WITH_ITEMS = f"""SELECT o.id, o.customer_id, o.status, o.total_amount, o.created_at, {_LINE}
+  FROM orders_t o LEFT JOIN order_items i ON i.order_id = o.id"""
 # Nested lines as the text that both engines can print alike.
-_ITEM_TEXT = """concat('{"item_pos":', CAST(item_pos AS VARCHAR), ',"product_id":', CAST(product_id AS VARCHAR),
-  ',"quantity":', CAST(quantity AS VARCHAR), ',"unit_price":', CAST(unit_price AS VARCHAR),
-  ',"subtotal":', CAST(CAST(unit_price * quantity AS DECIMAL(18,2)) AS VARCHAR), '}')"""
-_LISTS = f"""SELECT order_id, CAST({_PAGE} AS BIGINT) AS page,
-  concat('[', string_agg({_ITEM_TEXT}, ',' ORDER BY item_pos), ']') AS items
-  FROM order_items GROUP BY order_id, {_PAGE}"""
-_NESTED = f"""WITH lists AS ({_LISTS})
-  SELECT o.id, o.customer_id, o.status, o.total_amount, o.created_at,
-    coalesce(l.page, 0) AS page, coalesce(l.items, '[]') AS items
-  FROM orders_t o LEFT JOIN lists l ON l.order_id = o.id"""
 _EVENT_ITEM = """concat('{"productId":', CAST(product_id AS VARCHAR), ',"quantity":', CAST(quantity AS VARCHAR),
   ',"unitPrice":', CAST(unit_price AS VARCHAR), '}')"""
-PLACED_SQL = f"""WITH lists AS (SELECT order_id, {_PAGE} AS page,
-    concat('[', string_agg({_EVENT_ITEM}, ',' ORDER BY item_pos), ']') AS items
-    FROM order_items GROUP BY order_id, {_PAGE})
+PLACED_SQL = f"""WITH lists AS (SELECT order_id, concat('[', string_agg({_EVENT_ITEM}, ',' ORDER BY item_pos), ']') AS items
+    FROM order_items GROUP BY order_id)
   SELECT o.id, CAST(o.id AS VARCHAR) AS key, concat('{{"orderId":', CAST(o.id AS VARCHAR),
     ',"customerId":', CAST(o.customer_id AS VARCHAR), ',"totalAmount":', CAST(o.total_amount AS VARCHAR),
-    ',"items":', coalesce(l.items, '[]'),
-    CASE WHEN l.page > 0 THEN concat(',"itemOffset":', CAST(l.page * {PAGE_ROWS} AS VARCHAR)) END, '}}') AS value
+    ',"items":', coalesce(l.items, '[]'), '}}') AS value
   FROM orders_t o LEFT JOIN lists l ON l.order_id = o.id"""
 
 
-def _as_text(nested: DataFrame) -> DataFrame:
-    return nested.withColumn("items", F.to_json("items"))
-
-
 @query("scan_orders", "SELECT * FROM orders_t")
 def scan_orders(t: Tables) -> DataFrame:
     return t.orders_t
@@ -67,23 +54,37 @@ def order_totals(t: Tables) -> DataFrame:
     return orders.order_totals(t.orders_t, t.lines_t)
 
 
-@query("order_item_lists", _LISTS)
+# As a reader who asks for three lines at a time.
+READER_ROWS = 3
+_ITEM_TEXT = """concat('{"item_pos":', CAST(item_pos AS VARCHAR), ',"product_id":', CAST(product_id AS VARCHAR),
+  ',"quantity":', CAST(quantity AS VARCHAR), ',"unit_price":', CAST(unit_price AS VARCHAR),
+  ',"subtotal":', CAST(CAST(unit_price * quantity AS DECIMAL(18,2)) AS VARCHAR), '}')"""
+
+
+@query(
+    "order_item_lists",
+    f"""WITH n AS (SELECT order_id, count(*) AS n FROM order_items GROUP BY order_id),
+      paged AS (SELECT *, (item_pos - 1) // {READER_ROWS} AS page FROM order_items)
+    SELECT order_id, CAST(page AS BIGINT) AS page, CAST((any_value(n.n) + {READER_ROWS} - 1) // {READER_ROWS} AS BIGINT) AS pages,
+      CAST(page * {READER_ROWS} AS BIGINT) AS item_offset, concat('[', string_agg({_ITEM_TEXT}, ',' ORDER BY item_pos), ']') AS items
+    FROM paged JOIN n USING (order_id) GROUP BY order_id, page""",
+)
 def order_item_lists(t: Tables) -> DataFrame:
-    return _as_text(orders.order_item_lists(t.order_items))
+    return orders.order_item_lists(t.order_items, READER_ROWS).withColumn("items", F.to_json("items"))
 
 
-@query("orders_with_items", _NESTED)
+@query("orders_with_items", _WITH_ITEMS)
 def orders_with_items(t: Tables) -> DataFrame:
-    return _as_text(orders.orders_with_items(t.orders_t, t.order_items))
+    return orders.orders_with_items(t.orders_t, t.order_items)
 
 
 @query(
     "orders_by_customer",
-    f"{_NESTED} WHERE o.customer_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    f"{_WITH_ITEMS} WHERE o.customer_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
 )
 def orders_by_customer(t: Tables) -> DataFrame:
     wanted = t.raw("customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("customer_id"))
-    return _as_text(orders.orders_by_customer(t.orders_t, t.order_items, wanted))
+    return orders.orders_by_customer(t.orders_t, t.order_items, wanted)
 
 
 @query("orders_by_status", "SELECT * FROM orders_t WHERE status = 'PENDING'")
@@ -105,28 +106,22 @@ def lookup_orders(t: Tables) -> DataFrame:
     )
 
 
-def _placeable(t: Tables) -> DataFrame:
-    requests = t.order_requests
-    return requests.filter(F.col("customer_id").isNotNull() & (F.size("items") > 0))
-
-
 def created_orders(t: Tables) -> orders.NewOrders:
-    return orders.new_order_rows(
-        _placeable(t), F.lit(AS_OF), largest(t.orders_t, "id"), ["request_id", "page"]
-    )
+    valid = validate_orders(t.request_heads, t.request_lines).valid
+    return orders.new_order_rows(valid, t.request_lines, F.lit(AS_OF), largest(t.orders_t, "id"))
 
 
-CREATED = f"""placeable AS (SELECT o.id AS request_id, o.customer_id, {_PAGE} AS page, i.*
+CREATED = """placeable AS (SELECT o.id AS request_id, o.customer_id, i.*
     FROM orders_t o JOIN order_items i ON i.order_id = o.id WHERE o.id % 11 <> 0),
-  created AS (SELECT request_id, page, customer_id,
-      (SELECT max(id) FROM orders_t) + row_number() OVER (ORDER BY request_id, page) AS id,
+  created AS (SELECT request_id, customer_id,
+      (SELECT max(id) FROM orders_t) + row_number() OVER (ORDER BY request_id) AS id,
       CAST(sum(unit_price * quantity) AS DECIMAL(18,2)) AS total_amount
-    FROM placeable GROUP BY request_id, page, customer_id)"""
+    FROM placeable GROUP BY request_id, customer_id)"""
 
 
 @query(
     "new_order_rows",
-    f"""WITH {CREATED} SELECT id, request_id, page, customer_id, 'PENDING' AS status, total_amount,
+    f"""WITH {CREATED} SELECT id, request_id, customer_id, 'PENDING' AS status, total_amount,
       TIMESTAMP '{AS_OF}' AS created_at FROM created""",
 )
 def new_order_rows(t: Tables) -> DataFrame:
@@ -135,8 +130,8 @@ def new_order_rows(t: Tables) -> DataFrame:
 
 @query(
     "new_order_items",
-    f"""WITH {CREATED} SELECT c.id AS order_id, (p.item_pos - 1) % {PAGE_ROWS} + 1 AS item_pos, p.product_id, p.quantity, p.unit_price
-    FROM created c JOIN placeable p USING (request_id, page)""",
+    f"""WITH {CREATED} SELECT c.id AS order_id, p.item_pos, p.product_id, p.quantity, p.unit_price
+    FROM created c JOIN placeable p USING (request_id)""",
 )
 def new_order_items(t: Tables) -> DataFrame:
     return created_orders(t).items
@@ -146,7 +141,7 @@ def new_order_items(t: Tables) -> DataFrame:
     "place_orders",
     f"""WITH {CREATED}, lists AS (SELECT c.id, c.customer_id, c.total_amount,
         concat('[', string_agg({_EVENT_ITEM}, ',' ORDER BY item_pos), ']') AS items
-      FROM created c JOIN placeable p USING (request_id, page) GROUP BY c.id, c.customer_id, c.total_amount)
+      FROM created c JOIN placeable p USING (request_id) GROUP BY c.id, c.customer_id, c.total_amount)
     SELECT CAST(id AS VARCHAR) AS key, concat('{{"orderId":', CAST(id AS VARCHAR), ',"customerId":',
       CAST(customer_id AS VARCHAR), ',"totalAmount":', CAST(total_amount AS VARCHAR), ',"items":', items, '}}') AS value
     FROM lists""",
@@ -154,14 +149,14 @@ def new_order_items(t: Tables) -> DataFrame:
 def place_orders(t: Tables) -> DataFrame:
     """The events published for every valid request."""
     placed = orders.place_orders(
-        t.order_requests, F.lit(AS_OF), largest(t.orders_t, "id"), ["request_id", "page"]
+        t.request_heads, t.request_lines, F.lit(AS_OF), largest(t.orders_t, "id")
     )
-    return placed.events
+    return placed.events.select("key", "value")
 
 
 @query("order_placed_events", f"SELECT key, value FROM ({PLACED_SQL})")
 def order_placed_events(t: Tables) -> DataFrame:
-    return orders.order_placed_events(t.orders_t, t.order_items)
+    return orders.order_placed_events(t.orders_t, t.order_items).select("key", "value")
 
 
 @query(
@@ -175,7 +170,7 @@ def order_cancelled_events(t: Tables) -> DataFrame:
 
 def placed_topic(t: Tables) -> DataFrame:
     events = orders.order_placed_events(t.orders_t, t.order_items)
-    return topic_rows(events, F.col("key"))
+    return topic_rows(events, F.col("event_seq"))
 
 
 @query("write_topic", f"SELECT id AS seq, key, value FROM ({PLACED_SQL})")

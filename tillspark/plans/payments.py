@@ -10,7 +10,7 @@ from tillspark.operators import lookups, payments
 from tillspark.operators.validate import validate_payments
 from tillspark.plans.orders import AS_OF
 from tillspark.plans.registry import query
-from tillspark.sources.standins import PAGE_ROWS, Tables
+from tillspark.sources.standins import Tables
 
 _VIEW = """SELECT id, order_id, customer_id, amount, status, stripe_session_id,
   CAST(NULL AS VARCHAR) AS checkout_url, created_at FROM payments"""
@@ -76,32 +76,29 @@ def lookup_payment_by_session(t: Tables) -> DataFrame:
     )
 
 
-def payable(t: Tables) -> DataFrame:
-    """Valid payment requests with their items."""
-    valid = validate_payments(t.payment_requests).valid
-    lines = t.order_requests.select(F.col("request_id").alias("order_id"), "page", "items")
-    items = F.when(F.size("items") > 0, F.col("items"))
-    return valid.join(lines, "order_id").select(
-        "order_id", "page", "customer_id", "amount", items.alias("items")
-    )
-
-
 @query(
     "new_payment_rows",
-    f"""WITH payable AS (SELECT r.order_id, r.customer_id, r.amount, i.page, i.items_json FROM payment_requests r
-      LEFT JOIN payment_items i ON i.order_id = r.order_id
+    f"""WITH payable AS (SELECT r.order_id, r.customer_id, r.amount, n.item_count FROM payment_requests r
+      LEFT JOIN (SELECT order_id, count(*) AS item_count FROM lines_t GROUP BY order_id) n ON n.order_id = r.order_id
       WHERE r.order_id IS NOT NULL AND r.customer_id IS NOT NULL AND r.amount > 0)
-    SELECT (SELECT max(id) FROM payments) + row_number() OVER (ORDER BY order_id, page) AS id,
+    SELECT (SELECT max(id) FROM payments) + row_number() OVER (ORDER BY order_id) AS id,
       order_id, customer_id, amount, 'PENDING' AS status, CAST(NULL AS VARCHAR) AS stripe_session_id,
-      CAST(NULL AS VARCHAR) AS stripe_payment_intent_id, items_json,
+      CAST(NULL AS VARCHAR) AS stripe_payment_intent_id, item_count,
       TIMESTAMP '{AS_OF}' AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at FROM payable""",
 )
 def new_payment_rows(t: Tables) -> DataFrame:
+    valid = validate_payments(t.payment_requests).valid
+    counted = t.lines_t.groupBy("order_id").agg(F.count("*").alias("item_count"))
     return payments.new_payment_rows(
-        payable(t), F.lit(AS_OF), largest(t.payments, "id"), ["order_id", "page"]
+        valid.join(counted, "order_id", "left"), F.lit(AS_OF), largest(t.payments, "id")
     )
 
 
+@query("payment_item_texts", "SELECT order_id, items_json FROM payment_items")
+def payment_item_texts(t: Tables) -> DataFrame:
+    return t.payment_texts.select("order_id", "items_json")
+
+
 @query(
     "checkout_lines",
     """SELECT order_id, CAST(trunc(amount * 100) AS BIGINT) AS unit_amount, 'eur' AS currency,
@@ -172,14 +169,8 @@ def session_id_from_event(t: Tables) -> DataFrame:
 )
 def parse_items_json(t: Tables) -> DataFrame:
     """Items text back to lines."""
-    parsed = t.paid_items.withColumn("items", codec.parse_items("items_json"))
-    lines = parsed.select("id", "page", F.posexplode("items").alias("pos", "item"))
-    return lines.select(
-        "id",
-        (F.col("page") * PAGE_ROWS + F.col("pos") + 1).alias("item_pos"),
-        F.col("item.productId").alias("product_id"),
-        "item.quantity",
-    )
+    lines = payments.items_of_texts(t.payment_texts)
+    return t.payments.select("id", "order_id").join(lines, "order_id").drop("order_id")
 
 
 _HANDLED = f"""handled AS (SELECT event_seq, ts, type, {_SESSION_ID} AS session_id,
@@ -190,10 +181,10 @@ _HANDLED = f"""handled AS (SELECT event_seq, ts, type, {_SESSION_ID} AS session_
 @query(
     "webhook_payments",
     f"""WITH {_HANDLED} SELECT h.event_seq, h.ts, h.type, h.status, h.session_id, p.id AS payment_id,
-      p.order_id, p.customer_id FROM handled h JOIN payments p ON p.stripe_session_id = h.session_id""",
+      p.order_id, p.customer_id, p.item_count FROM handled h JOIN paid p ON p.stripe_session_id = h.session_id""",
 )
 def webhook_payments(t: Tables) -> DataFrame:
-    return payments.webhook_payments(t.webhook_events, t.paid_items).events.drop("items_json")
+    return payments.webhook_payments(t.webhook_events, t.paid).events
 
 
 @query(
@@ -205,7 +196,7 @@ def webhook_payments(t: Tables) -> DataFrame:
     FROM handled WHERE session_id IS NULL OR session_id NOT IN (SELECT stripe_session_id FROM payments)""",
 )
 def webhook_payments_rejects(t: Tables) -> DataFrame:
-    return payments.webhook_payments(t.webhook_events, t.paid_items).rejects
+    return payments.webhook_payments(t.webhook_events, t.paid).rejects
 
 
 _SETTLED = f"""WITH {_HANDLED},
@@ -223,29 +214,34 @@ def settle_payments(t: Tables) -> DataFrame:
 def published_sql(condition: str) -> str:
     return f"""WITH {_HANDLED} SELECT h.event_seq, CAST(p.order_id AS VARCHAR) AS key, h.status,
       concat('{{"orderId":', CAST(p.order_id AS VARCHAR), ',"customerId":', CAST(p.customer_id AS VARCHAR),
-        ',"sessionId":"', h.session_id, '","status":"', h.status, '","items":', coalesce(p.items_json, '[]'),
+        ',"sessionId":"', h.session_id, '","status":"', h.status, '","items":', coalesce(i.items_json, '[]'),
         '}}') AS value
-    FROM handled h JOIN paid_items p ON p.stripe_session_id = h.session_id WHERE {condition}"""
+    FROM handled h JOIN payments p ON p.stripe_session_id = h.session_id
+      LEFT JOIN payment_items i ON i.order_id = p.order_id WHERE {condition}"""
+
+
+def _settle(t: Tables) -> payments.Settled:
+    return payments.settle_webhooks(t.paid, t.payment_texts, t.webhook_events)
 
 
 @query("payment_events", published_sql("true"))
 def payment_events(t: Tables) -> DataFrame:
-    return payments.payment_events(payments.webhook_payments(t.webhook_events, t.paid_items).events)
+    return _settle(t).published.drop("page")
 
 
 @query("settle_webhooks_completed", published_sql("h.status = 'COMPLETED'"))
 def settle_webhooks_completed(t: Tables) -> DataFrame:
-    return payments.settle_webhooks(t.paid_items, t.webhook_events).completed
+    return _settle(t).completed.drop("page")
 
 
 @query("settle_webhooks_failed", published_sql("h.status = 'FAILED'"))
 def settle_webhooks_failed(t: Tables) -> DataFrame:
-    return payments.settle_webhooks(t.paid_items, t.webhook_events).failed
+    return _settle(t).failed.drop("page")
 
 
-SETTLED_SQL = _SETTLED.format(table="(SELECT * EXCLUDE (items_json) FROM paid_items)")
+SETTLED_SQL = _SETTLED.format(table="paid")
 
 
 @query("settle_webhooks", SETTLED_SQL)
 def settle_webhooks(t: Tables) -> DataFrame:
-    return payments.settle_webhooks(t.paid_items, t.webhook_events).payments.drop("items_json")
+    return _settle(t).payments

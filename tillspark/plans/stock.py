@@ -9,7 +9,7 @@ from tillspark.plans.registry import query
 from tillspark.sources.standins import Tables
 
 
-def ledger_sql(coupled: bool, select: str) -> str:
+def ledger_sql(coupled: bool, select: str, items: str = "order_items") -> str:
     """A strict replay, line by line, as one list reduction.
 
     The state is the quantity of every product, the event that failed last
@@ -21,7 +21,7 @@ def ledger_sql(coupled: bool, select: str) -> str:
       SELECT o.order_id AS event_seq, o.item_pos, o.product_id, o.quantity, i.id IS NULL AS missing,
         CAST(i.reserved AS BIGINT) AS reserved,
         row_number() OVER (ORDER BY o.order_id, o.item_pos) AS n
-      FROM order_items o LEFT JOIN inventory i USING (product_id)),
+      FROM {items} o LEFT JOIN inventory i USING (product_id)),
     stock AS (
       SELECT list(CAST(coalesce(i.quantity, 0) AS BIGINT) ORDER BY p.id) AS q, min(p.id) AS base
       FROM products p LEFT JOIN inventory i ON i.product_id = p.id),
@@ -53,7 +53,7 @@ def ledger_sql(coupled: bool, select: str) -> str:
     {select}"""
 
 
-_LINES = """SELECT o.event_seq, o.item_pos, o.product_id, o.quantity,
+LINES_SQL = """SELECT o.event_seq, o.item_pos, o.product_id, o.quantity,
   CASE WHEN c.code = -1 THEN 'SKIPPED' WHEN c.code = -2 THEN 'NOT_FOUND' WHEN c.code % 4 = 1 THEN 'APPLIED'
     WHEN c.code % 4 = 2 THEN 'REFILLED' ELSE 'INSUFFICIENT' END AS outcome,
   CASE WHEN c.code >= 0 THEN c.code // 4 END AS stock_after
@@ -63,7 +63,7 @@ _AFTER = """SELECT i.id, i.product_id, CAST(a.quantity AS INT) AS quantity, i.re
 INVENTORY_SQL = ledger_sql(True, _AFTER)
 
 
-@query("stock_ledger", ledger_sql(True, _LINES))
+@query("stock_ledger", ledger_sql(True, LINES_SQL))
 def ledger_lines(t: Tables) -> DataFrame:
     return stock_ledger(t.inventory, t.ledger_lines).lines
 
@@ -73,6 +73,6 @@ def ledger_inventory(t: Tables) -> DataFrame:
     return stock_ledger(t.inventory, t.ledger_lines).inventory
 
 
-@query("stock_ledger_independent", ledger_sql(False, _LINES))
+@query("stock_ledger_independent", ledger_sql(False, LINES_SQL))
 def independent_lines(t: Tables) -> DataFrame:
     return stock_ledger(t.inventory, t.ledger_lines, mode="independent").lines

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillspark.operators import rejects, validate
 from tillspark.plans.registry import query
-from tillspark.sources.standins import PAGE_ROWS, Tables
+from tillspark.sources.standins import Tables
 
 
 def _error_text(checked: validate.Checked) -> DataFrame:
@@ -42,49 +42,51 @@ def validate_products_rejects(t: Tables) -> DataFrame:
     return _error_text(checked).select("request_id", "errors", "error_code")
 
 
-def _priced_requests(t: Tables) -> DataFrame:
-    """Order requests where some lines lack their price or have no quantity."""
-    return t.order_requests.withColumn(
-        "items",
-        F.transform(
-            "items",
-            lambda i: F.struct(
-                F.when(i["product_id"] % 29 != 0, i["product_id"]).alias("product_id"),
-                F.when(i["quantity"] == 49, F.lit(0))
-                .when(i["quantity"] != 48, i["quantity"])
-                .alias("quantity"),
-                F.when(i["quantity"] != 50, i["unit_price"]).alias("unit_price"),
-            ),
-        ),
+def _request_lines(t: Tables) -> DataFrame:
+    """Request lines where some lack their price or have no quantity."""
+    return t.request_lines.select(
+        "request_id",
+        "item_pos",
+        F.when(F.col("product_id") % 29 != 0, F.col("product_id")).alias("product_id"),
+        F.when(F.col("quantity") == 49, F.lit(0))
+        .when(F.col("quantity") != 48, F.col("quantity"))
+        .alias("quantity"),
+        F.when(F.col("quantity") != 50, F.col("unit_price")).alias("unit_price"),
     )
 
 
-_ORDER_REQUESTS = f"""requests AS (SELECT id AS request_id,
+_ORDER_REQUESTS = """requests AS (SELECT id AS request_id,
     CASE WHEN id % 11 <> 0 THEN customer_id END AS customer_id FROM orders_t),
-  entries AS (SELECT order_id AS request_id, (item_pos - 1) // {PAGE_ROWS} AS page,
-    (item_pos - 1) % {PAGE_ROWS} AS pos,
+  entries AS (SELECT order_id AS request_id, item_pos,
     CASE WHEN product_id % 29 <> 0 THEN product_id END AS product_id,
     CASE WHEN quantity = 49 THEN 0 WHEN quantity <> 48 THEN quantity END AS quantity,
     CASE WHEN quantity <> 50 THEN unit_price END AS unit_price FROM order_items),
-  per_request AS (SELECT request_id, page, count(*) AS n,
-    bool_or(unit_price IS NULL OR quantity IS NULL) AS broken FROM entries GROUP BY request_id, page),
-  marked AS (SELECT r.*, coalesce(e.page, 0) AS page, coalesce(e.n, 0) AS n, coalesce(e.broken, false) AS broken
+  messages AS (
+    SELECT request_id, item_pos, concat('items[', CAST(item_pos - 1 AS VARCHAR), '].', field) AS field, message FROM (
+      SELECT *, 'productId' AS field, 'Product ID is required' AS message FROM entries WHERE product_id IS NULL
+      UNION ALL SELECT *, 'quantity', 'Quantity is required' FROM entries WHERE quantity IS NULL
+      UNION ALL SELECT *, 'quantity', 'Quantity must be at least 1' FROM entries WHERE quantity < 1
+      UNION ALL SELECT *, 'unitPrice', 'Unit price is required' FROM entries WHERE unit_price IS NULL)),
+  per_request AS (SELECT request_id, count(*) AS n,
+    bool_or(unit_price IS NULL OR quantity IS NULL) AS broken,
+    count(CASE WHEN product_id IS NULL OR quantity IS NULL OR quantity < 1 OR unit_price IS NULL THEN 1 END) AS wrong
+    FROM entries GROUP BY request_id),
+  marked AS (SELECT r.*, coalesce(e.n, 0) AS n, coalesce(e.broken, false) AS broken, coalesce(e.wrong, 0) AS wrong
     FROM requests r LEFT JOIN per_request e USING (request_id))"""
 
 
 @query(
     "validate_orders",
-    f"""WITH {_ORDER_REQUESTS} SELECT request_id, page, customer_id, CAST(n AS INT) AS items
+    f"""WITH {_ORDER_REQUESTS} SELECT request_id, customer_id
     FROM marked WHERE customer_id IS NOT NULL AND n > 0 AND NOT broken""",
 )
 def validate_orders(t: Tables) -> DataFrame:
-    checked = validate.validate_orders(_priced_requests(t))
-    return checked.valid.select("request_id", "page", "customer_id", F.size("items").alias("items"))
+    return validate.validate_orders(t.request_heads, _request_lines(t)).valid
 
 
 @query(
     "validate_orders_rejects",
-    f"""WITH {_ORDER_REQUESTS} SELECT request_id, page,
+    f"""WITH {_ORDER_REQUESTS} SELECT request_id,
       CASE WHEN customer_id IS NULL OR n = 0 THEN concat_ws('; ',
         CASE WHEN customer_id IS NULL THEN 'customerId: Customer ID is required' END,
         CASE WHEN n = 0 THEN 'items: Order must have at least one item' END) END AS errors,
@@ -92,28 +94,28 @@ def validate_orders(t: Tables) -> DataFrame:
     FROM marked WHERE customer_id IS NULL OR n = 0 OR broken""",
 )
 def validate_orders_rejects(t: Tables) -> DataFrame:
-    checked = validate.validate_orders(_priced_requests(t))
-    return _error_text(checked).select("request_id", "page", "errors", "error_code")
+    checked = validate.validate_orders(t.request_heads, _request_lines(t))
+    return _error_text(checked).select("request_id", "errors", "error_code")
 
 
 @query(
-    "validate_order_items",
-    f"""WITH {_ORDER_REQUESTS}, found AS (
-      SELECT request_id, page, concat('items[', CAST(pos AS VARCHAR), '].') AS line, product_id, quantity, unit_price
-      FROM entries),
-    messages AS (
-      SELECT request_id, page, concat(line, 'productId: Product ID is required') AS error FROM found WHERE product_id IS NULL
-      UNION ALL SELECT request_id, page, concat(line, 'quantity: Quantity is required') FROM found WHERE quantity IS NULL
-      UNION ALL SELECT request_id, page, concat(line, 'quantity: Quantity must be at least 1') FROM found WHERE quantity < 1
-      UNION ALL SELECT request_id, page, concat(line, 'unitPrice: Unit price is required') FROM found WHERE unit_price IS NULL
-      UNION ALL SELECT request_id, page, 'customerId: Customer ID is required' FROM marked WHERE customer_id IS NULL
-      UNION ALL SELECT request_id, page, 'items: Order must have at least one item' FROM marked WHERE n = 0)
-    SELECT request_id, page, string_agg(error, '; ' ORDER BY error) AS errors, 400 AS error_code
-    FROM messages GROUP BY request_id, page""",
+    "validate_orders_strict",
+    f"""WITH {_ORDER_REQUESTS} SELECT request_id, concat_ws('; ',
+        CASE WHEN customer_id IS NULL THEN 'customerId: Customer ID is required' END,
+        CASE WHEN n = 0 THEN 'items: Order must have at least one item'
+          WHEN wrong > 0 THEN concat('items: ', CAST(wrong AS VARCHAR), ' lines are not valid') END) AS errors,
+      400 AS error_code
+    FROM marked WHERE customer_id IS NULL OR n = 0 OR wrong > 0""",
 )
+def validate_orders_strict(t: Tables) -> DataFrame:
+    """What the declared line rules would reject as well, if they were in force."""
+    checked = validate.validate_orders(t.request_heads, _request_lines(t), strict_items=True)
+    return _error_text(checked).select("request_id", "errors", "error_code")
+
+
+@query("validate_order_items", f"WITH {_ORDER_REQUESTS} SELECT request_id, item_pos, field, message FROM messages")
 def validate_order_items(t: Tables) -> DataFrame:
-    checked = validate.validate_orders(_priced_requests(t), strict_items=True)
-    return _error_text(checked).select("request_id", "page", "errors", "error_code")
+    return validate.validate_order_items(_request_lines(t))
 
 
 _PAYMENT_ERRORS = """concat_ws('; ',

@@ -45,18 +45,19 @@ CATEGORIES = ("DECK", "TRUCKS", "WHEELS")
 ORDER_STATUSES = ("PENDING", "PAID", "SHIPPED", "DELIVERED", "CANCELLED")
 PAYMENT_STATUSES = ("PENDING", "COMPLETED", "FAILED", "REFUNDED")
 
-# Event payloads, bound by these names in JSON. An order too long for one
-# event gives several; all but the first carry the number of items before them.
+# Event payloads, bound by these names in JSON. An event too long for one
+# message comes in pages, see functions/pages.py.
+PLACE = {"eventSeq": _long, "page": _long, "pages": _long, "itemOffset": _long}
 ITEM_QUANTITY = _table(productId=_long, quantity=_int)
 ITEM_PRICED = _table(productId=_long, quantity=_int, unitPrice=MONEY)
 ORDER_PLACED = _table(
     orderId=_long, customerId=_long, totalAmount=MONEY, items=T.ArrayType(ITEM_PRICED),
-    itemOffset=_long,
+    **PLACE,
 )
 ORDER_CANCELLED = _table(orderId=_long, customerId=_long)
 PAYMENT_EVENT = _table(
     orderId=_long, customerId=_long, sessionId=_text, status=_text,
-    items=T.ArrayType(ITEM_QUANTITY), itemOffset=_long,
+    items=T.ArrayType(ITEM_QUANTITY), **PLACE,
 )
 
 # Topic rows: `seq` is the total order of the topic (the offset in a deployment).

@@ -11,11 +11,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillspark.functions.codec import encode_page
-from tillspark.functions.positions import page_of, row_positions
-from tillspark.operators import orders as order_ops
-
-PAGE_ROWS = order_ops.PAGE_ROWS
+from tillspark.functions.pages import encode_page, item_pages, with_item_pages
+from tillspark.functions.positions import row_positions
+from tillspark.operators import payments as payment_ops
 
 _CATEGORY = (
     "CASE WHEN p_type IN ('ECONOMY','SMALL') THEN 'DECK' "
@@ -102,12 +100,22 @@ DERIVED_SQL = {
             ORDER BY l_linenumber, product_id, l_suppkey, quantity, unit_price) AS BIGINT) AS item_pos,
           product_id, quantity, unit_price
         FROM lines_t""",
-    "payment_items": f"""
-        SELECT order_id, (item_pos - 1) // {PAGE_ROWS} AS page, concat('[', string_agg(concat('{{"productId":', CAST(product_id AS VARCHAR),
-            ',"quantity":', CAST(quantity AS VARCHAR), '}}'), ',' ORDER BY item_pos), ']') AS items_json
-        FROM order_items GROUP BY order_id, (item_pos - 1) // {PAGE_ROWS}""",
-    "paid_items": """
-        SELECT p.*, i.page, i.items_json FROM payments p LEFT JOIN payment_items i ON i.order_id = p.order_id""",
+    "long_orders": """
+        SELECT CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS id, min(customer_id) AS customer_id, min(created_at) AS created_at
+        FROM orders_t GROUP BY 1""",
+    "long_items": """
+        SELECT CASE WHEN order_id % 3 = 0 THEN 0 ELSE order_id END AS order_id,
+          CAST(row_number() OVER (PARTITION BY CASE WHEN order_id % 3 = 0 THEN 0 ELSE order_id END
+            ORDER BY order_id, item_pos) AS BIGINT) AS item_pos,
+          product_id, quantity, unit_price
+        FROM order_items WHERE order_id IN (SELECT id FROM orders_t)""",
+    "payment_items": """
+        SELECT order_id, concat('[', string_agg(concat('{"productId":', CAST(product_id AS VARCHAR),
+            ',"quantity":', CAST(quantity AS VARCHAR), '}'), ',' ORDER BY item_pos), ']') AS items_json
+        FROM order_items GROUP BY order_id""",
+    "paid": """
+        SELECT p.*, n.item_count FROM payments p
+        LEFT JOIN (SELECT order_id, count(*) AS item_count FROM lines_t GROUP BY order_id) n ON n.order_id = p.order_id""",
 }
 
 
@@ -135,40 +143,46 @@ class Tables:
         return placed.select("order_id", "item_pos", "product_id", "quantity", "unit_price")
 
     @cached_property
-    def order_requests(self) -> DataFrame:
-        """Nested order requests; every eleventh order lacks its customer."""
-        nested = order_ops.orders_with_items(self.orders_t, self.order_items)
-        return nested.select(
+    def request_heads(self) -> DataFrame:
+        """Order requests without their lines; every eleventh lacks its customer."""
+        return self.orders_t.select(
             F.col("id").alias("request_id"),
-            "page",
             F.when(F.col("id") % 11 != 0, F.col("customer_id")).alias("customer_id"),
-            F.transform(
-                "items",
-                lambda i: F.struct(
-                    i["product_id"].alias("product_id"),
-                    i["quantity"].alias("quantity"),
-                    i["unit_price"].alias("unit_price"),
-                ),
-            ).alias("items"),
         )
 
     @cached_property
-    def paid_items(self) -> DataFrame:
-        """Payments with their items as JSON text, a row per page of items."""
-        entry = F.struct(
-            "item_pos", F.struct(F.col("product_id").alias("productId"), "quantity").alias("line")
+    def request_lines(self) -> DataFrame:
+        """Lines of the order requests."""
+        return self.order_items.withColumnRenamed("order_id", "request_id")
+
+    @cached_property
+    def long_orders(self) -> DataFrame:
+        """Every third order taken together as one, with a third of all lines."""
+        joined = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("id")
+        return self.orders_t.groupBy(joined).agg(
+            F.min("customer_id").alias("customer_id"), F.min("created_at").alias("created_at")
         )
-        texts = (
-            self.order_items.withColumn("page", page_of("item_pos", PAGE_ROWS))
-            .groupBy("order_id", "page")
-            .agg(F.array_sort(F.collect_list(entry)).alias("_lines"))
-            .select(
-                "order_id",
-                "page",
-                F.to_json(F.transform("_lines", lambda e: e["line"])).alias("items_json"),
-            )
+
+    @cached_property
+    def long_items(self) -> DataFrame:
+        """The lines of `long_orders`."""
+        known = self.order_items.join(self.orders_t.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+        rows = known.withColumnsRenamed({"order_id": "_order", "item_pos": "_pos"}).withColumn(
+            "order_id", F.when(F.col("_order") % 3 == 0, 0).otherwise(F.col("_order"))
         )
-        return self.payments.join(texts, "order_id", "left")
+        placed = row_positions(rows, "order_id", ["_order", "_pos"], "item_pos")
+        return placed.select("order_id", "item_pos", "product_id", "quantity", "unit_price")
+
+    @cached_property
+    def paid(self) -> DataFrame:
+        """Payments with the number of their items."""
+        counted = self.lines_t.groupBy("order_id").agg(F.count("*").alias("item_count"))
+        return self.payments.join(counted, "order_id", "left")
+
+    @cached_property
+    def payment_texts(self) -> DataFrame:
+        """The items of the payments as JSON text."""
+        return payment_ops.item_texts(self.order_items)
 
     @cached_property
     def ledger_lines(self) -> DataFrame:
@@ -179,29 +193,30 @@ class Tables:
 
     @cached_property
     def payment_topic(self) -> DataFrame:
-        """Payment events as topic rows, one per page of an order, statuses by amount."""
-        amount = F.col("total_amount")
-        status = (
-            F.when(amount > 300_000, F.lit("COMPLETED"))
-            .when(amount < 100_000, F.lit("FAILED"))
-            .otherwise(F.lit("UNKNOWN"))
-        )
-        nested = order_ops.orders_with_items(self.orders_t, self.order_items)
-        items = F.transform(
-            "items",
-            lambda i: F.struct(
-                i["product_id"].alias("productId"), i["quantity"].alias("quantity")
-            ),
-        )
-        return nested.select(
-            F.col("id").alias("seq"),
-            F.col("id").cast("string").alias("key"),
-            encode_page(
-                F.col("page") * PAGE_ROWS,
-                F.col("id").alias("orderId"),
-                F.col("customer_id").alias("customerId"),
-                F.concat(F.lit("sess_"), F.col("id").cast("string")).alias("sessionId"),
-                status.alias("status"),
-                items.alias("items"),
-            ).alias("value"),
-        )
+        """Payment events as topic rows, statuses by amount."""
+        return payment_topic(self.orders_t, self.order_items)
+
+
+def payment_topic(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """A payment event of every order as topic rows, its status by the order's amount."""
+    amount = F.col("total_amount")
+    status = (
+        F.when(amount > 300_000, F.lit("COMPLETED"))
+        .when(amount < 100_000, F.lit("FAILED"))
+        .otherwise(F.lit("UNKNOWN"))
+    )
+    entry = F.struct(F.col("product_id").alias("productId"), "quantity")
+    pages = item_pages(items, "order_id", entry).withColumnRenamed("order_id", "id")
+    bare = orders.join(items.select(F.col("order_id").alias("id")).distinct(), "id", "left_anti")
+    return with_item_pages(orders, pages, "id", bare).select(
+        F.col("id").alias("seq"),
+        F.col("id").cast("string").alias("key"),
+        encode_page(
+            F.col("id"),
+            F.col("id").alias("orderId"),
+            F.col("customer_id").alias("customerId"),
+            F.concat(F.lit("sess_"), F.col("id").cast("string")).alias("sessionId"),
+            status.alias("status"),
+            F.col("items"),
+        ).alias("value"),
+    )

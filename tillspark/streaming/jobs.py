@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillspark import schemas
 from tillspark.functions.codec import decode_events
+from tillspark.functions.pages import event_lines, first_pages, with_places
 from tillspark.operators import cart, ledger, notifications, orders, payments
 from tillspark.streaming.state import KeyedState
 
@@ -80,21 +81,14 @@ def cancel_audit_job(cancelled: DataFrame, out: str, checkpoint: str) -> None:
 def payment_lines(topic: DataFrame) -> DataFrame:
     """Payment topic rows to stock event lines; any status counts."""
     events = decode_events(topic, schemas.PAYMENT_EVENT).valid
-    return events.select(
-        F.col("seq").alias("event_seq"),
-        F.coalesce("event.itemOffset", F.lit(0)).alias("_before"),
-        F.posexplode("event.items").alias("_pos", "_item"),
-    ).select(
-        "event_seq",
-        (F.col("_before") + F.col("_pos") + 1).alias("item_pos"),
-        F.col("_item.productId").alias("product_id"),
-        "_item.quantity",
+    return event_lines(
+        with_places(events), F.col("_item.productId").alias("product_id"), F.col("_item.quantity")
     )
 
 
 def payment_statuses(topic: DataFrame) -> DataFrame:
     """Payment topic rows to (seq, order_id, status)."""
-    events = decode_events(topic, schemas.PAYMENT_EVENT).valid
+    events = first_pages(with_places(decode_events(topic, schemas.PAYMENT_EVENT).valid))
     return events.select("seq", F.col("event.orderId").alias("order_id"), "event.status")
 
 
@@ -137,7 +131,9 @@ def stock_job(
     run_available(payment_lines(topic), handle, checkpoint)
 
 
-def settle_job(webhooks: DataFrame, table: KeyedState, topics: str, checkpoint: str) -> None:
+def settle_job(
+    webhooks: DataFrame, table: KeyedState, texts: DataFrame, topics: str, checkpoint: str
+) -> None:
     """Webhook events settle payments and publish to two topic folders.
 
     `table` is keyed by session id. Each batch overwrites its own folder,
@@ -146,7 +142,7 @@ def settle_job(webhooks: DataFrame, table: KeyedState, topics: str, checkpoint:
 
     def handle(rows: DataFrame, batch: int) -> None:
         settled = payments.settle_webhooks(
-            table.before(batch, payments.webhook_sessions(rows)), rows
+            table.before(batch, payments.webhook_sessions(rows)), texts, rows
         )
         for topic, events in (
             (schemas.PAYMENT_COMPLETED_TOPIC, settled.completed),
