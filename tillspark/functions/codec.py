@@ -34,6 +34,24 @@ def session_id(kind: Column, decoded: Column, raw: Column) -> Column:
     return F.coalesce(decoded, fallback)
 
 
+def parsed_once(df: DataFrame, parsed: Column, name: str) -> DataFrame:
+    """`df` with a column that is worked out once, whatever reads it.
+
+    As a generated column it is out of reach of the optimiser, which would
+    put the parser into every later filter and projection.
+    """
+    return df.select("*", F.explode(F.array(parsed)).alias(name))
+
+
+def bind_events(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
+    """Every row with its payload as `event` and whether it is `malformed`."""
+    wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    bound = parsed_once(df, F.from_json(value, wide, options), "event")
+    bad = F.col("event").isNull() | F.col(f"event.{_CORRUPT}").isNotNull()
+    return bound.withColumn("malformed", bad).withColumn("event", F.col("event").dropFields(_CORRUPT))
+
+
 class Decoded(NamedTuple):
     valid: DataFrame
     quarantine: DataFrame
@@ -59,9 +77,8 @@ def decode_events(
         return Decoded(df.withColumn("event", checked), df.filter(F.lit(False)))
     if on_error != "quarantine":
         raise ValueError(f"unknown on_error: {on_error}")
-    wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    bound = df.withColumn("event", F.from_json(value, wide, options))
-    bad = F.col("event").isNull() | F.col(f"event.{_CORRUPT}").isNotNull()
-    valid = bound.filter(~bad).withColumn("event", F.col("event").dropFields(_CORRUPT))
-    return Decoded(valid, bound.filter(bad).drop("event"))
+    bound = bind_events(df, schema, value)
+    return Decoded(
+        bound.filter(~F.col("malformed")).drop("malformed"),
+        bound.filter("malformed").drop("event", "malformed"),
+    )

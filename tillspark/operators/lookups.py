@@ -37,13 +37,6 @@ def lookup_keys(keys: DataFrame, table: DataFrame, key: str, text: str) -> DataF
     )
 
 
-def split_found(looked_up: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hits, and misses as rejects."""
-    hits = looked_up.filter("found").drop("found", "error_code", "message")
-    misses = looked_up.filter(~F.col("found"))
-    return hits, misses
-
-
 def rows_for_keys(table: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Rows whose key is wanted; unknown keys are silently missing."""
     return table.join(keys, on, "left_semi")
@@ -65,7 +58,9 @@ def key_exists(keys: DataFrame, table: DataFrame, on: str | Sequence[str]) -> Da
 
 def reject_unknown(requests: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
     """Requests naming a key that the table lacks."""
-    unknown = requests.join(table.select(key), key, "left_anti")
-    return with_error(
-        unknown, "NOT_FOUND", F.concat(F.lit(text), F.col(key).cast("string"))
-    )
+    return not_found(requests.join(table.select(key), key, "left_anti"), key, text)
+
+
+def not_found(requests: DataFrame, key: str, text: str) -> DataFrame:
+    """Requests whose key is known to be missing, as rejects."""
+    return with_error(requests, "NOT_FOUND", F.concat(F.lit(text), F.col(key).cast("string")))

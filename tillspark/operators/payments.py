@@ -83,9 +83,8 @@ def item_texts(items: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
 
 def items_of_texts(texts: DataFrame) -> DataFrame:
     """The lines back out of the texts; null, empty or bad text has none."""
-    return texts.select(
-        "order_id", "item_offset", F.posexplode(codec.parse_items("items_json")).alias("_pos", "_item")
-    ).select(
+    parsed = codec.parsed_once(texts, codec.parse_items("items_json"), "_items")
+    return parsed.select("order_id", "item_offset", F.posexplode("_items").alias("_pos", "_item")).select(
         "order_id",
         (F.col("item_offset") + F.col("_pos") + 1).alias("item_pos"),
         F.col("_item.productId").alias("product_id"),
@@ -207,9 +206,7 @@ def payment_events(matched: DataFrame, texts: DataFrame) -> DataFrame:
     Columns event_seq, page, key, status, value. Events of a payment without
     items need no texts, so the join is an inner one.
     """
-    parsed = texts.select(
-        "order_id", "page", "pages", "item_offset", codec.parse_items("items_json").alias("items")
-    )
+    parsed = codec.parsed_once(texts.select("order_id", "page", "pages", "item_offset", "items_json"), codec.parse_items("items_json"), "items").drop("items_json")
     empty = matched.filter(F.coalesce("item_count", F.lit(0)) == 0)
     listed = matched.filter("item_count > 0")
     return with_item_pages(listed, parsed, "order_id", empty).select(

@@ -178,7 +178,7 @@ def written_topic(t: Tables) -> DataFrame:
     """Published rows, read back from the topic's folder."""
     folder = scratch_path(t.spark, "topic")
     write_topic(placed_topic(t), folder)
-    return read_topic(t.spark, folder, streaming=False)
+    return read_topic(t.spark, folder, streaming=False).drop("at")
 
 
 @query("read_topic", f"SELECT id AS seq, key, value FROM ({PLACED_SQL})")
@@ -188,7 +188,7 @@ def streamed_topic(t: Tables) -> DataFrame:
     write_topic(placed_topic(t), source)
     copy = write_topic(read_topic(t.spark, source), target, scratch_path(t.spark, "offsets"))
     copy.awaitTermination()
-    return read_topic(t.spark, target, streaming=False)
+    return read_topic(t.spark, target, streaming=False).drop("at")
 
 
 @query(

@@ -187,14 +187,14 @@ def webhook_payments(t: Tables) -> DataFrame:
     return payments.webhook_payments(t.webhook_events, t.paid).events
 
 
-@query(
-    "webhook_payments_rejects",
-    f"""WITH {_HANDLED} SELECT event_seq, ts, type, status, session_id,
-      CASE WHEN session_id IS NULL THEN 500 ELSE 404 END AS error_code,
-      CASE WHEN session_id IS NULL THEN 'An unexpected error occurred'
-        ELSE concat('Payment not found for session: ', session_id) END AS message
-    FROM handled WHERE session_id IS NULL OR session_id NOT IN (SELECT stripe_session_id FROM payments)""",
-)
+UNPAID_SQL = f"""WITH {_HANDLED} SELECT event_seq, ts, type, status, session_id,
+    CASE WHEN session_id IS NULL THEN 500 ELSE 404 END AS error_code,
+    CASE WHEN session_id IS NULL THEN 'An unexpected error occurred'
+      ELSE concat('Payment not found for session: ', session_id) END AS message
+  FROM handled WHERE session_id IS NULL OR session_id NOT IN (SELECT stripe_session_id FROM payments)"""
+
+
+@query("webhook_payments_rejects", UNPAID_SQL)
 def webhook_payments_rejects(t: Tables) -> DataFrame:
     return payments.webhook_payments(t.webhook_events, t.paid).rejects
 

@@ -27,7 +27,7 @@ ORDER_ITEMS = _table(
 )
 PAYMENTS = _table(
     id=_long, order_id=_long, customer_id=_long, amount=MONEY, status=_text,
-    stripe_session_id=_text, stripe_payment_intent_id=_text, items_json=_text,
+    stripe_session_id=_text, stripe_payment_intent_id=_text, item_count=_long,
     created_at=_time, updated_at=_time,
 )
 
@@ -62,6 +62,8 @@ PAYMENT_EVENT = _table(
 
 # Topic rows: `seq` is the total order of the topic (the offset in a deployment).
 TOPIC = _table(seq=_long, key=_text, value=_text)
+# As a folder holds them; the time may be missing.
+PUBLISHED_TOPIC = T.StructType([*TOPIC.fields, T.StructField("published", T.TimestampType())])
 
 # Topic names.
 ORDER_PLACED_TOPIC = "order-placed"
