@@ -6,11 +6,13 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillspark import schemas
 from tillspark.functions.positions import assign_ids, largest
 from tillspark.functions.text import price_label
 from tillspark.operators import catalog, inventory, lookups, updates, validate
 from tillspark.plans.registry import query
-from tillspark.sources.standins import Tables
+from tillspark.sources import tables
+from tillspark.sources.standins import Tables, stored
 
 _COLUMNS = "id, name, brand, category, price, description, image_url, width, active"
 FILTERS = {
@@ -33,12 +35,12 @@ FROM products p LEFT JOIN inventory i ON i.product_id = p.id"""
 
 @query("scan_products", "SELECT * FROM products")
 def scan_products(t: Tables) -> DataFrame:
-    return t.products
+    return tables.scan_products(t.spark, stored(t.products, schemas.PRODUCTS))
 
 
 @query("scan_inventory", "SELECT * FROM inventory")
 def scan_inventory(t: Tables) -> DataFrame:
-    return t.inventory
+    return tables.scan_inventory(t.spark, stored(t.inventory, schemas.INVENTORY))
 
 
 @query("catalog_search", f"SELECT {_COLUMNS} FROM products WHERE {_MATCH}")

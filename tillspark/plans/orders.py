@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillspark import schemas
 from tillspark.functions.positions import largest
 from tillspark.operators import lookups, orders
 from tillspark.operators.validate import validate_orders
 from tillspark.plans.registry import query
 from tillspark.session import scratch_path
-from tillspark.sources.standins import Tables
+from tillspark.sources import tables
+from tillspark.sources.standins import Tables, stored
 from tillspark.sources.topics import read_topic, topic_rows, write_topic
 
 AS_OF = "2024-06-01 00:00:00"
@@ -29,12 +31,16 @@ PLACED_SQL = f"""WITH lists AS (SELECT order_id, concat('[', string_agg({_EVENT_
 
 @query("scan_orders", "SELECT * FROM orders_t")
 def scan_orders(t: Tables) -> DataFrame:
-    return t.orders_t
+    return tables.scan_orders(t.spark, stored(t.orders_t, schemas.ORDERS))
 
 
-@query("scan_order_items", "SELECT * FROM order_items")
+@query(
+    "scan_order_items",
+    "SELECT order_id * 1000 + item_pos AS id, order_id, product_id, quantity, unit_price FROM order_items",
+)
 def scan_order_items(t: Tables) -> DataFrame:
-    return t.order_items
+    items = t.order_items.withColumn("id", F.col("order_id") * 1000 + F.col("item_pos"))
+    return tables.scan_order_items(t.spark, stored(items, schemas.ORDER_ITEMS))
 
 
 @query(

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillspark import schemas
 from tillspark.functions import codec
 from tillspark.functions.positions import largest
 from tillspark.operators import lookups, payments
 from tillspark.operators.validate import validate_payments
 from tillspark.plans.orders import AS_OF
 from tillspark.plans.registry import query
-from tillspark.sources.standins import Tables
+from tillspark.sources import tables
+from tillspark.sources.standins import Tables, stored
 
 _VIEW = """SELECT id, order_id, customer_id, amount, status, stripe_session_id,
   CAST(NULL AS VARCHAR) AS checkout_url, created_at FROM payments"""
 
 
-@query("scan_payments", "SELECT * FROM payments")
+@query(
+    "scan_payments",
+    """SELECT id, order_id, customer_id, amount, status, stripe_session_id, CAST(NULL AS VARCHAR) AS stripe_payment_intent_id,
+      item_count, created_at, updated_at FROM paid""",
+)
 def scan_payments(t: Tables) -> DataFrame:
-    return t.payments
+    return tables.scan_payments(t.spark, stored(t.paid, schemas.PAYMENTS))
 
 
 @query("payment_view", _VIEW)

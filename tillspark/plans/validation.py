@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillspark.operators import rejects, validate
+from tillspark import schemas
+from tillspark.functions.codec import encode
+from tillspark.operators import binding, orders, rejects, validate
 from tillspark.plans.registry import query
 from tillspark.sources.standins import Tables
 
 
-def _error_text(checked: validate.Checked) -> DataFrame:
+def _error_text(checked: validate.Checked | binding.Bound) -> DataFrame:
     """The error map as sorted `field: message` text."""
     entries = F.transform(
         F.array_sort(F.map_entries("errors")),
@@ -202,3 +204,67 @@ def error_code(t: Tables) -> DataFrame:
         rejects.error_code("reason").alias("error_code"),
         rejects.error_message("reason", "props").alias("message"),
     )
+
+
+# Product requests as they come in: every sixth category and every 23rd price does not fit, every 31st body is broken.
+_FITS = "p_partkey % 31 <> 0 AND p_partkey % 6 <> 0 AND p_partkey % 23 <> 0"
+
+
+def _bodies(t: Tables) -> binding.Bound:
+    key, price = F.col("p_partkey"), F.col("p_retailprice").cast(schemas.MONEY).cast("string")
+    body = encode(
+        F.col("p_name").alias("name"), F.col("p_brand").alias("brand"),
+        F.when(key % 6 == 0, F.lower("p_type")).otherwise(F.lit("DECK")).alias("category"),
+        F.when(key % 23 == 0, F.lit("cheap")).otherwise(price).alias("price"), F.col("p_size").alias("width"),
+    )
+    bodies = t.raw("part").select(
+        key.alias("request_id"), F.when(key % 31 == 0, F.lit('{"name":')).otherwise(body).alias("body")
+    )
+    return binding.bind_requests(bodies, binding.PRODUCT_REQUEST)
+
+
+@query(
+    "bind_product_requests",
+    f"""SELECT p_partkey AS request_id, p_name AS name, p_brand AS brand, 'DECK' AS category,
+      CAST(p_retailprice AS DECIMAL(18,2)) AS price, CAST(NULL AS VARCHAR) AS description,
+      CAST(NULL AS VARCHAR) AS image_url, CAST(p_size AS DOUBLE) AS width FROM part WHERE {_FITS}""",
+)
+def bind_product_requests(t: Tables) -> DataFrame:
+    return _bodies(t).valid
+
+
+@query(
+    "bind_product_requests_rejects",
+    """SELECT p_partkey AS request_id, CASE WHEN p_partkey % 31 = 0 THEN 'body: Malformed request body'
+      ELSE concat_ws('; ', CASE WHEN p_partkey % 6 = 0 THEN concat('category: Not valid: ', lower(p_type)) END,
+        CASE WHEN p_partkey % 23 = 0 THEN 'price: Not valid: cheap' END) END AS errors, 400 AS error_code
+    FROM part WHERE p_partkey % 31 = 0 OR p_partkey % 6 = 0 OR p_partkey % 23 = 0""",
+)
+def bind_product_requests_rejects(t: Tables) -> DataFrame:
+    return _error_text(_bodies(t))
+
+
+def _status_bodies(t: Tables) -> binding.Bound:
+    """Every tenth status is written in small letters, which is no status."""
+    name = F.when(F.col("seq") % 10 == 0, F.lower("status")).otherwise(F.col("status"))
+    body = encode(F.col("order_id").alias("orderId"), name.alias("status"))
+    return binding.bind_requests(t.status_changes.select("seq", body.alias("body")), binding.STATUS_REQUEST)
+
+
+@query(
+    "bind_status_requests",
+    """WITH last AS (SELECT order_id, max_by(status, seq) AS status FROM status_changes WHERE seq % 10 <> 0 GROUP BY order_id)
+    SELECT o.id, o.customer_id, coalesce(l.status, o.status) AS status, o.total_amount, o.created_at
+    FROM orders_t o LEFT JOIN last l ON l.order_id = o.id""",
+)
+def bind_status_requests(t: Tables) -> DataFrame:
+    """Status changes out of request bodies; a name that is no status changes nothing."""
+    return orders.set_order_status(t.orders_t, _status_bodies(t).valid).table
+
+
+@query(
+    "bind_status_requests_rejects",
+    "SELECT seq, concat('status: Not valid: ', lower(status)) AS errors, 400 AS error_code FROM status_changes WHERE seq % 10 = 0",
+)
+def bind_status_requests_rejects(t: Tables) -> DataFrame:
+    return _error_text(_status_bodies(t))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tillspark.functions.pages import encode_page, item_pages, with_item_pages
 from tillspark.functions.positions import row_positions
 from tillspark.operators import payments as payment_ops
+from tillspark.session import scratch_path
 
 _CATEGORY = (
     "CASE WHEN p_type IN ('ECONOMY','SMALL') THEN 'DECK' "
@@ -119,6 +120,16 @@ DERIVED_SQL = {
 }
 
 
+def stored(rows: DataFrame, schema: T.StructType) -> str:
+    """The rows written as a stored table with the declared columns; its path."""
+    path = scratch_path(rows.sparkSession, "stored")
+    columns = [
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema
+    ]
+    rows.select(*columns).write.parquet(path)
+    return path
+
+
 class Tables:
     """The stand-in views of one test folder, as DataFrames."""
 
