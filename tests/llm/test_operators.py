@@ -462,3 +462,56 @@ def test_language_of_slices_equals_that_of_whole_batches(docs, monkeypatch):
     monkeypatch.setattr(language, "SLICE_CHARS", 3_000)
     sliced = parser.predict(texts)
     assert (sliced[0] == best).all() and sliced[1] == pytest.approx(score)
+
+
+def test_shared_keys_and_local_ones_make_the_whole_table(docs, monkeypatch):
+    """Whatever the units, every bit sees the counts of all words that share its context."""
+    text = b" ".join((r["text"] or "").encode() for r in docs.limit(60).collect())
+    words = lm_mixing.Words([text], lm_mixing.Coder([text]))
+    coder = lm_mixing.Coder([text])
+    spelt = sorted({words.flat[a:a + n].tobytes() for a, n in zip(words.start[1:], words.size[1:])})
+    count = [1 + len(w) % 4 for w in spelt]
+    sizes = [len(w) for w in spelt]
+    flat = np.frombuffer(b"".join(spelt) + b"\0", np.uint8)
+    spelling = lm_mixing.Spelling(flat, np.cumsum(sizes) - sizes, np.array(sizes))
+    owner, keys, bit = lm_mixing.bit_rows(spelling, np.arange(len(spelt)), np.zeros(len(spelt), np.int64), coder)
+    whole = []
+    for key in keys:
+        names, code = np.unique(key, return_inverse=True)
+        weight = np.array(count, float)[owner]
+        whole.append((np.bincount(code, weight * (bit == 0))[code], np.bincount(code, weight * bit)[code]))
+    units, table = [], {}
+    for low in range(0, len(spelt), 97):
+        part = spelt[low:low + 97]
+        row = {
+            "a": lm_mixing._planes(np.frombuffer(b"".join(part), np.uint8), 1), "b": lm_mixing._planes(np.array([len(w) for w in part])),
+            "c": lm_mixing._planes(np.ones(len(part), int), 1), "d": lm_mixing._planes(np.zeros(len(part), int), 1),
+            "e": lm_mixing._planes(np.array(count[low:low + 97]), 8),
+        }
+        units.append((row, lm_mixing.Unit(row, coder)))
+        for key, zero, one in zip(units[-1][1].keys, *units[-1][1].own_counts()):
+            have = table.setdefault(key, [0, 0])
+            have[0] += zero
+            have[1] += one
+    at = 0
+    for row, unit in units:
+        given = np.array([table[k] for k in unit.keys])
+        row |= {"g": lm_mixing._planes(given[:, 0], 8), "h": lm_mixing._planes(given[:, 1], 8)}
+        now = slice(at, at + len(unit.bit))
+        for (zero, one), (all_zero, all_one) in zip(unit.corpus_counts(row), whole):
+            assert (zero == all_zero[now]).all() and (one == all_one[now]).all()
+        assert unit.edge.mean() < 0.8
+        at = now.stop
+
+
+def test_scores_of_a_toy_corpus_are_probabilities(spark):
+    """All words of a tiny alphabet as one-word texts: their probabilities with the end add to at most 1."""
+    train = [(7 * i, "ab ba ab aab b", None, None, None, None, None, None) for i in range(1, 60) if held(7 * i, 7) != 2]
+    words = ["".join(w) for n in (1, 2, 3, 4, 5, 6) for w in __import__("itertools").product("ab", repeat=n)]
+    ids = [i for i in range(10**6, 10**6 + 3000) if held(i, 7) == 2][:len(words)]
+    table = spark.createDataFrame(train + [(i, w, None, None, None, None, None, None) for i, w in zip(ids, words)], SCHEMA)
+    got = {r["doc_id"]: r for r in lm_mixing.score_texts(table).collect() if r["held_out"]}
+    share = sum(10 ** got[i]["score"] for i in ids)
+    assert 0.02 < share <= 1 + 1e-9
+    by_word = {w: got[i]["score"] for i, w in zip(ids, words)}
+    assert by_word["ab"] > by_word["bb"] and by_word["ab"] > by_word["bbbbab"]
