@@ -207,6 +207,68 @@ def test_terms_that_give_an_entity_away(spark):
     assert found[100]["text"] == rows[8][1]
 
 
+def test_terms_of_copied_texts_and_later_occurrences(spark):
+    """All copies count, and a term goes wherever it stands in a text with the entity."""
+    copy = "ask zebrafan at john@example.com for it, and then some more words follow until Zebrafan signs"
+    rows = [(i, copy) for i in range(100)] + [(500 + i, "other words of other people, more and more of them") for i in range(300)]
+    rows += [(900, "nobody else writes zebra or fan")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in disclosure.sanitise(docs).collect()}
+    for i in range(100):
+        assert "zebrafan" not in found[i]["text"].lower() and "[EMAIL]" in found[i]["text"]
+        spans = [(s["start"], s["end"]) for s in found[i]["spans"] if s["kind"] == "term" and copy[s["start"]:s["end"]].lower() == "zebrafan"]
+        assert spans == [(m.start(), m.end()) for m in re.finditer("zebrafan", copy, re.I)]
+    assert all(found[i]["text"] == t for i, t in rows[100:])
+
+
+def test_term_spans_against_direct_counts(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["amber", "birch", "cedar", "delta", "ember", "fable", "grove", "hazel", "indigo", "jasper"]
+    rows = []
+    for i in range(400):
+        said = [rng.choice(words) for _ in range(rng.randrange(3, 12))]
+        if i % 3 == 0:
+            who = rng.choice(["a@x.org", "b@y.org", "10.0.0.7"])
+            close = {"a@x.org": "quartz", "b@y.org": rng.choice(["raven", "quartz"]), "10.0.0.7": "sable"}[who]
+            at = rng.randrange(len(said) + 1)
+            said[at:at] = [close, who]
+            said.append(rng.choice([close, "tail"]))
+        elif rng.random() < 0.05:
+            said.append("sable")
+        rows.append((i, " ".join(said)))
+    texts = dict(rows)
+    ents = {i: {(k, texts[i][a:b].lower()) for k, a, b in disclosure.base_spans(t)} for i, t in rows}
+    held = {i: e | {(k, None) for k, _ in e} for i, e in ents.items()}
+    near, holds = Counter(), Counter()
+    for i, t in rows:
+        own = {
+            (k, v, w) for k, a, b in disclosure.base_spans(t) for w, s, e in disclosure.neighbours(t, a, b)
+            for v in (t[a:b].lower(), None) if not any(s < y and x < e for _, x, y in disclosure.base_spans(t))
+        }
+        near.update(own)
+        holds.update({w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)})
+    around = Counter(e for h in held.values() for e in h)
+    ratio = {}
+    for (k, v, w), both in near.items():
+        if both >= disclosure.SUPPORT:
+            n = len(rows)
+            share = math.log2(both * n / (max(holds[w], both) * around[k, v])) / math.log2(n / min(around[k, v], n / 2))
+            if share >= disclosure.DISCLOSES:
+                ratio[k, v, w] = share
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term"} for r in disclosure.find(docs).collect()}
+    for i, t in rows:
+        taken = [(a, b) for _, a, b in disclosure.base_spans(t)]
+        expected = {
+            m.span() for m in re.finditer(r"[^\W\d_]{3,}", t)
+            if any((k, v, m[0].lower()) in ratio for k, v in held[i]) and not any(m.start() < b and a < m.end() for a, b in taken)
+        }
+        assert got[i] == expected, (i, t)
+    assert any(got.values()) and len({w for _, _, w in ratio}) >= 2
+
+
 def test_near_groups_hold_all_similar_pairs(spark, docs):
     base = " ".join(f"w{k}" for k in range(120))
     rows = [(900_000, base), (900_001, base.replace("w60 ", "changed ")), (900_002, base.upper()), (900_003, "w1 w2 w3 quite another text here")]

@@ -21,6 +21,7 @@ SUPPORT = 3
 DISCLOSES = 0.8
 REMOVES = 0.95
 FILTER_BITS = 1 << 23
+FILTER_BLOCKS = 256
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -90,27 +91,34 @@ def neighbours(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
 
 
 def _examine(frames):
-    """Base spans of each row and the words near them."""
+    """Base spans of each row, the words near them, once each, and the text where there is a span."""
     for frame in frames:
         out = []
         for key, doc_id, text in zip(frame["row"], frame["doc_id"], frame["text"]):
             spans = base_spans(text)
-            taken = np.zeros(len(text) + 1, bool) if spans else None
-            for _, a, b in spans:
-                taken[a:b] = True
-            near = []
+            taken = _covered(text, spans)
+            near = set()
             for kind, a, b in spans:
-                words = [w for w in neighbours(text, a, b) if not taken[w[1]:w[2]].any()]
-                context = zlib.crc32(" ".join(w for w, _, _ in words).encode("utf-8", "surrogatepass"))
                 value = text[a:b].lower()
-                near += [{"kind": kind, "value": value, "context": context, "term": w, "start": s, "end": e} for w, s, e in words]
-            out.append((key, doc_id, [{"kind": k, "start": a, "end": b} for k, a, b in spans], near))
-        yield pd.DataFrame(out, columns=["row", "doc_id", "base", "near"]).astype({"doc_id": "Int64"})
+                near |= {(kind, value, w) for w, s, e in neighbours(text, a, b) if not taken[s:e].any()}
+            out.append((
+                key, doc_id, [{"kind": k, "value": text[a:b].lower(), "start": a, "end": b} for k, a, b in spans],
+                [dict(zip(("kind", "value", "term"), n)) for n in sorted(near)], text if spans else None,
+            ))
+        yield pd.DataFrame(out, columns=["row", "doc_id", "base", "near", "text"]).astype({"doc_id": "Int64"})
+
+
+def _covered(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Which characters lie in a span."""
+    taken = np.zeros(len(text) + 1 if spans else 0, bool)
+    for _, a, b in spans:
+        taken[a:b] = True
+    return taken
 
 
 _EXAMINED = (
-    "row long, doc_id long, base array<struct<kind: string, start: int, end: int>>, "
-    "near array<struct<kind: string, value: string, context: long, term: string, start: int, end: int>>"
+    "row long, doc_id long, base array<struct<kind: string, value: string, start: int, end: int>>, "
+    "near array<struct<kind: string, value: string, term: string>>, text string"
 )
 
 
@@ -119,21 +127,36 @@ def _places(words: list[str]) -> np.ndarray:
     return (mix64(codes) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def corpus_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Occurrences of the wanted terms in all texts: term, n. The row with a null term counts all words.
+def term_filter(terms: DataFrame) -> Shipped:
+    """A bit table of fixed size in which all these terms (and by chance a few others) are set."""
+
+    def bits_of(frames):
+        for frame in frames:
+            bits = np.zeros(FILTER_BITS, bool)
+            bits[_places(frame["term"].tolist())] = True
+            packed = np.packbits(bits).reshape(FILTER_BLOCKS, -1)
+            used = np.flatnonzero(packed.any(1))
+            yield pd.DataFrame({"block": used, "bits": [packed[k].tobytes() for k in used]})
+
+    def either(frame: pd.DataFrame) -> pd.DataFrame:
+        whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in frame["bits"]])
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "bits": [whole.tobytes()]})
+
+    schema = "block int, bits binary"
+    packed = np.zeros((FILTER_BLOCKS, FILTER_BITS // 8 // FILTER_BLOCKS), np.uint8)
+    # FILTER_BLOCKS rows, one megabyte in all.
+    for row in terms.select("term").mapInPandas(bits_of, schema).groupBy("block").applyInPandas(either, schema).collect():
+        packed[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return Shipped(terms.sparkSession, packed.ravel())
+
+
+def document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """In how many texts the wanted terms occur: term, n. The row with a null term counts all texts.
 
     Tasks add up what they hold first. A bit table of fixed size keeps words
     back that cannot be wanted; what passes by chance is harmless.
     """
-    at = F.pmod(F.col("place"), F.lit(8 * 1024))
-    places = wanted.mapInPandas(
-        lambda frames: (pd.DataFrame({"place": np.unique(_places(f["term"].tolist()))}) for f in frames), "place long"
-    )
-    rows = places.distinct().groupBy(at.alias("at")).agg(F.collect_list("place").alias("places")).collect()
-    bits = np.zeros(FILTER_BITS, bool)  # at most FILTER_BITS places
-    for row in rows:
-        bits[row["places"]] = True
-    shared = Shipped(texts.sparkSession, np.packbits(bits))
+    shared = term_filter(wanted)
 
     def count(frames):
         known = np.unpackbits(shared.value).astype(bool)
@@ -142,8 +165,8 @@ def corpus_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         for frame in frames:
             words: Counter[str] = Counter()
             for text in frame["text"]:
-                words.update(_WORD.findall(text.lower()))
-            every += sum(words.values())
+                words.update({w.lower() for w in set(_WORD.findall(text))})
+            every += len(frame)
             names = list(words)
             for i in np.flatnonzero(known[_places(names)]):
                 total[names[i]] += words[names[i]]
@@ -157,37 +180,59 @@ def corpus_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def occurring(near: DataFrame) -> DataFrame:
-    """In how many different contexts terms stand near entities: kind, value (null: any of the kind), term, both.
+    """In how many texts terms stand near entities: kind, value (null: any of the kind), term, both.
 
-    Contexts that repeat word for word count once.
+    `near` has each (row, kind, value, term) once.
     """
-    one = near.groupBy("kind", "value", "context", "term").agg(F.lit(1).alias("once")).select("kind", "value", "term", "context")
-    any_value = one.groupBy("kind", "term", "context").agg(F.lit(None).cast("string").alias("value")).select(
-        "kind", "value", "term", "context"
-    )
-    return one.union(any_value).groupBy("kind", "value", "term").agg(F.count("*").alias("both"))
+    any_value = near.select("row", "kind", "term").distinct().select("kind", F.lit(None).cast("string").alias("value"), "term")
+    return near.select("kind", "value", "term").union(any_value).groupBy("kind", "value", "term").agg(F.count("*").alias("both"))
+
+
+def entities(examined: DataFrame) -> DataFrame:
+    """The entities of each row, once each: row, kind, value, and value null for any of the kind."""
+    named = examined.select("row", F.explode("base").alias("b")).select("row", "b.kind", "b.value").distinct()
+    general = named.select("row", "kind").distinct().withColumn("value", F.lit(None).cast("string"))
+    return named.union(general)
+
+
+def _occurrences(shared: Shipped):
+    """Where possible terms stand in the texts with entities, outside the base spans."""
+
+    def run(frames):
+        known = np.unpackbits(shared.value).astype(bool)
+        for frame in frames:
+            out = []
+            for row, text, base in zip(frame["row"], frame["text"], frame["base"]):
+                taken = _covered(text, [(s["kind"], s["start"], s["end"]) for s in base])
+                found = [(text[a:b].lower(), a, b) for a, b in (m.span() for m in _WORD.finditer(text)) if not taken[a:b].any()]
+                for i in np.flatnonzero(known[_places([w for w, _, _ in found])]):
+                    out.append((row, *found[i]))
+            yield pd.DataFrame(out, columns=["row", "term", "start", "end"])
+
+    return run
 
 
-def disclosing(pairs: DataFrame, counts: DataFrame, support: int, threshold: float) -> DataFrame:
+def disclosing(pairs: DataFrame, sizes: DataFrame, counts: DataFrame, support: int, threshold: float) -> DataFrame:
     """Terms that give an entity away: kind, value (null: any of the kind), term, ratio.
 
-    The pointwise mutual information of term and entity, as a share of the
-    entity's information content, is 1 where the term occurs beside the
-    entity only and 0 where they are independent.
+    All counts are of texts: with the term beside the entity (`pairs`), with
+    the entity (`sizes`), with the term (`counts`). The pointwise mutual
+    information of term and entity, as a share of the entity's information
+    content, is 1 where the term's texts all have it beside the entity, copies
+    or not, and 0 where they are independent.
     """
-    words = counts.filter("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
-    size = pairs.groupBy("kind", "value").agg(F.sum("both").alias("around"))
-    total = F.greatest(F.col("words"), F.lit(2)).cast("double")
+    texts = counts.filter("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("texts"))
+    total = F.greatest(F.col("texts"), F.lit(2)).cast("double")
     information = F.log2(total / F.least(F.col("around").cast("double"), total / 2))
     shared = F.log2(F.col("both") * total / (F.greatest("n", "both") * F.col("around")))
     joined = (
         pairs.filter(F.col("both") >= support)
-        .join(size.withColumnRenamed("kind", "k").withColumnRenamed("value", "v"),
+        .join(sizes.withColumnRenamed("kind", "k").withColumnRenamed("value", "v"),
               F.col("kind").eqNullSafe(F.col("k")) & F.col("value").eqNullSafe(F.col("v"))).drop("k", "v")
         .join(counts.filter("term is not null"), "term")
     )
-    # `words` is one row.
-    return joined.join(F.broadcast(words)).withColumn("ratio", shared / information).filter(
+    # `texts` is one row.
+    return joined.join(F.broadcast(texts)).withColumn("ratio", shared / information).filter(
         F.col("ratio") >= threshold
     ).select("kind", "value", "term", "ratio")
 
@@ -198,10 +243,12 @@ def find(
 ) -> DataFrame:
     """Spans of personal data in every whole text: doc_id, spans (and the text, if kept).
 
-    A span is (kind, start, end, action): base kinds are masked; terms near
-    a base span that give its value, or its kind, away are generalised from
-    `threshold` on and removed from `removes` on (see `disclosing`). Base
-    spans always stay; kinds may overlap each other, terms overlap nothing.
+    A span is (kind, start, end, action): base kinds are masked. Terms that
+    stand near an entity in `support` texts or more and give its value, or
+    its kind, away are generalised from `threshold` on and removed from
+    `removes` on (see `disclosing`), wherever they stand in a text that holds
+    the entity. Base spans always stay; kinds may overlap each other, terms
+    overlap nothing.
 
     Null and empty texts have no spans. Rows without an id and repeated rows
     each give a row of their own. An empty table gives an empty result; other
@@ -215,21 +262,24 @@ def find(
         rows = materialize(rows, "rows")
     examined = materialize(rows.mapInPandas(_examine, _EXAMINED), "examined")
     near = examined.select("row", F.explode("near").alias("w")).select("row", "w.*")
-    pairs = materialize(occurring(near), "occurring")
-    # Fewer occurrences than the support cannot disclose, however rare the term.
-    wanted = pairs.filter(F.col("both") >= support).select("term").distinct()
-    counts = materialize(corpus_counts(rows, wanted), "counts")
-    given = disclosing(pairs, counts, support, threshold)
-    own = given.filter("value is not null")
-    general = given.filter("value is null").drop("value")
-    hits = near.join(own, ["kind", "value", "term"]).select("row", "start", "end", "ratio").union(
-        near.join(general, ["kind", "term"]).select("row", "start", "end", "ratio")
+    pairs = materialize(occurring(near).filter(F.col("both") >= support), "occurring")
+    # Fewer texts than the support cannot disclose, however rare the term.
+    counts = materialize(document_counts(rows, pairs.select("term").distinct()), "counts")
+    held = materialize(entities(examined), "entities")
+    sizes = held.groupBy("kind", "value").agg(F.count("*").alias("around"))
+    given = materialize(disclosing(pairs, sizes, counts, support, threshold), "disclosing")
+    places = examined.filter("text is not null").select("row", "text", "base").mapInPandas(
+        _occurrences(term_filter(given)), "row long, term string, start int, end int"
     )
+    told = places.join(given, "term").withColumnsRenamed({"row": "r", "kind": "k", "value": "v"})
+    hits = told.join(
+        held, (F.col("r") == F.col("row")) & (F.col("k") == F.col("kind")) & F.col("v").eqNullSafe(F.col("value")), "left_semi"
+    ).select(F.col("r").alias("row"), "start", "end", "ratio")
     action = F.when(F.col("ratio") >= removes, "remove").otherwise("generalise")
     extra = (
         hits.groupBy("row", "start", "end").agg(F.max("ratio").alias("ratio"))
         .select("row", F.struct(F.lit(TERM).alias("kind"), "start", "end", action.alias("action")).alias("s"))
-        .groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("extra"))  # a few per span of one text
+        .groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("extra"))  # of one text
     )
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("mask").alias("action")))
     spans = examined.select("row", "doc_id", base.alias("base")).join(extra, "row", "left").select(
