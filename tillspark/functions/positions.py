@@ -17,15 +17,22 @@ def largest(df: DataFrame, column: str) -> int:
     return df.agg(F.coalesce(F.max(column), F.lit(0)).alias("m")).first()["m"]
 
 
+def largest_id(df: DataFrame, column: str) -> DataFrame:
+    """As `largest`, as a one-row table that a plan works out itself."""
+    return df.agg(F.coalesce(F.max(column), F.lit(0)).alias("_start"))
+
+
 def assign_ids(
     df: DataFrame,
     order_by: Sequence[str],
     id_col: str = "id",
-    start: int = 0,
+    start: int | DataFrame = 0,
     parts: int | None = None,
 ) -> DataFrame:
     """Number rows start+1, start+2, ... along a unique sort key.
 
+    `start` may be a one-row table, see `largest_id`.
+
     The sort is a range shuffle over the whole key, so partitions stay
     even; without `parts`, adaptive execution joins small ones. Only one row per partition goes into the offset sum. The sorted
     rows are written out once: the range bounds come from a sample, and
@@ -46,10 +53,14 @@ def assign_ids(
     offsets = sizes.select(
         "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")
     )
+    if isinstance(start, DataFrame):
+        offsets = offsets.crossJoin(F.broadcast(start))  # one row
+    else:
+        offsets = offsets.withColumn("_start", F.lit(start))
     numbered = sorted_rows.withColumn("_block", block).join(F.broadcast(offsets), "_block")
     return numbered.withColumn(
-        id_col, F.lit(start) + F.col("_before") + within + 1
-    ).drop("_block", "_before", _ROW)
+        id_col, F.col("_start") + F.col("_before") + within + 1
+    ).drop("_block", "_before", "_start", _ROW)
 
 
 def row_positions(

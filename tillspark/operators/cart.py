@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillspark import schemas
 from tillspark.functions.positions import row_positions
+from tillspark.session import materialize
 
 # An add without quantity or known stock.
 DEFAULT_QUANTITY = 1
@@ -188,7 +189,11 @@ def stock_gate(priced: DataFrame) -> DataFrame:
 
 
 def order_request_items(priced: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Cart lines as lines of an order request, in cart order at the current price."""
+    """Cart lines as lines of an order request, in cart order at the current price.
+
+    The lines are written once, since numbering looks at them several times.
+    """
+    priced = materialize(priced.select("cart_id", "product_id", "quantity", "price", "added_seq"), "cart-lines")
     placed = row_positions(priced, "cart_id", ["added_seq"], "item_pos", hot_rows)
     return placed.select(
         "cart_id",

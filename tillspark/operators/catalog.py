@@ -97,7 +97,7 @@ def product_exists(keys: DataFrame, products: DataFrame) -> DataFrame:
     return lookups.key_exists(keys, products, ["name", "brand"])
 
 
-def new_product_rows(requests: DataFrame, start: int = 0, order_by: Sequence[str] = ("request_id",)) -> DataFrame:
+def new_product_rows(requests: DataFrame, start: int | DataFrame = 0, order_by: Sequence[str] = ("request_id",)) -> DataFrame:
     """Requests as active product rows, numbered on from `start` along a unique key."""
     made = assign_ids(requests.select(*dict.fromkeys([*order_by, *EDITABLE])), list(order_by), "id", start)
     return made.select("id", *EDITABLE, F.lit(True).alias("active"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillspark.functions.positions import assign_ids, largest
+from tillspark.functions.positions import assign_ids, largest_id
 
 from tillspark.operators import lookups, updates
 from tillspark.operators.rejects import with_error
@@ -27,7 +27,7 @@ def inventory_exists(keys: DataFrame, inventory: DataFrame) -> DataFrame:
     return lookups.key_exists(keys, inventory, "product_id")
 
 
-def new_inventory_rows(requests: DataFrame, start: int = 0, order_by: Sequence[str] = ("product_id", "quantity")) -> DataFrame:
+def new_inventory_rows(requests: DataFrame, start: int | DataFrame = 0, order_by: Sequence[str] = ("product_id", "quantity")) -> DataFrame:
     """Requests as stock rows, numbered on from `start`."""
     rows = requests.select(*dict.fromkeys([*order_by, "product_id", "quantity"]))
     made = assign_ids(rows, list(order_by), "id", start)
@@ -55,7 +55,7 @@ def create_inventory(inventory: DataFrame, requests: DataFrame, seq: str) -> upd
         "CONFLICT",
         F.concat(F.lit(CONFLICT_TEXT), F.col("product_id").cast("string")),
     )
-    made = new_inventory_rows(winners, largest(inventory, "id"), [seq])
+    made = new_inventory_rows(winners, largest_id(inventory, "id"), [seq])
     return updates.Update(inventory.unionByName(made), rejects)
 
 

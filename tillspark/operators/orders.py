@@ -28,7 +28,7 @@ def new_order_rows(
     requests: DataFrame,
     lines: DataFrame,
     created_at: Column,
-    start: int = 0,
+    start: int | DataFrame = 0,
     key: str = "request_id",
 ) -> NewOrders:
     """Valid requests (key, customer_id) and their lines to pending orders and items.
@@ -131,7 +131,7 @@ def place_orders(
     requests: DataFrame,
     lines: DataFrame,
     created_at: Column,
-    start: int = 0,
+    start: int | DataFrame = 0,
     key: str = "request_id",
     strict_items: bool = False,
 ) -> Placed:

@@ -49,7 +49,7 @@ def payments_by_status(payments: DataFrame, status: str) -> DataFrame:
 def new_payment_rows(
     requests: DataFrame,
     created_at: Column,
-    start: int = 0,
+    start: int | DataFrame = 0,
     key: Sequence[str] = ("order_id",),
 ) -> DataFrame:
     """Valid requests (order_id, customer_id, amount, item_count) to pending payments.

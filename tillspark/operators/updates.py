@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tillspark.functions.positions import assign_ids, largest
+from tillspark.functions.positions import assign_ids, largest_id
 
 
 class Update(NamedTuple):
@@ -22,13 +22,21 @@ def pick_by_seq(df: DataFrame, key: str | Sequence[str], seq: str, first: bool =
 
     An aggregate and not a window: partial results combine before the
     shuffle, so a hot key costs one row per map task. `seq` must be unique
-    within a key. With numeric columns only, the aggregate hashes; text
-    makes it sort, so callers code text of few values as numbers.
+    within a key. Numeric rows go through the aggregate whole. Text would
+    make it sort all rows, so there only key and sequence do, and the rows
+    are then picked by both; that pair is one row, so no key is hot.
     """
     key = [key] if isinstance(key, str) else list(key)
-    pick = F.min_by if first else F.max_by
-    rest = [c for c in df.columns if c not in key]
-    return df.groupBy(*key).agg(*[pick(c, seq).alias(c) for c in rest])
+    rest = [f for f in df.schema if f.name not in key]
+    if all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType, T.TimestampNTZType)) for f in rest):
+        pick = F.min_by if first else F.max_by
+        return df.groupBy(*key).agg(*[pick(f.name, seq).alias(f.name) for f in rest])
+    end = F.min(seq) if first else F.max(seq)
+    picked = df.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(end.alias("_end"))
+    same = F.col(seq).eqNullSafe(F.col("_end"))
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(picked, same, "left_semi").select(*key, *[f.name for f in rest])
 
 
 def upsert_by_key(table: DataFrame, rows: DataFrame, key: str, seq: str | None = None) -> DataFrame:
@@ -50,8 +58,7 @@ def insert_absent(table: DataFrame, rows: DataFrame, key: str, seq: str, id_col:
     on from the table's largest id, by sequence and then key.
     """
     first = pick_by_seq(rows.drop(id_col), key, seq, first=True)
-    present = table.select(key).distinct()
-    added = assign_ids(first.join(present, key, "left_anti"), [seq, key], id_col, largest(table, id_col))
+    added = assign_ids(first.join(table.select(key), key, "left_anti"), [seq, key], id_col, largest_id(table, id_col))
     return table.unionByName(added.drop(seq), allowMissingColumns=True)
 
 

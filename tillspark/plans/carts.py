@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillspark.functions.positions import largest
+from tillspark.functions.positions import largest_id
 from tillspark.operators import cart, orders
 from tillspark.plans.orders import AS_OF
 from tillspark.plans.registry import query
@@ -132,7 +132,7 @@ def _payment_requests(t: Tables) -> cart.PaymentRequests:
     """Carts to orders to payment requests."""
     lines = cart.order_request_items(_priced(t))
     heads = lines.select("cart_id", F.col("cart_id").alias("customer_id")).distinct()
-    made = orders.new_order_rows(heads, lines, F.lit(AS_OF), largest(t.orders_t, "id"), "cart_id")
+    made = orders.new_order_rows(heads, lines, F.lit(AS_OF), largest_id(t.orders_t, "id"), "cart_id")
     return cart.payment_request(made.orders, made.items)
 
 

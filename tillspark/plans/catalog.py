@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, functions as F
 
 from tillspark import schemas
-from tillspark.functions.positions import assign_ids, largest
+from tillspark.functions.positions import assign_ids, largest_id
 from tillspark.functions.text import price_label
 from tillspark.operators import catalog, inventory, lookups, updates, validate
 from tillspark.plans.registry import query
@@ -197,7 +197,7 @@ def lookup_inventory(t: Tables) -> DataFrame:
 )
 def assigned_ids(t: Tables) -> DataFrame:
     rows = t.product_requests.select("request_id", "name")
-    return assign_ids(rows, ["name", "request_id"], "id", largest(t.products, "id"))
+    return assign_ids(rows, ["name", "request_id"], "id", largest_id(t.products, "id"))
 
 
 @query(
@@ -207,7 +207,7 @@ def assigned_ids(t: Tables) -> DataFrame:
     FROM product_requests""",
 )
 def new_product_rows(t: Tables) -> DataFrame:
-    return catalog.new_product_rows(t.product_requests, largest(t.products, "id"))
+    return catalog.new_product_rows(t.product_requests, largest_id(t.products, "id"))
 
 
 _SEEDS = """SELECT p_partkey * 2 AS seq, p_name AS name FROM {part}
@@ -313,7 +313,7 @@ def deactivate_products(t: Tables) -> DataFrame:
 )
 def new_inventory_rows(t: Tables) -> DataFrame:
     valid = validate.validate_inventory(t.stock_requests).valid
-    return inventory.new_inventory_rows(valid, largest(t.inventory, "id"))
+    return inventory.new_inventory_rows(valid, largest_id(t.inventory, "id"))
 
 
 # Two creation requests per product number, in event order.

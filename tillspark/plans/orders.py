@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tillspark import schemas
-from tillspark.functions.positions import largest
+from tillspark.functions.positions import largest_id
 from tillspark.operators import lookups, orders
 from tillspark.operators.validate import validate_orders
 from tillspark.plans.registry import query
@@ -114,7 +114,7 @@ def lookup_orders(t: Tables) -> DataFrame:
 
 def created_orders(t: Tables) -> orders.NewOrders:
     valid = validate_orders(t.request_heads, t.request_lines).valid
-    return orders.new_order_rows(valid, t.request_lines, F.lit(AS_OF), largest(t.orders_t, "id"))
+    return orders.new_order_rows(valid, t.request_lines, F.lit(AS_OF), largest_id(t.orders_t, "id"))
 
 
 CREATED = """placeable AS (SELECT o.id AS request_id, o.customer_id, i.*
@@ -155,7 +155,7 @@ def new_order_items(t: Tables) -> DataFrame:
 def place_orders(t: Tables) -> DataFrame:
     """The events published for every valid request."""
     placed = orders.place_orders(
-        t.request_heads, t.request_lines, F.lit(AS_OF), largest(t.orders_t, "id")
+        t.request_heads, t.request_lines, F.lit(AS_OF), largest_id(t.orders_t, "id")
     )
     return placed.events.select("key", "value")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillspark import schemas
 from tillspark.functions import codec
-from tillspark.functions.positions import largest
+from tillspark.functions.positions import largest_id
 from tillspark.operators import lookups, payments
 from tillspark.operators.validate import validate_payments
 from tillspark.plans.orders import AS_OF
@@ -96,7 +96,7 @@ def new_payment_rows(t: Tables) -> DataFrame:
     valid = validate_payments(t.payment_requests).valid
     counted = t.lines_t.groupBy("order_id").agg(F.count("*").alias("item_count"))
     return payments.new_payment_rows(
-        valid.join(counted, "order_id", "left"), F.lit(AS_OF), largest(t.payments, "id")
+        valid.join(counted, "order_id", "left"), F.lit(AS_OF), largest_id(t.payments, "id")
     )
 
 
