@@ -247,7 +247,11 @@ def mix(
 
 
 def mixed(docs: DataFrame, marks: DataFrame, **options) -> DataFrame:
-    """The documents that the rates draw, all columns."""
+    """The documents that the rates draw, all columns.
+
+    Repeated rows share their draw, and so do rows without an id. Without
+    usable labels all documents stay; an empty table stays empty.
+    """
     chosen = (
         mix(docs, marks, **options).groupBy(F.col("doc_id").alias("_drawn_id")).agg(F.max("copies").alias("_copies"))
         .filter("_copies > 0").select("_drawn_id")

@@ -8,15 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillspark.llm.common import Shipped, fold_of
+from tillspark.llm.common import fold_of
 
 UNKNOWN = "und"
 CHARS_PER_LANGUAGE = 24_000
 SAMPLE_DOCS = 64
 SYMBOLS = 62
 BLOCK = 1024
-LANES = 2048
-SLICE_CHARS = 1 << 20
+LANES = 1024
+SLICE_CHARS = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHERS = re.compile(r"[\W\d_]+")
 
@@ -217,12 +217,15 @@ def learn(
 
 def language_column(spark, parser: CrossParser, text: Column) -> Column:
     """Struct of lang_pred and score for a text column."""
-    shared = Shipped(spark, parser)  # bounded by CHARS_PER_LANGUAGE a language
+    # Arrays and names alone, bounded by CHARS_PER_LANGUAGE a language: a worker holds them once.
+    shared = spark.sparkContext.broadcast(vars(parser))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(column: pd.Series) -> pd.DataFrame:
-        best, score = shared.value.predict(column.tolist())
-        names = np.array([*shared.value.languages, UNKNOWN], object)
+        known = CrossParser.__new__(CrossParser)
+        known.__dict__.update(shared.value)
+        best, score = known.predict(column.tolist())
+        names = np.array([*known.languages, UNKNOWN], object)
         return pd.DataFrame({"lang_pred": names[best], "score": score})
 
     return predict(text)
@@ -256,7 +259,12 @@ def identify(
 
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language is known, all columns; `und` goes."""
+    """The documents whose language is known, all columns; `und` goes.
+
+    Null texts and texts without a letter go, and where nothing is labelled
+    all do. Rows without an id train and stay; repeated rows stay each. An
+    empty table stays empty.
+    """
     parser = learn(docs.filter(fold_of(id_col, 4) != 2), id_col, text_col, lang_col)
     found = language_column(docs.sparkSession, parser, F.col(text_col))
     return docs.filter(found["lang_pred"] != UNKNOWN)
