@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillspark import schemas
 from tillspark.functions.text import enum_or_null, is_blank, price_label
-from tillspark.operators import catalog, lookups, validate
+from tillspark.operators import catalog, lookups, updates, validate
 from tillspark.sources import tables
 
 PRODUCT = "id long, name string, brand string, category string, price decimal(18,2), " \
@@ -190,3 +190,13 @@ def test_text_helpers(table):
     assert [r[0] for r in df.select(price_label("x")).collect()] == ["€1,234,567.50", "-€0.05"]
     parsed = table("s string", ("DECK",), ("deck",)).select(enum_or_null("s", schemas.CATEGORIES))
     assert [r[0] for r in parsed.collect()] == ["DECK", None]
+
+
+def test_last_row_of_text_is_picked_by_key_and_sequence(table):
+    rows_ = table(
+        "k long, name string, seq long, v int", (1, "a", 1, 5), (1, "b", 3, None), (1, "c", 2, 7), (None, "x", 4, 1), (None, "y", 9, 2),
+    )
+    assert rows(updates.pick_by_seq(rows_, "k", "seq")) == [(None, "y", 9, 2), (1, "b", 3, None)]
+    assert rows(updates.pick_by_seq(rows_, "k", "seq", first=True)) == [(None, "x", 4, 1), (1, "a", 1, 5)]
+    plan = updates.pick_by_seq(rows_, "k", "seq")._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "LeftSemi" in plan

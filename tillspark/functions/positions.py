@@ -12,13 +12,8 @@ HOT_ROWS = 1_000_000
 _ROW = "_row"
 
 
-def largest(df: DataFrame, column: str) -> int:
-    """Largest value of an id column, 0 for an empty table."""
-    return df.agg(F.coalesce(F.max(column), F.lit(0)).alias("m")).first()["m"]
-
-
 def largest_id(df: DataFrame, column: str) -> DataFrame:
-    """As `largest`, as a one-row table that a plan works out itself."""
+    """Largest value of an id column, 0 for an empty table, as a one-row table."""
     return df.agg(F.coalesce(F.max(column), F.lit(0)).alias("_start"))
 
 

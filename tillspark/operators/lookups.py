@@ -37,6 +37,13 @@ def lookup_keys(keys: DataFrame, table: DataFrame, key: str, text: str) -> DataF
     )
 
 
+def split_found(looked_up: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits, and misses as rejects."""
+    hits = looked_up.filter("found").drop("found", "error_code", "message")
+    misses = looked_up.filter(~F.col("found"))
+    return hits, misses
+
+
 def rows_for_keys(table: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Rows whose key is wanted; unknown keys are silently missing."""
     return table.join(keys, on, "left_semi")
