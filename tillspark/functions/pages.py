@@ -20,16 +20,16 @@ PAGE_ITEMS = 1_000
 
 
 def item_pages(lines: DataFrame, key: str, entry: Column, page_items: int = PAGE_ITEMS) -> DataFrame:
-    """Lines (key, item_pos from 1, ...) to (key, page, pages, item_offset, items).
+    """Lines (key, item_pos from 1 without gaps, ...) to (key, page, pages, item_offset, items).
 
-    Only lines beyond a first page are asked how many pages there are, so
-    short keys cost one aggregation, and a key that holds a third of all
+    Lines are counted per key, and only keys of several pages go on from
+    there, so the join is a small one; a key that holds a third of all
     lines is spread over its pages.
     """
     page = F.call_function("div", F.col("item_pos") - 1, F.lit(page_items))
     more = (
-        lines.filter(F.col("item_pos") > page_items).groupBy(key)
-        .agg((F.max(page) + 1).alias("_pages"))
+        lines.groupBy(key).agg(F.count("*").alias("_lines")).filter(F.col("_lines") > page_items)
+        .select(key, F.call_function("div", F.col("_lines") + (page_items - 1), F.lit(page_items)).alias("_pages"))
     )
     listed = F.array_sort(F.collect_list(F.struct("item_pos", entry.alias("entry"))))
     nested = lines.withColumn("page", page).groupBy(key, "page").agg(listed.alias("_lines"))
