@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tillspark.functions.codec import encode
 
@@ -33,7 +33,8 @@ def item_pages(lines: DataFrame, key: str, entry: Column, page_items: int = PAGE
     )
     listed = F.array_sort(F.collect_list(F.struct("item_pos", entry.alias("entry"))))
     nested = lines.withColumn("page", page).groupBy(key, "page").agg(listed.alias("_lines"))
-    return nested.join(more, key, "left").select(
+    more = more.withColumnRenamed(key, "_key")
+    return nested.join(more, F.col(key).eqNullSafe(F.col("_key")), "left").select(
         key,
         "page",
         F.coalesce("_pages", F.lit(1)).cast("long").alias("pages"),
@@ -42,19 +43,24 @@ def item_pages(lines: DataFrame, key: str, entry: Column, page_items: int = PAGE
     )
 
 
-def with_item_pages(parents: DataFrame, pages: DataFrame, key: str, childless: DataFrame) -> DataFrame:
+def with_item_pages(
+    parents: DataFrame, pages: DataFrame, key: str, childless: DataFrame, column: str = "items"
+) -> DataFrame:
     """Each parent once per page of its items; `childless` parents get one empty page.
 
+    Items as text (`column`) are null on an empty page.
+
     An inner join beside the parents without items in place of an outer
     join, which could not be split where one parent has very many pages.
     """
-    kind = pages.schema["items"].dataType
+    kind = pages.schema[column].dataType
+    nothing = F.array() if isinstance(kind, T.ArrayType) else F.lit(None)
     bare = childless.select(
         "*",
         F.lit(0).cast("long").alias("page"),
         F.lit(1).cast("long").alias("pages"),
         F.lit(0).cast("long").alias("item_offset"),
-        F.array().cast(kind).alias("items"),
+        nothing.cast(kind).alias(column),
     )
     return parents.join(pages, key).unionByName(bare)
 

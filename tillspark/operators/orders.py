@@ -77,21 +77,32 @@ def _without_lines(orders: DataFrame, items: DataFrame) -> DataFrame:
     return orders.join(having, "id", "left_anti")
 
 
-def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
+def orders_with_items(
+    orders: DataFrame, items: DataFrame, nested: bool = False, page_items: int = PAGE_ITEMS
+) -> DataFrame:
     """One row per order and line; an order without lines has one row without item.
 
+    `nested` gives each order with the list of its lines (`order_item_lists`)
+    instead, an empty one where it has none. An order longer than `page_items`
+    has a row per page of its list, with `page`, `pages` and `item_offset`.
+
     An inner join plus the orders without lines, in place of an outer
     join: adaptive execution can then split an order with very many lines.
     """
+    if nested:
+        pages = order_item_lists(items, page_items).withColumnRenamed("order_id", "id")
+        return with_item_pages(orders, pages, "id", _without_lines(orders, items))
     lines = order_item_view(items).withColumnRenamed("order_id", "id")
     return orders.join(lines, "id").unionByName(_without_lines(orders, items), allowMissingColumns=True)
 
 
-def orders_by_customer(orders: DataFrame, items: DataFrame, customers: DataFrame) -> DataFrame:
-    """Orders of the wanted customers with their lines."""
+def orders_by_customer(
+    orders: DataFrame, items: DataFrame, customers: DataFrame, nested: bool = False, page_items: int = PAGE_ITEMS
+) -> DataFrame:
+    """Orders of the wanted customers with their lines, see `orders_with_items`."""
     wanted = lookups.rows_for_keys(orders, customers, "customer_id")
     mine = items.join(wanted.select(F.col("id").alias("order_id")), "order_id", "left_semi")
-    return orders_with_items(wanted, mine)
+    return orders_with_items(wanted, mine, nested, page_items)
 
 
 def orders_by_status(orders: DataFrame, status: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tillspark import schemas
+from tillspark.functions.pages import PAGE_ITEMS
 from tillspark.functions.positions import largest_id
 from tillspark.operators import lookups, orders
 from tillspark.operators.validate import validate_orders
@@ -15,9 +16,6 @@ from tillspark.sources.standins import Tables, stored
 from tillspark.sources.topics import read_topic, topic_rows, write_topic
 
 AS_OF = "2024-06-01 00:00:00"
-_LINE = "item_pos, product_id, quantity, unit_price, CAST(unit_price * quantity AS DECIMAL(18,2)) AS subtotal"
-_WITH_ITEMS = f"""SELECT o.id, o.customer_id, o.status, o.total_amount, o.created_at, {_LINE}
-  FROM orders_t o LEFT JOIN order_items i ON i.order_id = o.id"""
 # Nested lines as the text that both engines can print alike.
 _EVENT_ITEM = """concat('{"productId":', CAST(product_id AS VARCHAR), ',"quantity":', CAST(quantity AS VARCHAR),
   ',"unitPrice":', CAST(unit_price AS VARCHAR), '}')"""
@@ -67,21 +65,28 @@ _ITEM_TEXT = """concat('{"item_pos":', CAST(item_pos AS VARCHAR), ',"product_id"
   ',"subtotal":', CAST(CAST(unit_price * quantity AS DECIMAL(18,2)) AS VARCHAR), '}')"""
 
 
-@query(
-    "order_item_lists",
-    f"""WITH n AS (SELECT order_id, count(*) AS n FROM order_items GROUP BY order_id),
-      paged AS (SELECT *, (item_pos - 1) // {READER_ROWS} AS page FROM order_items)
-    SELECT order_id, CAST(page AS BIGINT) AS page, CAST((any_value(n.n) + {READER_ROWS} - 1) // {READER_ROWS} AS BIGINT) AS pages,
-      CAST(page * {READER_ROWS} AS BIGINT) AS item_offset, concat('[', string_agg({_ITEM_TEXT}, ',' ORDER BY item_pos), ']') AS items
-    FROM paged JOIN n USING (order_id) GROUP BY order_id, page""",
-)
+def _lists(rows: int) -> str:
+    return f"""WITH n AS (SELECT order_id, count(*) AS n FROM order_items GROUP BY order_id),
+      paged AS (SELECT *, (item_pos - 1) // {rows} AS page FROM order_items)
+    SELECT order_id, CAST(page AS BIGINT) AS page, CAST((any_value(n.n) + {rows} - 1) // {rows} AS BIGINT) AS pages,
+      CAST(page * {rows} AS BIGINT) AS item_offset, concat('[', string_agg({_ITEM_TEXT}, ',' ORDER BY item_pos), ']') AS items
+    FROM paged JOIN n USING (order_id) GROUP BY order_id, page"""
+
+
+@query("order_item_lists", _lists(READER_ROWS))
 def order_item_lists(t: Tables) -> DataFrame:
     return orders.order_item_lists(t.order_items, READER_ROWS).withColumn("items", F.to_json("items"))
 
 
+_WITH_ITEMS = f"""SELECT o.id, o.customer_id, o.status, o.total_amount, o.created_at,
+    coalesce(l.page, 0) AS page, coalesce(l.pages, 1) AS pages, coalesce(l.item_offset, 0) AS item_offset,
+    coalesce(l.items, '[]') AS items
+  FROM orders_t o LEFT JOIN ({_lists(PAGE_ITEMS)}) l ON l.order_id = o.id"""
+
+
 @query("orders_with_items", _WITH_ITEMS)
 def orders_with_items(t: Tables) -> DataFrame:
-    return orders.orders_with_items(t.orders_t, t.order_items)
+    return orders.orders_with_items(t.orders_t, t.order_items, nested=True).withColumn("items", F.to_json("items"))
 
 
 @query(
@@ -90,7 +95,8 @@ def orders_with_items(t: Tables) -> DataFrame:
 )
 def orders_by_customer(t: Tables) -> DataFrame:
     wanted = t.raw("customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("customer_id"))
-    return orders.orders_by_customer(t.orders_t, t.order_items, wanted)
+    mine = orders.orders_by_customer(t.orders_t, t.order_items, wanted, nested=True)
+    return mine.withColumn("items", F.to_json("items"))
 
 
 @query("orders_by_status", "SELECT * FROM orders_t WHERE status = 'PENDING'")
