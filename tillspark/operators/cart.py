@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillspark import schemas
+from tillspark.functions.pages import PAGE_ITEMS, item_pages, with_item_pages
 from tillspark.functions.positions import row_positions
 from tillspark.session import materialize
 
@@ -204,10 +205,21 @@ def order_request_items(priced: DataFrame, hot_rows: int | None = None) -> DataF
     )
 
 
+def order_request_lists(lines: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """Cart lines (`order_request_items`) nested as the request's item list, see `item_pages`."""
+    return item_pages(lines, "cart_id", F.struct("product_id", "quantity", "unit_price"), page_items)
+
+
 class PaymentRequests(NamedTuple):
     requests: DataFrame
     items: DataFrame
 
+    def nested(self, page_items: int = PAGE_ITEMS) -> DataFrame:
+        """Requests with the list of their items, a row per page of it."""
+        pages = item_pages(self.items, "order_id", F.struct("product_id", "quantity"), page_items)
+        bare = self.requests.join(self.items.select("order_id").distinct(), "order_id", "left_anti")
+        return with_item_pages(self.requests, pages, "order_id", bare)
+
 
 def payment_request(orders: DataFrame, items: DataFrame) -> PaymentRequests:
     """Created orders to payment requests: the order's total, and its items."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillspark.functions.pages import PAGE_ITEMS
 from tillspark.functions.positions import largest_id
 from tillspark.operators import cart, orders
 from tillspark.plans.orders import AS_OF
@@ -112,9 +113,25 @@ _PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY cart_id ORDER BY
 _LINES = "item_pos, product_id, CAST(quantity AS INT) AS quantity, price AS unit_price"
 
 
-@query("order_request_items", f"WITH {_FOLDED}, {_PLACED} SELECT cart_id, {_LINES} FROM placed")
+_ENTRY = """concat('{{"product_id":', CAST(product_id AS VARCHAR), ',"quantity":', CAST(quantity AS VARCHAR){0}, '}}')"""
+_PRICE = """, ',"unit_price":', CAST(price AS VARCHAR)"""
+
+
+def _listed(entry: str) -> str:
+    """The carts' item lists in pages."""
+    return f"""paged AS (SELECT *, (item_pos - 1) // {PAGE_ITEMS} AS page, count(*) OVER (PARTITION BY cart_id) AS n FROM placed),
+  listed AS (SELECT cart_id, page, (any_value(n) + {PAGE_ITEMS} - 1) // {PAGE_ITEMS} AS pages, page * {PAGE_ITEMS} AS item_offset,
+    concat('[', string_agg({entry}, ',' ORDER BY item_pos), ']') AS items FROM paged GROUP BY cart_id, page)"""
+
+
+@query(
+    "order_request_items",
+    f"""WITH {_FOLDED}, {_PLACED}, {_listed(_ENTRY.format(_PRICE))}
+    SELECT cart_id, page, pages, item_offset, items FROM listed""",
+)
 def order_request_items(t: Tables) -> DataFrame:
-    return cart.order_request_items(_priced(t))
+    lists = cart.order_request_lists(cart.order_request_items(_priced(t)))
+    return lists.withColumn("items", F.to_json("items"))
 
 
 @query(
@@ -142,10 +159,13 @@ _CART_ORDERS = """requests AS (SELECT cart_id, (SELECT max(id) FROM orders_t) +
 
 @query(
     "payment_request",
-    f"WITH {_FOLDED}, {_PLACED}, {_CART_ORDERS} SELECT order_id, cart_id AS customer_id, amount FROM requests",
+    f"""WITH {_FOLDED}, {_PLACED}, {_CART_ORDERS}, {_listed(_ENTRY.format(""))}
+    SELECT order_id, r.cart_id AS customer_id, amount, coalesce(page, 0) AS page, coalesce(pages, 1) AS pages,
+      coalesce(item_offset, 0) AS item_offset, coalesce(items, '[]') AS items
+    FROM requests r LEFT JOIN listed l ON l.cart_id = r.cart_id""",
 )
 def payment_request(t: Tables) -> DataFrame:
-    return _payment_requests(t).requests
+    return _payment_requests(t).nested().withColumn("items", F.to_json("items"))
 
 
 @query(
