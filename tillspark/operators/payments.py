@@ -81,6 +81,18 @@ def item_texts(items: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
     )
 
 
+def with_item_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Payments (order_id, item_count, ...) with their `item_texts`.
+
+    The text is null where the request had no item list. A payment whose
+    items need several pages has a row for each of them.
+    """
+    empty = rows.filter(F.coalesce("item_count", F.lit(0)) == 0)
+    paged = with_item_pages(rows.filter("item_count > 0"), texts, "order_id", empty, "items_json")
+    no_items = F.when(F.col("item_count") == 0, F.lit("[]"))
+    return paged.withColumn("items_json", F.coalesce("items_json", no_items))
+
+
 def items_of_texts(texts: DataFrame) -> DataFrame:
     """The lines back out of the texts; null, empty or bad text has none."""
     parsed = codec.parsed_once(texts, codec.parse_items("items_json"), "_items")

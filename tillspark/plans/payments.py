@@ -82,22 +82,29 @@ def lookup_payment_by_session(t: Tables) -> DataFrame:
     )
 
 
+# The page of a payment's items text; a payment without items has an empty one.
+_TEXT_PAGE = """coalesce(t.page, 0) AS page, coalesce(t.pages, 1) AS pages,
+  coalesce(t.item_offset, 0) AS item_offset, t.items_json"""
+
+
 @query(
     "new_payment_rows",
     f"""WITH payable AS (SELECT r.order_id, r.customer_id, r.amount, n.item_count FROM payment_requests r
       LEFT JOIN (SELECT order_id, count(*) AS item_count FROM lines_t GROUP BY order_id) n ON n.order_id = r.order_id
       WHERE r.order_id IS NOT NULL AND r.customer_id IS NOT NULL AND r.amount > 0)
-    SELECT (SELECT max(id) FROM payments) + row_number() OVER (ORDER BY order_id) AS id,
+    SELECT p.*, {_TEXT_PAGE} FROM (SELECT (SELECT max(id) FROM payments) + row_number() OVER (ORDER BY order_id) AS id,
       order_id, customer_id, amount, 'PENDING' AS status, CAST(NULL AS VARCHAR) AS stripe_session_id,
       CAST(NULL AS VARCHAR) AS stripe_payment_intent_id, item_count,
-      TIMESTAMP '{AS_OF}' AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at FROM payable""",
+      TIMESTAMP '{AS_OF}' AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at FROM payable) p
+    LEFT JOIN payment_pages t ON t.order_id = p.order_id""",
 )
 def new_payment_rows(t: Tables) -> DataFrame:
     valid = validate_payments(t.payment_requests).valid
     counted = t.lines_t.groupBy("order_id").agg(F.count("*").alias("item_count"))
-    return payments.new_payment_rows(
+    made = payments.new_payment_rows(
         valid.join(counted, "order_id", "left"), F.lit(AS_OF), largest_id(t.payments, "id")
     )
+    return payments.with_item_texts(made, t.payment_texts)
 
 
 @query("payment_item_texts", "SELECT order_id, items_json FROM payment_items")
@@ -248,6 +255,10 @@ def settle_webhooks_failed(t: Tables) -> DataFrame:
 SETTLED_SQL = _SETTLED.format(table="paid")
 
 
-@query("settle_webhooks", SETTLED_SQL)
+@query(
+    "settle_webhooks",
+    f"SELECT p.*, {_TEXT_PAGE} FROM ({SETTLED_SQL}) p LEFT JOIN payment_pages t ON t.order_id = p.order_id",
+)
 def settle_webhooks(t: Tables) -> DataFrame:
-    return _settle(t).payments
+    """The settled payments as they are stored, with their items."""
+    return payments.with_item_texts(_settle(t).payments, t.payment_texts)

@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tillspark.functions.pages import encode_page, item_pages, with_item_pages
+from tillspark.functions.pages import PAGE_ITEMS, encode_page, item_pages, with_item_pages
 from tillspark.functions.positions import row_positions
 from tillspark.operators import payments as payment_ops
 from tillspark.session import scratch_path
@@ -114,6 +114,12 @@ DERIVED_SQL = {
         SELECT order_id, concat('[', string_agg(concat('{"productId":', CAST(product_id AS VARCHAR),
             ',"quantity":', CAST(quantity AS VARCHAR), '}'), ',' ORDER BY item_pos), ']') AS items_json
         FROM order_items GROUP BY order_id""",
+    "payment_pages": f"""
+        SELECT order_id, page, (any_value(n) + {PAGE_ITEMS} - 1) // {PAGE_ITEMS} AS pages, page * {PAGE_ITEMS} AS item_offset,
+          concat('[', string_agg(concat('{{"productId":', CAST(product_id AS VARCHAR),
+            ',"quantity":', CAST(quantity AS VARCHAR), '}}'), ',' ORDER BY item_pos), ']') AS items_json
+        FROM (SELECT *, (item_pos - 1) // {PAGE_ITEMS} AS page, count(*) OVER (PARTITION BY order_id) AS n FROM order_items)
+        GROUP BY order_id, page""",
     "paid": """
         SELECT p.*, n.item_count FROM payments p
         LEFT JOIN (SELECT order_id, count(*) AS item_count FROM lines_t GROUP BY order_id) n ON n.order_id = p.order_id""",
