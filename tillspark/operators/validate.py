@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillspark import schemas
+from tillspark.functions.pages import PAGE_ITEMS
 from tillspark.functions.text import is_blank
 from tillspark.operators.rejects import error_code, with_error
 
@@ -91,8 +92,37 @@ def validate_order_items(lines: DataFrame, key: str = "request_id") -> DataFrame
     )
 
 
+def request_errors(
+    requests: DataFrame, lines: DataFrame, key: str = "request_id", page_items: int = PAGE_ITEMS
+) -> DataFrame:
+    """Every error of whole requests and of their lines as one text per request: key, page, errors, error_code.
+
+    Errors of a line stand on the page of the line, those of the request on
+    page 0, so that a request with very many broken lines is no single text.
+    """
+    page = F.call_function("div", F.col("item_pos") - 1, F.lit(page_items))
+    of_lines = validate_order_items(lines, key).select(
+        key, page.alias("page"), F.concat_ws(": ", "field", "message").alias("_error")
+    )
+    # Without the line rules, so that only rules of the request itself are left.
+    refused = validate_orders(requests, lines, key=key).rejects.filter("errors IS NOT NULL")
+    of_requests = refused.select(
+        key, F.lit(0).cast("long").alias("page"), F.explode("errors").alias("_field", "_message")
+    ).select(key, "page", F.concat_ws(": ", "_field", "_message").alias("_error"))
+    return (
+        of_lines.unionByName(of_requests)
+        .groupBy(key, "page")
+        .agg(F.array_join(F.array_sort(F.collect_list("_error")), "; ").alias("errors"))
+        .withColumn("error_code", error_code(F.lit("INVALID")))
+    )
+
+
 def validate_orders(
-    requests: DataFrame, lines: DataFrame, strict_items: bool = False, key: str = "request_id"
+    requests: DataFrame,
+    lines: DataFrame,
+    strict_items: bool = False,
+    key: str = "request_id",
+    count: str | None = None,
 ) -> Checked:
     """Customer and item list of whole requests, however many lines they have.
 
@@ -101,7 +131,7 @@ def validate_orders(
     lacking price or quantity is not a validation error, but its total
     cannot be computed, so the request still goes to the rejects, with the
     code of an internal error. Lines are counted per request before they
-    meet the requests.
+    meet the requests; `count` names a column that keeps their number.
     """
     broken = F.size(_errors(_line_rules())) > 0
     unpriced = F.col("unit_price").isNull() | F.col("quantity").isNull()
@@ -111,6 +141,8 @@ def validate_orders(
         F.count_if(unpriced).alias("_unpriced"),
     )
     marked = requests.join(counted, key, "left")
+    if count:
+        marked = marked.withColumn(count, F.coalesce("_lines", F.lit(0)).cast("int"))
     rules = [
         Rule("customerId", "Customer ID is required", F.col("customer_id").isNull()),
         Rule("items", "Order must have at least one item", F.col("_lines").isNull()),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillspark import schemas
 from tillspark.functions.codec import encode
+from tillspark.functions.pages import PAGE_ITEMS
 from tillspark.operators import binding, orders, rejects, validate
 from tillspark.plans.registry import query
 from tillspark.sources.standins import Tables
@@ -79,11 +80,11 @@ _ORDER_REQUESTS = """requests AS (SELECT id AS request_id,
 
 @query(
     "validate_orders",
-    f"""WITH {_ORDER_REQUESTS} SELECT request_id, customer_id
+    f"""WITH {_ORDER_REQUESTS} SELECT request_id, customer_id, CAST(n AS INT) AS items
     FROM marked WHERE customer_id IS NOT NULL AND n > 0 AND NOT broken""",
 )
 def validate_orders(t: Tables) -> DataFrame:
-    return validate.validate_orders(t.request_heads, _request_lines(t)).valid
+    return validate.validate_orders(t.request_heads, _request_lines(t), count="items").valid
 
 
 @query(
@@ -115,9 +116,18 @@ def validate_orders_strict(t: Tables) -> DataFrame:
     return _error_text(checked).select("request_id", "errors", "error_code")
 
 
-@query("validate_order_items", f"WITH {_ORDER_REQUESTS} SELECT request_id, item_pos, field, message FROM messages")
+@query(
+    "validate_order_items",
+    f"""WITH {_ORDER_REQUESTS}, found AS (
+      SELECT request_id, (item_pos - 1) // {PAGE_ITEMS} AS page, concat(field, ': ', message) AS error FROM messages
+      UNION ALL SELECT request_id, 0, 'customerId: Customer ID is required' FROM marked WHERE customer_id IS NULL
+      UNION ALL SELECT request_id, 0, 'items: Order must have at least one item' FROM marked WHERE n = 0)
+    SELECT request_id, page, string_agg(error, '; ' ORDER BY error) AS errors, 400 AS error_code
+    FROM found GROUP BY request_id, page""",
+)
 def validate_order_items(t: Tables) -> DataFrame:
-    return validate.validate_order_items(_request_lines(t))
+    """All errors of a request, its own and those of its lines."""
+    return validate.request_errors(t.request_heads, _request_lines(t))
 
 
 _PAYMENT_ERRORS = """concat_ws('; ',
