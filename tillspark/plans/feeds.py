@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tillspark import schemas
@@ -98,15 +100,19 @@ def quarantined(t: Tables) -> DataFrame:
     return decode_events(t.webhook_events, _SESSION, "raw").quarantine.select("event_seq", "raw")
 
 
-def _in_three(t: Tables, rows: DataFrame) -> DataFrame:
-    """The rows as a topic that a job reads in three micro-batches, in order."""
+def _in_three(t: Tables, rows: DataFrame, job: Callable[[DataFrame], None]) -> None:
+    """The rows published in three parts, in order; the job reads each as one micro-batch.
+
+    A part has as many files as it needs and the job goes on from its
+    checkpoint, so no task writes or reads a whole part.
+    """
     folder = scratch_path(t.spark, "topic")
     kept = materialize(rows, "topic-rows")
     third = kept.agg(F.max("seq").alias("n")).first()["n"] / 3
     for part in range(3):
         low, high = F.col("seq") > part * third, F.col("seq") <= (part + 1) * third
-        write_topic(kept.filter((low | F.lit(part == 0)) & high).coalesce(1), folder)
-    return read_topic(t.spark, folder, max_files=1)
+        write_topic(kept.filter((low | F.lit(part == 0)) & high), folder)
+        job(read_topic(t.spark, folder))
 
 
 # Every 97th payload is broken, every 89th names an order nobody knows.
@@ -143,7 +149,8 @@ def cancel_audit_malformed(t: Tables) -> DataFrame:
 def _audited(t: Tables) -> Outcomes:
     out, checkpoint = _outcomes(t)
     broken = F.when(F.col("seq") % 97 == 0, F.lit("not-valid-json")).otherwise(F.col("value"))
-    jobs.cancel_audit_job(_in_three(t, cancelled_topic(t).withColumn("value", broken)), out, checkpoint)
+    topic = cancelled_topic(t).withColumn("value", broken)
+    _in_three(t, topic, lambda part: jobs.cancel_audit_job(part, out, checkpoint))
     return out
 
 
@@ -158,7 +165,8 @@ _NOTICED = (
 def _noticed(t: Tables) -> Outcomes:
     out, checkpoint = _outcomes(t)
     broken = F.when(F.col("seq") % 97 == 0, F.lit("not-valid-json")).otherwise(F.col("value"))
-    jobs.payment_notice_job(_in_three(t, t.payment_topic.withColumn("value", broken)), out, checkpoint)
+    topic = t.payment_topic.withColumn("value", broken)
+    _in_three(t, topic, lambda part: jobs.payment_notice_job(part, out, checkpoint))
     return out
 
 
@@ -187,7 +195,7 @@ def apply_payment_status_stream(t: Tables) -> DataFrame:
 
 def _faulty_statuses(t: Tables) -> Outcomes:
     out, checkpoint = _outcomes(t)
-    jobs.order_status_job(_in_three(t, _faulty(t.payment_topic)), t.orders_t, out, checkpoint)
+    _in_three(t, _faulty(t.payment_topic), lambda part: jobs.order_status_job(part, t.orders_t, out, checkpoint))
     return out
 
 
@@ -246,7 +254,8 @@ _TAKEN = "(SELECT * FROM order_items WHERE order_id % 97 <> 0)"
 def _stocked(t: Tables, mode: str = "exact") -> Outcomes:
     out, checkpoint = _outcomes(t)
     broken = F.when(F.col("seq") % 97 == 0, F.lit("not-valid-json")).otherwise(F.col("value"))
-    jobs.stock_job(_in_three(t, t.payment_topic.withColumn("value", broken)), t.inventory, out, checkpoint, mode)
+    topic = t.payment_topic.withColumn("value", broken)
+    _in_three(t, topic, lambda part: jobs.stock_job(part, t.inventory, out, checkpoint, mode))
     return out
 
 

@@ -18,6 +18,10 @@ GROUP_START = {
 }
 
 
+# Rows of a topic grow when they are parsed, so its files can be read in small parts.
+SMALL_GROUPS = {"parquet.block.size": str(16 << 20)}
+
+
 def placed_at(rows: DataFrame, topic: str, partition: Column | None = None, time: Column | None = None) -> DataFrame:
     """Topic rows with `at`: their place in one order over all partitions and topics.
 
@@ -107,7 +111,7 @@ def write_topic(
         target = {"kafka.bootstrap.servers": servers, "topic": location}
     else:
         rows = rows.drop("at")
-        target = {"path": location}
+        target = {"path": location, **SMALL_GROUPS}
     if rows.isStreaming:
         writer = rows.writeStream.format(fmt).option("checkpointLocation", checkpoint)
         return writer.options(**target).trigger(availableNow=True).start()
