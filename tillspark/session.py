@@ -14,6 +14,13 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when that costs one more shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Widths follow the data: shuffles start wide and adaptive execution joins
+    # small partitions, a scan task reads little (rows of topics grow when they
+    # are parsed and kept), and a join key is split from 64 MB on.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
+    "spark.sql.files.maxPartitionBytes": "16m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
