@@ -153,6 +153,29 @@ def test_every_word_teaches_whatever_the_partitions(docs, monkeypatch):
     assert made[0] == pytest.approx(made[1], abs=1e-9) and scores[0] == pytest.approx(scores[1], rel=1e-6)
 
 
+def test_code_and_classes_follow_every_training_text(spark, monkeypatch):
+    """What comes late in a text, or in one text of many, counts for the byte code and the markers of classes."""
+    made = []
+
+    class Seen(lm_mixing.Shipped):
+        def __init__(self, session, value):
+            super().__init__(session, value)
+            made.append(value)
+
+    monkeypatch.setattr(lm_mixing, "Shipped", Seen)
+    ids = [i for i in range(1, 3_000) if held(i, 7) != 2]
+    assert len(ids) > 2_200
+    rows = [(i, "aa ab", None, None, None, None, None, None) for i in ids]
+    late = (10_000, "aa " * 7_000 + "qzw " * 300, None, None, None, None, None, None)
+    assert held(late[0], 7) != 2
+    table = spark.createDataFrame([*rows, late], SCHEMA)
+    assert lm_mixing.score_texts(table).count() == len(rows) + 1
+    coder = [c for c in made if isinstance(c, lm_mixing.Coder)][-1]
+    assert coder.pair[ord("z") + 256 * ord("q")] > 0
+    words = lm_mixing.Words([b"qzw"], coder)
+    assert words.hashes[1] in coder.markers
+
+
 def test_statistics_and_isotonic_fit():
     knots, levels = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 2, 1, 3]), np.array([2.0, 2, 2, 3]))
     assert (np.diff(levels) >= 0).all() and (np.diff(knots) > 0).all()

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from tillspark.functions.positions import assign_ids
 from tillspark.llm.common import Shipped, fold_of, mix64
 from tillspark.session import materialize, shuffle_width
 
@@ -40,11 +41,12 @@ DELTA = 0.4
 BLOCK = 64
 LOG2 = math.log(2)
 SEED = 977
-SAMPLE_TEXTS = 2_000
-SAMPLE_CHARS = 20_000
 PAIRS = 511
 CLASSES = 6
 MARKERS = 512
+#: A text with fewer markers is no start of a class.
+LEAST_MARKED = 20
+CLASS_ROUNDS = 15
 LEVELS_OF_PLACE = 32
 _KINDS = CLASSES + 1
 _U32 = np.uint32
@@ -68,16 +70,17 @@ def _paths(counts: np.ndarray) -> list[list[int]]:
 
 
 class Coder:
-    """The byte code, the classes of texts, and tables for hashing.
-
-    Fitted on at most SAMPLE_TEXTS texts. After each of the PAIRS commonest
-    pairs of bytes a byte has a prefix code of its own, with an escape to
-    the common one. Any prefix code gives valid probabilities; a fitted one
-    means fewer predictions a byte. Classes are clusters of the sample by
-    its MARKERS commonest words.
+    """The byte code, the classes of texts, the bounds of ranges, and tables for hashing.
+
+    After each of the PAIRS commonest pairs of bytes a byte has a prefix
+    code of its own, with an escape to the common one. Any prefix code gives
+    valid probabilities; a fitted one means fewer predictions a byte.
+    Classes are clusters of texts by the MARKERS commonest words. All of
+    this is fitted on counts over the training texts, see `fit_code` and
+    `fit_classes`; given texts, the code is fitted on them alone.
     """
 
-    def __init__(self, sample: list[bytes]):
+    def __init__(self, texts: list[bytes] | None = None):
         rng = np.random.default_rng(SEED)
         self.letters = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
         self.turn = int(rng.integers(1, 1 << 62)) * 2 + 1
@@ -86,35 +89,24 @@ class Coder:
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
         self.powers = np.ones(1, np.uint64)
-        self._fit_code(sample)
         self.markers, self.odds = np.zeros(0, np.uint64), np.zeros((1, CLASSES), np.float32)
-        self.spelt = np.zeros(0, f"S{RANGE_PREFIX}")
-        if sample:
-            words = Words(sample, self)
-            self._fit_classes(words)
-            self.spelt = np.sort(_prefixes(words.flat, words.start[1:], words.size[1:]))
-
-    def bounds(self, ranges: int) -> np.ndarray:
-        """Where ranges of words begin, so that the sample's distinct words fill them alike."""
-        at = np.arange(1, ranges) * len(self.spelt) // ranges
-        return self.spelt[at] if len(self.spelt) else self.spelt
-
-    def _fit_code(self, sample: list[bytes]) -> None:
-        text = b" ".join(b" ".join(t.lower().split()) for t in sample) + b" "
-        flat = np.frombuffer(text, np.uint8).astype(np.int64)
-        one = np.append(0, flat[:-1])
-        two = np.append([0, 0], flat[:-2])[: len(flat)]
-        one = np.where(one == 32, 0, one)
-        two = np.where((one == 0) | (two == 32), 0, two)
-        common = np.bincount(flat, minlength=256) + 0.1
+        self.bounds = np.zeros(0, f"S{RANGE_PREFIX}")  # where ranges of words begin
+        if texts:
+            words = Words(texts, self)
+            spelling = Spelling(words.flat, words.start[1:], words.size[1:])
+            count = np.bincount(words.codes, minlength=len(words.hashes))[1:]
+            first = byte_counts(spelling, count)
+            self.fit_code(first, byte_counts(spelling, count, commonest_pairs(first)))
+
+    def fit_code(self, first: np.ndarray, after: np.ndarray) -> None:
+        """By the counts that `byte_counts` gives without and with the commonest pairs."""
+        common = first[:256] + 0.1
         common[:32] = 0.01
         plain = _paths(common)
-        held, n = np.unique(one + 256 * two, return_counts=True)
-        pairs = np.sort(held[np.lexsort((held, -n))][:PAIRS])
+        pairs = commonest_pairs(first)
         self.pair = np.zeros(1 << 16, np.int64)
         self.pair[pairs] = np.arange(1, len(pairs) + 1)
-        after = np.zeros((len(pairs) + 1, 256))
-        np.add.at(after, (self.pair[one + 256 * two], flat), 1)
+        after = after.reshape(len(pairs) + 1, 256)
         steps: list[int] = []
         self.size = np.zeros((len(pairs) + 1, 256), np.int64)
         self.first = np.zeros((len(pairs) + 1, 256), np.int64)
@@ -128,36 +120,29 @@ class Coder:
                 steps += path
         self.steps = np.array(steps, np.uint32)
 
-    def _fit_classes(self, words: Words) -> None:
-        """Spherical k-means of the sample's texts, begun with texts far from each other."""
-        count = np.bincount(words.codes, minlength=len(words.hashes))
-        count[0] = 0
-        top = np.sort(np.lexsort((words.hashes, -count))[:MARKERS])
-        place = np.full(len(count), -1)
-        place[top] = np.arange(len(top))
-        used = place[words.codes] >= 0
-        texts = len(words.lengths)
-        x = np.zeros((texts, len(top)))
-        np.add.at(x, (words.text[used], place[words.codes[used]]), 1)
-        unit = np.sqrt(x)
-        unit /= np.maximum(1e-9, np.linalg.norm(unit, axis=1, keepdims=True))
-        full = np.flatnonzero(x.sum(1) >= 20)
-        if not len(full):
-            return
-        picked = [int(full[np.argmax(x[full].sum(1))])]
+    def fit_classes(self, marked: DataFrame) -> None:
+        """Spherical k-means of all texts of `marked`, begun with texts far from each other.
+
+        The driver sees a candidate a task for each start, and sums of CLASSES x MARKERS numbers.
+        """
+        width = len(self.markers)
+        picked: list[np.ndarray] = []
         while len(picked) < CLASSES:
-            close = (unit[full] @ unit[picked].T).max(1)
-            picked.append(int(full[np.argmin(close)]))
-        centre = unit[picked]
-        for _ in range(15):
-            near = (unit @ centre.T).argmax(1)
-            sums = np.stack([unit[near == k].sum(0) for k in range(CLASSES)])
-            centre = np.where(sums.any(1, keepdims=True), sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1, keepdims=True)), centre)
-        held = np.stack([x[near == k].sum(0) for k in range(CLASSES)], 1) + 0.5
-        odds = np.log(held / held.sum(0))
-        order = np.argsort(words.hashes[top])
-        self.markers = words.hashes[top][order]
-        self.odds = np.vstack([odds[order], np.zeros((1, CLASSES))]).astype(np.float32)
+            found = marked.mapInPandas(_start(picked, width), "score double, a binary")
+            best = found.orderBy("score", "a").limit(1).collect()
+            if not best:
+                self.markers = self.markers[:0]
+                return
+            picked.append(_unit(np.frombuffer(best[0]["a"], "<u4")[None, :])[0])
+        centre = np.stack(picked)
+        for _ in range(CLASS_ROUNDS):
+            sums, held = _total(marked.mapInPandas(_near(centre), "part long, a binary"), "part").reshape(2, CLASSES, width)
+            length = np.linalg.norm(sums, axis=1, keepdims=True)
+            before, centre = centre, np.where(length > 0, sums / np.maximum(length, 1e-9), centre)
+            if np.array_equal(before, centre):
+                break
+        held = held.T + 0.5
+        self.odds = np.vstack([np.log(held / held.sum(0)), np.zeros((1, CLASSES))]).astype(np.float32)
 
     def power(self, n: int) -> np.ndarray:
         if len(self.powers) < n:
@@ -253,6 +238,147 @@ def _shared_lengths(words: Spelling, at: int) -> np.ndarray:
     return length
 
 
+def _unit(counts: np.ndarray) -> np.ndarray:
+    unit = np.sqrt(counts.astype(np.float64))
+    return unit / np.maximum(1e-9, np.linalg.norm(unit, axis=1, keepdims=True))
+
+
+def _likeness(counts: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Cosines, rounded, so that they do not depend on how texts lie in slices."""
+    return np.round(_unit(counts) @ centre.T, 9)
+
+
+def _marked(coded: Shipped):
+    """Of every text with a marker how often it holds each, by slice."""
+
+    def run(frames):
+        markers = coded.value.markers
+        for frame in frames:
+            for _, texts in _slices(frame):
+                words = Words(texts, coded.value)
+                at = np.minimum(np.searchsorted(markers, words.hashes), len(markers) - 1)
+                at = np.where(markers[at] == words.hashes, at, -1)[words.codes]
+                used = at >= 0
+                counts = np.bincount(words.text[used] * len(markers) + at[used], minlength=len(texts) * len(markers))
+                counts = counts.reshape(len(texts), -1)
+                yield pd.DataFrame({"a": [_planes(counts[counts.any(1)].ravel())]})
+
+    return run
+
+
+def _start(picked: list[np.ndarray], width: int):
+    """A task's text with most markers, or, given picked ones, that least like any of them."""
+
+    def run(frames):
+        best = None
+        for frame in frames:
+            for a in frame["a"]:
+                counts = _unplanes(a).reshape(-1, width)
+                counts = counts[counts.sum(1) >= LEAST_MARKED]
+                if not len(counts):
+                    continue
+                score = _likeness(counts, np.stack(picked)).max(1) if picked else -counts.sum(1).astype(np.float64)
+                low = score.min()
+                one = float(low), min(row.tobytes() for row in counts[score == low])
+                best = one if best is None else min(best, one)
+        if best:
+            yield pd.DataFrame({"score": [best[0]], "a": [best[1]]})
+
+    return run
+
+
+def _near(centre: np.ndarray):
+    """Sums of the texts nearest to each centre, of their directions and of their counts.
+
+    Directions are whole numbers here, so that sums do not depend on their order.
+    """
+
+    def run(frames):
+        sums = np.zeros((2, *centre.shape))
+        for frame in frames:
+            for a in frame["a"]:
+                counts = _unplanes(a).reshape(-1, centre.shape[1])
+                near = _likeness(counts, centre).argmax(1)
+                unit = np.rint(_unit(counts) * (1 << 20))
+                for k in range(len(centre)):
+                    sums[0, k] += unit[near == k].sum(0)
+                    sums[1, k] += counts[near == k].sum(0)
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId() % 64], "a": [sums.tobytes()]})
+
+    return run
+
+
+def _lexicon(coded: Shipped):
+    """Distinct words of every slice: hash, first bytes, and how often they occur."""
+
+    def run(frames):
+        for frame in frames:
+            for _, texts in _slices(frame):
+                words = Words(texts, coded.value)
+                count = np.bincount(words.codes, minlength=len(words.hashes))
+                yield pd.DataFrame({
+                    "hash": words.hashes[1:].view(np.int64), "n": count[1:],
+                    "spelt": _prefixes(words.flat, words.start[1:], words.size[1:]).tolist(),
+                })
+
+    return run
+
+
+def _bounds(lexicon: DataFrame, ranges: int) -> np.ndarray:
+    """Where ranges of words begin, so that the distinct training words fill them alike."""
+    total = lexicon.count()
+    at = sorted({k * total // ranges + 1 for k in range(1, ranges)})
+    numbered = assign_ids(lexicon.select("spelt", "hash"), ["spelt", "hash"], "place")
+    # At most one row a range.
+    found = numbered.filter(F.col("place").isin(at)).select("spelt").collect() if total else []
+    return np.sort(np.array([bytes(r["spelt"]) for r in found], f"S{RANGE_PREFIX}"))
+
+
+def byte_counts(words: Spelling, weight: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+    """Counts of the bytes of words and the blank after each, every word as often as its weight says.
+
+    Of bytes (256) and of the two bytes before each (65,536); given pairs, of each byte after each pair,
+    row 0 for all others.
+    """
+    size = words.size + 1
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    at = np.minimum(np.repeat(words.start, size) + place, len(words.flat) - 1)
+    byte = words.flat[at].astype(np.int64)
+    byte[begin + size - 1] = 32
+    one = np.where(place >= 1, np.append(0, byte)[: len(byte)], 0)
+    two = np.where(place >= 2, np.append([0, 0], byte)[: len(byte)], 0)
+    often = np.repeat(weight, size)
+    if pairs is None:
+        return np.append(np.bincount(byte, often, 256), np.bincount(one + 256 * two, often, 1 << 16))
+    row = np.zeros(1 << 16, np.int64)
+    row[pairs] = np.arange(1, len(pairs) + 1)
+    return np.bincount(row[one + 256 * two] * 256 + byte, often, (len(pairs) + 1) * 256)
+
+
+def commonest_pairs(first: np.ndarray) -> np.ndarray:
+    held = first[256:]
+    order = np.argsort(-held, kind="stable")[:PAIRS]
+    return np.sort(order[held[order] > 0])
+
+
+def _unit_bytes(pairs: np.ndarray | None):
+    """`byte_counts` of a task's units."""
+
+    def run(frames):
+        total = 0.0
+        for frame in frames:
+            for _, row in frame.iterrows():
+                size, held = _unplanes(row["b"]).astype(np.int64), _unplanes(row["c"], 1)
+                weight = np.bincount(np.repeat(np.arange(len(size)), held), _unplanes(row["e"], 8), len(size))
+                words = Spelling(np.append(_unplanes(row["a"], 1), np.uint8(0)), np.cumsum(size) - size, size)
+                total = total + byte_counts(words, weight, pairs)
+        if np.ndim(total):
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId() % 64], "a": [total.tobytes()]})
+
+    return run
+
+
 @dataclass
 class Spelling:
     """The bytes of distinct words."""
@@ -362,9 +488,9 @@ class Repeats:
 class Learner:
     """Counts of a task's training words: of each slice by word and class, of all slices for the places of repeats."""
 
-    def __init__(self, coder: Coder, ranges: int = 1):
+    def __init__(self, coder: Coder):
         self.coder = coder
-        self.bounds = coder.bounds(ranges)
+        self.bounds = coder.bounds
         self.repeats = np.zeros((2, PLACES, 2))
         self.words = 0.0
 
@@ -521,11 +647,11 @@ def _row(part: str, bucket: int, chunk: int, *data: bytes) -> tuple:
     return (part, int(bucket), int(chunk), *data, *[b""] * (8 - len(data)))
 
 
-def _gather(buckets: int, coded: Shipped):
+def _gather(coded: Shipped):
     """Each slice's texts as places of words, its words by range of their hash, and a task's counts of repeats."""
 
     def run(frames):
-        learner = Learner(coded.value, buckets)
+        learner = Learner(coded.value)
         task = TaskContext.get().partitionId()
         chunk = task << 32
         for frame in frames:
@@ -794,20 +920,13 @@ def _total(parts: DataFrame, by: str) -> np.ndarray | float:
     return sum((np.frombuffer(r["a"]) for r in added), 0.0)
 
 
-def _sample(rows: DataFrame) -> list[bytes]:
-    """The training texts first by hash of the id: at most SAMPLE_TEXTS, of each SAMPLE_CHARS characters."""
-    ids = rows.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS)
-    # At most SAMPLE_TEXTS ids: a bounded broadcast.
-    texts = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    return sorted({(r["text"] or "").encode("utf-8", "surrogatepass") for r in texts.collect()})
-
-
 def score_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2,
 ) -> DataFrame:
     """Log probabilities and bits per byte of every whole text.
 
-    A word's bytes and the blank after it are coded by a prefix code.
+    A word's bytes and the blank after it are coded by a prefix code, which
+    follows the counts of bytes over all training words.
     Each coded bit is predicted from four contexts (see PREDICTORS; the
     class of a text comes from its words so far); their stretched
     probabilities are mixed by weights that the counts behind the two
@@ -841,14 +960,27 @@ def score_texts(
         F.col(id_col).cast("long").alias("doc_id"), (fold_of(id_col, folds) == held).alias("held_out"),
         F.col(text_col).alias("text"),
     )
-    coded = Shipped(spark, Coder(_sample(rows.filter("not held_out"))))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(LEAST_RANGES, min(2 * shuffle_width(spark), size // RANGE_CHARS))
+    coder = Coder()
+    learnt = rows.filter("not held_out").select("text")
+    lexicon = learnt.mapInPandas(_lexicon(Shipped(spark, coder)), "hash long, n long, spelt binary")
+    lexicon = materialize(lexicon.groupBy("hash").agg(F.sum("n").alias("n"), F.min("spelt").alias("spelt")), "lexicon")
+    coder.bounds = _bounds(lexicon, buckets)
+    top = lexicon.orderBy(F.desc("n"), "hash").limit(MARKERS).select("hash").collect()
+    coder.markers = np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64))
+    if top:
+        coder.fit_classes(materialize(learnt.mapInPandas(_marked(Shipped(spark, coder)), "a binary"), "marked"))
     plain = rows.select("held_out", "text", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"))
-    gathered = materialize(plain.mapInPandas(_gather(buckets, coded), _PARTS), "gathered", by=["part"])
+    gathered = materialize(plain.mapInPandas(_gather(Shipped(spark, coder)), _PARTS), "gathered", by=["part"])
     words = gathered.filter(F.col("part") == "words")
     vocabulary = materialize(words.groupBy("bucket").applyInPandas(_vocabulary, _PARTS), "vocabulary", by=["part"])
     units = vocabulary.filter(F.col("part") == "unit").select("bucket", "chunk", *"abcdef")
+    first = _total(units.mapInPandas(_unit_bytes(None), "part long, a binary"), "part") + np.zeros(256 + (1 << 16))
+    pairs = commonest_pairs(first)
+    after = _total(units.mapInPandas(_unit_bytes(pairs), "part long, a binary"), "part")
+    coder.fit_code(first, after + np.zeros((len(pairs) + 1) * 256))
+    coded = Shipped(spark, coder)
     counted = units.mapInPandas(_key_parts(2 * buckets, coded), _COUNTED).groupBy("bucket").applyInPandas(_add_keys, _COUNTED)
     known = materialize(
         units.groupBy("chunk").cogroup(counted.select("unit", "bucket", "a", "b").groupBy("unit"))
