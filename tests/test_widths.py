@@ -6,8 +6,9 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from tillspark.plans import feeds
+from tillspark.plans import feeds, long_orders
 from tillspark.session import SETTINGS, scratch_path
+from tillspark.sources.standins import Tables
 from tillspark.streaming import jobs
 
 
@@ -42,3 +43,17 @@ def test_shuffles_start_wider_than_the_session_says(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     assert grouped > 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_long_orders_are_made_once(spark, monkeypatch):
+    """Their readers find stored rows, not the windows and joins behind them."""
+    seen = []
+    monkeypatch.setattr(long_orders, "stock_ledger", lambda stock, lines: seen.append(lines) or SimpleNamespace(lines=lines))
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    assert "Window" not in _plan(tables.long_items)
+    long_orders.long_stock_ledger(tables)
+    assert "Generate" not in _plan(seen[0])

@@ -13,6 +13,7 @@ from tillspark.operators.validate import validate_orders
 from tillspark.plans.orders import AS_OF
 from tillspark.plans.registry import query
 from tillspark.plans.stock import LINES_SQL, ledger_sql
+from tillspark.session import materialize
 from tillspark.sources.standins import Tables, payment_topic
 from tillspark.sources.topics import topic_rows
 
@@ -50,7 +51,8 @@ def long_order_items(t: Tables) -> DataFrame:
 def _placed(t: Tables) -> DataFrame:
     """The placed events of the long orders, as decoded topic rows."""
     made = _made(t)
-    topic = topic_rows(orders.order_placed_events(made.orders.drop("request_id"), made.items), F.col("event_seq"))
+    items = materialize(made.items, "long-made")  # pages, counts and orders without lines each read them
+    topic = topic_rows(orders.order_placed_events(made.orders.drop("request_id"), items), F.col("event_seq"))
     return decode_events(topic, schemas.ORDER_PLACED).valid
 
 
@@ -143,4 +145,4 @@ def long_stock_ledger(t: Tables) -> DataFrame:
     topic = payment_topic(t.long_orders.join(totals, "id"), t.long_items)
     decoded = split_arrived(with_places(decode_events(topic, schemas.PAYMENT_EVENT).valid)).whole
     lines = event_lines(decoded, F.col("_item.productId").alias("product_id"), F.col("_item.quantity"))
-    return stock_ledger(t.inventory, lines).lines
+    return stock_ledger(t.inventory, materialize(lines, "long-lines")).lines  # read several times

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tillspark.functions.pages import PAGE_ITEMS, encode_page, item_pages, with_item_pages
 from tillspark.functions.positions import row_positions
 from tillspark.operators import payments as payment_ops
-from tillspark.session import scratch_path
+from tillspark.session import materialize, scratch_path
 
 _CATEGORY = (
     "CASE WHEN p_type IN ('ECONOMY','SMALL') THEN 'DECK' "
@@ -182,13 +182,13 @@ class Tables:
 
     @cached_property
     def long_items(self) -> DataFrame:
-        """The lines of `long_orders`."""
+        """The lines of `long_orders`, written once, since every reader takes them several times."""
         known = self.order_items.join(self.orders_t.select(F.col("id").alias("order_id")), "order_id", "left_semi")
         rows = known.withColumnsRenamed({"order_id": "_order", "item_pos": "_pos"}).withColumn(
             "order_id", F.when(F.col("_order") % 3 == 0, 0).otherwise(F.col("_order"))
         )
         placed = row_positions(rows, "order_id", ["_order", "_pos"], "item_pos")
-        return placed.select("order_id", "item_pos", "product_id", "quantity", "unit_price")
+        return materialize(placed.select("order_id", "item_pos", "product_id", "quantity", "unit_price"), "long-items")
 
     @cached_property
     def paid(self) -> DataFrame:
