@@ -10,6 +10,7 @@ from tillspark.plans import feeds, long_orders
 from tillspark.session import SETTINGS, scratch_path
 from tillspark.sources.standins import Tables
 from tillspark.streaming import jobs
+from tillspark.streaming.outcomes import Outcomes
 
 
 def topic(spark, rows: int, files: int):
@@ -57,3 +58,22 @@ def test_lines_of_long_orders_are_made_once(spark, monkeypatch):
     assert "Window" not in _plan(tables.long_items)
     long_orders.long_stock_ledger(tables)
     assert "Generate" not in _plan(seen[0])
+
+
+def test_stock_job_gives_the_ledger_stored_lines(spark, monkeypatch):
+    """The ledger reads its lines several times; none of that unpacks the events again."""
+    seen, plain = [], jobs.ledger.stock_ledger
+
+    def ledger(stock, lines, *args):
+        seen.append(_plan(lines))
+        return plain(stock, lines, *args)
+
+    monkeypatch.setattr(jobs.ledger, "stock_ledger", ledger)
+    value = '{"orderId":1,"customerId":1,"sessionId":"s","status":"X","items":[{"productId":1,"quantity":2}]}'
+    folder = scratch_path(spark, "topic")
+    spark.createDataFrame([(1, "1", value)], "seq long, key string, value string").write.parquet(folder)
+    stored = spark.createDataFrame([(1, 1, 9, 0)], "id long, product_id long, quantity int, reserved int")
+    out = Outcomes(spark, scratch_path(spark, "out"))
+    jobs.stock_job(feeds.read_topic(spark, folder), stored, out, scratch_path(spark, "offsets"))
+    assert len(seen) == 1 and "Generate" not in seen[0]
+    assert [tuple(r) for r in jobs.current_stock(stored, out).collect()] == [(1, 1, 7, 0)]

@@ -20,6 +20,7 @@ from tillspark import schemas
 from tillspark.functions.codec import Decoded, bind_events, decode_events
 from tillspark.functions.pages import Arrived, event_lines, first_pages, split_arrived, with_places
 from tillspark.operators import cart, ledger, lookups, notifications, orders, payments, updates
+from tillspark.session import materialize
 from tillspark.streaming.outcomes import MALFORMED, REJECTED, Outcomes, raw_rows
 
 Handler = Callable[[DataFrame, int], None]
@@ -192,7 +193,8 @@ def stock_job(
         again = bind_events(waited, schemas.PAYMENT_EVENT)
         events = with_places(decoded.valid.drop("at").unionByName(again))
         ready = hold_back(events)
-        lines = _lines_of(ready.whole)
+        # Written once: the ledger reads its lines several times.
+        lines = materialize(_lines_of(ready.whole), "stock-lines")
         touched = current_stock(stored, out, batch).join(
             lines.select("product_id").distinct(), "product_id", "left_semi"
         ).select(*stored.columns)
