@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -455,6 +457,18 @@ def test_severity_orders_texts(spark):
     assert above[0] < above[1] <= above[2] and (np.diff(model.cuts) >= 0).all()
 
 
+def test_severity_holds_terms_as_numbers():
+    """A fit takes no more memory than a few times its texts."""
+    rng = random.Random(5)
+    vocabulary = [f"{''.join(rng.choices('abcdefghij', k=8))}" for _ in range(3_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=500)) for _ in range(300)]
+    tracemalloc.start()
+    severity.Severity(texts, [i % 2 for i in range(300)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * sum(map(len, texts))
+
+
 def test_automaton_accepts_exactly_the_factors():
     text = [1, 2, 1, 3, 1, 2, 2]
     moves = language.suffix_automaton(text)

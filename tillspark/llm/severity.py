@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -47,23 +48,32 @@ class Severity:
         for text, grade in zip(texts, grades):
             worst[text] = max(grade, worst.get(text, 0))
         texts, grades = list(worst), list(worst.values())
-        found = [terms(t) for t in texts]
-        df: dict[str, int] = {}
-        hits: dict[str, int] = {}
-        for words, grade in zip(found, grades):
-            for w in words:
-                df[w] = df.get(w, 0) + 1
-                hits[w] = hits.get(w, 0) + (grade > 0)
+        # Texts hold their terms as numbers: sets of strings take many times the memory of the texts.
+        number: dict[str, int] = {}
+        found, df_, hits_ = [], array("q"), array("q")
+        for text, grade in zip(texts, grades):
+            words = terms(text)
+            held = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+            fresh = bytes(8 * (len(number) - len(df_)))
+            df_.frombytes(fresh)
+            hits_.frombytes(fresh)
+            np.frombuffer(df_, np.int64)[held] += 1
+            if grade > 0:
+                np.frombuffer(hits_, np.int64)[held] += 1
+            found.append(held)
+        df, hits = dict(zip(number, df_)), dict(zip(number, hits_))
         share = sum(g > 0 for g in grades) / max(1, len(grades))
         names = sorted(
             w for w, n in df.items()
             if n >= LEAST_TEXTS and abs(hits[w] - n * share) > LEAST_Z * np.sqrt(n * share * (1 - share))
         )
-        at = {w: i for i, w in enumerate(names)}
+        at = np.full(len(number), -1, np.int64)  # place of a term among the names
+        at[[number[w] for w in names]] = np.arange(len(names))
         grades_ = self._graded(texts, np.array(grades, np.int64), df, hits)
         self.top = int(grades_.max(initial=0))
-        rows = np.repeat(np.arange(len(found)), [sum(w in at for w in x) for x in found])
-        cols = np.array([at[w] for x in found for w in sorted(x) if w in at], np.int64)
+        used = [at[x][at[x] >= 0] for x in found]
+        rows = np.repeat(np.arange(len(used)), [len(x) for x in used])
+        cols = np.concatenate([np.zeros(0, np.int64), *(np.sort(x) for x in used)])
         weights, self.cuts = self._fit(rows, cols, grades_, len(names))
         small = 0.05 * np.abs(weights).max(initial=0)
         self.weights = {w: float(v) for w, v in zip(names, weights) if abs(v) > small}
