@@ -99,6 +99,19 @@ def test_exact_groups_of_one_digest_compare_texts(docs):
     assert got == {(i, min(groups[t]), len(groups[t])) for i, t in rows}
 
 
+def test_exact_groups_move_no_text_past_its_digest(spark, monkeypatch):
+    """Also where different texts share a digest."""
+    kept = []
+    monkeypatch.setattr(exact_dedup, "materialize", lambda df, *a: kept.append(df) or df)
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: exact_dedup.F.substring(c, 1, 1))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["aa", "ab", "ab", "b", "b", "c", "aa", "aa"])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(docs).collect())
+    assert got == [
+        (0, 0, 3, True), (1, 1, 2, True), (2, 1, 2, False), (3, 3, 2, True), (4, 3, 2, False), (5, 5, 1, True), (6, 0, 3, False), (7, 0, 3, False),
+    ]
+    assert [sorted(df.columns) for df in kept] == [["digest", "group_size", "keep_id", "texts"]]
+
+
 def test_base_score_is_the_unigram_model(docs):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     tokens = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").translate(lower)) + [None] for r in docs.collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tillspark.llm.common import BLANKS
 from tillspark.session import materialize
@@ -33,22 +33,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("digest", "salt", "body")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
     )
-    # Dealt by digest alone, so that texts sharing a digest meet in one task.
+    # Dealt by digest alone, so that texts sharing a digest meet in one task; no text leaves it.
     winners = (
         salted.repartition("digest").groupBy("digest", "body")
         .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-        .withColumn("texts", F.count("*").over(Window.partitionBy("digest")))
-        .withColumn("body", F.when(F.col("texts") > 1, F.col("body")))
+        .groupBy("digest")
+        .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("texts"))
     )
     winners = materialize(winners, "exact")
-    shared = winners.filter("texts > 1")
+    shared = winners.filter("texts > 1").select("digest")
     found = rows.select("doc_id", "digest").join(
         winners.filter("texts = 1").select("digest", "keep_id", "group_size"), "digest"
     )
     if not shared.isEmpty():  # different texts under one digest: their rows join on the text too
-        found = found.unionByName(
-            rows.join(shared.select("digest", "body", "keep_id", "group_size"), ["digest", "body"]).drop("body")
+        parted = (
+            salted.join(shared, "digest", "left_semi").groupBy("digest", "body")
+            .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
         )
+        found = found.unionByName(rows.join(parted, ["digest", "body"]).drop("body"))
     return found.select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
