@@ -9,8 +9,10 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +170,20 @@ def test_every_word_teaches_whatever_the_partitions(docs, monkeypatch):
     assert made[0] == pytest.approx(made[1], abs=1e-9) and scores[0] == pytest.approx(scores[1], rel=1e-6)
 
 
+def test_lexicon_hands_over_a_word_once_a_task(monkeypatch):
+    """Whatever the slices; words beyond the bound go in parts, with the same sums."""
+    texts = [f"the cat{i % 50} sat {'x' * (i % 7)}" for i in range(400)]
+    count = Counter(w for t in texts for w in t.split())
+    monkeypatch.setattr(lm_mixing, "SLICE_TEXTS", 30)
+    shared = SimpleNamespace(value=lm_mixing.Coder())
+    for bound in (10_000, 40):
+        monkeypatch.setattr(lm_mixing, "LEXICON_WORDS", bound)
+        found = pd.concat(lm_mixing._lexicon(shared)(iter([pd.DataFrame({"text": texts[k:k + 100]}) for k in range(0, 400, 100)])))
+        sums = found.groupby("spelt")["n"].sum()
+        assert {k.decode(): n for k, n in sums.items()} == count and found.groupby("spelt")["hash"].nunique().max() == 1
+        assert bound < 10_000 or len(found) == len(count)
+
+
 def test_code_and_classes_follow_every_training_text(spark, monkeypatch):
     """What comes late in a text, or in one text of many, counts for the byte code and the markers of classes."""
     made = []

@@ -25,6 +25,9 @@ UNIT_BYTES = 1 << 17
 RANGE_CHARS = 1 << 23
 LEAST_RANGES = 24
 RANGE_PREFIX = 24
+#: Words that wait in a task of the lexicon, and rows it hands over at once.
+LEXICON_WORDS = 400_000
+LEXICON_ROWS = 20_000
 #: The weights pass over one unit in so many, then go on from there over the next part; the last is all.
 ROUNDS = (4, 1)
 #: Predictors of a bit. Contexts: 3 bytes back and the class of the text so far; 4 bytes back; the
@@ -309,17 +312,34 @@ def _near(centre: np.ndarray):
 
 
 def _lexicon(coded: Shipped):
-    """Distinct words of every slice: hash, first bytes, and how often they occur."""
+    """Distinct words: hash, first bytes, and how often they occur.
+
+    A task adds up its slices until LEXICON_WORDS words wait, so that Spark gets most of its words once.
+    """
+
+    def merged(waiting):
+        hashes, count, spelt = (np.concatenate(x) for x in zip(*waiting))
+        hashes, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+        return hashes, np.bincount(code, count, len(hashes)).astype(np.int64), spelt[first]
+
+    def handed(hashes, count, spelt):
+        for low in range(0, len(hashes), LEXICON_ROWS):
+            now = slice(low, low + LEXICON_ROWS)
+            yield pd.DataFrame({"hash": hashes[now].view(np.int64), "n": count[now], "spelt": spelt[now].tolist()})
 
     def run(frames):
+        waiting = []
         for frame in frames:
             for _, texts in _slices(frame):
                 words = Words(texts, coded.value)
                 count = np.bincount(words.codes, minlength=len(words.hashes))
-                yield pd.DataFrame({
-                    "hash": words.hashes[1:].view(np.int64), "n": count[1:],
-                    "spelt": _prefixes(words.flat, words.start[1:], words.size[1:]).tolist(),
-                })
+                waiting.append((words.hashes[1:], count[1:], _prefixes(words.flat, words.start[1:], words.size[1:])))
+                if sum(len(x[0]) for x in waiting) > LEXICON_WORDS:
+                    waiting = [merged(waiting)]
+                    if len(waiting[0][0]) > LEXICON_WORDS // 2:
+                        yield from handed(*waiting.pop())
+        if waiting:
+            yield from handed(*merged(waiting))
 
     return run
 
@@ -821,6 +841,7 @@ def _key_parts(buckets: int, coded: Shipped):
                     (row["chunk"], bucket[a], _planes(np.diff(unit.keys[a:b], prepend=_U64(0)), 8), _planes(zero[a:b], 8), _planes(one[a:b], 8))
                     for a, b in zip(edges, edges[1:])
                 ]
+                del unit, zero, one  # or it would lie beside the next one
                 yield pd.DataFrame(out, columns=["unit", "bucket", "a", "b", "c"])
 
     return run
@@ -854,6 +875,7 @@ def _teach(coded: Shipped, weights: np.ndarray | None):
                 bit = unit.bit[used]
                 counts = [(zero[used] - (bit == 0), one[used] - bit) for zero, one in unit.corpus_counts(row)]
                 mixer.learn(counts, bit, unit.weight[used])
+                del unit, counts, bit, used
                 yield pd.DataFrame({"part": [int(row["chunk"]) % 64], "a": [mixer.state().tobytes()]})
 
     return run
@@ -867,6 +889,7 @@ def _spell(coded: Shipped, shared: Shipped):
             for _, row in frame.iterrows():
                 unit = Unit(row, coded.value)
                 bits = shared.value.word_bits(unit.corpus_counts(row), unit.bit, unit.owner, len(unit.count))
+                del unit
                 yield pd.DataFrame({"unit": [row["chunk"]], "bucket": [row["bucket"]], "a": [bits.astype(np.float32).tobytes()], "b": [row["f"]]})
 
     return run
@@ -965,7 +988,8 @@ def score_texts(
     coder = Coder()
     learnt = rows.filter("not held_out").select("text")
     lexicon = learnt.mapInPandas(_lexicon(Shipped(spark, coder)), "hash long, n long, spelt binary")
-    lexicon = materialize(lexicon.groupBy("hash").agg(F.sum("n").alias("n"), F.min("spelt").alias("spelt")), "lexicon")
+    # A hash has one spelling; as part of the key it needs no sort, which the smallest of strings would.
+    lexicon = materialize(lexicon.groupBy("hash", "spelt").agg(F.sum("n").alias("n")), "lexicon")
     coder.bounds = _bounds(lexicon, buckets)
     top = lexicon.orderBy(F.desc("n"), "hash").limit(MARKERS).select("hash").collect()
     coder.markers = np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64))
