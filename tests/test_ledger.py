@@ -89,6 +89,22 @@ def test_failure_skips_the_rest_of_its_event_only(table):
     assert left == [(10, 3), (11, 4)]
 
 
+@pytest.mark.parametrize("few", [0, 3, 1_000])
+def test_only_a_bounded_number_of_rows_goes_to_all_tasks(table, monkeypatch, few):
+    """The lines of a round are not shuffled for few products or events, and results stay."""
+    rnd = random.Random(4)
+    stock = [(p, p, rnd.randint(5, 60), 0) for p in range(6)]
+    lines = [(e, i, rnd.randint(0, 6), rnd.randint(1, 30)) for e in range(80) for i in range(1, 4)]
+    sent = []
+    broadcast = ledger.F.broadcast
+    monkeypatch.setattr(ledger, "FEW_ROWS", few)
+    monkeypatch.setattr(ledger.F, "broadcast", lambda df: sent.append((df.columns, df.count())) or broadcast(df))
+    assert replayed(table, stock, lines, blocks=3) == strict(stock, lines)
+    events = [n for columns, n in sent if "old_stop" in columns]
+    assert max(events, default=0) <= few
+    assert few < 1_000 or max(events) > 3
+
+
 def test_round_limit_fails_loudly(table):
     stock = [(p, p, 1, 0) for p in range(3)]
     lines = [(e, i, (e + i) % 3, 2 + e % 2) for e in range(9) for i in range(1, 4)]

@@ -48,6 +48,8 @@ MAP_STATES = 512
 LEAST_ROWS = 10_000
 BLOCK_ROWS = 1_000_000
 MOST_BLOCKS = 50_000
+# So many products or events of a round at most go to all tasks, which spares a shuffle of all lines.
+FEW_ROWS = 1_000_000
 
 _LINE = ["event_seq", "item_pos"]
 
@@ -263,6 +265,7 @@ class _Rounds:
             compared = materialize(fresh.join(old, "event_seq", "full"), "ledger-stops")
             self.stops = compared.filter(F.col("stop").isNotNull()).select("event_seq", "stop")
             changed = compared.filter(~F.col("stop").eqNullSafe(F.col("old_stop")))
+            changed = _sent(changed, changed.count())
 
             def skipped(stop: str) -> Column:
                 return F.coalesce(F.col("item_pos") > F.col(stop), F.lit(False))
@@ -284,9 +287,14 @@ class _Rounds:
             summary = found.first()  # of split products, at most one per block
             if not summary["products"]:
                 return
+            affected = _sent(affected, summary["products"])
             replayed = set(summary["split"])
 
 
+def _sent(few: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(few) if rows <= FEW_ROWS else few
+
+
 def _first_failures(failures: DataFrame) -> DataFrame:
     """Where each event stops."""
     return failures.groupBy("event_seq").agg(F.min("item_pos").alias("stop"))
