@@ -632,6 +632,85 @@ def test_shared_keys_and_local_ones_make_the_whole_table(docs, monkeypatch):
         at = now.stop
 
 
+def test_predictions_are_worked_out_once_a_context(monkeypatch):
+    """Not once a bit, with the numbers that a bit's own counts give."""
+    spelt = sorted({f"{a}{b}{'e' * k}".encode() for a in "abcdefgh" for b in "stuvw" for k in range(12)})
+    count = np.array([len(w) % 4 for w in spelt])
+    coder = lm_mixing.Coder([b" ".join(spelt)])
+    row = {
+        "a": lm_mixing._planes(np.frombuffer(b"".join(spelt), np.uint8), 1), "b": lm_mixing._planes(np.array([len(w) for w in spelt])),
+        "c": lm_mixing._planes(np.ones(len(spelt), int), 1), "d": lm_mixing._planes(np.zeros(len(spelt), int), 1),
+        "e": lm_mixing._planes(count, 8), "chunk": 0, "bucket": 0, "f": b"",
+    }
+    unit = lm_mixing.Unit(row, coder)
+    zero, one = unit.own_counts()
+    row |= {"g": lm_mixing._planes(3 * zero, 8), "h": lm_mixing._planes(2 * one, 8)}
+    counts = unit.corpus_counts(row)
+    level = lm_mixing._level
+    inputs, gate = unit.inputs(row)
+    assert all((x == lm_mixing._stretched(*c)).all() for x, c in zip(inputs, counts))
+    assert (gate == level(sum(counts[3])) * lm_mixing.LEVELS + level(sum(counts[2]))).all()
+    used = np.flatnonzero(unit.weight > 0)
+    assert 0 < len(used) < len(unit.bit)
+    bit = unit.bit[used]
+    rest = [(z[used] - (bit == 0), o[used] - bit) for z, o in counts]
+    inputs, gate = unit.inputs_of_others(row, used)
+    assert all((x == lm_mixing._stretched(*c)).all() for x, c in zip(inputs, rest))
+    assert (gate == level(sum(rest[3])) * lm_mixing.LEVELS + level(sum(rest[2]))).all()
+
+    plain, made = lm_mixing._stretched, []
+    monkeypatch.setattr(lm_mixing, "_stretched", lambda z, o: made.append(len(z)) or plain(z, o))
+    monkeypatch.setattr(lm_mixing, "TaskContext", None)
+    model = lm_mixing.Model(np.zeros(lm_mixing.GATES * (lm_mixing.PREDICTORS + 2 * lm_mixing.STEPS) + 1), np.zeros((2, lm_mixing.PLACES, 2)))
+    bits, shared = len(unit.bit), SimpleNamespace(value=coder)
+    for run in (lm_mixing._teach(shared, None), lm_mixing._spell(shared, SimpleNamespace(value=model))):
+        made.clear()
+        assert len(list(run(iter([pd.DataFrame([row])])))) == 1
+        assert sum(made) < 2 * bits
+
+
+def test_rounds_of_classes_read_only_markers_that_a_text_holds(monkeypatch):
+    """The sums of a round are those over all markers, zeros included."""
+    texts = ["", "zzz", *(" ".join(f"m{(i * i + k * k) % (40 + i % 7)}" for k in range(5 + i % 60)) for i in range(300))]
+    coder = lm_mixing.Coder()
+    known = lm_mixing.Words([" ".join(f"m{k}" for k in range(500)).encode()], coder)
+    coder.markers = np.sort(known.hashes[1:])
+    width = len(coder.markers)
+    monkeypatch.setattr(lm_mixing, "SLICE_TEXTS", 64)
+    marked = pd.concat(lm_mixing._marked(SimpleNamespace(value=coder))(iter([pd.DataFrame({"text": texts})])))
+    marks = [lm_mixing.Marks.of(row) for row in marked.itertuples(index=False)]
+    dense = np.concatenate([m.rows(np.arange(len(m.held)), width) for m in marks]).astype(float)
+    place = {h: k for k, h in enumerate(coder.markers.tolist())}
+    expected = np.zeros((300, width))
+    for counts, text in zip(expected, texts[2:]):
+        for word, n in Counter(text.split()).items():
+            counts[place[int(lm_mixing.Words([word.encode()], coder).hashes[1])]] = n
+    assert (dense == expected).all()
+    assert sum(len(m.marker) for m in marks) == (dense > 0).sum() < dense.size / 10
+    unit = np.sqrt(dense) / np.linalg.norm(np.sqrt(dense), axis=1, keepdims=True)
+    centre = unit[[3, 50, 117]]
+    near = np.round(unit @ centre.T, 9).argmax(1)
+    monkeypatch.setattr(lm_mixing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    found = np.frombuffer(next(lm_mixing._near(centre)(iter([marked])))["a"][0]).reshape(2, 3, width)
+    for k in range(3):
+        assert np.abs(found[0, k] - np.rint(unit[near == k] * (1 << 20)).sum(0)).max() <= (near == k).sum()
+        assert (found[1, k] == dense[near == k].sum(0)).all()
+    start = next(lm_mixing._start([], width)(iter([marked])))
+    assert (np.frombuffer(start["a"][0], "<u4").sum(), -start["score"][0]) == (dense.sum(1).max(),) * 2
+
+
+def test_planes_leave_out_bytes_that_are_zero_in_all():
+    rng = np.random.default_rng(3)
+    for width in (1, 2, 4, 8):
+        for used in range(width + 1):
+            values = rng.integers(0, 1 << 8 * used, 1_000, dtype=np.uint64)
+            back = lm_mixing._unplanes(lm_mixing._planes(values.astype(f"<u{width}"), width), width)
+            assert back.dtype == f"<u{width}" and (back == values).all()
+        assert len(lm_mixing._unplanes(lm_mixing._planes(np.zeros(0, np.int64), width), width)) == 0
+    noise = rng.integers(0, 256, 4_000)
+    assert len(lm_mixing._planes(noise, 8)) <= len(lm_mixing._planes(noise, 1))
+
+
 def test_scores_of_a_toy_corpus_are_probabilities(spark):
     """All words of a tiny alphabet as one-word texts: their probabilities with the end add to at most 1."""
     train = [(7 * i, "ab ba ab aab b", None, None, None, None, None, None) for i in range(1, 60) if held(7 * i, 7) != 2]

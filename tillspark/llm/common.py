@@ -65,11 +65,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed 64-bit mixing function on uint64 arrays."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))  # a copy, changed in place from here on
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def sum_arrays(parts: DataFrame, keys: list[str], value: str, spread: int = 64) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,6 +19,9 @@ from tillspark.session import materialize, shuffle_width
 
 SLICE_BYTES = 3_000_000
 SLICE_TEXTS = 4_096
+#: Words that are hashed at once, and bits that are mixed at once.
+HASHED = 1 << 13
+MIXED = 1 << 14
 #: Bytes of distinct words that are predicted together.
 UNIT_BYTES = 1 << 17
 #: Text characters for each range of words, as long as that makes no more than twice the shuffle's
@@ -136,7 +140,7 @@ class Coder:
             if not best:
                 self.markers = self.markers[:0]
                 return
-            picked.append(_unit(np.frombuffer(best[0]["a"], "<u4")[None, :])[0])
+            picked.append(_unit(np.frombuffer(best[0]["a"], "<u4")))
         centre = np.stack(picked)
         for _ in range(CLASS_ROUNDS):
             sums, held = _total(marked.mapInPandas(_near(centre), "part long, a binary"), "part").reshape(2, CLASSES, width)
@@ -164,9 +168,9 @@ class Coder:
             return np.zeros(n, np.int64)
         at = np.minimum(np.searchsorted(self.markers, words.hashes), len(self.markers) - 1)
         row = np.where(self.markers[at] == words.hashes, at, len(self.markers))
-        first = np.cumsum(words.lengths) - words.lengths
-        level = np.frexp((np.arange(n) - first[words.text]).astype(np.float32))[1].astype(np.int64)
-        step = words.text * LEVELS_OF_PLACE + level
+        place = _places(words.lengths)
+        level = np.frexp(np.arange(place.max(initial=0) + 1).astype(np.float32))[1].astype(np.int64)
+        step = words.text * LEVELS_OF_PLACE + level[place]
         marked = np.flatnonzero(row[words.codes] < len(self.markers))
         odds, at = self.odds[row[words.codes[marked]]], step[marked]
         shape = len(words.lengths), LEVELS_OF_PLACE
@@ -193,17 +197,17 @@ class Words:
         after[:-1] = blank[1:]
         size = np.flatnonzero(~blank & after) + 1 - start
         edges = np.cumsum([len(t) + 1 for t in texts])
-        text = np.searchsorted(edges, start, side="right")
+        count = np.diff(np.searchsorted(start, edges), prepend=0)
         hashes = np.zeros(len(start), np.uint64)
-        for low in range(0, len(start), 1 << 16):
-            begin, long = start[low:low + (1 << 16)], size[low:low + (1 << 16)]
+        for low in range(0, len(start), HASHED):
+            begin, long = start[low:low + HASHED], size[low:low + HASHED]
             own = flat[begin[0]:begin[-1] + long[-1]]
             begin = begin - begin[0]
             place = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
             terms = coder.letters[own]
             terms *= coder.power(int(place.max()) + 1)[place]
             sums = np.append(np.uint64(0), np.cumsum(terms))
-            hashes[low:low + (1 << 16)] = mix64(sums[begin + long] - sums[begin] + long.astype(np.uint64))
+            hashes[low:low + HASHED] = mix64(sums[begin + long] - sums[begin] + long.astype(np.uint64))
         codes, self.hashes = pd.factorize(hashes)
         self.hashes = np.append(np.uint64(0), self.hashes.astype(np.uint64))
         first = np.zeros(len(self.hashes), np.int64)
@@ -211,7 +215,6 @@ class Words:
         self.flat, self.start = flat, start[first] if len(start) else first
         self.size = size[first] if len(start) else first
         self.size[0] = 0
-        count = np.bincount(text, minlength=len(texts))
         self.lengths = count + 1
         ends = np.cumsum(self.lengths) - 1
         self.codes = np.zeros(len(codes) + len(texts), np.int64)
@@ -221,6 +224,11 @@ class Words:
         self.text = np.repeat(np.arange(len(texts)), self.lengths)
 
 
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """The place of every word in its text."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 def _prefixes(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The first RANGE_PREFIX bytes of words, in an array that sorts as the words do."""
     out = np.zeros((len(start), RANGE_PREFIX), np.uint8)
@@ -241,14 +249,40 @@ def _shared_lengths(words: Spelling, at: int) -> np.ndarray:
     return length
 
 
-def _unit(counts: np.ndarray) -> np.ndarray:
-    unit = np.sqrt(counts.astype(np.float64))
-    return unit / np.maximum(1e-9, np.linalg.norm(unit, axis=1, keepdims=True))
+@dataclass
+class Marks:
+    """Of texts with a marker: the markers that each holds, how often, and the text's direction."""
+
+    start: np.ndarray
+    held: np.ndarray
+    marker: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, row) -> Marks:
+        held = _unplanes(row.a).astype(np.int64)
+        return cls(np.cumsum(held) - held, held, _unplanes(row.b, 2).astype(np.int64), _unplanes(row.c).astype(np.float64))
+
+    def sums(self) -> np.ndarray:
+        return np.add.reduceat(self.count, self.start)
+
+    def units(self) -> np.ndarray:
+        return np.sqrt(self.count) / np.repeat(np.sqrt(self.sums()), self.held)
+
+    def likeness(self, unit: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        """Cosines, rounded, so that they do not depend on how texts lie in slices."""
+        return np.round(np.stack([np.add.reduceat(unit * c[self.marker], self.start) for c in centre], 1), 9)
+
+    def rows(self, texts: np.ndarray, width: int) -> np.ndarray:
+        """Counts of all markers in some texts."""
+        out = np.zeros((len(texts), width), "<u4")
+        for counts, low, n in zip(out, self.start[texts], self.held[texts]):
+            counts[self.marker[low:low + n]] = self.count[low:low + n]
+        return out
 
 
-def _likeness(counts: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """Cosines, rounded, so that they do not depend on how texts lie in slices."""
-    return np.round(_unit(counts) @ centre.T, 9)
+def _unit(counts: np.ndarray) -> np.ndarray:
+    return np.sqrt(counts.astype(np.float64) / counts.sum())
 
 
 def _marked(coded: Shipped):
@@ -263,8 +297,10 @@ def _marked(coded: Shipped):
                 at = np.where(markers[at] == words.hashes, at, -1)[words.codes]
                 used = at >= 0
                 counts = np.bincount(words.text[used] * len(markers) + at[used], minlength=len(texts) * len(markers))
-                counts = counts.reshape(len(texts), -1)
-                yield pd.DataFrame({"a": [_planes(counts[counts.any(1)].ravel())]})
+                place = np.flatnonzero(counts)
+                if len(place):
+                    held = np.bincount(place // len(markers))
+                    yield pd.DataFrame({"a": [_planes(held[held > 0])], "b": [_planes(place % len(markers), 2)], "c": [_planes(counts[place])]})
 
     return run
 
@@ -275,14 +311,15 @@ def _start(picked: list[np.ndarray], width: int):
     def run(frames):
         best = None
         for frame in frames:
-            for a in frame["a"]:
-                counts = _unplanes(a).reshape(-1, width)
-                counts = counts[counts.sum(1) >= LEAST_MARKED]
-                if not len(counts):
-                    continue
-                score = _likeness(counts, np.stack(picked)).max(1) if picked else -counts.sum(1).astype(np.float64)
+            for row in frame.itertuples(index=False):
+                marks = Marks.of(row)
+                sums = marks.sums()
+                score = marks.likeness(marks.units(), np.stack(picked)).max(1) if picked else -sums
+                score = np.where(sums >= LEAST_MARKED, score, np.inf)
                 low = score.min()
-                one = float(low), min(row.tobytes() for row in counts[score == low])
+                if low == np.inf or best and best[0] < low:
+                    continue
+                one = float(low), min(r.tobytes() for r in marks.rows(np.flatnonzero(score == low), width))
                 best = one if best is None else min(best, one)
         if best:
             yield pd.DataFrame({"score": [best[0]], "a": [best[1]]})
@@ -297,15 +334,15 @@ def _near(centre: np.ndarray):
     """
 
     def run(frames):
-        sums = np.zeros((2, *centre.shape))
+        sums = np.zeros((2, centre.size))
         for frame in frames:
-            for a in frame["a"]:
-                counts = _unplanes(a).reshape(-1, centre.shape[1])
-                near = _likeness(counts, centre).argmax(1)
-                unit = np.rint(_unit(counts) * (1 << 20))
-                for k in range(len(centre)):
-                    sums[0, k] += unit[near == k].sum(0)
-                    sums[1, k] += counts[near == k].sum(0)
+            for row in frame.itertuples(index=False):
+                marks = Marks.of(row)
+                unit = marks.units()
+                near = marks.likeness(unit, centre).argmax(1)
+                place = np.repeat(near * centre.shape[1], marks.held) + marks.marker
+                sums[0] += np.bincount(place, np.rint(unit * (1 << 20)), centre.size)
+                sums[1] += np.bincount(place, marks.count, centre.size)
         yield pd.DataFrame({"part": [TaskContext.get().partitionId() % 64], "a": [sums.tobytes()]})
 
     return run
@@ -438,7 +475,7 @@ def placed_bit_rows(words: Words | Spelling, which: np.ndarray, kind: np.ndarray
     of = np.repeat(np.arange(len(byte)), bits)
     steps = coder.steps[np.repeat(coder.first[code, byte] - edge, bits) + np.arange(len(of))]
     node = (steps >> _U32(1)).astype(_U64) * _U64(0xD6E8FEB86659FD93)
-    keys = [mix64(mix64(context)[of] + node) for context in contexts]
+    keys = [np.add(key := mix64(context)[of], node, out=key) for context in contexts]
     return owner[of], keys, (steps & _U32(1)).astype(np.int64), place[of]
 
 
@@ -460,10 +497,13 @@ def _first_weights() -> np.ndarray:
 
 
 def _mixed(inputs: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    total = weights[gate, 0] * inputs[0]
+    total = weights[:, 0].take(gate)
+    total *= inputs[0]
     for k in range(1, len(inputs)):
-        total += weights[gate, k] * inputs[k]
-    return np.clip(total, -12, 12)
+        term = weights[:, k].take(gate)
+        term *= inputs[k]
+        total += term
+    return np.clip(total, -12, 12, out=total)
 
 
 def _steps(score: np.ndarray) -> np.ndarray:
@@ -485,21 +525,24 @@ class Repeats:
 
     def __init__(self, words: Words | Sequence):
         n = len(words.codes)
-        key = words.text * len(words.size) + words.codes
-        order = np.argsort(key, kind="stable")
+        # Text, word and place in one number: a slice has either few texts and bytes or one text.
+        bits = n.bit_length()
+        key = np.sort((words.text * len(words.size) + words.codes << bits) + np.arange(n))
+        order = key & ((1 << bits) - 1)
+        key >>= bits
         new = np.ones(n, bool)
-        new[1:] = key[order][1:] != key[order][:-1]
+        new[1:] = key[1:] != key[:-1]
         group = np.cumsum(new) - 1
         rank = np.arange(n) - np.flatnonzero(new)[group] if n else np.zeros(0, np.int64)
         self.seen = np.empty(n, np.int64)
         self.seen[order] = rank
-        first = np.cumsum(words.lengths) - words.lengths
-        self.place = np.arange(n) - first[words.text]
-        self.flag = (self.seen > 0).astype(np.int64)
-        behind = [np.where(self.place >= k, np.concatenate([np.zeros(k, np.int64), self.flag])[:n], 0) for k in (1, 2, 3, 4)]
+        self.place = _places(words.lengths)
+        self.flag = (self.seen > 0).astype(np.uint8)
+        runs = np.zeros(n, np.uint8)
+        for k in range(4):  # whether the words 1 to 4 places back were repeats
+            runs[k + 1:] += (self.flag[:max(0, n - k - 1)] << k) * (self.place[k + 1:] > k)
         before = np.where(self.place >= 1, np.concatenate([[0], words.codes[:-1]]), 0) if n else words.codes
-        deep = np.minimum(np.log2(self.place + 1).astype(np.int64), 15)
-        runs = behind[0] + 2 * behind[1] + 4 * behind[2] + 8 * behind[3]
+        deep = np.minimum(np.log2(np.arange(1, self.place.max(initial=0) + 2)).astype(np.int64), 15)[self.place]
         length = np.minimum(words.size[before], 15)
         self.before = before  # the word before, the first predictor of the odds
         self.slots = [deep * 16 + runs, length * 16 + deep]  # places of the others
@@ -525,7 +568,8 @@ class Learner:
         training counts of pairs, and how often a text's new and repeated words followed each word.
         """
         bucket = self.ranges(words)
-        order = np.lexsort((words.hashes, bucket))
+        order = np.argsort(words.hashes)
+        order = order[np.argsort(bucket[order].astype(np.min_scalar_type(len(self.bounds))), kind="stable")]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         at, pairs = pd.factorize(rank[words.codes] * _KINDS + self.coder.classes(words))
@@ -533,10 +577,10 @@ class Learner:
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
         at, pairs = place[at], pairs[by]
-        mine = training[words.text]
+        mine = np.repeat(training, words.lengths)
         count = np.bincount(at[mine], minlength=len(pairs))
         repeats = Repeats(words)
-        rest = mine & (repeats.place > 0)
+        rest = np.flatnonzero(mine & (repeats.place > 0))
         for table, slot in zip(self.repeats, repeats.slots):
             table += np.bincount(slot[rest] * 2 + repeats.flag[rest], minlength=2 * PLACES).reshape(PLACES, 2)
         after = np.bincount(rank[repeats.before[rest]] * 2 + repeats.flag[rest], minlength=2 * len(rank)).reshape(-1, 2)
@@ -556,19 +600,19 @@ class Mixer:
         self.refined = np.zeros((GATES, STEPS, 2))
         self.mass = 0.0
 
-    def learn(self, counts: list[tuple[np.ndarray, np.ndarray]], bit: np.ndarray, weight: np.ndarray) -> None:
-        """Steps on bits, each with the counts of (zeros, ones) of all other bits behind its predictors."""
-        inputs = [_stretched(zero, one) for zero, one in counts]
-        gate = _level(sum(counts[3])) * LEVELS + _level(sum(counts[2]))
+    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
+        """Steps on bits, each with what its predictors say and their gate by the counts of all other bits."""
+        step = np.empty(len(bit), np.int64)
         for low in range(0, len(bit), BATCH):
             now = slice(low, low + BATCH)
             g, x, w = gate[now], [i[now] for i in inputs], weight[now]
             score = _mixed(x, g, self.weights)
             slope = (bit[now] - _squash(score)) * w
             mass = np.bincount(g, w, GATES) + 100
-            self.refined += np.bincount((g * STEPS + _steps(score)) * 2 + bit[now], w, self.refined.size).reshape(self.refined.shape)
+            step[now] = _steps(score)
             for k, values in enumerate(x):
                 self.weights[:, k] += RATE * np.bincount(g, slope * values, GATES) / mass
+        self.refined += np.bincount((gate * STEPS + step) * 2 + bit, weight, self.refined.size).reshape(self.refined.shape)
         self.mass += float(weight.sum())
 
     def state(self) -> np.ndarray:
@@ -592,14 +636,16 @@ class Model:
         self.refined = (refined[:, :, 1] + 20 * prior) / (refined.sum(2) + 20)
         self.repeats = _stretched(repeats[:, :, 0], repeats[:, :, 1])
 
-    def word_bits(self, counts: list[tuple[np.ndarray, np.ndarray]], bit: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    def word_bits(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Bits of n words, from those of their coded bits."""
-        inputs = [_stretched(zero, one) for zero, one in counts]
-        gate = _level(sum(counts[3])) * LEVELS + _level(sum(counts[2]))
-        score = _mixed(inputs, gate, self.weights)
-        p = 0.5 * (_squash(score) + self.refined[gate, _steps(score)])
-        p = np.clip(np.where(bit == 1, p, 1 - p), 2.0**-16, 1)
-        return np.bincount(owner, -np.log2(p), n)
+        out = np.empty(len(bit))
+        for low in range(0, len(bit), MIXED):
+            now = slice(low, low + MIXED)
+            score = _mixed([x[now] for x in inputs], gate[now], self.weights)
+            p = 0.5 * (_squash(score) + self.refined[gate[now], _steps(score)])
+            p = np.clip(np.where(bit[now] == 1, p, 1 - p), 2.0**-16, 1)
+            out[now] = -np.log2(p)
+        return np.bincount(owner, out, n)
 
     def score(self, words: Sequence, spelled: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Bits of every text, from those of the words in place and the odds of repeats after each word.
@@ -616,8 +662,10 @@ class Model:
         spell = np.exp2(-spelled)
         bits = np.zeros(texts)
         block = follow.place // BLOCK
+        if block.max(initial=0) < 1 << 16:
+            block = block.astype(np.uint16)  # sorted by its digits
         order = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[order], np.arange(block.max(initial=-1) + 2))
+        edges = np.searchsorted(block[order], np.arange(int(block.max()) + 2 if len(block) else 1))
         for a, b in zip(edges, edges[1:]):
             now = order[a:b]
             text, x = words.text[now], inputs[now]
@@ -635,12 +683,26 @@ class Model:
 
 
 def _planes(values: np.ndarray, width: int = 4) -> bytes:
-    """Unsigned numbers, compressed with the lowest bytes of all first; small numbers take little so."""
-    return zlib.compress(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
+    """Unsigned numbers, compressed with the lowest bytes of all first; bytes that are 0 in all are left out."""
+    n = len(values)
+    used = max(1, -(-int(values.max()).bit_length() // 8)) if n else 1
+    if used == 1:
+        data = values.astype(np.uint8).tobytes()
+    else:
+        data = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[:, :used].T.tobytes()
+    return bytes([used]) + n.to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def _unplanes(data: bytes, width: int = 4) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+    used, n = data[0], int.from_bytes(data[1:9], "little")
+    raw = pa.decompress(memoryview(data)[9:], decompressed_size=used * n, codec="zstd", asbytes=True)
+    planes = np.frombuffer(raw, np.uint8).reshape(used, n)
+    if used == width > 2:
+        return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+    out = planes[0].astype(f"<u{width}")
+    for k in range(1, used):
+        out |= planes[k].astype(out.dtype) << out.dtype.type(8 * k)
+    return out
 
 
 def _slices(frame: pd.DataFrame):
@@ -791,7 +853,6 @@ class Unit:
         reach = np.maximum(_shared_lengths(words, 0), _shared_lengths(words, len(size) - 1))
         self.edge = place <= reach[which[self.owner]]
         self.weight = self.count[self.owner]
-        own = ~self.edge
         shared = [keys[0], keys[1], keys[2][self.edge], keys[3][self.edge]]
         codes, names = pd.factorize(np.concatenate(shared))
         order = np.argsort(names)
@@ -799,34 +860,66 @@ class Unit:
         rank[order] = np.arange(len(order))
         self.keys = names[order]
         self.places = np.split(rank[codes], np.cumsum([len(k) for k in shared])[:-1])
-        self.local = []
-        for k in (2, 3):
-            code, name = pd.factorize(keys[k][own])
-            every = np.bincount(code, self.weight[own], len(name))
-            one = np.bincount(code, (self.weight * self.bit)[own], len(name))
-            self.local.append(((every - one)[code], one[code]))
+        self._longer = keys[2:]
+
+    @cached_property
+    def local(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+        """Zeros and ones behind the unit's own contexts; of every bit the places of its contexts among
+        the shared keys and, behind them, those."""
+        counts, places, first, own = [], self.places[:2], len(self.keys), np.flatnonzero(~self.edge)
+        weight, ones = self.weight[own], (self.weight * self.bit)[own]
+        for keys, shared in zip(self._longer, self.places[2:]):
+            code, name = pd.factorize(keys[own])
+            every = np.bincount(code, weight, len(name))
+            one = np.bincount(code, ones, len(name))
+            counts.append((every - one, one))
+            place = np.empty(len(self.bit), np.int64)
+            place[self.edge], place[own] = shared, first + code
+            places.append(place)
+            first += len(name)
+        del self._longer
+        return counts, places
+
+    @property
+    def contexts(self) -> list[np.ndarray]:
+        return self.local[1]
 
     def own_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Zeros and ones that this unit's training words put behind each shared key."""
         one, every = np.zeros(len(self.keys)), np.zeros(len(self.keys))
+        ones = self.weight * self.bit
+        edge = self.weight[self.edge], ones[self.edge]
         for k, place in enumerate(self.places):
-            used = slice(None) if k < 2 else self.edge
-            one += np.bincount(place, (self.weight * self.bit)[used], len(self.keys))
-            every += np.bincount(place, self.weight[used], len(self.keys))
+            weight, bits = (self.weight, ones) if k < 2 else edge
+            one += np.bincount(place, bits, len(self.keys))
+            every += np.bincount(place, weight, len(self.keys))
         return every - one, one
 
+    def context_counts(self, row) -> tuple[np.ndarray, np.ndarray]:
+        """The corpus's zeros and ones behind every shared key and the unit's own ones."""
+        given = [_unplanes(row[c], 8).astype(np.float64) for c in "gh"]
+        zero, one = (np.concatenate([x, *(own[k] for own in self.local[0])]) for k, x in enumerate(given))
+        return zero, one
+
     def corpus_counts(self, row) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each predictor the corpus's zeros and ones behind every bit."""
-        given = [_unplanes(row[c], 8).astype(np.float64) for c in "gh"]
-        out = [tuple(x[place] for x in given) for place in self.places[:2]]
-        for place, local in zip(self.places[2:], self.local):
-            both = []
-            for x, mine in zip(given, local):
-                counts = np.empty(len(self.bit))
-                counts[self.edge], counts[~self.edge] = x[place], mine
-                both.append(counts)
-            out.append(tuple(both))
-        return out
+        zero, one = self.context_counts(row)
+        return [(zero[place], one[place]) for place in self.contexts]
+
+    def inputs(self, row) -> tuple[list[np.ndarray], np.ndarray]:
+        """What the corpus's counts say of every bit, by predictor, and their gate; worked out once a context."""
+        zero, one = self.context_counts(row)
+        said, level = _stretched(zero, one), _level(zero + one)
+        return [said[place] for place in self.contexts], level[self.contexts[3]] * LEVELS + level[self.contexts[2]]
+
+    def inputs_of_others(self, row, used: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """`inputs` of some bits that were counted, by the counts without the bit itself."""
+        zero, one = self.context_counts(row)
+        level = _level(zero + one - 1)
+        # Where no such bit was counted the numbers go unused.
+        said = np.stack([_stretched(np.maximum(zero - 1, 0), one), _stretched(zero, np.maximum(one - 1, 0))], 1).ravel()
+        gate = level[self.contexts[3][used]] * LEVELS + level[self.contexts[2][used]]
+        return [said[2 * place[used] + self.bit[used]] for place in self.contexts], gate
 
 
 def _key_parts(buckets: int, coded: Shipped):
@@ -872,10 +965,8 @@ def _teach(coded: Shipped, weights: np.ndarray | None):
             for _, row in frame.iterrows():
                 unit, mixer = Unit(row, coded.value), Mixer(weights)
                 used = np.flatnonzero(unit.weight > 0)
-                bit = unit.bit[used]
-                counts = [(zero[used] - (bit == 0), one[used] - bit) for zero, one in unit.corpus_counts(row)]
-                mixer.learn(counts, bit, unit.weight[used])
-                del unit, counts, bit, used
+                mixer.learn(*unit.inputs_of_others(row, used), unit.bit[used], unit.weight[used])
+                del unit, used
                 yield pd.DataFrame({"part": [int(row["chunk"]) % 64], "a": [mixer.state().tobytes()]})
 
     return run
@@ -888,7 +979,7 @@ def _spell(coded: Shipped, shared: Shipped):
         for frame in frames:
             for _, row in frame.iterrows():
                 unit = Unit(row, coded.value)
-                bits = shared.value.word_bits(unit.corpus_counts(row), unit.bit, unit.owner, len(unit.count))
+                bits = shared.value.word_bits(*unit.inputs(row), unit.bit, unit.owner, len(unit.count))
                 del unit
                 yield pd.DataFrame({"unit": [row["chunk"]], "bucket": [row["bucket"]], "a": [bits.astype(np.float32).tobytes()], "b": [row["f"]]})
 
@@ -994,7 +1085,7 @@ def score_texts(
     top = lexicon.orderBy(F.desc("n"), "hash").limit(MARKERS).select("hash").collect()
     coder.markers = np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64))
     if top:
-        coder.fit_classes(materialize(learnt.mapInPandas(_marked(Shipped(spark, coder)), "a binary"), "marked"))
+        coder.fit_classes(materialize(learnt.mapInPandas(_marked(Shipped(spark, coder)), "a binary, b binary, c binary"), "marked"))
     plain = rows.select("held_out", "text", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"))
     gathered = materialize(plain.mapInPandas(_gather(Shipped(spark, coder)), _PARTS), "gathered", by=["part"])
     words = gathered.filter(F.col("part") == "words")
