@@ -699,6 +699,26 @@ def test_rounds_of_classes_read_only_markers_that_a_text_holds(monkeypatch):
     assert (np.frombuffer(start["a"][0], "<u4").sum(), -start["score"][0]) == (dense.sum(1).max(),) * 2
 
 
+def test_bounds_of_ranges_sort_spellings_alone(spark, monkeypatch):
+    """Two words of one beginning fill two places."""
+    spelt = [bytes([97 + k % 9, 97 + k % 4]) for k in range(60)]
+    lexicon = spark.createDataFrame([(k * 7919 % 61, w, 1) for k, w in enumerate(spelt)], "hash long, spelt binary, n long")
+    plain, sorted_by = lm_mixing.assign_ids, []
+    monkeypatch.setattr(lm_mixing, "assign_ids", lambda df, by, out: sorted_by.append(df.columns) or plain(df, by, out))
+    found = lm_mixing._bounds(lexicon, 7)
+    assert found.tolist() == [sorted(spelt)[k * 60 // 7] for k in range(1, 7)]
+    assert sorted_by == [["spelt"]]
+
+
+def test_shuffles_are_dropped_within_the_operator_only(spark):
+    before = spark.conf.get(lm_mixing.DROP_SHUFFLES)
+    with pytest.raises(ValueError):
+        with lm_mixing._shuffles_dropped(spark):
+            assert spark.conf.get(lm_mixing.DROP_SHUFFLES) == "true"
+            raise ValueError
+    assert spark.conf.get(lm_mixing.DROP_SHUFFLES) == before
+
+
 def test_planes_leave_out_bytes_that_are_zero_in_all():
     rng = np.random.default_rng(3)
     for width in (1, 2, 4, 8):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -11,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillspark.functions.positions import assign_ids
 from tillspark.llm.common import Shipped, fold_of, mix64
@@ -22,6 +23,8 @@ SLICE_TEXTS = 4_096
 #: Words that are hashed at once, and bits that are mixed at once.
 HASHED = 1 << 13
 MIXED = 1 << 14
+#: Contexts of a unit that its tables begin with room for.
+KEYS = 1 << 17
 #: Bytes of distinct words that are predicted together.
 UNIT_BYTES = 1 << 17
 #: Text characters for each range of words, as long as that makes no more than twice the shuffle's
@@ -55,6 +58,7 @@ MARKERS = 512
 LEAST_MARKED = 20
 CLASS_ROUNDS = 15
 LEVELS_OF_PLACE = 32
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _KINDS = CLASSES + 1
 _U32 = np.uint32
 _U64 = np.uint64
@@ -224,6 +228,11 @@ class Words:
         self.text = np.repeat(np.arange(len(texts)), self.lengths)
 
 
+def _index(n: int) -> type:
+    """Numbers for places among n, as short as they may be."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _places(lengths: np.ndarray) -> np.ndarray:
     """The place of every word in its text."""
     return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -385,7 +394,8 @@ def _bounds(lexicon: DataFrame, ranges: int) -> np.ndarray:
     """Where ranges of words begin, so that the distinct training words fill them alike."""
     total = lexicon.count()
     at = sorted({k * total // ranges + 1 for k in range(1, ranges)})
-    numbered = assign_ids(lexicon.select("spelt", "hash"), ["spelt", "hash"], "place")
+    # Words of one beginning are in any order, which does not change what stands at a place.
+    numbered = assign_ids(lexicon.select("spelt"), ["spelt"], "place")
     # At most one row a range.
     found = numbered.filter(F.col("place").isin(at)).select("spelt").collect() if total else []
     return np.sort(np.array([bytes(r["spelt"]) for r in found], f"S{RANGE_PREFIX}"))
@@ -472,11 +482,11 @@ def placed_bit_rows(words: Words | Spelling, which: np.ndarray, kind: np.ndarray
     code = coder.pair[pair]
     bits = coder.size[code, byte]
     edge = np.cumsum(bits) - bits
-    of = np.repeat(np.arange(len(byte)), bits)
+    of = np.repeat(np.arange(len(byte), dtype=_index(len(byte))), bits)
     steps = coder.steps[np.repeat(coder.first[code, byte] - edge, bits) + np.arange(len(of))]
     node = (steps >> _U32(1)).astype(_U64) * _U64(0xD6E8FEB86659FD93)
     keys = [np.add(key := mix64(context)[of], node, out=key) for context in contexts]
-    return owner[of], keys, (steps & _U32(1)).astype(np.int64), place[of]
+    return owner.astype(_index(len(which)))[of], keys, (steps & _U32(1)).astype(np.int8), place.astype(_index(len(byte)))[of]
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -602,7 +612,7 @@ class Mixer:
 
     def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
         """Steps on bits, each with what its predictors say and their gate by the counts of all other bits."""
-        step = np.empty(len(bit), np.int64)
+        step = np.empty(len(bit), np.int16)
         for low in range(0, len(bit), BATCH):
             now = slice(low, low + BATCH)
             g, x, w = gate[now], [i[now] for i in inputs], weight[now]
@@ -612,7 +622,7 @@ class Mixer:
             step[now] = _steps(score)
             for k, values in enumerate(x):
                 self.weights[:, k] += RATE * np.bincount(g, slope * values, GATES) / mass
-        self.refined += np.bincount((gate * STEPS + step) * 2 + bit, weight, self.refined.size).reshape(self.refined.shape)
+        self.refined += np.bincount((gate.astype(np.int32) * STEPS + step) * 2 + bit, weight, self.refined.size).reshape(self.refined.shape)
         self.mass += float(weight.sum())
 
     def state(self) -> np.ndarray:
@@ -853,14 +863,18 @@ class Unit:
         reach = np.maximum(_shared_lengths(words, 0), _shared_lengths(words, len(size) - 1))
         self.edge = place <= reach[which[self.owner]]
         self.weight = self.count[self.owner]
-        shared = [keys[0], keys[1], keys[2][self.edge], keys[3][self.edge]]
-        codes, names = pd.factorize(np.concatenate(shared))
+        self._longer = keys[2:]
+        shared = [*keys[:2], *(k[self.edge] for k in self._longer)]
+        edges = np.cumsum([len(k) for k in shared])[:-1]
+        del keys, place
+        shared = np.concatenate(shared)
+        codes, names = pd.factorize(shared, size_hint=KEYS)
+        del shared
         order = np.argsort(names)
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), _index(len(order)))
         rank[order] = np.arange(len(order))
         self.keys = names[order]
-        self.places = np.split(rank[codes], np.cumsum([len(k) for k in shared])[:-1])
-        self._longer = keys[2:]
+        self.places = np.split(rank[codes], edges)
 
     @cached_property
     def local(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
@@ -869,11 +883,11 @@ class Unit:
         counts, places, first, own = [], self.places[:2], len(self.keys), np.flatnonzero(~self.edge)
         weight, ones = self.weight[own], (self.weight * self.bit)[own]
         for keys, shared in zip(self._longer, self.places[2:]):
-            code, name = pd.factorize(keys[own])
+            code, name = pd.factorize(keys[own], size_hint=KEYS)
             every = np.bincount(code, weight, len(name))
             one = np.bincount(code, ones, len(name))
             counts.append((every - one, one))
-            place = np.empty(len(self.bit), np.int64)
+            place = np.empty(len(self.bit), _index(4 * len(self.bit)))
             place[self.edge], place[own] = shared, first + code
             places.append(place)
             first += len(name)
@@ -909,17 +923,18 @@ class Unit:
     def inputs(self, row) -> tuple[list[np.ndarray], np.ndarray]:
         """What the corpus's counts say of every bit, by predictor, and their gate; worked out once a context."""
         zero, one = self.context_counts(row)
-        said, level = _stretched(zero, one), _level(zero + one)
+        said, level = _stretched(zero, one), _level(zero + one).astype(np.int16)
         return [said[place] for place in self.contexts], level[self.contexts[3]] * LEVELS + level[self.contexts[2]]
 
     def inputs_of_others(self, row, used: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """`inputs` of some bits that were counted, by the counts without the bit itself."""
         zero, one = self.context_counts(row)
-        level = _level(zero + one - 1)
+        level = _level(zero + one - 1).astype(np.int16)
         # Where no such bit was counted the numbers go unused.
         said = np.stack([_stretched(np.maximum(zero - 1, 0), one), _stretched(zero, np.maximum(one - 1, 0))], 1).ravel()
         gate = level[self.contexts[3][used]] * LEVELS + level[self.contexts[2][used]]
-        return [said[2 * place[used] + self.bit[used]] for place in self.contexts], gate
+        bit = self.bit[used]
+        return [said[2 * place[used].astype(np.int64) + bit] for place in self.contexts], gate
 
 
 def _key_parts(buckets: int, coded: Shipped):
@@ -965,8 +980,10 @@ def _teach(coded: Shipped, weights: np.ndarray | None):
             for _, row in frame.iterrows():
                 unit, mixer = Unit(row, coded.value), Mixer(weights)
                 used = np.flatnonzero(unit.weight > 0)
-                mixer.learn(*unit.inputs_of_others(row, used), unit.bit[used], unit.weight[used])
-                del unit, used
+                given = *unit.inputs_of_others(row, used), unit.bit[used], unit.weight[used]
+                del unit, used  # or they would lie beside the steps
+                mixer.learn(*given)
+                del given
                 yield pd.DataFrame({"part": [int(row["chunk"]) % 64], "a": [mixer.state().tobytes()]})
 
     return run
@@ -979,8 +996,10 @@ def _spell(coded: Shipped, shared: Shipped):
         for frame in frames:
             for _, row in frame.iterrows():
                 unit = Unit(row, coded.value)
-                bits = shared.value.word_bits(*unit.inputs(row), unit.bit, unit.owner, len(unit.count))
+                given = *unit.inputs(row), unit.bit, unit.owner, len(unit.count)
                 del unit
+                bits = shared.value.word_bits(*given)
+                del given
                 yield pd.DataFrame({"unit": [row["chunk"]], "bucket": [row["bucket"]], "a": [bits.astype(np.float32).tobytes()], "b": [row["f"]]})
 
     return run
@@ -1034,6 +1053,17 @@ def _total(parts: DataFrame, by: str) -> np.ndarray | float:
     return sum((np.frombuffer(r["a"]) for r in added), 0.0)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Queries made here drop the files of their shuffles when they end, not when the driver next collects garbage."""
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+
+
 def score_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2,
 ) -> DataFrame:
@@ -1074,41 +1104,42 @@ def score_texts(
         F.col(id_col).cast("long").alias("doc_id"), (fold_of(id_col, folds) == held).alias("held_out"),
         F.col(text_col).alias("text"),
     )
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(LEAST_RANGES, min(2 * shuffle_width(spark), size // RANGE_CHARS))
-    coder = Coder()
-    learnt = rows.filter("not held_out").select("text")
-    lexicon = learnt.mapInPandas(_lexicon(Shipped(spark, coder)), "hash long, n long, spelt binary")
-    # A hash has one spelling; as part of the key it needs no sort, which the smallest of strings would.
-    lexicon = materialize(lexicon.groupBy("hash", "spelt").agg(F.sum("n").alias("n")), "lexicon")
-    coder.bounds = _bounds(lexicon, buckets)
-    top = lexicon.orderBy(F.desc("n"), "hash").limit(MARKERS).select("hash").collect()
-    coder.markers = np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64))
-    if top:
-        coder.fit_classes(materialize(learnt.mapInPandas(_marked(Shipped(spark, coder)), "a binary, b binary, c binary"), "marked"))
-    plain = rows.select("held_out", "text", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"))
-    gathered = materialize(plain.mapInPandas(_gather(Shipped(spark, coder)), _PARTS), "gathered", by=["part"])
-    words = gathered.filter(F.col("part") == "words")
-    vocabulary = materialize(words.groupBy("bucket").applyInPandas(_vocabulary, _PARTS), "vocabulary", by=["part"])
-    units = vocabulary.filter(F.col("part") == "unit").select("bucket", "chunk", *"abcdef")
-    first = _total(units.mapInPandas(_unit_bytes(None), "part long, a binary"), "part") + np.zeros(256 + (1 << 16))
-    pairs = commonest_pairs(first)
-    after = _total(units.mapInPandas(_unit_bytes(pairs), "part long, a binary"), "part")
-    coder.fit_code(first, after + np.zeros((len(pairs) + 1) * 256))
-    coded = Shipped(spark, coder)
-    counted = units.mapInPandas(_key_parts(2 * buckets, coded), _COUNTED).groupBy("bucket").applyInPandas(_add_keys, _COUNTED)
-    known = materialize(
-        units.groupBy("chunk").cogroup(counted.select("unit", "bucket", "a", "b").groupBy("unit"))
-        .applyInPandas(_with_counts, "bucket long, chunk long, " + ", ".join(f"{c} binary" for c in "abcdefgh")),
-        "known",
-    )
-    repeats = _total(gathered.filter(F.col("part") == "repeat").select("bucket", "a"), "bucket")
-    weights = None
-    for one_in in ROUNDS:
-        chosen = known.filter(F.pmod(F.xxhash64("chunk"), F.lit(one_in)) == 0)
-        state = _total(chosen.mapInPandas(_teach(coded, weights), "part long, a binary"), "part")
-        state = state + np.zeros(GATES * PREDICTORS + GATES * STEPS * 2 + 1)
-        weights = averaged(state)
+    with _shuffles_dropped(spark):
+        size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+        buckets = max(LEAST_RANGES, min(2 * shuffle_width(spark), size // RANGE_CHARS))
+        coder = Coder()
+        learnt = rows.filter("not held_out").select("text")
+        lexicon = learnt.mapInPandas(_lexicon(Shipped(spark, coder)), "hash long, n long, spelt binary")
+        # A hash has one spelling; as part of the key it needs no sort, which the smallest of strings would.
+        lexicon = materialize(lexicon.groupBy("hash", "spelt").agg(F.sum("n").alias("n")), "lexicon")
+        coder.bounds = _bounds(lexicon, buckets)
+        top = lexicon.orderBy(F.desc("n"), "hash").limit(MARKERS).select("hash").collect()
+        coder.markers = np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64))
+        if top:
+            coder.fit_classes(materialize(learnt.mapInPandas(_marked(Shipped(spark, coder)), "a binary, b binary, c binary"), "marked"))
+        plain = rows.select("held_out", "text", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"))
+        gathered = materialize(plain.mapInPandas(_gather(Shipped(spark, coder)), _PARTS), "gathered", by=["part"])
+        words = gathered.filter(F.col("part") == "words")
+        vocabulary = materialize(words.groupBy("bucket").applyInPandas(_vocabulary, _PARTS), "vocabulary", by=["part"])
+        units = vocabulary.filter(F.col("part") == "unit").select("bucket", "chunk", *"abcdef")
+        first = _total(units.mapInPandas(_unit_bytes(None), "part long, a binary"), "part") + np.zeros(256 + (1 << 16))
+        pairs = commonest_pairs(first)
+        after = _total(units.mapInPandas(_unit_bytes(pairs), "part long, a binary"), "part")
+        coder.fit_code(first, after + np.zeros((len(pairs) + 1) * 256))
+        coded = Shipped(spark, coder)
+        counted = units.mapInPandas(_key_parts(2 * buckets, coded), _COUNTED).groupBy("bucket").applyInPandas(_add_keys, _COUNTED)
+        known = materialize(
+            units.groupBy("chunk").cogroup(counted.select("unit", "bucket", "a", "b").groupBy("unit"))
+            .applyInPandas(_with_counts, "bucket long, chunk long, " + ", ".join(f"{c} binary" for c in "abcdefgh")),
+            "known",
+        )
+        repeats = _total(gathered.filter(F.col("part") == "repeat").select("bucket", "a"), "bucket")
+        weights = None
+        for one_in in ROUNDS:
+            chosen = known.filter(F.pmod(F.xxhash64("chunk"), F.lit(one_in)) == 0)
+            state = _total(chosen.mapInPandas(_teach(coded, weights), "part long, a binary"), "part")
+            state = state + np.zeros(GATES * PREDICTORS + GATES * STEPS * 2 + 1)
+            weights = averaged(state)
     model = Model(state, (repeats + np.zeros(4 * PLACES)).reshape(2, PLACES, 2))
     # One row for each bucket of words.
     sizes = [np.frombuffer(r["a"]) for r in vocabulary.filter(F.col("part") == "size").select("a").collect()]
